@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, pii, quality, tiff
 from .base import documents
 
 #: Words of a text, in DuckDB.
@@ -13,13 +13,21 @@ def op1_quality(spark, sf_dir):
     return quality.report(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_tiff(spark, sf_dir):
+    return tiff.digests(documents(spark, sf_dir))
+
+
+def op8_pii(spark, sf_dir):
+    return pii.digest(documents(spark, sf_dir))
+
+
 def op10_bpe(spark, sf_dir):
     import public_tokenizers
 
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op10_bpe": op10_bpe}
 
 
 def quality_sql(table: str = "documents", limits: quality.Limits = quality.Limits()) -> str:
@@ -47,4 +55,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM j"""
 
 
-ORACLES = {"op1_quality": quality_sql()}
+PII_CHECKS = {
+    "email": "true",
+    "ip": "list_bool_and(list_transform(string_split(v, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(nullif(ltrim(p, '0'), '') AS INTEGER), 0) <= 255))",
+    "card": """length(regexp_replace(v, '[ -]', '', 'g')) BETWEEN 13 AND 19 AND list_sum(list_transform(
+      list_reverse(string_split(regexp_replace(v, '[ -]', '', 'g'), '')),
+      lambda d, i: CASE WHEN i % 2 = 1 THEN d::INTEGER WHEN d::INTEGER > 4 THEN 2 * d::INTEGER - 9 ELSE 2 * d::INTEGER END)) % 10 = 0""",
+    "phone": "length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 9 AND 15",
+    "iban": """list_reduce(list_prepend(0, list_transform(string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''), lambda c: ascii(c))),
+      lambda a, c: CASE WHEN c < 58 THEN a * 10 + c - 48 ELSE a * 100 + c - 55 END % 97) = 1""",
+    "ssn": "NOT regexp_matches(v, '^(000|666|9..)|-00-|-0000$')",
+}
+
+
+def pii_sql(table: str = "documents") -> str:
+    parts, counts = [], []
+    for k in pii.KINDS:
+        parts.append(rf"""
+    SELECT rid, {len(parts)} AS ord, '{k.name}' AS kind, {k.base} AS base, s, s + length(v) AS e FROM (
+      SELECT rid, hits[i] AS v, right(gaps[i], {pii.NEAR}) || chr(10) || left(gaps[i + 1], {pii.NEAR}) AS near,
+        list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+      FROM (SELECT rid, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
+        SELECT rid, regexp_extract_all(text, '{k.plain}') AS hits, string_split_regex(text, '{k.plain}') AS gaps FROM d))
+    ) WHERE ({PII_CHECKS[k.name]}) AND ({k.base} OR {k.score} + CASE WHEN regexp_matches(near, '(?i)({k.context})') THEN {pii.BONUS} ELSE 0 END >= {pii.THRESHOLD})""")
+        if k.base:
+            counts.append(f"(count(*) FILTER (kind = '{k.name}'))::BIGINT AS n_{k.name}")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM {table}),
+f AS ({" UNION ALL ".join(parts)})
+SELECT any_value(doc_id) AS doc_id, {", ".join(counts)},
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s) FILTER (base), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s), '') AS spans
+FROM d LEFT JOIN f USING (rid) GROUP BY rid"""
+
+
+ORACLES = {"op1_quality": quality_sql(), "op8_pii": pii_sql()}
