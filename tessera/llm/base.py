@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word, in Java's, Python's and RE2's syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Characters that count as symbols.
+SYMBOL_CLASS = "[#*$%&|<>]"
 #: The characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, quality, tiff
+from . import bpe, mixing, pii, quality, sharding, tiff
 from .base import documents
 
 #: Words of a text, in DuckDB.
@@ -13,6 +13,14 @@ def op1_quality(spark, sf_dir):
     return quality.report(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_mix(spark, sf_dir):
+    return mixing.digest(documents(spark, sf_dir))
+
+
+def op4_shards(spark, sf_dir):
+    return sharding.digest(documents(spark, sf_dir))
+
+
 def op7_tiff(spark, sf_dir):
     return tiff.digests(documents(spark, sf_dir))
 
@@ -27,7 +35,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op3_mix": op3_mix, "op4_shards": op4_shards, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op10_bpe": op10_bpe}
 
 
 def quality_sql(table: str = "documents", limits: quality.Limits = quality.Limits()) -> str:
@@ -89,4 +97,33 @@ SELECT any_value(doc_id) AS doc_id, {", ".join(counts)},
 FROM d LEFT JOIN f USING (rid) GROUP BY rid"""
 
 
-ORACLES = {"op1_quality": quality_sql(), "op8_pii": pii_sql()}
+MIX_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+r AS (
+  SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS symbols
+  FROM d),
+q AS (
+  SELECT *, -ln((('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496)
+    / (1 + (size >= 50)::INTEGER + (chars >= 3 * size AND chars <= 12 * size)::INTEGER + (10 * symbols <= size)::INTEGER) AS k
+  FROM r),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INTEGER] AS w, sum(source_size) OVER () AS total FROM s),
+c AS (
+  SELECT *, 4 * source_size * sum(w) OVER (need ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= w * (3 * total - 4 * coalesce(sum(source_size) OVER (need ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS capped
+  FROM w WINDOW need AS (ORDER BY source_size / w, source IS NULL, source)),
+t AS (
+  SELECT source, source_size, CASE WHEN capped THEN (2 * source_size)::DOUBLE
+    ELSE (w * (3 * total - 4 * coalesce(sum(source_size) FILTER (capped) OVER (), 0)))::DOUBLE / (2 * sum(w) FILTER (NOT capped) OVER ())::DOUBLE END AS target
+  FROM c),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
+b AS (SELECT *, round(target - epochs * source_size)::BIGINT AS budget FROM e),
+p AS (
+  SELECT q.doc_id, q.size, b.source_size, b.target, b.epochs,
+    b.budget - coalesce(sum(q.size) OVER (PARTITION BY q.source ORDER BY q.k, q.doc_id, q.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+  FROM q JOIN b ON q.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (epochs * size + least(greatest(room, 0), size))::BIGINT AS taken FROM p"""
+
+
+ORACLES = {"op3_mix": MIX_SQL, "op1_quality": quality_sql(), "op8_pii": pii_sql()}
