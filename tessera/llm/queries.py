@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, quality, sharding, tiff
+from . import bpe, mixing, pii, quality, sharding, tiff, warc
 from .base import documents
 
 #: Words of a text, in DuckDB.
@@ -21,6 +21,10 @@ def op4_shards(spark, sf_dir):
     return sharding.digest(documents(spark, sf_dir))
 
 
+def op6_warc(spark, sf_dir):
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("error")
+
+
 def op7_tiff(spark, sf_dir):
     return tiff.digests(documents(spark, sf_dir))
 
@@ -35,7 +39,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_mix": op3_mix, "op4_shards": op4_shards, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op3_mix": op3_mix, "op4_shards": op4_shards, "op6_warc": op6_warc, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op10_bpe": op10_bpe}
 
 
 def quality_sql(table: str = "documents", limits: quality.Limits = quality.Limits()) -> str:
@@ -126,4 +130,19 @@ p AS (
 SELECT doc_id, size, source_size, target, (epochs * size + least(greatest(room, 0), size))::BIGINT AS taken FROM p"""
 
 
-ORACLES = {"op3_mix": MIX_SQL, "op1_quality": quality_sql(), "op8_pii": pii_sql()}
+def _base32(digest: str) -> str:
+    """Base 32 of a hexadecimal column in SQL: five digits give four letters."""
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr({d}, 5 * g + 1, 5))::BIGINT >> {shift}) & 31) + 1)::INTEGER, 1)"
+    four = " || ".join(letter.format(d=digest, shift=s) for s in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(range(8), lambda g: {four}), '')"
+
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_base32('hex')} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
+ORACLES = {"op6_warc": WARC_SQL, "op3_mix": MIX_SQL, "op1_quality": quality_sql(), "op8_pii": pii_sql()}
