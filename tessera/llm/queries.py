@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, quality, sharding, tiff, warc
+from . import bpe, mixing, pii, quality, sharding, simhash, tiff, warc
 from .base import documents
 
 #: Words of a text, in DuckDB.
@@ -33,13 +33,17 @@ def op8_pii(spark, sf_dir):
     return pii.digest(documents(spark, sf_dir))
 
 
+def op9_simhash(spark, sf_dir):
+    return simhash.digest(documents(spark, sf_dir))
+
+
 def op10_bpe(spark, sf_dir):
     import public_tokenizers
 
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_mix": op3_mix, "op4_shards": op4_shards, "op6_warc": op6_warc, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op3_mix": op3_mix, "op4_shards": op4_shards, "op6_warc": op6_warc, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
 
 
 def quality_sql(table: str = "documents", limits: quality.Limits = quality.Limits()) -> str:
