@@ -167,7 +167,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
     Kinds are replaced one after another in the order of KINDS, each on the text
     that the kinds before it left. Other columns, and texts without spans or null,
-    stay as they are.
+    stay as they are. Write the result before filtering on the new text: a pushed
+    filter would repeat the whole expression.
     """
     place = "__tessera_redacted"
     out = df.withColumn(place, F.coalesce(F.col(text), F.lit("")))

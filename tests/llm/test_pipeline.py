@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from tessera.llm import bpe
+from tessera.llm.base import written
 
 
 def docs():
@@ -25,7 +26,7 @@ def test_stages_take_effect(spark):
     df = spark.createDataFrame(docs(), SCHEMA)
     seen = []
     for name, stage in corpus_pipeline.STAGES:
-        before, df = df, stage(spark, df, None)
+        before, df = df, written(stage(spark, df, None), "test")
         if name != corpus_pipeline.STAGES[-1][0]:
             assert df.columns == before.columns
         seen.append(df)
