@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, quality, sharding, simhash, tiff, warc
+from . import bpe, mixing, pii, quality, rollup, sharding, simhash, tiff, warc
 from .base import documents
 
 #: Words of a text, in DuckDB.
@@ -13,6 +13,10 @@ def op1_quality(spark, sf_dir):
     return quality.report(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_rollup(spark, sf_dir):
+    return rollup.totals(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_mix(spark, sf_dir):
     return mixing.digest(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_mix": op3_mix, "op4_shards": op4_shards, "op6_warc": op6_warc, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op2_rollup": op2_rollup, "op3_mix": op3_mix, "op4_shards": op4_shards, "op6_warc": op6_warc, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
 
 
 def quality_sql(table: str = "documents", limits: quality.Limits = quality.Limits()) -> str:
@@ -149,4 +153,11 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_base32('hex')} AS paylo
 FROM f"""
 
 
-ORACLES = {"op6_warc": WARC_SQL, "op3_mix": MIX_SQL, "op1_quality": quality_sql(), "op8_pii": pii_sql()}
+ROLLUP_SQL = rf"""
+SELECT source, lang, 'marks-2' AS tokenizer, count(*)::BIGINT AS docs,
+  sum(len(regexp_extract_all(coalesce(text, ''), '\p{{L}}+|\p{{N}}+|[^\p{{L}}\p{{N}}\x20\x09-\x0D]')))::BIGINT AS tokens
+FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+GROUP BY source, lang"""
+
+
+ORACLES = {"op2_rollup": ROLLUP_SQL, "op6_warc": WARC_SQL, "op3_mix": MIX_SQL, "op1_quality": quality_sql(), "op8_pii": pii_sql()}
