@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -92,3 +93,9 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of finished jobs now, not when it next runs short of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
