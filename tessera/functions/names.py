@@ -19,8 +19,8 @@ IMPORT_TO_PACKAGE = {
     "bson": "pymongo",
     "sklearn": "scikit-learn",
     "PIL": "pillow",
+    "dotenv": "python-dotenv",
     "cv2": "opencv-python",
-    "bs4": "beautifulsoup4",
 }
 
 

@@ -22,9 +22,14 @@ def most_extended(pairs: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("n"), "base").limit(MOST_BASES).filter(F.col("n") >= LEAST_SUBCLASSES)
 
 
-def role(level: Column, most: Column, imported_by: Column, imports_others: Column) -> Column:
-    """A label for a layer from its place and its imports."""
-    return F.when((imported_by == 0) & (imports_others > 0), "UI / entry").when((level == 0) & (imports_others == 0), "library / core").when(level == most, "top / config").otherwise("service")
+def role(level: Column, last: Column, imported_by: Column, imports_others: Column) -> Column:
+    """The label of a layer; the texts are fixed values of the result."""
+    return F.when(level == last, "UI/giris katmani").when(imports_others <= 1, "Kutuphane/ortak modul").when(imported_by == 0, "Ust-yapi/konfigurasyon").otherwise("Servis/is mantigi")
+
+
+def health_counts(lines: DataFrame) -> DataFrame:
+    """One row for all lines."""
+    return lines.agg(F.count_if(F.startswith("line", F.lit("OK"))).alias("ok"), F.count_if(F.startswith("line", F.lit("FAIL"))).alias("fail"))
 
 
 def health(lines: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def twins(functions: DataFrame) -> DataFrame:
     both = by_hash.unionByName(by_kinds)
     first = both.withColumn("rn", F.row_number().over(W.partitionBy("members").orderBy("method", "key"))).filter("rn = 1").drop("rn")
     known = first.withColumn("similarity_avg", F.lit(100.0)).withColumn("similarity_min", F.lit(100.0))
-    known = known.withColumn("fuzzy_bases", F.array_sort(F.array_distinct(F.transform("members", lambda m: fuzzy_base(m.name)))))
+    known = known.withColumn("fuzzy_bases", F.array_sort(F.array_distinct(F.transform("members", lambda m: fuzzy_base(m["name"])))))
     known = known.withColumn("remediation", remediation(F.col("similarity_avg"), F.col("n"), F.col("members")))
     in_order = W.orderBy("method", F.desc("n"), "key")  # one row per group
     return known.withColumn("group_id", F.format_string("TG-%03d", F.row_number().over(in_order)))
