@@ -207,9 +207,11 @@ def test_settings(tmp_path):
     assert small.load_settings(tmp_path / "none")["big_file_threshold"] == 800 and small.load_yaml(tmp_path / "none") == {}
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("small", [0, 100])
+def test_components_of_random_graphs(spark, monkeypatch, small):
     import random
 
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(17)
     for _ in range(3):
         edges = {(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(34)}
