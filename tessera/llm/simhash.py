@@ -156,7 +156,9 @@ def components(links: DataFrame) -> DataFrame:
     """links: a, b. Every vertex v that has a link, with the smallest vertex of its component as root.
 
     Large and small stars in turn: each vertex points its larger neighbours, then
-    itself and its smaller ones, at the smallest of them, until nothing changes.
+    itself and its smaller ones, at the smallest of them, until nothing changes. The
+    smallest ones are written before they are joined back, so that both sides of a
+    join are plain exchanges, and Spark can split the partition of a large star.
     """
     now = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root")).filter("v <> root").distinct(), "links")
     before = None
@@ -166,13 +168,13 @@ def components(links: DataFrame) -> DataFrame:
             return now
         before = mark
         both = now.union(now.select("root", "v"))
-        least = both.groupBy("v").agg(F.min("root").alias("low")).select("v", F.least("v", "low").alias("low"))
+        least = written(both.groupBy("v").agg(F.min("root").alias("low")).select("v", F.least("v", "low").alias("low")), "links")
         large = both.join(least, "v").filter(F.col("root") > F.col("v")).select(F.col("root").alias("v"), F.col("low").alias("root")).distinct()
         large = written(large, "links")
-        low = large.groupBy("v").agg(F.min("root").alias("low"))
+        low = written(large.groupBy("v").agg(F.min("root").alias("low")), "links")
         small = large.join(low, "v").select(F.col("root").alias("v"), F.col("low").alias("root")).filter("v <> root").union(low).distinct()
         small = written(small, "links")
-        discard(now, large)
+        discard(now, large, least, low)
         now = small
 
 
