@@ -9,8 +9,10 @@ a prefix is unique. Each place of the piece is entered once, and each token has
 bounded number of shorter ones, hence linear time.
 
 Longest matches come from an Aho-Corasick automaton over the vocabulary, whose
-bytes are mapped to Latin-1 characters. Compatibility of a pair is found once by
-merging the bytes of the two tokens by rank, and remembered.
+bytes are mapped to Latin-1 characters. Compatibility of a pair is found once,
+and remembered: the last merges of the two tokens are undone, latest first, and
+at no point may the parts that then meet have a merge that comes before the one
+that was undone.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .base import small_batches, take
 
-#: Pieces and pairs remembered at most, by each Python worker.
-REMEMBERED = 200_000
+#: Pieces, and pairs, remembered by each Python worker: the last ones used, up to twice as many.
+REMEMBERED = 100_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 
@@ -46,11 +48,16 @@ class ByteBPE:
         self.digits = {i: str(i) for i in self.token}
         self.automaton = ahocorasick.Automaton()
         for b, i in ranks.items():
-            self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
+            self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.shorter_of: dict[int, int] = {}
+        self.old_pairs: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.size = {i: len(b) for b, i in ranks.items()}
+        #: The longest token that is a proper prefix of a token; -1 if there is none.
+        self.shorter_of = {i: next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ranks), -1) for b, i in ranks.items()}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.old_pieces: dict[str, tuple[int, ...]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: join the neighbours of lowest rank, leftmost first, until none can be joined. For a few bytes only."""
@@ -62,58 +69,93 @@ class ByteBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def last_merge(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge joins; a byte is both halves of itself; None if merging never yields the token."""
+        known = self.halves.get(token, 0)
+        if known == 0:
+            data = self.token[token]
+            known = (token, token) if len(data) == 1 else None
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if rank == 1 << 60:
+                    break
+                if len(parts) == 2:
+                    known = (self.ranks[parts[0]], self.ranks[parts[1]])
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.halves[token] = known
+        return known
+
+    def _compatible(self, left: int, right: int) -> bool:
+        if self.last_merge(left) is None or self.last_merge(right) is None:
+            return False
+        ranks, token, limit = self.ranks, self.token, 1 << 60
+        while True:
+            if ranks.get(token[left] + token[right], 1 << 60) < limit:
+                return False
+            whole_left, whole_right = len(token[left]) == 1, len(token[right]) == 1
+            if whole_left and whole_right:
+                return True
+            if whole_right or not whole_left and left > right:
+                limit, left = left, self.last_merge(left)[1]
+            else:  # of equal ranks the left one is merged first
+                limit, right = right + 1, self.last_merge(right)[0]
+
     def compatible(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
+            known = self.old_pairs.get((left, right))
+            if known is None:
+                known = self._compatible(left, right)
             if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            known = self.merged(self.token[left] + self.token[right]) == [left, right]
+                self.old_pairs, self.pairs = self.pairs, {}
             self.pairs[left, right] = known
         return known
 
-    def shorter(self, token: int) -> int:
-        """The longest token that is a proper prefix of this one; -1 if there is none."""
-        known = self.shorter_of.get(token)
-        if known is None:
-            data = self.token[token]
-            known = next((self.ranks[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.ranks), -1)
-            self.shorter_of[token] = known
-        return known
-
     def piece(self, data: bytes) -> tuple[int, ...]:
         """The tokens of a piece. A piece that is a token itself is that token, whatever the merges say."""
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
-        n = len(data)
+        n, size, known = len(data), self.size, self.pairs.get
         longest = [-1] * n
-        for end, (token, size) in self.automaton.iter(data.decode("latin-1")):
-            longest[end + 1 - size] = token  # ends ascend, so the last one set is the longest
+        for end, token in self.automaton.iter(data.decode("latin-1")):
+            longest[end + 1 - size[token]] = token  # ends ascend, so the last one set is the longest
         dead = bytearray(n + 1)
         found: list[int] = []
-        at, token = 0, longest[0]
+        at, token, left = 0, longest[0], -1
         while at < n:
-            while token >= 0 and (dead[at + len(self.token[token])] or (found and not self.compatible(found[-1], token))):
-                token = self.shorter(token)
+            while token >= 0:
+                if not dead[at + size[token]]:
+                    fits = left < 0 or known((left, token))
+                    if fits is None:
+                        fits = self.compatible(left, token)
+                        known = self.pairs.get
+                    if fits:
+                        break
+                token = self.shorter_of[token]
             if token >= 0:
                 found.append(token)
-                at += len(self.token[token])
+                at += size[token]
+                left = token
                 token = longest[at] if at < n else -1
             else:
                 dead[at] = 1
-                back = found.pop()
-                at -= len(self.token[back])
-                token = self.shorter(back)
+                token = found.pop()
+                at -= size[token]
+                left = found[-1] if found else -1
+                token = self.shorter_of[token]
         return tuple(found)
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pattern.findall(text)
         new = set(pieces).difference(self.pieces)
         if new and len(self.pieces) + len(new) > REMEMBERED:
-            self.pieces.clear()
+            self.old_pieces, self.pieces = self.pieces, {}
             new = set(pieces)
+        old = self.old_pieces.get
         for p in new:
-            self.pieces[p] = self.piece(p.encode("utf-8"))
+            self.pieces[p] = old(p) or self.piece(p.encode("utf-8"))
         ids = list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
         for p in new:
             if len(p) > LONG_PIECE:

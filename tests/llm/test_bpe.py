@@ -35,6 +35,23 @@ def test_pieces_of_random_tokens(both):
         assert own.encode(t) == library.encode_ordinary(t), repr(t)
 
 
+def test_compatible_pairs_are_those_that_merging_leaves(both):
+    own, _ = both
+    rng = random.Random(5)
+    tokens = sorted(own.token)
+    short = [i for i in tokens if len(own.token[i]) <= 3]
+    for _ in range(20_000):
+        a, b = rng.choice(rng.choice([tokens, short])), rng.choice(rng.choice([tokens, short]))
+        assert own.compatible(a, b) == (own.merged(own.token[a] + own.token[b]) == [a, b]), (a, b)
+
+
+def test_forgetting_changes_nothing(both, monkeypatch):
+    own, library = both
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    t = " ".join(f"word{i} über漢字 unlikelihood{i % 7}" for i in range(500))
+    assert own.encode(t) == library.encode_ordinary(t)
+
+
 def test_long_pieces_take_linear_time(both):
     own, library = both
     for unit in ("a", " ", "ab", "漢"):
