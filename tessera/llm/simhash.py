@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import discard, small_batches, take, written
+from .base import discard, release, small_batches, take, written
 
 SEED = 42
 RADIUS, BANDS, BAND_BITS = 2, 4, 16
@@ -201,18 +201,70 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Families of word fingerprints with which near copies are looked for.
+#: Families of word fingerprints in which candidates are looked for.
 FAMILIES = 8
+#: Near copies share so many fifths of their distinct shingles of WIDTH words, of all that either has.
+WIDTH, FIFTHS = 5, 4
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles as sorted 32-bit hashes; fewer words than width are one shingle, no words none."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.int32)
+    width = min(width, len(words))
+    each = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        rolled = each[: len(each) - width + 1].copy()
+        for k in range(1, width):
+            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + each[k : len(each) - width + 1 + k]
+            rolled ^= rolled >> np.uint64(29)
+    return np.unique((rolled >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
+def candidates(points: DataFrame) -> DataFrame:
+    """points: t, family, fp. Pairs a < b of texts t that are worth comparing.
+
+    In each family every text meets the least text of its fingerprint, and the least
+    texts of linked fingerprints meet. Which is least goes by an order of the
+    family's own, so a large group is compared with as many members as there are
+    families, and no group with all of itself.
+    """
+    order = F.xxhash64("t", "family")
+    first = written(points.groupBy("family", "fp").agg(F.min_by("t", order).alias("first"), F.count("*").alias("n")), "simhash-first")
+    own = points.join(first.filter("n > 1"), ["family", "fp"]).select(F.col("t").alias("x"), F.col("first").alias("y"))
+    links = near_pairs(first.select("family", "fp"))
+    one = first.select(F.col("fp").alias("a"), F.col("first").alias("x"))
+    met = links.join(one, "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    both = own.union(met).filter("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs: a, b. texts: t, text, t distinct. The pairs of which four fifths of the five-word shingles that either has are common."""
+
+    @F.arrow_udf("array<int>")
+    def shingles(column: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t) for t in column.to_pylist()], pa.list_(pa.int32()))
+
+    ends = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+    sets = written(texts.join(ends, "t", "left_semi").select("t", shingles("text").alias("s")), "simhash-sets")
+    release(pairs.sparkSession)
+    left = pairs.join(sets.toDF("a", "sa"), "a")
+    both = left.join(sets.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter((FIFTHS + 5) * common >= FIFTHS * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
 def one_of_each_group(df: DataFrame, text: str = "text", key: str = "doc_id", families: int = FAMILIES) -> DataFrame:
     """df with one row of each group of near copies, that of the smallest key.
 
-    Rows are linked if, in any family, their fingerprints over distinct words are at
-    RADIUS or fewer bits; with eight families that finds nine in ten pairs whose
-    sets of five-word shingles have a similarity of 0.8, nearly all from 0.85, and
-    none between unrelated texts. Of rows with equal smallest keys, those of equal
-    text are one row and the first by text stays; nulls come last. All columns stay.
+    Texts are compared if, in any family, their fingerprints over distinct words are
+    at RADIUS or fewer bits or lead to each other through the least text of one; they
+    are linked if four fifths of their five-word shingles are common, and groups are
+    what links connect. Equal texts are one group from the start. Of rows with equal
+    smallest keys, those of equal text are one row and the first by text stays; null
+    keys come last. All columns stay.
     """
     small_batches(df.sparkSession)
     kind = pa.list_(pa.int64())
@@ -221,20 +273,19 @@ def one_of_each_group(df: DataFrame, text: str = "text", key: str = "doc_id", fa
     def made(texts: pa.Array) -> pa.Array:
         return pa.array([list(map(_signed, word_fingerprints(t, families))) for t in texts.to_pylist()], kind)
 
-    own = take(df, key, text).toDF("key", "text")
-    rank = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    own = take(df, key, text).toDF("key", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    same = own.select("key", "text", F.xxhash64("text").alias("t"))
+    rank = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.sha2("text", 256).alias("sha"))
     # fingerprints of a family keep their distances when all are turned by the same bits, and families keep apart
     turned = F.transform(made(own["text"]), lambda fp, i: fp.bitwiseXOR(F.xxhash64(i) * (i > 0).cast("long")))
-    docs = written(own.select(rank.alias("rank"), turned.alias("fps")), "simhash-families")
-    vertex = F.get("fps", F.lit(0))
-    ties = docs.select(vertex.alias("a"), F.posexplode("fps").alias("family", "b")).distinct()
-    points = written(ties, "simhash-ties")
-    links = written(near_pairs(points.select("family", F.col("b").alias("fp")).distinct()), "simhash-links")
-    ends = links.select("a").union(links.select("b"))
-    joint = points.filter("family > 0").groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("b").alias("a"))
-    useful = points.filter("family > 0").join(ends.union(joint).distinct().withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
-    roots = components(links.union(useful))
-    grouped = docs.select("rank", vertex.alias("v")).join(roots, "v", "left").select("rank", F.coalesce("root", "v").alias("root"))
+    docs = written(same.select(rank.alias("rank"), "t", turned.alias("fps")), "simhash-families")
+    points = written(docs.groupBy("t").agg(F.first("fps").alias("fps")).select("t", F.posexplode("fps").alias("family", "fp")), "simhash-points")
+    pairs = written(candidates(points), "simhash-candidates")
+    release(df.sparkSession)
+    links = written(verified(pairs, same.select("t", "text").dropDuplicates(["t"])), "simhash-verified")
+    release(df.sparkSession)
+    roots = components(links)
+    grouped = docs.select("rank", "t").join(roots.withColumnRenamed("v", "t"), "t", "left").select("rank", F.coalesce("root", "t").alias("root"))
     first = grouped.groupBy("root").agg(F.min("rank").alias("rank")).select("rank").distinct()
     return _only(df, key, text, first)
 

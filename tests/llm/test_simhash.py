@@ -108,3 +108,28 @@ def test_one_of_each_group(spark):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [2, 9, *range(100, 120)]
     assert simhash.one_of_each_group(df.limit(0)).count() == 0
+
+
+def test_groups_are_what_similar_pairs_connect(spark):
+    rng = random.Random(18)
+    word = lambda: f"w{rng.randrange(4000)}"
+    rows = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        for k in range(rng.choice([1, 2, 3])):
+            again = list(base)
+            for _ in range(k * rng.choice([1, 1, 2, 30])):
+                again[rng.randrange(len(again))] = word()
+            rows.append((len(rows), " ".join(again)))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    similar = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(i, j):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = set(root)
+    assert want <= got and len(got - want) <= 0.1 * (len(rows) - len(want))
+    assert any(root[i] != i for i in range(len(rows)))
