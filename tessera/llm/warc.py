@@ -158,10 +158,15 @@ def records(data: bytes) -> Iterator[tuple[int, dict | str]]:
         at = end
 
 
-def train(df: DataFrame, html: str) -> bytes:
-    """A dictionary from the sample of pages with the smallest hashes; where they are too few to train on, their text itself."""
-    part = F.left(F.coalesce(df[html], F.lit("")), F.lit(SAMPLE_CHARS)).alias("part")
-    sample = df.select(part).orderBy(F.xxhash64("part"), "part").limit(SAMPLE_PAGES).collect()
+def train(df: DataFrame, key: str, html: str) -> bytes:
+    """A dictionary from a sample of pages; where they are too few to train on, their text itself.
+
+    The pages are those with the smallest hashes among about four times as many that
+    a hash picks, so that what reaches the driver is the same for any number of tasks.
+    """
+    parts = df.select(F.xxhash64(key, F.lit("sample")).alias("h"), F.left(F.coalesce(df[html], F.lit("")), F.lit(SAMPLE_CHARS)).alias("part"))
+    one_in = max(1, df.count() // (4 * SAMPLE_PAGES))
+    sample = parts.filter(F.pmod("h", F.lit(one_in)) == 0).orderBy("h", "part").limit(SAMPLE_PAGES).collect()
     texts = [record("response", "urn:x-page:0", "http://example.org/", r.part.encode("utf-8", "replace"), "A" * 32, 0, None) for r in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
@@ -188,7 +193,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", html
     """
     own = take(df, key, url, html).toDF("key", "url", "html")
     small_batches(df.sparkSession)
-    words = train(own, "html")
+    words = train(own, "key", "html")
     lead = struct.pack("<II", DICTIONARY_SKIPPABLE, len(words)) + words
     held = df.sparkSession.sparkContext.broadcast(lead)
     rows = referents(own.withColumn("key", F.col("key").cast("long")), "key", "html", least).select("key", "url", "html", "first")
