@@ -94,3 +94,24 @@ def test_entry_point_without_the_corpus_subpackage(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "", "PYTHONPATH": ""}, check=True)
     assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+
+
+def test_workers_find_the_package_from_anywhere(tmp_path):
+    import os
+    import pathlib
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parent.parent
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__
+from tessera.operators.extract import extracted
+from tessera.plans.ship import ship
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+ship(spark)
+print(extracted(spark.createDataFrame([("x = 1",)], "source_code string")).select("facts.parse_error").first()[0])
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+    assert out.stdout.strip().endswith("False")
