@@ -15,7 +15,7 @@ from ..functions.paths import decoded, extension, line_count
 #: Names and patterns that are left out unless a project says otherwise; fixed values.
 IGNORE = [
     ".git", "__pycache__", ".vscode", ".idea", "node_modules", ".venv", "venv", "env", "miniconda*", "anaconda*", ".conda", "java",
-    "dist", "build", "site-packages", "Lib", "Scripts", ".devkit", ".tox", ".pytest_cache", ".mypy_cache", ".ruff_cache", "__pypackages__",
+    "dist", "build", "site-packages", "Lib", "Scripts", ".tox", ".pytest_cache", ".mypy_cache", ".ruff_cache", "__pypackages__",
 ]
 RAW = "path string, size long, content binary"
 #: What one task reads at most, unless a single file is larger.
