@@ -17,21 +17,24 @@ SYMBOL_CLASS = "[#*$%&|<>]"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def take(df: DataFrame, *names: str) -> DataFrame:
-    """Exactly the named columns, in that order.
+def place(df: DataFrame, name: str) -> int:
+    """Where a column stands: that of the exact name, else the first whose name differs in case only."""
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    loose = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not exact and not loose:
+        raise ValueError(f"no column {name!r} among {df.columns}")
+    return (exact or loose)[0]
 
-    A column is found by its exact name first, then by its name without regard
-    to case, so extra columns whose names differ in case only do no harm.
-    """
-    places = []
-    for name in names:
-        exact = [i for i, c in enumerate(df.columns) if c == name]
-        loose = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        if not exact and not loose:
-            raise ValueError(f"no column {name!r} among {df.columns}")
-        places.append((exact or loose)[0])
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.select([plain[f"c{i}"].alias(name) for i, name in zip(places, names, strict=True)])
+
+def plain(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with columns c0, c1, ..., which clash with no name, and which of them the named ones are."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{place(df, n)}" for n in names]
+
+
+def take(df: DataFrame, *names: str) -> DataFrame:
+    """Exactly the named columns, in that order; extra columns whose names differ in case only do no harm."""
+    wide, at = plain(df, *names)
+    return wide.select([wide[c].alias(name) for c, name in zip(at, names, strict=True)])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

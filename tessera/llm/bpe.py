@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches, take
+from .base import plain, small_batches, take
 
 #: Pieces, and pairs, remembered by each Python worker: the last ones used, up to twice as many.
 REMEMBERED = 100_000
@@ -194,6 +194,14 @@ def _vocabulary(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(data)
 
 
+def _added(df: DataFrame, udf, column: str, into: str) -> DataFrame:
+    """df with udf of a column; columns that have the name into already, in any case, are left out."""
+    small_batches(df.sparkSession)
+    wide, (at,) = plain(df, column)
+    kept = [(c, n) for c, n in zip(wide.columns, df.columns, strict=True) if n.lower() != into.lower()]
+    return wide.select(*[c for c, _ in kept], udf(wide[at]).alias("made")).toDF(*[n for _, n in kept], into)
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Adds the token ids of a text column (null: as an empty text) as an array of int.
 
@@ -206,8 +214,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str
         bpe = held(data.value, pattern)
         return pa.array([bpe.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    small_batches(df.sparkSession)
-    return df.withColumn(into, ids(df[text]))
+    return _added(df, ids, text, into)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "text") -> DataFrame:
@@ -219,8 +226,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str =
         bpe = held(data.value, pattern)
         return pa.array([None if x is None else bpe.decode(x).decode("utf-8", "replace") for x in column.to_pylist()], pa.string())
 
-    small_batches(df.sparkSession)
-    return df.withColumn(into, texts(df[ids]))
+    return _added(df, texts, ids, into)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import SYMBOL_CLASS, take, word_count, written
+from .base import SYMBOL_CLASS, plain, take, word_count, written
 
 BINS = 4096
 #: Sources whose plan is small enough to send to all executors; more are joined by key.
@@ -125,11 +125,11 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """df's rows as the mix repeats them, whole documents only, with df's columns."""
     own = take(df, key, source, text).toDF("key", "source", "text").withColumn("size", word_count(F.col("text")))
     rows = written(own.select("key", "source", "size", quality_weight(F.col("text"), F.col("size")).alias("weight")), "mix-rows")
-    names = [f"__c{i}" for i in range(len(df.columns))]
-    places = {c: f"__c{df.columns.index(c)}" for c in (key, text, source)}
-    wide = df.toDF(*names).withColumn("__size", word_count(F.col(places[text])))
-    wide = wide.withColumn("__weight", quality_weight(F.col(places[text]), F.col("__size")))
-    out = mix(wide, plan(rows), places[key], places[source], "__size", "__weight", whole=True)
+    wide, (k, t, s) = plain(df, key, text, source)
+    names = wide.columns
+    wide = wide.withColumn("__size", word_count(F.col(t)))
+    wide = wide.withColumn("__weight", quality_weight(F.col(t), F.col("__size")))
+    out = mix(wide, plan(rows), k, s, "__size", "__weight", whole=True)
     times = F.when(F.col("__size") > 0, (F.col("taken") / F.col("__size")).cast("int")).otherwise(0)
     out = out.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return out.select(*names).toDF(*df.columns)

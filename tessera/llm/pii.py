@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import take
+from .base import plain, take
 
 THRESHOLD = 0.6
 #: Characters on either side of a span in which context words count.
@@ -170,13 +170,14 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     stay as they are. Write the result before filtering on the new text: a pushed
     filter would repeat the whole expression.
     """
-    place = "__tessera_redacted"
-    out = df.withColumn(place, F.coalesce(F.col(text), F.lit("")))
-    names = df.columns
+    new = "redacted"
+    wide, (at,) = plain(df, text)
+    names = wide.columns
+    out = wide.withColumn(new, F.coalesce(F.col(at), F.lit("")))
     for kind in KINDS:
-        out = _cut(out, place, kind)
-        out = out.select(*names, F.when(F.size("__tessera_hits") > 0, F.array_join(F.transform("__tessera_gaps", _replaced(kind)), "")).otherwise(F.col(place)).alias(place))
-    return out.select(*[F.when(F.col(c).isNotNull(), F.col(place)).alias(c) if c == text else F.col(c) for c in names])
+        out = _cut(out, new, kind)
+        out = out.select(*names, F.when(F.size("__tessera_hits") > 0, F.array_join(F.transform("__tessera_gaps", _replaced(kind)), "")).otherwise(F.col(new)).alias(new))
+    return out.select(*[F.when(F.col(c).isNotNull(), F.col(new)).alias(c) if c == at else F.col(c) for c in names]).toDF(*df.columns)
 
 
 def _replaced(kind: Kind):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACES, small_batches, take
+from .base import SPACES, plain, small_batches, take
 
 #: Characters that count as symbols; fixed by the contract.
 SYMBOLS = "#*$%&|<>"
@@ -151,4 +151,5 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text", limits: Limit
 def keep(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The rows of df whose text passes, with all their columns."""
     small_batches(df.sparkSession)
-    return df.filter(report_column(df[text], limits)["kept"])
+    wide, (at,) = plain(df, text)
+    return wide.filter(report_column(wide[at], limits)["kept"]).toDF(*df.columns)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import discard, release, small_batches, take, written
+from .base import discard, plain, release, small_batches, take, written
 
 SEED = 42
 RADIUS, BANDS, BAND_BITS = 2, 4, 16
@@ -292,9 +292,9 @@ def one_of_each_group(df: DataFrame, text: str = "text", key: str = "doc_id", fa
 
 def _only(df: DataFrame, key: str, text: str, first: DataFrame) -> DataFrame:
     """The rows of df that are first, one for each; rows equal in key and text are told apart by all columns."""
-    names = [f"c{i}" for i in range(len(df.columns))]
-    wide = df.toDF(*names)
-    k, t = (F.col(names[df.columns.index(c)]) for c in (key, text))
+    wide, at = plain(df, key, text)
+    names = wide.columns
+    k, t = map(F.col, at)
     sha = F.sha2(F.coalesce(t, F.lit("")), 256)
     there = first.select(F.coalesce(F.col("rank.key").cast("string"), F.lit("")).alias("at"), F.col("rank.none").alias("none"), F.col("rank.sha").alias("sha"))
     kept = wide.withColumn("at", F.coalesce(k.cast("string"), F.lit(""))).withColumn("none", k.isNull()).withColumn("sha", sha).join(there, ["at", "none", "sha"], "left_semi")

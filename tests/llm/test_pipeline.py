@@ -46,3 +46,16 @@ def test_stages_take_effect(spark):
 def test_run_on_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns_and_nulls(spark):
+    rows = [(*r, "x", None, 7) for r in docs()] + [(None, docs()[3][1] + " more", None, None, None, None, None, None), (None,) * 8]
+    df = spark.createDataFrame(rows, SCHEMA + ", TEXT string, Doc_Id string, taken long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, None)
+        assert out.columns == df.columns, name
+        assert out.count() > 0
+    tokens = corpus_pipeline.STAGES[-1][1](spark, df, None)
+    assert tokens.count() == len(rows)
+    both = bpe.encode(df, corpus_pipeline.VOCABULARY, corpus_pipeline.public_tokenizers.PATTERN, into="Taken")
+    assert both.columns == [*df.columns[:-1], "Taken"] and both.count() == len(rows)

@@ -97,3 +97,24 @@ def test_rows_per_page(spark):
     df = spark.createDataFrame([(1, bytearray(data), 5), (2, None, 6)], "id int, media binary, PAGE int")
     rows = sorted(tiff.read_pages(df).select("id", "page", "height", "error").collect())
     assert [(r.id, r.page, r.height) for r in rows] == [(1, 0, 9), (1, 1, 20), (2, 0, 0)] and rows[2].error
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_floating_point_predictor(order):
+    a = np.array([[1.5, -2.25, 3e7, 0.1], [0, 1, 2, -1e-9]], np.float32)
+    planes = a.astype(">f4").view(np.uint8).reshape(2, 4, 4).transpose(0, 2, 1).reshape(2, 16)
+    diff = np.concatenate([planes[:, :1], planes[:, 1:] - planes[:, :-1]], axis=1).astype(np.uint8)
+    strip = zlib.compress(diff.tobytes())
+    values = {256: 4, 257: 2, 258: 32, 259: 8, 273: 8, 278: 2, 279: len(strip), 317: 3, 339: 3}
+    at = 8 + len(strip)
+    data = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at) + strip + struct.pack(order + "H", len(values)) + b"".join(struct.pack(order + "HHII", t, 4, 1, v) for t, v in values.items()) + struct.pack(order + "I", 0)
+    (page,) = tiff.pages(data)
+    assert page.error is None and (page.pixels[:, :, 0] == a).all()
+
+
+def test_big_tiff():
+    a = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    values = {256: 4, 257: 3, 258: 8, 259: 1, 273: 16, 278: 3, 279: 12}
+    data = b"II+\0" + struct.pack("<HHQ", 8, 0, 28) + a.tobytes() + struct.pack("<Q", len(values)) + b"".join(struct.pack("<HHQQ", t, 4, 1, v) for t, v in values.items()) + struct.pack("<Q", 0)
+    (page,) = tiff.pages(data)
+    assert page.error is None and (page.pixels[:, :, 0] == a).all()
