@@ -122,7 +122,11 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """df's rows as the mix repeats them, whole documents only, with df's columns."""
+    """df's rows as the mix repeats them, whole documents only, with df's columns.
+
+    Texts without words, null ones too, are in no mix. Repeated rows are repeated
+    each; null sources and keys are as in digest; an empty table gives an empty one.
+    """
     own = take(df, key, source, text).toDF("key", "source", "text").withColumn("size", word_count(F.col("text")))
     rows = written(own.select("key", "source", "size", quality_weight(F.col("text"), F.col("size")).alias("weight")), "mix-rows")
     wide, (k, t, s) = plain(df, key, text, source)

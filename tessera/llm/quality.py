@@ -149,7 +149,7 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text", limits: Limit
 
 
 def keep(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The rows of df whose text passes, with all their columns."""
+    """The rows of df whose text passes, with all their columns; null and empty texts don't, and repeated rows are judged alike."""
     small_batches(df.sparkSession)
     wide, (at,) = plain(df, text)
     return wide.filter(report_column(wide[at], limits)["kept"]).toDF(*df.columns)
