@@ -17,7 +17,7 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     package = Path(__file__).resolve().parent.parent
     known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if sc.master.startswith("local["):
+    if sc._jsc.sc().isLocal():
         known.append(Path.cwd())
     if package.parent in known or sc.applicationId in _sent:
         return
