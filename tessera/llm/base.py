@@ -57,7 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext._jsc.sc().isLocal():
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -102,3 +102,9 @@ def release(spark: SparkSession) -> None:
     """Lets the driver drop the shuffle files of finished jobs now, not when it next runs short of memory."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def sent_if_small(df: DataFrame, label: str, most_rows: int = 1_000_000) -> DataFrame:
+    """df of a few narrow columns, written and counted: with at most so many rows it is broadcast, with more it is joined by key."""
+    out = written(df, label)
+    return F.broadcast(out) if out.count() <= most_rows else out

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import discard, plain, release, small_batches, take, written
+from .base import discard, plain, release, sent_if_small, small_batches, take, written
 
 SEED = 42
 RADIUS, BANDS, BAND_BITS = 2, 4, 16
@@ -241,14 +241,15 @@ def candidates(points: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs: a, b. texts: t, text, t distinct. The pairs of which four fifths of the five-word shingles that either has are common."""
+    """pairs: a, b. texts: t, text, equal for equal t. The pairs of which four fifths of the five-word shingles that either has are common."""
 
     @F.arrow_udf("array<int>")
     def shingles(column: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t) for t in column.to_pylist()], pa.list_(pa.int32()))
 
-    ends = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
-    sets = written(texts.join(ends, "t", "left_semi").select("t", shingles("text").alias("s")), "simhash-sets")
+    ends = sent_if_small(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "simhash-ends")
+    once = texts.join(ends, "t", "left_semi").dropDuplicates(["t"])
+    sets = written(once.select("t", shingles("text").alias("s")), "simhash-sets")
     release(pairs.sparkSession)
     left = pairs.join(sets.toDF("a", "sa"), "a")
     both = left.join(sets.toDF("b", "sb"), "b")
@@ -264,7 +265,8 @@ def one_of_each_group(df: DataFrame, text: str = "text", key: str = "doc_id", fa
     are linked if four fifths of their five-word shingles are common, and groups are
     what links connect. Equal texts are one group from the start. Of rows with equal
     smallest keys, those of equal text are one row and the first by text stays; null
-    keys come last. All columns stay.
+    keys come last. Null texts count as empty ones. An empty table gives an empty
+    one. All columns stay.
     """
     small_batches(df.sparkSession)
     kind = pa.list_(pa.int64())
@@ -282,7 +284,7 @@ def one_of_each_group(df: DataFrame, text: str = "text", key: str = "doc_id", fa
     points = written(docs.groupBy("t").agg(F.first("fps").alias("fps")).select("t", F.posexplode("fps").alias("family", "fp")), "simhash-points")
     pairs = written(candidates(points), "simhash-candidates")
     release(df.sparkSession)
-    links = written(verified(pairs, same.select("t", "text").dropDuplicates(["t"])), "simhash-verified")
+    links = written(verified(pairs, same.select("t", "text")), "simhash-verified")
     release(df.sparkSession)
     roots = components(links)
     grouped = docs.select("rank", "t").join(roots.withColumnRenamed("v", "t"), "t", "left").select("rank", F.coalesce("root", "t").alias("root"))
