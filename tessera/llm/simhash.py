@@ -75,7 +75,10 @@ def shingle_fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def word_fingerprints(text: str | None, families: int) -> list[int]:
-    """Over the distinct words, with as many independent hashes as there are families."""
+    """Over the distinct words, with as many independent hashes as there are families; the second half of the families each over a quarter of the words.
+
+    A few words that differ may all be outside such a quarter, which is what finds short copies.
+    """
     words = set(words_of(text))
     hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
     out = []
@@ -85,6 +88,8 @@ def word_fingerprints(text: str | None, families: int) -> list[int]:
             z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             z ^= z >> np.uint64(32)
+            if 2 * k >= families:
+                z = z[hashes * np.uint64((2 * k + 1) * 0xD1342543DE82EF95 & MASK) >> np.uint64(62) == 0]
         out.append(_majority(z))
     return out
 
@@ -201,8 +206,8 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Families of word fingerprints in which candidates are looked for.
-FAMILIES = 8
+#: Families of word fingerprints in which candidates are looked for, half of them over a quarter of the words each.
+FAMILIES = 16
 #: Near copies share so many fifths of their distinct shingles of WIDTH words, of all that either has.
 WIDTH, FIFTHS = 5, 4
 

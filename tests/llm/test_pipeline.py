@@ -59,3 +59,63 @@ def test_stages_with_clashing_columns_and_nulls(spark):
     assert tokens.count() == len(rows)
     both = bpe.encode(df, corpus_pipeline.VOCABULARY, corpus_pipeline.public_tokenizers.PATTERN, into="Taken")
     assert both.columns == [*df.columns[:-1], "Taken"] and both.count() == len(rows)
+
+
+def slow_run(rows):
+    """The pipeline in plain Python, from the brute-force versions of its operators."""
+    import hashlib
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    import test_mixing
+    import test_pii
+    import test_quality
+    import tiktoken
+
+    rows = [r for r in rows if test_quality.slow(r[1])[-1]]
+    sets = [set(zip(*(r[1].lower().split()[k:] for k in range(5)))) for r in rows]
+    group = [r[0] for r in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    rows = [r for r, g in zip(rows, group, strict=True) if r[0] == g]
+
+    def redacted(text):
+        for kind, pattern in test_pii.PLAIN.items():
+            text = re.sub(pattern, lambda m, k=kind: f"[{k.upper()}]" if test_pii.good(k, m[0]) else m[0], text)
+        return text
+
+    rows = [(r[0], redacted(r[1]), r[3]) for r in rows]
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    out = Counter()
+    library = tiktoken.Encoding("own", pat_str=corpus_pipeline.public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(open(corpus_pipeline.VOCABULARY, "rb").read()), special_tokens={})
+    for s, target in test_mixing.water(sizes).items():
+        def drawn(r):
+            n, chars = len(r[1].split()), len("".join(r[1].split()))
+            w = 1 + (n >= 50) + (3 * n <= chars <= 12 * n) + (10 * len(re.findall(r"[#*$%&|<>]", r[1])) <= n)
+            return -math.log((int(hashlib.md5(f"mix-1:{r[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w
+        epochs = math.floor(target / sizes[s])
+        room = round(target - epochs * sizes[s])
+        for i, t, _ in sorted((r for r in rows if r[2] == s), key=drawn):
+            n = len(t.split())
+            ids = library.encode_ordinary(t)
+            times = epochs + (2 * room >= n)
+            room -= n
+            if times:
+                out[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += times
+    return out
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    from collections import Counter
+
+    rows = docs()
+    rows += [(300 + k, rows[k][1].replace(" ", f" x{k} ", 1) + (" call +1 (017) 555-7713" if k % 2 else " at 10.0.0.1"), "en", f"s{k % 3}", 1) for k in range(0, 120, 7)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    assert got == slow_run(rows) and got.total() > 100
