@@ -11,6 +11,9 @@ once for each kind with its number, joined to the table, and summed.
 A very common pair has a row for each document that has it. The table is written
 before the join, so that both sides are plain exchanges and Spark can split the
 partitions that such pairs make large.
+
+whole_scores is the model without a vocabulary: all words are themselves, and the
+words' counts are a table by hash like that of the pairs, which no task gets whole.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD, release, small_batches, take, written
+from .base import WORD, discard, release, small_batches, take, written
 
 SHARE = 1 << 17
 CUTOFF = 2
@@ -107,3 +111,74 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     out = summed.join(logs.toDF("start", "log"), "start", "left")
     log_score = F.coalesce("sum", F.lit(0.0)) + F.when(F.col("size") > 0, F.col("log") - all_words).otherwise(0.0)
     return out.select(F.col("key").alias(key), F.col("size").cast("long").alias("n_words"), F.round(log_score, 4).alias("log_score"), F.when(F.col("size") > 0, F.round(log_score / F.col("size"), 4)).alias("log_per_word"))
+
+
+def hashed(own: DataFrame) -> DataFrame:
+    """As occurrences(), but words are their XXH64, never 0. The first word's pair has 0 as first; the row of its own has -1 - uid as first and 0 as second."""
+    small_batches(own.sparkSession)
+
+    def rows(batches):
+        from pyspark import TaskContext
+
+        of = xxhash.xxh64_intdigest
+        uid = TaskContext.get().partitionId() << 33
+        for b in batches:
+            lists = [(t or "").encode("utf-8", "surrogatepass").split() for t in b.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter((of(w) or 1 for x in lists for w in x), np.uint64, int(sizes.sum())).view(np.int64)
+            doc = np.repeat(np.arange(len(lists)), sizes)
+            before = np.concatenate([[0], ids])[: len(ids)]
+            before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+            order = np.lexsort((ids, before, doc))
+            d, x, y = doc[order], before[order], ids[order]
+            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(d) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(d)))
+            at = np.arange(len(lists)) + uid
+            uid += len(lists)
+            keys = pa.concat_arrays([pa.nulls(len(new), b.column(0).type), b.column(0)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([at[d[new]], at])), pa.array(np.concatenate([x[new], -1 - at])), pa.array(np.concatenate([y[new], np.zeros(len(at), np.int64)])), pa.concat_arrays([pa.array(times.astype(np.int32)), pa.nulls(len(at), pa.int32())]), pa.concat_arrays([pa.nulls(len(new), pa.int32()), pa.array(sizes.astype(np.int32))]), keys],
+                ["uid", "first", "second", "n", "size", "key"],
+            )
+
+    kind = own.schema["key"].dataType.simpleString()
+    return own.select("key", "text").mapInArrow(rows, f"uid long, first long, second long, n int, size int, key {kind}")
+
+
+def whole_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As scores(), but every word keeps its identity, however rare; words and pairs are told apart by 64 bits.
+
+    A pair that occurs once has its document with it, so only the others are joined to the
+    documents' pairs. Rows are numbered twice and alike: what is not read from files is written first.
+    """
+    spark = df.sparkSession
+    own = take(df, key, text).toDF("key", "text")
+    if "FileScan" not in (plan := own._jdf.queryExecution().sparkPlan().toString()) or "Join" in plan or "Aggregate" in plan or "Exchange" in plan:
+        own = written(own, "lm-texts")
+    occ = hashed(own)
+    inner = occ.filter("second <> 0")
+    counts = inner.groupBy("first", "second").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"))
+    counts = written(counts, "lm-counts")
+    release(spark)
+    words = written(counts.groupBy(F.col("second").alias("word")).agg(F.sum("n").alias("all")), "lm-words")
+    release(spark)
+    total = words.agg(F.sum("all")).first()[0] or 0
+    all_words = math.log10(total) if total else 0.0
+
+    known = F.col("n") >= CUTOFF
+    start = F.col("first") == 0
+    need = counts.withColumn("word", F.when(known & ~start, F.col("first")).otherwise(F.col("second")))
+    score = F.when(start, F.log10("all") - all_words).when(known, F.log10("n") - F.log10("all")).otherwise(F.lit(math.log10(BACKOFF) - all_words) + F.log10("all"))
+    once = need.filter("n = 1").select("uid", "first", "n", "word").join(words, "word").groupBy("uid").agg(F.sum(score).alias("part"))
+    once = written(once, "lm-once")
+    release(spark)
+    table = need.filter("n > 1").join(words, "word").select(F.xxhash64("first", "second").alias("pair"), score.alias("score"))
+    table = written(table, "lm-pairs")
+    discard(counts, words)
+    release(spark)
+
+    each = occ.select("uid", F.xxhash64("first", "second").alias("pair"), "n", "size", "key")
+    joined = each.join(table, "pair", "left").select("uid", "size", "key", (F.col("n") * F.col("score")).alias("part"))
+    both = joined.unionByName(once, allowMissingColumns=True)
+    out = both.groupBy("uid").agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("sum"), F.max("size").alias("size"), F.max("key").alias("key"))
+    return out.select(F.col("key").alias(key), F.col("size").cast("long").alias("n_words"), F.round("sum", 4).alias("log_score"), F.when(F.col("size") > 0, F.round(F.col("sum") / F.col("size"), 4)).alias("log_per_word"))

@@ -29,6 +29,10 @@ def op5_lm(spark, sf_dir):
     return lm.scores(documents(spark, sf_dir))
 
 
+def op5_lm_whole(spark, sf_dir):
+    return lm.whole_scores(documents(spark, sf_dir))
+
+
 def op6_warc(spark, sf_dir):
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("error")
 
@@ -51,7 +55,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_rollup": op2_rollup, "op3_mix": op3_mix, "op4_shards": op4_shards, "op5_lm": op5_lm, "op6_warc": op6_warc, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op2_rollup": op2_rollup, "op3_mix": op3_mix, "op4_shards": op4_shards, "op5_lm": op5_lm, "op5_lm_whole": op5_lm_whole, "op6_warc": op6_warc, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
 
 
 def quality_sql(table: str = "documents", limits: quality.Limits = quality.Limits()) -> str:
@@ -180,4 +184,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS log_s
 FROM d LEFT JOIN s USING (rid)"""
 
 
-ORACLES = {"op5_lm": LM_SQL, "op2_rollup": ROLLUP_SQL, "op6_warc": WARC_SQL, "op3_mix": MIX_SQL, "op1_quality": quality_sql(), "op8_pii": pii_sql()}
+#: The same with no unknown word.
+LM_WHOLE_SQL = LM_SQL.replace(f"CASE WHEN n * {lm.SHARE} >= total THEN 'w' || w ELSE '' END", "'w' || w")
+
+ORACLES = {"op5_lm": LM_SQL, "op5_lm_whole": LM_WHOLE_SQL, "op2_rollup": ROLLUP_SQL, "op6_warc": WARC_SQL, "op3_mix": MIX_SQL, "op1_quality": quality_sql(), "op8_pii": pii_sql()}

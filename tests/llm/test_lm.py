@@ -33,3 +33,32 @@ def test_against_brute_force(spark, monkeypatch):
     for g, w in zip(got, want, strict=True):
         assert abs(g[2] - w[2]) < 1e-4 and (g[3] is None) == (w[3] is None) and abs((g[3] or 0) - (w[3] or 0)) < 1e-4
     assert lm.scores(df.limit(0)).count() == 0
+
+
+def slow_whole(texts):
+    lists = [(t or "").encode().split() for t in texts]
+    uni, pairs = Counter(w for x in lists for w in x), Counter(p for x in lists for p in zip(x, x[1:]))
+    total = sum(uni.values())
+    out = []
+    for x in lists:
+        s = math.log10(uni[x[0]] / total) if x else 0.0
+        s += sum(math.log10(pairs[a, b] / uni[a] if pairs[a, b] >= lm.CUTOFF else lm.BACKOFF * uni[b] / total) for a, b in zip(x, x[1:]))
+        out.append((len(x), s, s / len(x) if x else None))
+    return out
+
+
+def test_rare_words_keep_their_identity(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARE", 200)
+    rng = random.Random(16)
+    texts = [None, "", "alone", "the pair " * 400] + [" ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(rng.randint(1, 80))) for _ in range(300)]
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(5, texts[5])] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = lambda r: (str(r[0]), r[1], r[2])
+    want = sorted(((r[0], *s) for r, s in zip(rows, slow_whole([t for _, t in rows]), strict=True)), key=order)
+    got = sorted(map(tuple, lm.whole_scores(df).collect()), key=order)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert abs(g[2] - w[2]) < 1e-4 and (g[3] is None) == (w[3] is None) and abs((g[3] or 0) - (w[3] or 0)) < 1e-4
+    assert lm.whole_scores(df.limit(0)).count() == 0
+    folded = sorted(map(tuple, lm.scores(df).collect()), key=order)
+    assert any(abs(f[2] - w[2]) > 0.1 for f, w in zip(folded, want, strict=True))
