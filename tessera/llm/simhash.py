@@ -74,26 +74,6 @@ def shingle_fingerprint(text: str | None, width: int = 3) -> int:
     return _majority(hashes)
 
 
-def word_fingerprints(text: str | None, families: int) -> list[int]:
-    """Over the distinct words, with as many independent hashes as there are families; the second half of the families each over a quarter of the words.
-
-    A few words that differ may all be outside such a quarter, which is what finds short copies.
-    """
-    words = set(words_of(text))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    out = []
-    for k in range(families):
-        with np.errstate(over="ignore"):
-            z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & MASK)
-            z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            z ^= z >> np.uint64(32)
-            if 2 * k >= families:
-                z = z[hashes * np.uint64((2 * k + 1) * 0xD1342543DE82EF95 & MASK) >> np.uint64(62) == 0]
-        out.append(_majority(z))
-    return out
-
-
 def fingerprint_column(text: Column, width: int = 3) -> Column:
     @F.arrow_udf("bigint")
     def made(texts: pa.Array) -> pa.Array:
@@ -206,17 +186,21 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Families of word fingerprints in which candidates are looked for, half of them over a quarter of the words each.
-FAMILIES = 16
 #: Near copies share so many fifths of their distinct shingles of WIDTH words, of all that either has.
 WIDTH, FIFTHS = 5, 4
+#: Shingles at the head of more texts than COMMON are put last, the MOST most common ones at least; an order only, which loses no pair.
+COMMON, MOST = 16, 1 << 20
+#: The key of texts without words.
+BLANK = 0
+#: Longs of a text's parities: how often its shingles fall in each of 64 * PARITIES places, modulo 2.
+PARITIES = 16
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct shingles as sorted 32-bit hashes; fewer words than width are one shingle, no words none."""
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles as sorted 64-bit hashes; fewer words than width are one shingle, no words none."""
     words = words_of(text)
     if not words:
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int64)
     width = min(width, len(words))
     each = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
     with np.errstate(over="ignore"):
@@ -224,33 +208,106 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
         for k in range(1, width):
             rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + each[k : len(each) - width + 1 + k]
             rolled ^= rolled >> np.uint64(29)
-    return np.unique((rolled >> np.uint64(32)).astype(np.uint32).view(np.int32))
+    return np.unique(rolled.view(np.int64))
 
 
-def candidates(points: DataFrame) -> DataFrame:
-    """points: t, family, fp. Pairs a < b of texts t that are worth comparing.
+def head_of(text: str | None, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The number of shingles, their parities, and the first of them in the order of times, 0 for what is not in common, then of hashes.
 
-    In each family every text meets the least text of its fingerprint, and the least
-    texts of linked fingerprints meet. Which is least goes by an order of the
-    family's own, so a large group is compared with as many members as there are
-    families, and no group with all of itself.
+    Texts with four fifths of their shingles in common have one of these in common, as
+    each has so many that the others are fewer than what they share.
     """
-    order = F.xxhash64("t", "family")
-    first = written(points.groupBy("family", "fp").agg(F.min_by("t", order).alias("first"), F.count("*").alias("n")), "simhash-first")
-    own = points.join(first.filter("n > 1"), ["family", "fp"]).select(F.col("t").alias("x"), F.col("first").alias("y"))
-    links = near_pairs(first.select("family", "fp"))
-    one = first.select(F.col("fp").alias("a"), F.col("first").alias("x"))
-    met = links.join(one, "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
-    both = own.union(met).filter("x <> y")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    s = shingle_hashes(text)
+    n = len(s)
+    if not n:
+        return np.array([0] * (1 + PARITIES) + [BLANK], np.int64)
+    odd = np.packbits(np.bincount(s & (64 * PARITIES - 1), minlength=64 * PARITIES).astype(np.uint8) & 1).view(np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        s = s[np.lexsort((s, np.where(common[at] == s, times[at], 0)))]
+    return np.concatenate([[n], odd, s[: n - -(-FIFTHS * n // 5) + 1]])
+
+
+def heads(text: Column, spark, common: list[tuple[int, int]]) -> Column:
+    sent = spark.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in (zip(*sorted(common)) if common else ([], []))))
+
+    @F.arrow_udf("array<bigint>")
+    def made(texts: pa.Array) -> pa.Array:
+        return pa.array([head_of(t, *sent.value) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return made(text)
+
+
+def _possible(x, y) -> Column:
+    """Whether texts that first meet in a shingle at these places can have four fifths in common, by their sizes and what is left of them."""
+    left = 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
+    return ((FIFTHS + 5) * left >= FIFTHS * (x["n"] + y["n"])) & (5 * F.least(x["n"], y["n"]) >= FIFTHS * F.greatest(x["n"], y["n"]))
+
+
+def _alike(x, y) -> Column:
+    """Whether texts of these parities can have four fifths in common: each place that differs is a shingle that only one of them has, and of such a ninth of both sizes is allowed."""
+    differ = F.lit(0)
+    for k in range(PARITIES):
+        differ = differ + F.bit_count(x[f"p{k}"].bitwiseXOR(y[f"p{k}"]))
+    return (FIFTHS + 5) * differ <= (5 - FIFTHS) * (x["n"] + y["n"])
+
+
+def similar(points: DataFrame, texts: DataFrame) -> DataFrame:
+    """points: t, head. texts: t, text. Links a < b of texts that are near copies; they connect all that are, without all pairs of a crowd.
+
+    Texts that share a key, a shingle of both heads, are compared. In a crowd, a key of
+    more than CROWD texts, each is compared with the one that is in most crowds, which
+    has least of its own. Then all are compared that have a key in common but are not
+    connected yet: those that are not in the crowd's largest component with all of the
+    others, but for pairs whose parities are too far apart.
+    """
+    spark = points.sparkSession
+    points = written(points, "near-points")
+    members = points.select("t", F.element_at("head", 1).cast("int").alias("n"), F.posexplode(F.slice("head", PARITIES + 2, F.size("head"))).alias("pos", "key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
+    rows = written(members.join(shared, "key"), "near-keys")
+    release(spark)
+
+    def pairs(group):
+        def with_later(x, i):
+            later = F.slice(group, i + 2, F.size(group))
+            return F.transform(F.filter(later, lambda y: _possible(x, y)), lambda y: F.struct(F.least(x.t, y.t).alias("a"), F.greatest(x.t, y.t).alias("b")))
+
+        return F.flatten(F.transform(group, with_later))
+
+    few = rows.filter(F.col("times") <= CROWD).groupBy("key").agg(F.collect_list(F.struct("t", "n", "pos")).alias("group"))
+    cold = few.select(F.explode(pairs(F.col("group"))).alias("pair")).select("pair.a", "pair.b")
+    crowd = rows.filter(F.col("times") > CROWD)
+    often = crowd.groupBy("t").agg(F.count("*").alias("crowds"))
+    hubs = crowd.select("key", "t").join(often, "t").groupBy("key").agg(F.max_by("t", F.struct("crowds", "t")).alias("hub"))
+    met = crowd.join(hubs, "key").filter("t <> hub").select(F.least("t", "hub").alias("a"), F.greatest("t", "hub").alias("b"))
+    first = written(cold.unionByName(met).distinct(), "near-candidates")
+    release(spark)
+    links = written(verified(first, texts), "near-links")
+    release(spark)
+    if crowd.isEmpty():
+        return links
+    roots = components(links)
+    parities = points.select("t", *[F.element_at("head", k + 2).alias(f"p{k}") for k in range(PARITIES)])
+    rooted = crowd.join(roots.withColumnRenamed("v", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    rooted = written(rooted.join(parities, "t"), "near-crowds")
+    most = rooted.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    apart = written(rooted.join(most, "key").filter("root <> most"), "near-apart")
+    x, y = apart.alias("x"), rooted.alias("y")
+    at = lambda name: {c: F.col(f"{name}.{c}") for c in ("n", "pos", *parities.columns[1:])}
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(at("x"), at("y")) & _alike(at("x"), at("y")))
+    rest = rest.select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b")).distinct()
+    rest = written(rest.join(first, ["a", "b"], "left_anti"), "near-candidates")
+    release(spark)
+    return links.unionByName(verified(rest, texts))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs: a, b. texts: t, text, equal for equal t. The pairs of which four fifths of the five-word shingles that either has are common."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<bigint>")
     def shingles(column: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t) for t in column.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([shingle_hashes(t) for t in column.to_pylist()], pa.list_(pa.int64()))
 
     ends = sent_if_small(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "simhash-ends")
     once = texts.join(ends, "t", "left_semi").dropDuplicates(["t"])
@@ -262,35 +319,28 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter((FIFTHS + 5) * common >= FIFTHS * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def one_of_each_group(df: DataFrame, text: str = "text", key: str = "doc_id", families: int = FAMILIES) -> DataFrame:
+def one_of_each_group(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df with one row of each group of near copies, that of the smallest key.
 
-    Texts are compared if, in any family, their fingerprints over distinct words are
-    at RADIUS or fewer bits or lead to each other through the least text of one; they
-    are linked if four fifths of their five-word shingles are common, and groups are
-    what links connect. Equal texts are one group from the start. Of rows with equal
-    smallest keys, those of equal text are one row and the first by text stays; null
-    keys come last. Null texts count as empty ones. An empty table gives an empty
-    one. All columns stay.
+    Texts are linked if four fifths of the five-word shingles that either has are common,
+    and groups are what links connect; no such pair is left out. Equal texts are one
+    group from the start. Of rows with equal smallest keys, those of equal text are one
+    row and the first by text stays; null keys come last. Null texts count as empty
+    ones. An empty table gives an empty one. All columns stay.
     """
-    small_batches(df.sparkSession)
-    kind = pa.list_(pa.int64())
-
-    @F.arrow_udf("array<bigint>")
-    def made(texts: pa.Array) -> pa.Array:
-        return pa.array([list(map(_signed, word_fingerprints(t, families))) for t in texts.to_pylist()], kind)
-
+    spark = df.sparkSession
+    small_batches(spark)
     own = take(df, key, text).toDF("key", "text").withColumn("text", F.coalesce("text", F.lit("")))
     same = own.select("key", "text", F.xxhash64("text").alias("t"))
     rank = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.sha2("text", 256).alias("sha"))
-    # fingerprints of a family keep their distances when all are turned by the same bits, and families keep apart
-    turned = F.transform(made(own["text"]), lambda fp, i: fp.bitwiseXOR(F.xxhash64(i) * (i > 0).cast("long")))
-    docs = written(same.select(rank.alias("rank"), "t", turned.alias("fps")), "simhash-families")
-    points = written(docs.groupBy("t").agg(F.first("fps").alias("fps")).select("t", F.posexplode("fps").alias("family", "fp")), "simhash-points")
-    pairs = written(candidates(points), "simhash-candidates")
-    release(df.sparkSession)
-    links = written(verified(pairs, same.select("t", "text")), "simhash-verified")
-    release(df.sparkSession)
+    head = heads(own["text"], spark, [])
+    seen = own.select(F.explode(F.slice(head, PARITIES + 2, 1 << 30)).alias("key")).groupBy("key").agg(F.count("*").alias("times"))
+    common = written(seen.filter(F.col("times") > COMMON).orderBy(F.desc("times"), "key").limit(MOST), "near-common").collect()
+    release(spark)
+    docs = written(same.select(rank.alias("rank"), "t", heads(same["text"], spark, [tuple(r) for r in common]).alias("head")), "near-docs")
+    points = docs.groupBy("t").agg(F.first("head").alias("head"))
+    links = written(similar(points, same.select("t", "text")), "near-links")
+    release(spark)
     roots = components(links)
     grouped = docs.select("rank", "t").join(roots.withColumnRenamed("v", "t"), "t", "left").select("rank", F.coalesce("root", "t").alias("root"))
     first = grouped.groupBy("root").agg(F.min("rank").alias("rank")).select("rank").distinct()

@@ -133,3 +133,28 @@ def test_groups_are_what_similar_pairs_connect(spark):
     want = set(root)
     assert want <= got and len(got - want) <= 0.1 * (len(rows) - len(want))
     assert any(root[i] != i for i in range(len(rows)))
+
+
+def connected(rows, crowd=None):
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return set(root)
+
+
+def test_copies_cut_off_or_with_text_appended(spark):
+    rng = random.Random(19)
+    word = lambda: f"w{rng.randrange(90000)}"
+    rows = []
+    for n in (40, 100, 400, 1500):
+        for share in (0.06, 0.12, 0.18, 0.24, 0.3):
+            for _ in range(3):
+                base = [word() for _ in range(n)]
+                rows += [(len(rows) + k, " ".join(t)) for k, t in enumerate((base, base + [word() for _ in range(int(n * share))], base[: int(n * (1 - share))]))]
+    got = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == connected(rows)
+    assert len(got) < len(rows)
