@@ -158,3 +158,22 @@ def test_copies_cut_off_or_with_text_appended(spark):
     got = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == connected(rows)
     assert len(got) < len(rows)
+
+
+@pytest.mark.parametrize("crowd", [4, 64])
+def test_pairs_in_a_crowd(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(20)
+    word = lambda: f"w{rng.randrange(90000)}"
+    passage = [word() for _ in range(90)]
+    rows = []
+    for _ in range(60):
+        start = [word() for _ in range(rng.randint(15, 30))]
+        for _ in range(rng.choice([1, 1, 2])):
+            rows.append((len(rows), " ".join(passage + start + [word() for _ in range(rng.randint(0, 3))])))
+    for _ in range(40):
+        order = rng.sample(passage, len(passage))
+        rows += [(len(rows) + k, " ".join(order + [word()] * k)) for k in range(2)]
+    got = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == connected(rows)
+    assert 40 < len(got) < len(rows)
