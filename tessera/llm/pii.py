@@ -40,16 +40,18 @@ class Kind:
     context: str
     score: float
     base: bool
+    #: Characters that a match has at least.
+    least: int
 
 
 #: Order is the order of kinds in results.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "@", "e-?mail|contact|write|courriel|correo", 0.8, True),
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]\.[0-9]", "ip|host|server|address|adresse", 0.7, True),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9])+", "[0-9]", "card|visa|mastercard|credit|carte|karte|tarjeta", 0.7, True),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", "phone|tel|call|mobile|fax", 0.7, True),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})", r"[A-Z]{2}[0-9]{2}((\x20[A-Z0-9]{4}){2,7}(\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})", "[A-Z]{2}[0-9]{2}", "iban|account|bank|konto|compte|cuenta", 0.6, False),
-    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]-[0-9]{2}-[0-9]", "ssn|social security", 0.4, False),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "@", "e-?mail|contact|write|courriel|correo", 0.8, True, 5),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]\.[0-9]", "ip|host|server|address|adresse", 0.7, True, 7),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9])+", "[0-9]", "card|visa|mastercard|credit|carte|karte|tarjeta", 0.7, True, 2),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", "phone|tel|call|mobile|fax", 0.7, True, 4),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})", r"[A-Z]{2}[0-9]{2}((\x20[A-Z0-9]{4}){2,7}(\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})", "[A-Z]{2}[0-9]{2}", "iban|account|bank|konto|compte|cuenta", 0.6, False, 14),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]-[0-9]{2}-[0-9]", "ssn|social security", 0.4, False, 11),
 )
 BONUS = 0.2
 SPAN = "array<struct<start:int,end:int,value:string,score:double>>"
@@ -110,9 +112,15 @@ def _cut(df: DataFrame, text: str, kind: Kind) -> DataFrame:
     return cut.withColumn("__tessera_gaps", F.when(F.size("__tessera_hits") > 0, F.split(text, kind.pattern, -1)).otherwise(F.array(F.col(text))))
 
 
-def _score(kind: Kind, before: Column, after: Column) -> Column:
-    """The score of the kind, raised where a context word stands near."""
-    context = F.concat_ws("\n", F.right(before, F.lit(NEAR)), F.left(after, F.lit(NEAR)))
+def _score(kind: Kind, i: Column) -> Column:
+    """The score of the kind, raised where a context word stands near hit i: in NEAR characters of the text on either side, be they gaps or other hits."""
+    gaps, hits = F.col("__tessera_gaps"), F.col("__tessera_hits")
+    steps = F.array(*[F.lit(k) for k in range(1, -(-NEAR // kind.least) + 1)])
+    at = lambda pieces, k: F.coalesce(F.get(pieces, k), F.lit(""))
+    more = lambda near, longer: F.when(F.char_length(near) < NEAR, longer).otherwise(near)
+    before = F.aggregate(steps, F.right(at(gaps, i), F.lit(NEAR)), lambda near, k: more(near, F.right(F.concat(at(gaps, i - k), at(hits, i - k), near), F.lit(NEAR))))
+    after = F.aggregate(steps, F.left(at(gaps, i + 1), F.lit(NEAR)), lambda near, k: more(near, F.left(F.concat(near, at(hits, i + k), at(gaps, i + k + 1)), F.lit(NEAR))))
+    context = F.concat_ws("\n", before, after)
     return F.lit(kind.score) + F.when(context.rlike(f"(?i)(?:{kind.context})"), BONUS).otherwise(0.0)
 
 
@@ -121,8 +129,8 @@ def _spans(kind: Kind) -> Column:
 
     def span(value, i):
         start = F.get(F.col("__tessera_ends"), i)
-        score = _score(kind, F.get(F.col("__tessera_gaps"), i), F.get(F.col("__tessera_gaps"), i + 1))
-        return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), value.alias("value"), score.alias("score"), confirmed(kind.name, value).alias("ok"))
+        ok = confirmed(kind.name, value)
+        return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), value.alias("value"), F.when(ok, _score(kind, i)).alias("score"), ok.alias("ok"))
 
     kept = F.filter(F.transform("__tessera_hits", span), lambda s: s.ok if kind.base else s.ok & (s.score >= THRESHOLD))
     return F.transform(kept, lambda s: F.struct(s.start, s.end, s.value, s.score)).cast(SPAN)
@@ -185,7 +193,7 @@ def _replaced(kind: Kind):
         value = F.get(F.col("__tessera_hits"), i)
         ok = confirmed(kind.name, value)
         if not kind.base:
-            ok = ok & (_score(kind, gap, F.get(F.col("__tessera_gaps"), i + 1)) >= THRESHOLD)
+            ok = ok & (_score(kind, i) >= THRESHOLD)
         return F.concat(gap, F.when(value.isNull(), "").when(ok, f"[{kind.name.upper()}]").otherwise(value))
 
     return piece

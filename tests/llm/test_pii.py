@@ -86,3 +86,16 @@ def test_redaction(spark):
     got = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert got == {1: "mail [EMAIL], call [PHONE]; [CARD]!", 2: None, 3: "nothing 12", 4: "é [EMAIL]"}
     assert pii.redact(df).columns == df.columns
+
+
+def test_context_reaches_over_other_matches(spark):
+    far = "x" * 30
+    rows = ["SSN: 123-45-6789, 234-56-7890, 345-67-8901", "123-45-6789, 234-56-7890 is my ssn", f"ssn 123-45-6789 {far} 234-56-7890", "ssn " + "123-45-6789" * 5]
+    want = []
+    for t in rows:
+        near = lambda m, t=t: t[max(0, m.start() - pii.NEAR) : m.start()] + "\n" + t[m.end() : m.end() + pii.NEAR]
+        want.append([(m.start(), m.end()) for m in re.finditer("[0-9]{3}-[0-9]{2}-[0-9]{4}", t) if "ssn" in near(m).lower()])
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert [[(s.start, s.end) for s in r.ssn] for r in pii.find(df).orderBy("doc_id").collect()] == want
+    assert [len(w) for w in want] == [3, 2, 1, 4]
+    assert [r.text.count("[SSN]") for r in pii.redact(df).orderBy("doc_id").collect()] == [3, 2, 1, 4]
