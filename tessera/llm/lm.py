@@ -1,184 +1,169 @@
 """Operator 5: language-model scores by stupid backoff, computed relationally.
 
-Words with a share of 1 / SHARE of all words or more are the vocabulary; there
-are SHARE of them at most, whatever the input, so they can be sent to all tasks.
-All other words are one unknown word. Pairs of neighbours are counted over all
-documents in a table that is partitioned by hash, in which a pair also has its
-score: its count over that of its first word, or, if it is rarer than CUTOFF,
-BACKOFF times the share of its second word. Each document's pairs are exploded,
-once for each kind with its number, joined to the table, and summed.
-
-A very common pair has a row for each document that has it. The table is written
-before the join, so that both sides are plain exchanges and Spark can split the
-partitions that such pairs make large.
-
-whole_scores is the model without a vocabulary: all words are themselves, and the
-words' counts are a table by hash like that of the pairs, which no task gets whole.
+N-grams of one to ORDER words are counted over all documents, each under its
+64-bit hash, with no vocabulary and no cutoff. A document is scored by the counts
+of all others: its own are left out, so that it does not vouch for itself. A word
+scores the relative count of the longest n-gram ending in it that occurs
+elsewhere, times BACKOFF for each longer one that does not.
+
+Documents are taken in blocks of some BLOCK_BYTES of text. Each block explodes
+into its distinct n-grams with their counts, so that the most common n-gram has a
+row for each block, not for each occurrence. These rows are dealt once by hash; on
+that exchange the count table is grouped, and joined back to the rows of the
+blocks. Only n-grams of more than one block return to a block: the count of any
+other is the block's own. There they meet the block's texts, and the scores of
+words are summed per document.
+
+A block is found again by its place in the scan, which is the same each time for a
+table that is read from files; what isn't, is written first.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD, discard, release, small_batches, take, written
+from .base import release, take, written
 
-SHARE = 1 << 17
-CUTOFF = 2
+ORDER = 3
 BACKOFF = 0.4
-#: A pair of word numbers is one long.
-SHIFT = 20
-
-
-def vocabulary(own: DataFrame) -> tuple[list[tuple[str, int]], int]:
-    """The frequent words with their counts, most frequent first, and the number of all words."""
-    words = own.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-    counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "lm-words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.filter(F.col("n") * SHARE >= total).orderBy(F.desc("n"), "word").collect()
-    return [(r.word, r.n) for r in frequent], total
-
-
-def occurrences(own: DataFrame, numbers) -> DataFrame:
-    """own: key, text. For each row its pairs, each once with its number, and a row of its own with its first word and length.
-
-    uid numbers the rows by partition and place. The row of its own has a pair that is
-    -1 - uid, which no other row has.
-    """
-    small_batches(own.sparkSession)
+#: A block ends with the text that brings it to so many bytes; it bounds what a task holds, not what is counted.
+BLOCK_BYTES = 4 << 20
+#: What a row counts as besides its text, so that blocks of empty texts end too.
+ROW_BYTES = 64
+#: N-grams of an Arrow batch.
+SLICE = 1 << 16
+
+
+def blocks(batches, most: int) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of a task in blocks that end with the row that brings them to so many bytes, numbered by partition and place. The first column is the text, in bytes."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 33
+    held, size = [], 0
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES)
+        start, before = 0, 0
+        while start < len(ends):
+            stop = min(int(np.searchsorted(ends, before + most - size)) + 1, len(ends))
+            held.append(b.slice(start, stop - start))
+            size += int(ends[stop - 1]) - before
+            start, before = stop, int(ends[stop - 1])
+            if size >= most:
+                yield number, pa.Table.from_batches(held)
+                held, size, number = [], 0, number + 1
+    if held:
+        yield number, pa.Table.from_batches(held)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Words of each text; the text of each word; and for each order the hash of the n-gram that ends in each word, 0 where the text has too few before it."""
+    of = xxhash.xxh64_intdigest
+    lists = [t.split() if t else [] for t in texts]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    words = np.fromiter((of(w) for x in lists for w in x), np.uint64, int(sizes.sum()))
+    doc = np.repeat(np.arange(len(lists)), sizes)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    grams, last = [], np.zeros(len(words), np.uint64)
+    for k in range(ORDER):
+        before = np.concatenate([last[:1] * np.uint64(0), last[:-1]])
+        last = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(k + 1))
+        grams.append(np.where(place >= k, last | np.uint64(1), np.uint64(0)).view(np.int64))
+    return sizes, doc, grams
+
+
+def exploded(own: DataFrame) -> DataFrame:
+    """own: text as binary, first. The distinct n-grams of each block: gram, block, n."""
+
+    most = BLOCK_BYTES
 
     def rows(batches):
-        from pyspark import TaskContext
-
-        get = numbers.value.get
-        uid = TaskContext.get().partitionId() << 33
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            lists = [[get(w, 0) for w in (t or "").encode("utf-8", "surrogatepass").split()] for t in texts]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
-            doc = np.repeat(np.arange(len(lists)), sizes)
-            inner = doc[1:] == doc[:-1]
-            both = (ids[:-1] << SHIFT | ids[1:])[inner]
-            order = np.lexsort((both, doc[1:][inner]))
-            d, g = doc[1:][inner][order], both[order]
-            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (g[1:] != g[:-1])])) if len(g) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(g)))
-            at = np.arange(len(lists)) + uid
-            uid += len(lists)
-            firsts = np.array([x[0] if x else -1 for x in lists], np.int64)
-            keys = pa.concat_arrays([pa.nulls(len(new), b.column(0).type), b.column(0)])
-            none = pa.nulls(len(new), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([at[d[new]], at])), pa.array(np.concatenate([g[new], -1 - at])), pa.concat_arrays([pa.array(times.astype(np.int32)), pa.array(firsts.astype(np.int32))]), pa.concat_arrays([none, pa.array(sizes.astype(np.int32))]), keys],
-                ["uid", "pair", "n", "size", "key"],
-            )
-
-    kind = own.schema["key"].dataType.simpleString()
-    return own.select("key", "text").mapInArrow(rows, f"uid long, pair long, n int, size int, key {kind}")
+        for number, table in blocks(batches, most):
+            _, _, grams = ngrams(table.column(0).to_pylist())
+            for each in grams:
+                gram, n = np.unique(each[each != 0], return_counts=True)
+                for k in range(0, len(gram), SLICE):
+                    part = gram[k : k + SLICE]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), number)), pa.array(n[k : k + SLICE])], ["gram", "block", "n"])
+
+    return own.select("text").mapInArrow(rows, "gram long, block long, n long")
+
+
+def _log_scores(sizes, doc, grams, known: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
+    """The sum of the log scores of each text's words. known: the hashes, in order, of n-grams that other blocks have too, and counts those in all blocks."""
+    at, place = np.arange(len(doc)), np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out, lower = np.zeros(len(doc)), None
+    for k, each in enumerate(grams):
+        there = place >= k
+        gram, which, n = np.unique(each[there], return_inverse=True, return_counts=True)
+        if len(known):
+            found = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+            n = np.where(known[found] == gram, counts[found], n)
+        own = _mixed(each[there].view(np.uint64) + doc[there].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _, mine, times = np.unique(own, return_inverse=True, return_counts=True)
+        rest = np.zeros(len(doc), np.int64)
+        rest[there] = n[which] - times[mine]
+        if lower is None:
+            out = np.log10(np.maximum(rest, 1) / np.maximum(total - sizes[doc], 1))
+        else:
+            seen = at[rest > 0]
+            out[there] += math.log10(BACKOFF)
+            out[seen] = np.log10(rest[seen] / lower[seen - 1])
+        lower = rest
+    return np.bincount(doc, weights=out, minlength=len(sizes))
 
 
 def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: the key, n_words, log_score (base 10, of the whole text) and log_per_word, rounded to 4 places.
 
-    The first word scores its share of all words. Null and empty texts have no words,
-    score 0, and null per word; repeated rows give repeated rows, and count as often;
-    a null key stays null; an empty table gives an empty one; other columns are dropped.
+    Counts are those of all other rows, repeated ones included. A word that no other
+    row has counts once; so does the number of words, where no other row has any.
+    Null and empty texts have no words, score 0, and null per word; repeated rows
+    give repeated rows, and vouch for each other; a null key stays null; an empty
+    table gives an empty one; other columns are dropped. Bytes that are not valid
+    UTF-8 are part of words like any other.
     """
     spark = df.sparkSession
     own = take(df, key, text).toDF("key", "text")
-    words, total = vocabulary(own)
-    counts = [total - sum(n for _, n in words), *(n for _, n in words)]
-    numbers = spark.sparkContext.broadcast({w.encode("utf-8", "surrogatepass"): i + 1 for i, (w, _) in enumerate(words)})
-    logs = spark.createDataFrame([(i, math.log10(n) if n else 0.0) for i, n in enumerate(counts)], "id long, log double")
-    logs = F.broadcast(logs)  # SHARE + 1 rows at most
-    all_words = math.log10(total) if total else 0.0
-
-    occ = occurrences(own, numbers)
-    table = occ.filter("pair >= 0").groupBy("pair").agg(F.sum("n").alias("count"))
-    table = table.join(logs.toDF("first", "log1"), F.shiftright("pair", SHIFT) == F.col("first")).join(logs.toDF("second", "log2"), F.col("pair").bitwiseAND(F.lit((1 << SHIFT) - 1)) == F.col("second"))
-    score = F.when(F.col("count") >= CUTOFF, F.log10("count") - F.col("log1")).otherwise(F.lit(math.log10(BACKOFF) - all_words) + F.col("log2"))
-    table = written(table.select("pair", score.alias("score")), "lm-pairs")
+    if "FileScan" not in (plan := own._jdf.queryExecution().sparkPlan().toString()) or any(x in plan for x in ("Join", "Aggregate", "Exchange", "Sort", "Limit", "Union")):
+        own = written(own, "lm-texts")
+    own = own.select(F.col("text").cast("binary").alias("text"), "key")
+    dealt = exploded(own).repartition("gram")
+    table = dealt.groupBy("gram").agg(F.sum("n").alias("count"), F.count("*").alias("blocks")).filter("blocks > 1")
+    shared = written(dealt.join(table, "gram").select("block", "gram", "count"), "lm-counts")
     release(spark)
+    total = own.select(F.sum(F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))).first()[0] or 0
 
-    joined = occ.join(table, "pair", "left").select("uid", "size", "key", F.when(F.col("pair") >= 0, F.col("n") * F.col("score")).alias("part"), F.when(F.col("pair") < 0, F.col("n")).alias("start"))
-    summed = joined.groupBy("uid").agg(F.sum("part").alias("sum"), F.max("size").alias("size"), F.max("key").alias("key"), F.max("start").cast("long").alias("start"))
-    out = summed.join(logs.toDF("start", "log"), "start", "left")
-    log_score = F.coalesce("sum", F.lit(0.0)) + F.when(F.col("size") > 0, F.col("log") - all_words).otherwise(0.0)
-    return out.select(F.col("key").alias(key), F.col("size").cast("long").alias("n_words"), F.round(log_score, 4).alias("log_score"), F.when(F.col("size") > 0, F.round(log_score / F.col("size"), 4)).alias("log_per_word"))
-
-
-def hashed(own: DataFrame) -> DataFrame:
-    """As occurrences(), but words are their XXH64, never 0. The first word's pair has 0 as first; the row of its own has -1 - uid as first and 0 as second."""
-    small_batches(own.sparkSession)
+    most = BLOCK_BYTES
 
-    def rows(batches):
-        from pyspark import TaskContext
-
-        of = xxhash.xxh64_intdigest
-        uid = TaskContext.get().partitionId() << 33
-        for b in batches:
-            lists = [(t or "").encode("utf-8", "surrogatepass").split() for t in b.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter((of(w) or 1 for x in lists for w in x), np.uint64, int(sizes.sum())).view(np.int64)
-            doc = np.repeat(np.arange(len(lists)), sizes)
-            before = np.concatenate([[0], ids])[: len(ids)]
-            before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-            order = np.lexsort((ids, before, doc))
-            d, x, y = doc[order], before[order], ids[order]
-            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(d) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(d)))
-            at = np.arange(len(lists)) + uid
-            uid += len(lists)
-            keys = pa.concat_arrays([pa.nulls(len(new), b.column(0).type), b.column(0)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([at[d[new]], at])), pa.array(np.concatenate([x[new], -1 - at])), pa.array(np.concatenate([y[new], np.zeros(len(at), np.int64)])), pa.concat_arrays([pa.array(times.astype(np.int32)), pa.nulls(len(at), pa.int32())]), pa.concat_arrays([pa.nulls(len(new), pa.int32()), pa.array(sizes.astype(np.int32))]), keys],
-                ["uid", "first", "second", "n", "size", "key"],
-            )
+    def placed(batches):
+        for number, rows in blocks(batches, most):
+            for b in rows.to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), number)), b.column(0), b.column(1)], ["block", "text", "key"])
 
     kind = own.schema["key"].dataType.simpleString()
-    return own.select("key", "text").mapInArrow(rows, f"uid long, first long, second long, n int, size int, key {kind}")
-
-
-def whole_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As scores(), but every word keeps its identity, however rare; words and pairs are told apart by 64 bits.
 
-    A pair that occurs once has its document with it, so only the others are joined to the
-    documents' pairs. Rows are numbered twice and alike: what is not read from files is written first.
-    """
-    spark = df.sparkSession
-    own = take(df, key, text).toDF("key", "text")
-    if "FileScan" not in (plan := own._jdf.queryExecution().sparkPlan().toString()) or "Join" in plan or "Aggregate" in plan or "Exchange" in plan:
-        own = written(own, "lm-texts")
-    occ = hashed(own)
-    inner = occ.filter("second <> 0")
-    counts = inner.groupBy("first", "second").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"))
-    counts = written(counts, "lm-counts")
-    release(spark)
-    words = written(counts.groupBy(F.col("second").alias("word")).agg(F.sum("n").alias("all")), "lm-words")
-    release(spark)
-    total = words.agg(F.sum("all")).first()[0] or 0
-    all_words = math.log10(total) if total else 0.0
-
-    known = F.col("n") >= CUTOFF
-    start = F.col("first") == 0
-    need = counts.withColumn("word", F.when(known & ~start, F.col("first")).otherwise(F.col("second")))
-    score = F.when(start, F.log10("all") - all_words).when(known, F.log10("n") - F.log10("all")).otherwise(F.lit(math.log10(BACKOFF) - all_words) + F.log10("all"))
-    once = need.filter("n = 1").select("uid", "first", "n", "word").join(words, "word").groupBy("uid").agg(F.sum(score).alias("part"))
-    once = written(once, "lm-once")
-    release(spark)
-    table = need.filter("n > 1").join(words, "word").select(F.xxhash64("first", "second").alias("pair"), score.alias("score"))
-    table = written(table, "lm-pairs")
-    discard(counts, words)
-    release(spark)
+    def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        known, times = counts["gram"].to_numpy(), counts["count"].to_numpy()
+        order = np.argsort(known)
+        sizes, doc, grams = ngrams(texts["text"].to_pylist())
+        sums = _log_scores(sizes, doc, grams, known[order], times[order], total)
+        return pa.table({"key": texts["key"], "size": sizes, "sum": sums})
 
-    each = occ.select("uid", F.xxhash64("first", "second").alias("pair"), "n", "size", "key")
-    joined = each.join(table, "pair", "left").select("uid", "size", "key", (F.col("n") * F.col("score")).alias("part"))
-    both = joined.unionByName(once, allowMissingColumns=True)
-    out = both.groupBy("uid").agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("sum"), F.max("size").alias("size"), F.max("key").alias("key"))
-    return out.select(F.col("key").alias(key), F.col("size").cast("long").alias("n_words"), F.round("sum", 4).alias("log_score"), F.when(F.col("size") > 0, F.round(F.col("sum") / F.col("size"), 4)).alias("log_per_word"))
+    texts = own.mapInArrow(placed, f"block long, text binary, key {kind}")
+    out = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(scored, f"key {kind}, size long, sum double")
+    return out.select(F.col("key").alias(key), F.col("size").alias("n_words"), F.round("sum", 4).alias("log_score"), F.when(F.col("size") > 0, F.round(F.col("sum") / F.col("size"), 4)).alias("log_per_word"))

@@ -29,10 +29,6 @@ def op5_lm(spark, sf_dir):
     return lm.scores(documents(spark, sf_dir))
 
 
-def op5_lm_whole(spark, sf_dir):
-    return lm.whole_scores(documents(spark, sf_dir))
-
-
 def op6_warc(spark, sf_dir):
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("error")
 
@@ -55,7 +51,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_rollup": op2_rollup, "op3_mix": op3_mix, "op4_shards": op4_shards, "op5_lm": op5_lm, "op5_lm_whole": op5_lm_whole, "op6_warc": op6_warc, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op2_rollup": op2_rollup, "op3_mix": op3_mix, "op4_shards": op4_shards, "op5_lm": op5_lm, "op6_warc": op6_warc, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
 
 
 def quality_sql(table: str = "documents", limits: quality.Limits = quality.Limits()) -> str:
@@ -168,23 +164,23 @@ FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels
 GROUP BY source, lang"""
 
 
+#: n1, n2, n3: how often other documents have the word, with the one before, with the two before.
 LM_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_WORDS.replace("text", "coalesce(text, '')")} AS ws FROM documents),
-w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
-c AS (SELECT w, count(*) AS n FROM w GROUP BY w),
-t AS (SELECT sum(n) AS total FROM c),
-k AS (SELECT rid, p, CASE WHEN n * {lm.SHARE} >= total THEN 'w' || w ELSE '' END AS w FROM w JOIN c USING (w), t),
-u AS (SELECT w, count(*) AS n FROM k GROUP BY w),
-g AS (SELECT rid, p, w, lag(w) OVER (PARTITION BY rid ORDER BY p) AS before FROM k),
-b AS (SELECT before, w, count(*) AS n FROM g WHERE before IS NOT NULL GROUP BY before, w),
+w AS (SELECT rid, unnest(ws) AS c, generate_subscripts(ws, 1) AS p FROM d),
+g AS (SELECT rid, p, c, lag(c) OVER (PARTITION BY rid ORDER BY p) AS b, lag(c, 2) OVER (PARTITION BY rid ORDER BY p) AS a FROM w),
+n AS (
+  SELECT rid, p, count(*) OVER () - count(*) OVER (PARTITION BY rid) AS n0, count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY rid, c) AS n1,
+    CASE WHEN p > 1 THEN count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY rid, b, c) END AS n2,
+    CASE WHEN p > 2 THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY rid, a, b, c) END AS n3
+  FROM g),
+m AS (SELECT *, lag(n1) OVER (PARTITION BY rid ORDER BY p) AS m1, lag(n2) OVER (PARTITION BY rid ORDER BY p) AS m2 FROM n),
 s AS (
-  SELECT rid, sum(CASE WHEN g.before IS NULL THEN log10(u2.n / total) WHEN b.n >= {lm.CUTOFF} THEN log10(b.n / u1.n) ELSE log10({lm.BACKOFF} * u2.n / total) END) AS score
-  FROM g JOIN u AS u2 ON g.w = u2.w LEFT JOIN u AS u1 ON g.before = u1.w LEFT JOIN b ON g.before = b.before AND g.w = b.w, t GROUP BY rid)
+  SELECT rid, sum(CASE WHEN n3 > 0 THEN log10(n3 / m2) WHEN n2 > 0 THEN log10(n2 / m1) + CASE WHEN p > 2 THEN log10({lm.BACKOFF}) ELSE 0 END
+    ELSE log10(greatest(n1, 1) / greatest(n0, 1)) + least(p - 1, 2) * log10({lm.BACKOFF}) END) AS score
+  FROM m GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS log_score, CASE WHEN len(ws) > 0 THEN round(score / len(ws), 4) END AS log_per_word
 FROM d LEFT JOIN s USING (rid)"""
 
 
-#: The same with no unknown word.
-LM_WHOLE_SQL = LM_SQL.replace(f"CASE WHEN n * {lm.SHARE} >= total THEN 'w' || w ELSE '' END", "'w' || w")
-
-ORACLES = {"op5_lm": LM_SQL, "op5_lm_whole": LM_WHOLE_SQL, "op2_rollup": ROLLUP_SQL, "op6_warc": WARC_SQL, "op3_mix": MIX_SQL, "op1_quality": quality_sql(), "op8_pii": pii_sql()}
+ORACLES = {"op5_lm": LM_SQL, "op2_rollup": ROLLUP_SQL, "op6_warc": WARC_SQL, "op3_mix": MIX_SQL, "op1_quality": quality_sql(), "op8_pii": pii_sql()}

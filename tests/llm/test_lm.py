@@ -2,63 +2,73 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from tessera.llm import lm
 
 
 def slow(texts):
+    """Stupid backoff of one to three words, by the counts of all other texts."""
     lists = [(t or "").encode().split() for t in texts]
-    uni = Counter(w for x in lists for w in x)
-    total = sum(uni.values())
-    known = {w for w, n in uni.items() if n * lm.SHARE >= total}
-    lists = [[w if w in known else None for w in x] for x in lists]
-    uni, pairs = Counter(w for x in lists for w in x), Counter(p for x in lists for p in zip(x, x[1:]))
+    grams = lambda x, k: Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+    every = [sum((grams(x, k) for x in lists), Counter()) for k in (1, 2, 3)]
+    total = sum(map(len, lists))
     out = []
     for x in lists:
-        s = math.log10(uni[x[0]] / total) if x else 0.0
-        for a, b in zip(x, x[1:]):
-            s += math.log10(pairs[a, b] / uni[a] if pairs[a, b] >= lm.CUTOFF else lm.BACKOFF * uni[b] / total)
+        own = [grams(x, k) for k in (1, 2, 3)]
+        rest = lambda g: every[len(g) - 1][g] - own[len(g) - 1][g]  # noqa: B023, E731
+        s = 0.0
+        for i in range(len(x)):
+            for k in range(min(i + 1, 3), 0, -1):
+                g = tuple(x[i + 1 - k : i + 1])
+                if k > 1 and rest(g):
+                    s += math.log10(rest(g) / rest(g[:-1]))
+                    break
+                s += math.log10(max(rest(g), 1) / max(total - len(x), 1)) if k == 1 else math.log10(lm.BACKOFF)
         out.append((len(x), s, s / len(x) if x else None))
     return out
 
 
-def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm, "SHARE", 200)
+def compare(df, rows):
+    order = lambda r: (str(r[0]), r[1], r[2])
+    want = sorted(((r[0], *s) for r, s in zip(rows, slow([r[1] for r in rows]), strict=True)), key=order)
+    got = sorted(map(tuple, lm.scores(df).collect()), key=order)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert abs(g[2] - w[2]) < 1e-3 and (g[3] is None) == (w[3] is None) and abs((g[3] or 0) - (w[3] or 0)) < 1e-4
+
+
+@pytest.mark.parametrize("block", [700, 4 << 20])
+def test_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
     rng = random.Random(15)
     texts = [None, "", " ", "alone"] + [" ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(1, 80))) for _ in range(300)] + ["the pair " * 400]
     rows = [(i if i % 9 else None, t, "x") for i, t in enumerate(texts)] + [(5, texts[5], "x")] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, UID string").repartition(5)
-    want = sorted(((r[0], *s) for r, s in zip(rows, slow([t for _, t, _ in rows]), strict=True)), key=lambda r: (str(r[0]), r[1], r[2]))
-    got = sorted(map(tuple, lm.scores(df).collect()), key=lambda r: (str(r[0]), r[1], r[2]))
-    assert [r[:2] for r in got] == [r[:2] for r in want]
-    for g, w in zip(got, want, strict=True):
-        assert abs(g[2] - w[2]) < 1e-4 and (g[3] is None) == (w[3] is None) and abs((g[3] or 0) - (w[3] or 0)) < 1e-4
+    compare(df, rows)
     assert lm.scores(df.limit(0)).count() == 0
 
 
-def slow_whole(texts):
-    lists = [(t or "").encode().split() for t in texts]
-    uni, pairs = Counter(w for x in lists for w in x), Counter(p for x in lists for p in zip(x, x[1:]))
-    total = sum(uni.values())
-    out = []
-    for x in lists:
-        s = math.log10(uni[x[0]] / total) if x else 0.0
-        s += sum(math.log10(pairs[a, b] / uni[a] if pairs[a, b] >= lm.CUTOFF else lm.BACKOFF * uni[b] / total) for a, b in zip(x, x[1:]))
-        out.append((len(x), s, s / len(x) if x else None))
-    return out
+def test_a_table_read_from_files(spark, tmp_path):
+    rng = random.Random(16)
+    rows = [(i, " ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(rng.randint(1, 80)))) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d")
+    compare(spark.read.parquet(f"{tmp_path}/d"), rows)
 
 
-def test_rare_words_keep_their_identity(spark, monkeypatch):
-    monkeypatch.setattr(lm, "SHARE", 200)
-    rng = random.Random(16)
-    texts = [None, "", "alone", "the pair " * 400] + [" ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(rng.randint(1, 80))) for _ in range(300)]
-    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(5, texts[5])] * 3
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    order = lambda r: (str(r[0]), r[1], r[2])
-    want = sorted(((r[0], *s) for r, s in zip(rows, slow_whole([t for _, t in rows]), strict=True)), key=order)
-    got = sorted(map(tuple, lm.whole_scores(df).collect()), key=order)
-    assert [r[:2] for r in got] == [r[:2] for r in want]
-    for g, w in zip(got, want, strict=True):
-        assert abs(g[2] - w[2]) < 1e-4 and (g[3] is None) == (w[3] is None) and abs((g[3] or 0) - (w[3] or 0)) < 1e-4
-    assert lm.whole_scores(df.limit(0)).count() == 0
-    folded = sorted(map(tuple, lm.scores(df).collect()), key=order)
-    assert any(abs(f[2] - w[2]) > 0.1 for f, w in zip(folded, want, strict=True))
+def test_a_very_long_text_and_one_document(spark):
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    compare(spark.createDataFrame([(1, long)], "doc_id long, text string"), [(1, long)])
+    rows = [(1, long), (2, "w1 w2 w3 w9 w10 none"), (3, "a\x0bb c 　")]
+    compare(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_rare_words_keep_their_identity(spark):
+    rows = [(1, "rare one two"), (2, "rare one two"), (3, "other one two")]
+    got = {r.doc_id: r.log_score for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == round(math.log10(1 / 6), 4) + 0.0 and got[3] < got[1]
+
+
+def test_bytes_that_are_not_utf8(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'61ff2062' AS STRING) AS text UNION ALL SELECT 2L, 'a b'")
+    assert {(r.doc_id, r.n_words) for r in lm.scores(df).collect()} == {(1, 2), (2, 2)}
