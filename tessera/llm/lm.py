@@ -1,6 +1,6 @@
 """Operator 5: language-model scores by stupid backoff, computed relationally.
 
-N-grams of one to ORDER words are counted over all documents, each under its
+N-grams of one word up to `order` are counted over all documents, each under its
 64-bit hash, with no vocabulary and no cutoff. A document is scored by the counts
 of all others: its own are left out, so that it does not vouch for itself. A word
 scores the relative count of the longest n-gram ending in it that occurs
@@ -8,9 +8,9 @@ elsewhere, times BACKOFF for each longer one that does not.
 
 Documents are taken in blocks of some BLOCK_BYTES of text. Each block explodes
 into its distinct n-grams with their counts, so that the most common n-gram has a
-row for each block, not for each occurrence. These rows are dealt once by hash; on
-that exchange the count table is grouped, and joined back to the rows of the
-blocks. Only n-grams of more than one block return to a block: the count of any
+row for each block, not for each occurrence. These rows are dealt once by hash,
+and where they lie each n-gram is counted and its rows get the count, in one
+window. Only n-grams of more than one block return to a block: the count of any
 other is the block's own. There they meet the block's texts, and the scores of
 words are summed per document.
 
@@ -28,14 +28,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import release, take, written
 
-ORDER = 3
+ORDER = 2
 BACKOFF = 0.4
 #: A block ends with the text that brings it to so many bytes; it bounds what a task holds, not what is counted.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: What a row counts as besides its text, so that blocks of empty texts end too.
 ROW_BYTES = 64
 #: N-grams of an Arrow batch.
@@ -70,7 +71,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Words of each text; the text of each word; and for each order the hash of the n-gram that ends in each word, 0 where the text has too few before it."""
     of = xxhash.xxh64_intdigest
     lists = [t.split() if t else [] for t in texts]
@@ -79,21 +80,21 @@ def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[np.n
     doc = np.repeat(np.arange(len(lists)), sizes)
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     grams, last = [], np.zeros(len(words), np.uint64)
-    for k in range(ORDER):
+    for k in range(order):
         before = np.concatenate([last[:1] * np.uint64(0), last[:-1]])
         last = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(k + 1))
         grams.append(np.where(place >= k, last | np.uint64(1), np.uint64(0)).view(np.int64))
     return sizes, doc, grams
 
 
-def exploded(own: DataFrame) -> DataFrame:
+def exploded(own: DataFrame, order: int = ORDER) -> DataFrame:
     """own: text as binary, first. The distinct n-grams of each block: gram, block, n."""
 
     most = BLOCK_BYTES
 
     def rows(batches):
         for number, table in blocks(batches, most):
-            _, _, grams = ngrams(table.column(0).to_pylist())
+            _, _, grams = ngrams(table.column(0).to_pylist(), order)
             for each in grams:
                 gram, n = np.unique(each[each != 0], return_counts=True)
                 for k in range(0, len(gram), SLICE):
@@ -127,7 +128,7 @@ def _log_scores(sizes, doc, grams, known: np.ndarray, counts: np.ndarray, total:
     return np.bincount(doc, weights=out, minlength=len(sizes))
 
 
-def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """One row per row of df: the key, n_words, log_score (base 10, of the whole text) and log_per_word, rounded to 4 places.
 
     Counts are those of all other rows, repeated ones included. A word that no other
@@ -142,9 +143,9 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     if "FileScan" not in (plan := own._jdf.queryExecution().sparkPlan().toString()) or any(x in plan for x in ("Join", "Aggregate", "Exchange", "Sort", "Limit", "Union")):
         own = written(own, "lm-texts")
     own = own.select(F.col("text").cast("binary").alias("text"), "key")
-    dealt = exploded(own).repartition("gram")
-    table = dealt.groupBy("gram").agg(F.sum("n").alias("count"), F.count("*").alias("blocks")).filter("blocks > 1")
-    shared = written(dealt.join(table, "gram").select("block", "gram", "count"), "lm-counts")
+    same = W.partitionBy("gram")
+    counted = exploded(own, order).withColumn("count", F.sum("n").over(same)).withColumn("blocks", F.count("*").over(same))
+    shared = written(counted.filter("blocks > 1").select("block", "gram", "count"), "lm-counts")
     release(spark)
     total = own.select(F.sum(F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))).first()[0] or 0
 
@@ -159,9 +160,9 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
         known, times = counts["gram"].to_numpy(), counts["count"].to_numpy()
-        order = np.argsort(known)
-        sizes, doc, grams = ngrams(texts["text"].to_pylist())
-        sums = _log_scores(sizes, doc, grams, known[order], times[order], total)
+        rising = np.argsort(known)
+        sizes, doc, grams = ngrams(texts["text"].to_pylist(), order)
+        sums = _log_scores(sizes, doc, grams, known[rising], times[rising], total)
         return pa.table({"key": texts["key"], "size": sizes, "sum": sums})
 
     texts = own.mapInArrow(placed, f"block long, text binary, key {kind}")

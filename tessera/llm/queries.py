@@ -164,20 +164,18 @@ FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels
 GROUP BY source, lang"""
 
 
-#: n1, n2, n3: how often other documents have the word, with the one before, with the two before.
+#: n1, n2: how often other documents have the word, and the word with the one before.
 LM_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_WORDS.replace("text", "coalesce(text, '')")} AS ws FROM documents),
-w AS (SELECT rid, unnest(ws) AS c, generate_subscripts(ws, 1) AS p FROM d),
-g AS (SELECT rid, p, c, lag(c) OVER (PARTITION BY rid ORDER BY p) AS b, lag(c, 2) OVER (PARTITION BY rid ORDER BY p) AS a FROM w),
+w AS (SELECT rid, unnest(ws) AS b, generate_subscripts(ws, 1) AS p FROM d),
+g AS (SELECT rid, p, b, lag(b) OVER (PARTITION BY rid ORDER BY p) AS a FROM w),
 n AS (
-  SELECT rid, p, count(*) OVER () - count(*) OVER (PARTITION BY rid) AS n0, count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY rid, c) AS n1,
-    CASE WHEN p > 1 THEN count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY rid, b, c) END AS n2,
-    CASE WHEN p > 2 THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY rid, a, b, c) END AS n3
+  SELECT rid, p, count(*) OVER () - count(*) OVER (PARTITION BY rid) AS n0, count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY rid, b) AS n1,
+    CASE WHEN p > 1 THEN count(*) OVER (PARTITION BY a, b) - count(*) OVER (PARTITION BY rid, a, b) END AS n2
   FROM g),
-m AS (SELECT *, lag(n1) OVER (PARTITION BY rid ORDER BY p) AS m1, lag(n2) OVER (PARTITION BY rid ORDER BY p) AS m2 FROM n),
+m AS (SELECT *, lag(n1) OVER (PARTITION BY rid ORDER BY p) AS m1 FROM n),
 s AS (
-  SELECT rid, sum(CASE WHEN n3 > 0 THEN log10(n3 / m2) WHEN n2 > 0 THEN log10(n2 / m1) + CASE WHEN p > 2 THEN log10({lm.BACKOFF}) ELSE 0 END
-    ELSE log10(greatest(n1, 1) / greatest(n0, 1)) + least(p - 1, 2) * log10({lm.BACKOFF}) END) AS score
+  SELECT rid, sum(CASE WHEN n2 > 0 THEN log10(n2 / m1) ELSE log10(greatest(n1, 1) / greatest(n0, 1)) + CASE WHEN p > 1 THEN log10({lm.BACKOFF}) ELSE 0 END END) AS score
   FROM m GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS log_score, CASE WHEN len(ws) > 0 THEN round(score / len(ws), 4) END AS log_per_word
 FROM d LEFT JOIN s USING (rid)"""

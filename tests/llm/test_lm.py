@@ -7,19 +7,19 @@ import pytest
 from tessera.llm import lm
 
 
-def slow(texts):
-    """Stupid backoff of one to three words, by the counts of all other texts."""
+def slow(texts, order):
+    """Stupid backoff of one word up to order, by the counts of all other texts."""
     lists = [(t or "").encode().split() for t in texts]
     grams = lambda x, k: Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
-    every = [sum((grams(x, k) for x in lists), Counter()) for k in (1, 2, 3)]
+    every = [sum((grams(x, k) for x in lists), Counter()) for k in range(1, order + 1)]
     total = sum(map(len, lists))
     out = []
     for x in lists:
-        own = [grams(x, k) for k in (1, 2, 3)]
+        own = [grams(x, k) for k in range(1, order + 1)]
         rest = lambda g: every[len(g) - 1][g] - own[len(g) - 1][g]  # noqa: B023, E731
         s = 0.0
         for i in range(len(x)):
-            for k in range(min(i + 1, 3), 0, -1):
+            for k in range(min(i + 1, order), 0, -1):
                 g = tuple(x[i + 1 - k : i + 1])
                 if k > 1 and rest(g):
                     s += math.log10(rest(g) / rest(g[:-1]))
@@ -29,10 +29,10 @@ def slow(texts):
     return out
 
 
-def compare(df, rows):
+def compare(df, rows, n=lm.ORDER):
     order = lambda r: (str(r[0]), r[1], r[2])
-    want = sorted(((r[0], *s) for r, s in zip(rows, slow([r[1] for r in rows]), strict=True)), key=order)
-    got = sorted(map(tuple, lm.scores(df).collect()), key=order)
+    want = sorted(((r[0], *s) for r, s in zip(rows, slow([r[1] for r in rows], n), strict=True)), key=order)
+    got = sorted(map(tuple, lm.scores(df, order=n).collect()), key=order)
     assert [r[:2] for r in got] == [r[:2] for r in want]
     for g, w in zip(got, want, strict=True):
         assert abs(g[2] - w[2]) < 1e-3 and (g[3] is None) == (w[3] is None) and abs((g[3] or 0) - (w[3] or 0)) < 1e-4
@@ -45,7 +45,8 @@ def test_against_brute_force(spark, monkeypatch, block):
     texts = [None, "", " ", "alone"] + [" ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(1, 80))) for _ in range(300)] + ["the pair " * 400]
     rows = [(i if i % 9 else None, t, "x") for i, t in enumerate(texts)] + [(5, texts[5], "x")] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, UID string").repartition(5)
-    compare(df, rows)
+    for order in (1, 2, 3):
+        compare(df, rows, order)
     assert lm.scores(df.limit(0)).count() == 0
 
 
