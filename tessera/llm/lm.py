@@ -6,13 +6,21 @@ of all others: its own are left out, so that it does not vouch for itself. A wor
 scores the relative count of the longest n-gram ending in it that occurs
 elsewhere, times BACKOFF for each longer one that does not.
 
-Documents are taken in blocks of some BLOCK_BYTES of text. Each block explodes
-into its distinct n-grams with their counts, so that the most common n-gram has a
-row for each block, not for each occurrence. These rows are dealt once by hash,
-and where they lie each n-gram is counted and its rows get the count, in one
-window. Only n-grams of more than one block return to a block: the count of any
-other is the block's own. There they meet the block's texts, and the scores of
-words are summed per document.
+Three relations, nested so that a row is not one n-gram but many:
+
+grams   block, part, grams   the n-grams that each block of documents explodes
+                             into, once each with their number, in their order
+                             as hashes; part is a range of all hashes
+counts  block, part, counts  grams joined with the count table of its part: in
+                             place of each n-gram its count in all blocks
+scores                       counts joined with the block's texts, and the log
+                             scores of words summed per document
+
+A block is some BLOCK_BYTES of text, so the most common n-gram has a number for
+each block, not for each occurrence, and all parts are alike in size. There are as
+many parts as keep the numbers in one at some PART_GRAMS, by the bytes of all texts.
+Nothing else of the corpus is held anywhere, and nothing but its number of words
+and bytes reaches the driver.
 
 A block is found again by its place in the scan, which is the same each time for a
 table that is read from files; what isn't, is written first.
@@ -28,19 +36,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import release, take, written
+from .base import WORD, release, take, written
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 #: A block ends with the text that brings it to so many bytes; it bounds what a task holds, not what is counted.
 BLOCK_BYTES = 8 << 20
 #: What a row counts as besides its text, so that blocks of empty texts end too.
 ROW_BYTES = 64
-#: N-grams of an Arrow batch.
-SLICE = 1 << 16
+#: N-grams in a part, by an estimate of a word in each WORD_BYTES.
+PART_GRAMS, WORD_BYTES = 1 << 20, 6
 
 
 def blocks(batches, most: int) -> Iterator[tuple[int, pa.Table]]:
@@ -71,8 +78,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Words of each text; the text of each word; and for each order the hash of the n-gram that ends in each word, 0 where the text has too few before it."""
+def ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Words of each text; the text of each word; and for each order the places of the words in which its n-grams end, with their hashes."""
     of = xxhash.xxh64_intdigest
     lists = [t.split() if t else [] for t in texts]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -81,50 +88,77 @@ def ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarra
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     grams, last = [], np.zeros(len(words), np.uint64)
     for k in range(order):
-        before = np.concatenate([last[:1] * np.uint64(0), last[:-1]])
-        last = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(k + 1))
-        grams.append(np.where(place >= k, last | np.uint64(1), np.uint64(0)).view(np.int64))
+        before = np.concatenate([last[:1], last[:-1]])
+        last = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(k + 1)) if k else _mixed(words + np.uint64(1))
+        ends = np.flatnonzero(place >= k)
+        grams.append((ends, last[ends]))
     return sizes, doc, grams
 
 
-def exploded(own: DataFrame, order: int = ORDER) -> DataFrame:
-    """own: text as binary, first. The distinct n-grams of each block: gram, block, n."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Integers byte by byte of equal rank, so that the upper ones of small numbers compress to nothing."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    most = BLOCK_BYTES
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def parted(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """For hashes that are in order, the parts that have any, and where each of them begins, with the end of the last one."""
+    part = (grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    begin = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
+    return part[begin].astype(np.int32), np.append(begin, len(grams))
+
+
+def exploded(own: DataFrame, parts: int, order: int, most: int) -> DataFrame:
+    """own: text as binary, first. block, part, grams (steps between hashes), n."""
 
     def rows(batches):
         for number, table in blocks(batches, most):
-            _, _, grams = ngrams(table.column(0).to_pylist(), order)
-            for each in grams:
-                gram, n = np.unique(each[each != 0], return_counts=True)
-                for k in range(0, len(gram), SLICE):
-                    part = gram[k : k + SLICE]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), number)), pa.array(n[k : k + SLICE])], ["gram", "block", "n"])
-
-    return own.select("text").mapInArrow(rows, "gram long, block long, n long")
-
-
-def _log_scores(sizes, doc, grams, known: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
-    """The sum of the log scores of each text's words. known: the hashes, in order, of n-grams that other blocks have too, and counts those in all blocks."""
-    at, place = np.arange(len(doc)), np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out, lower = np.zeros(len(doc)), None
-    for k, each in enumerate(grams):
-        there = place >= k
-        gram, which, n = np.unique(each[there], return_inverse=True, return_counts=True)
-        if len(known):
-            found = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-            n = np.where(known[found] == gram, counts[found], n)
-        own = _mixed(each[there].view(np.uint64) + doc[there].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, mine, times = np.unique(own, return_inverse=True, return_counts=True)
-        rest = np.zeros(len(doc), np.int64)
-        rest[there] = n[which] - times[mine]
-        if lower is None:
-            out = np.log10(np.maximum(rest, 1) / np.maximum(total - sizes[doc], 1))
+            grams, n = np.unique(np.concatenate([g for _, g in ngrams(table.column(0).to_pylist(), order)[2]]), return_counts=True)
+            part, at = parted(grams, parts)
+            for k in range(0, len(part), 64):
+                each = [slice(*x) for x in zip(at[k : k + 64], at[k + 1 : k + 65])]
+                packed = [pack(np.diff(grams[x], prepend=np.uint64(0))) for x in each]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(each), pa.int64()), pa.array(part[k : k + 64]), pa.array(packed, pa.binary()), pa.array([pack(n[x]) for x in each], pa.binary())], ["block", "part", "grams", "n"])
+
+    return own.select("text").mapInArrow(rows, "block long, part int, grams binary, n binary")
+
+
+def counted(grams: DataFrame) -> DataFrame:
+    """block, part, counts: of each n-gram of the block the count in all blocks."""
+
+    def joined(table: pa.Table) -> pa.Table:
+        each = [np.cumsum(unpack(g), dtype=np.uint64) for g in table["grams"].to_pylist()]
+        n = np.concatenate([unpack(x) for x in table["n"].to_pylist()])
+        _, which = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(which, weights=n).astype(np.int64)[which]  # exact up to 2 ** 53
+        ends = np.cumsum([len(x) for x in each])
+        return pa.table({"block": table["block"], "part": table["part"], "counts": pa.array([pack(t) for t in np.split(total, ends[:-1])], pa.binary())})
+
+    return grams.groupBy("part").applyInArrow(joined, "block long, part int, counts binary")
+
+
+def _log_scores(sizes: np.ndarray, doc: np.ndarray, grams: list, counts: np.ndarray, total: int) -> np.ndarray:
+    """The sum of the log scores of each text's words. counts: those in all texts of the distinct n-grams, in their order as hashes."""
+    every = np.concatenate([g for _, g in grams])
+    whose = np.concatenate([doc[ends] for ends, _ in grams]).astype(np.uint64)
+    _, which = np.unique(every, return_inverse=True)
+    _, mine, times = np.unique(_mixed(every + whose * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    rest = counts[which].astype(np.int64) - times[mine]
+    out, lower, begin = np.zeros(len(doc)), np.zeros(0, np.int64), 0
+    for k, (ends, _) in enumerate(grams):
+        n = np.zeros(len(doc), np.int64)
+        n[ends] = rest[begin : begin + len(ends)]
+        begin += len(ends)
+        if k:
+            out[ends] += math.log10(BACKOFF)
+            seen = np.flatnonzero(n)
+            out[seen] = np.log10(n[seen] / lower[seen - 1])
         else:
-            seen = at[rest > 0]
-            out[there] += math.log10(BACKOFF)
-            out[seen] = np.log10(rest[seen] / lower[seen - 1])
-        lower = rest
+            out = np.log10(np.maximum(n, 1) / np.maximum(total - sizes[doc], 1))
+        lower = n
     return np.bincount(doc, weights=out, minlength=len(sizes))
 
 
@@ -142,14 +176,12 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     own = take(df, key, text).toDF("key", "text")
     if "FileScan" not in (plan := own._jdf.queryExecution().sparkPlan().toString()) or any(x in plan for x in ("Join", "Aggregate", "Exchange", "Sort", "Limit", "Union")):
         own = written(own, "lm-texts")
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    total, size = own.agg(F.coalesce(F.sum(words), F.lit(0)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     own = own.select(F.col("text").cast("binary").alias("text"), "key")
-    same = W.partitionBy("gram")
-    counted = exploded(own, order).withColumn("count", F.sum("n").over(same)).withColumn("blocks", F.count("*").over(same))
-    shared = written(counted.filter("blocks > 1").select("block", "gram", "count"), "lm-counts")
+    parts, most = 1 + order * size // (WORD_BYTES * PART_GRAMS), BLOCK_BYTES
+    counts = written(counted(exploded(own, parts, order, most)), "lm-counts")
     release(spark)
-    total = own.select(F.sum(F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))).first()[0] or 0
-
-    most = BLOCK_BYTES
 
     def placed(batches):
         for number, rows in blocks(batches, most):
@@ -159,12 +191,11 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     kind = own.schema["key"].dataType.simpleString()
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        known, times = counts["gram"].to_numpy(), counts["count"].to_numpy()
-        rising = np.argsort(known)
         sizes, doc, grams = ngrams(texts["text"].to_pylist(), order)
-        sums = _log_scores(sizes, doc, grams, known[rising], times[rising], total)
+        held = counts.sort_by("part")["counts"].to_pylist()
+        sums = _log_scores(sizes, doc, grams, np.concatenate([unpack(c) for c in held] or [np.zeros(0, np.uint64)]), total)
         return pa.table({"key": texts["key"], "size": sizes, "sum": sums})
 
     texts = own.mapInArrow(placed, f"block long, text binary, key {kind}")
-    out = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(scored, f"key {kind}, size long, sum double")
+    out = texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(scored, f"key {kind}, size long, sum double")
     return out.select(F.col("key").alias(key), F.col("size").alias("n_words"), F.round("sum", 4).alias("log_score"), F.when(F.col("size") > 0, F.round(F.col("sum") / F.col("size"), 4)).alias("log_per_word"))

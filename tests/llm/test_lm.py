@@ -38,9 +38,10 @@ def compare(df, rows, n=lm.ORDER):
         assert abs(g[2] - w[2]) < 1e-3 and (g[3] is None) == (w[3] is None) and abs((g[3] or 0) - (w[3] or 0)) < 1e-4
 
 
-@pytest.mark.parametrize("block", [700, 4 << 20])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, part", [(700, 50), (4 << 20, 3000)])
+def test_against_brute_force(spark, monkeypatch, block, part):
     monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm, "PART_GRAMS", part)
     rng = random.Random(15)
     texts = [None, "", " ", "alone"] + [" ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(1, 80))) for _ in range(300)] + ["the pair " * 400]
     rows = [(i if i % 9 else None, t, "x") for i, t in enumerate(texts)] + [(5, texts[5], "x")] * 3
