@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
-from ..operators import extract, graph, insights, joins, quality, snapshots, twins, usage
+from ..operators import extract, findings, graph, insights, joins, quality, snapshots, twins, usage
 from ..sources import tree
 from .tables import cut
 
@@ -155,11 +155,13 @@ class Project:
         return quality.scored(self.counts())
 
     def issues(self) -> DataFrame:
-        found = self.files.select("path", F.explode("findings").alias("i")).select("path", "i.*")
-        return quality.union_rules([quality.count_issues(self.counts()), found])
+        return quality.union_rules([quality.count_issues(self.counts()), findings.found(self.files)])
+
+    def hint_coverage(self) -> DataFrame:
+        return findings.hint_coverage(self.files)
 
     def functions_ast(self) -> DataFrame:
-        return self.files.select("path", F.explode("bodies").alias("b")).select("path", "b.*")
+        return findings.functions(self.files)
 
     def twins(self) -> DataFrame:
         return twins.twins(self.functions_ast())

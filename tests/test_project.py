@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
-from tessera.operators import extract, graph, joins, quality, snapshots, twins
+from tessera.operators import extract, findings, graph, joins, quality, snapshots, twins
 from tessera.plans import reports
 from tessera.plans.project import Project
 from tessera.sources import git, tree
@@ -78,6 +78,8 @@ def test_usage(project, spark):
     unused, undeclared = project.usage(declared)
     assert table(unused, "declared") == [("requests",)] and table(undeclared, "imported") == [("numpy",)]
     assert small.dependencies('broken = [\ndependencies = ["a", "b"]') == ["a", "b"]
+    assert small.dependencies("x = [\ndependencies = [ # the 'list'\n 'a[x]>=1', # 'no'\n \"b\"]\n['c']") == ["a[x]>=1", "b"]
+    assert small.dependencies("x = [\noptional = 1") == []
 
 
 def test_classes_calls_and_tags(project):
@@ -117,18 +119,23 @@ def many(n):
     return "def f(x):\n" + "".join(f"    if x == {i}:\n        return {i}\n" for i in range(n - 1))
 
 
-def test_findings():
-    kinds = lambda source: [(f["type"], f["severity"], f["kritik"]) for f in extract.facts(source)["findings"] if f["type"] != "missing_type_hint"]
+def test_findings(spark):
     high = "yuksek_ciklik"
-    assert kinds(many(20)) == [] and kinds(many(21)) == [(high, "orta", False)] and kinds(many(29)) == [(high, "orta", False)]
-    assert kinds(many(30)) == [(high, "yuksek", False)] and kinds(many(31)) == [(high, "yuksek", True)]
-    hints = lambda source: [f["detail"] for f in extract.facts(source)["findings"] if f["type"] == "missing_type_hint"]
-    assert len(hints("".join(f"def f{i}(): pass\n" for i in range(12)))) == 11 and "2 fonksiyon" in hints("".join(f"def f{i}(): pass\n" for i in range(12)))[-1]
-    assert hints("def a(): pass\ndef b(): pass\ndef c() -> int: pass\ndef d(x: int): pass\n") == []
-    found = kinds("eval(x)\nm.eval()\nyaml.load(f)\nyaml.load(f, Loader=L)\ntoken = 'a'\n")
-    assert sorted(k for k, _, _ in found) == ["security_eval_exec", "security_hardcoded_secret", "security_yaml_unsafe_load"]
     late = "def f():\n    return 1\n    'doc'\n    pass\n    x()\n    y = 1\n"
-    assert sorted(kinds(late)) == [("unreachable_code", "orta", False)] * 2 + [("unused_variable", "dusuk", False)]
+    risky = "eval(x)\nm.eval()\nyaml.load(f)\nyaml.load(f, Loader=L)\ntoken = 'a'\n"
+    stores = "def f(a: int):\n    x = 1\n    def g(b: int):\n        x = 2\n        _y = 3\n        z = b\n    w = z = 4\n    return w\n"
+    sources = {f"n{n}.py": many(n) for n in (20, 21, 29, 30, 31)} | {"late.py": late, "risky.py": risky, "stores.py": stores, "h12.py": "".join(f"def f{i}(): pass\n" for i in range(12)), "half.py": "def a(): pass\ndef b(): pass\ndef c() -> int: pass\ndef d(x: int): pass\n", "bad.py": "def (", "none.py": "x = 1"}
+    p = Project(spark, tree.from_rows(spark, sources))
+    rows = findings.found(p.files).collect()
+    kinds = lambda path: sorted((r.type, r.severity, r.kritik) for r in rows if r.path == path and r.type != "missing_type_hint")
+    assert kinds("n20.py") == [] and kinds("n21.py") == [(high, "orta", False)] and kinds("n29.py") == [(high, "orta", False)]
+    assert kinds("n30.py") == [(high, "yuksek", False)] and kinds("n31.py") == [(high, "yuksek", True)]
+    hints = lambda path: [r.detail for r in rows if r.type == "missing_type_hint" and r.path == path]
+    assert len(hints("h12.py")) == 11 and any("2 fonksiyon" in h for h in hints("h12.py")) and hints("half.py") == []
+    assert [k for k, _, _ in kinds("risky.py")] == ["security_eval_exec", "security_hardcoded_secret", "security_yaml_unsafe_load"]
+    assert kinds("late.py") == [("unreachable_code", "orta", False)] * 2 + [("unused_variable", "dusuk", False)]
+    assert sorted((r.detail.split("'")[1], r.line) for r in rows if r.path == "stores.py") == [("x", 4), ("x", 4), ("z", 6), ("z", 6)]
+    assert kinds("bad.py") == [] and table(p.hint_coverage().filter("path in ('bad.py', 'half.py', 'none.py', 'h12.py')"), "path", "functions", "coverage") == [("bad.py", 0, 100.0), ("h12.py", 12, 0.0), ("half.py", 4, 50.0), ("none.py", 0, 100.0)]
     assert extract.facts("a\x00b")["parse_error"] and extract.facts(None)["imports"] == []
 
 
