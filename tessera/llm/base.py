@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -68,12 +67,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting to delete the shuffle files of an execution at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read from there; cuts the lineage."""
-    path = new_path(df.sparkSession, label)
-    schema = df.schema
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
+    """The rows of df, written once to the shared folder and read from there; cuts the lineage.
+
+    The shuffle files that made them are deleted, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    schema, before = df.schema, spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    out = spark.read.schema(schema).parquet(path)
     out._tessera_path = path
     return out
 
@@ -98,12 +109,6 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver drop the shuffle files of finished jobs now, not when it next runs short of memory."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def sent_if_small(df: DataFrame, label: str, most_rows: int = 1_000_000) -> DataFrame:
     """df of a few narrow columns, written and counted: with at most so many rows it is broadcast, with more it is joined by key."""
     out = written(df, label)

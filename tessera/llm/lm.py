@@ -35,10 +35,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD, release, take, written
+from .base import WORD, take, written
 
 ORDER = 3
 BACKOFF = 0.4
@@ -81,10 +82,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Words of each text; the text of each word; and for each order the places of the words in which its n-grams end, with their hashes."""
     of = xxhash.xxh64_intdigest
-    lists = [t.split() if t else [] for t in texts]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    words = np.fromiter((of(w) for x in lists for w in x), np.uint64, int(sizes.sum()))
-    doc = np.repeat(np.arange(len(lists)), sizes)
+    each = [np.fromiter(map(of, (t or b"").split()), np.uint64) for t in texts]
+    sizes = np.fromiter(map(len, each), np.int64, len(each))
+    words = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    doc = np.repeat(np.arange(len(each)), sizes)
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     grams, last = [], np.zeros(len(words), np.uint64)
     for k in range(order):
@@ -96,12 +97,14 @@ def ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarra
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Integers byte by byte of equal rank, so that the upper ones of small numbers compress to nothing."""
-    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Integers byte by byte of equal rank, compressed; the upper ones of small numbers come to nothing."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").reshape(-1)
 
 
 def parted(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +184,6 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     own = own.select(F.col("text").cast("binary").alias("text"), "key")
     parts, most = 1 + order * size // (WORD_BYTES * PART_GRAMS), BLOCK_BYTES
     counts = written(counted(exploded(own, parts, order, most)), "lm-counts")
-    release(spark)
 
     def placed(batches):
         for number, rows in blocks(batches, most):

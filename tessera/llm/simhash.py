@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import discard, plain, release, sent_if_small, small_batches, take, written
+from .base import discard, plain, sent_if_small, small_batches, take, written
 
 SEED = 42
 RADIUS, BANDS, BAND_BITS = 2, 4, 16
@@ -266,7 +266,6 @@ def similar(points: DataFrame, texts: DataFrame) -> DataFrame:
     members = points.select("t", F.element_at("head", 1).cast("int").alias("n"), F.posexplode(F.slice("head", PARITIES + 2, F.size("head"))).alias("pos", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
     rows = written(members.join(shared, "key"), "near-keys")
-    release(spark)
 
     def pairs(group):
         def with_later(x, i):
@@ -282,9 +281,7 @@ def similar(points: DataFrame, texts: DataFrame) -> DataFrame:
     hubs = crowd.select("key", "t").join(often, "t").groupBy("key").agg(F.max_by("t", F.struct("crowds", "t")).alias("hub"))
     met = crowd.join(hubs, "key").filter("t <> hub").select(F.least("t", "hub").alias("a"), F.greatest("t", "hub").alias("b"))
     first = written(cold.unionByName(met).distinct(), "near-candidates")
-    release(spark)
     links = written(verified(first, texts), "near-links")
-    release(spark)
     if crowd.isEmpty():
         return links
     roots = components(links)
@@ -298,7 +295,6 @@ def similar(points: DataFrame, texts: DataFrame) -> DataFrame:
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(at("x"), at("y")) & _alike(at("x"), at("y")))
     rest = rest.select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b")).distinct()
     rest = written(rest.join(first, ["a", "b"], "left_anti"), "near-candidates")
-    release(spark)
     return links.unionByName(verified(rest, texts))
 
 
@@ -312,7 +308,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ends = sent_if_small(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "simhash-ends")
     once = texts.join(ends, "t", "left_semi").dropDuplicates(["t"])
     sets = written(once.select("t", shingles("text").alias("s")), "simhash-sets")
-    release(pairs.sparkSession)
     left = pairs.join(sets.toDF("a", "sa"), "a")
     both = left.join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -336,11 +331,9 @@ def one_of_each_group(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     head = heads(own["text"], spark, [])
     seen = own.select(F.explode(F.slice(head, PARITIES + 2, 1 << 30)).alias("key")).groupBy("key").agg(F.count("*").alias("times"))
     common = written(seen.filter(F.col("times") > COMMON).orderBy(F.desc("times"), "key").limit(MOST), "near-common").collect()
-    release(spark)
     docs = written(same.select(rank.alias("rank"), "t", heads(same["text"], spark, [tuple(r) for r in common]).alias("head")), "near-docs")
     points = docs.groupBy("t").agg(F.first("head").alias("head"))
     links = written(similar(points, same.select("t", "text")), "near-links")
-    release(spark)
     roots = components(links)
     grouped = docs.select("rank", "t").join(roots.withColumnRenamed("v", "t"), "t", "left").select("rank", F.coalesce("root", "t").alias("root"))
     first = grouped.groupBy("root").agg(F.min("rank").alias("rank")).select("rank").distinct()
