@@ -28,8 +28,9 @@ class Project:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """version, sha256, facts: one row per distinct content. Files differ in cost, so they are spread by hash."""
-        distinct = self.sources.select("sha256", "source_code").dropDuplicates(["sha256"])
+        """version, sha256, facts: one row per distinct content. A parse takes long for few bytes, so files are dealt by hash to as many tasks as are set."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        distinct = self.sources.select("sha256", "source_code").repartition(tasks, "sha256").dropDuplicates(["sha256"])
         if self.known is None:
             return cut(extract.extracted(distinct).select(F.lit(extract.VERSION).alias("version"), "sha256", "facts"))
         missing = snapshots.cache_misses(distinct, self.known, extract.VERSION)
