@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import discard, plain, sent_if_small, small_batches, take, written
+from .base import discard, plain, sent_if_small, take, written
 
 SEED = 42
 RADIUS, BANDS, BAND_BITS = 2, 4, 16
@@ -55,12 +56,12 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """A-Z in lower case, cut at blanks and tabs to carriage returns; bytes.lower and bytes.split do just that."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return (text.encode() if isinstance(text, str) else text or b"").lower().split()
 
 
-def shingle_fingerprint(text: str | None, width: int = 3) -> int:
+def shingle_fingerprint(text: str | bytes | None, width: int = 3) -> int:
     """Over the XXH64 of every shingle, repeats included; fewer words than width are one shingle, no words give zero."""
     words = words_of(text)
     if not words:
@@ -79,7 +80,7 @@ def fingerprint_column(text: Column, width: int = 3) -> Column:
     def made(texts: pa.Array) -> pa.Array:
         return pa.array([_signed(shingle_fingerprint(t, width)) for t in texts.to_pylist()], pa.int64())
 
-    return made(text)
+    return made(text.cast("binary"))
 
 
 def pivot_keys(fp: Column) -> tuple[list[Column], Column]:
@@ -175,7 +176,6 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     smallest key; a component of null keys only has null. An empty table gives an
     empty one; other columns are dropped.
     """
-    small_batches(df.sparkSession)
     own = take(df, key, text).toDF("key", "text")
     docs = written(own.select("key", fingerprint_column(own["text"], width).alias("fp")), "simhash")
     points = written(docs.groupBy("fp").agg(F.min("key").alias("least")), "simhash-points")
@@ -194,9 +194,11 @@ COMMON, MOST = 16, 1 << 20
 BLANK = 0
 #: Longs of a text's parities: how often its shingles fall in each of 64 * PARITIES places, modulo 2.
 PARITIES = 16
+#: What is kept of a text before the shingles of its head: their number, the fingerprint of all, and the parities.
+BEFORE = 2 + PARITIES
 
 
-def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+def shingle_hashes(text: str | bytes | None, width: int = WIDTH) -> np.ndarray:
     """The distinct shingles as sorted 64-bit hashes; fewer words than width are one shingle, no words none."""
     words = words_of(text)
     if not words:
@@ -211,8 +213,8 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(rolled.view(np.int64))
 
 
-def head_of(text: str | None, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The number of shingles, their parities, and the first of them in the order of times, 0 for what is not in common, then of hashes.
+def head_of(text: str | bytes | None, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The number of shingles, their SimHash, their parities, and the first of them in the order of times, 0 for what is not in common, then of hashes.
 
     Texts with four fifths of their shingles in common have one of these in common, as
     each has so many that the others are fewer than what they share.
@@ -220,12 +222,13 @@ def head_of(text: str | None, common: np.ndarray, times: np.ndarray) -> np.ndarr
     s = shingle_hashes(text)
     n = len(s)
     if not n:
-        return np.array([0] * (1 + PARITIES) + [BLANK], np.int64)
+        return np.array([0] * BEFORE + [BLANK], np.int64)
     odd = np.packbits(np.bincount(s & (64 * PARITIES - 1), minlength=64 * PARITIES).astype(np.uint8) & 1).view(np.int64)
+    fp = _signed(_majority(s.view(np.uint64)))
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         s = s[np.lexsort((s, np.where(common[at] == s, times[at], 0)))]
-    return np.concatenate([[n], odd, s[: n - -(-FIFTHS * n // 5) + 1]])
+    return np.concatenate([[n, fp], odd, s[: n - -(-FIFTHS * n // 5) + 1]])
 
 
 def heads(text: Column, spark, common: list[tuple[int, int]]) -> Column:
@@ -235,13 +238,17 @@ def heads(text: Column, spark, common: list[tuple[int, int]]) -> Column:
     def made(texts: pa.Array) -> pa.Array:
         return pa.array([head_of(t, *sent.value) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
-    return made(text)
+    return made(text.cast("binary"))
+
+
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return 5 * F.least(n, m) >= FIFTHS * F.greatest(n, m)
 
 
 def _possible(x, y) -> Column:
     """Whether texts that first meet in a shingle at these places can have four fifths in common, by their sizes and what is left of them."""
     left = 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
-    return ((FIFTHS + 5) * left >= FIFTHS * (x["n"] + y["n"])) & (5 * F.least(x["n"], y["n"]) >= FIFTHS * F.greatest(x["n"], y["n"]))
+    return ((FIFTHS + 5) * left >= FIFTHS * (x["n"] + y["n"])) & _sizes_fit(x["n"], y["n"])
 
 
 def _alike(x, y) -> Column:
@@ -252,52 +259,63 @@ def _alike(x, y) -> Column:
     return (FIFTHS + 5) * differ <= (5 - FIFTHS) * (x["n"] + y["n"])
 
 
-def similar(points: DataFrame, texts: DataFrame) -> DataFrame:
-    """points: t, head. texts: t, text. Links a < b of texts that are near copies; they connect all that are, without all pairs of a crowd.
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def pivot_pairs(points: DataFrame) -> DataFrame:
+    """points: t, fp. Pairs a < b of texts that the pivot tables link: those of equal fingerprints with the least of them, and these as their fingerprints are linked."""
+    one = written(points.groupBy("fp").agg(F.min("t").alias("one")), "near-prints")  # written, so that Spark can split what a common one is joined with
+    same = points.join(one, "fp").filter("t <> one").select(*_pair("t", "one"))
+    links = near_pairs(one.select(F.lit(0).alias("family"), "fp"))
+    ends = links.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b")
+    return same.unionByName(ends.select(*_pair("x", "y")))
+
 
-    Texts that share a key, a shingle of both heads, are compared. In a crowd, a key of
-    more than CROWD texts, each is compared with the one that is in most crowds, which
-    has least of its own. Then all are compared that have a key in common but are not
-    connected yet: those that are not in the crowd's largest component with all of the
-    others, but for pairs whose parities are too far apart.
+def similar(points: DataFrame, texts: DataFrame) -> DataFrame:
+    """points: t, head, one row for each t. texts: t, text. Links a < b of texts that are near copies; they connect all that are, without all pairs of a crowd.
+
+    First come the pairs that the pivot tables link, and for each shingle that is in
+    several heads the pairs of one text with all others: the one that is in most such
+    crowds, which has least of its own. Then all are compared that share a shingle of
+    their heads but are not connected yet: those that are not in the crowd's largest
+    component with all of the others, but for pairs whose sizes, places or parities
+    are too far apart.
     """
     spark = points.sparkSession
-    points = written(points, "near-points")
-    members = points.select("t", F.element_at("head", 1).cast("int").alias("n"), F.posexplode(F.slice("head", PARITIES + 2, F.size("head"))).alias("pos", "key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
-    rows = written(members.join(shared, "key"), "near-keys")
-
-    def pairs(group):
-        def with_later(x, i):
-            later = F.slice(group, i + 2, F.size(group))
-            return F.transform(F.filter(later, lambda y: _possible(x, y)), lambda y: F.struct(F.least(x.t, y.t).alias("a"), F.greatest(x.t, y.t).alias("b")))
-
-        return F.flatten(F.transform(group, with_later))
-
-    few = rows.filter(F.col("times") <= CROWD).groupBy("key").agg(F.collect_list(F.struct("t", "n", "pos")).alias("group"))
-    cold = few.select(F.explode(pairs(F.col("group"))).alias("pair")).select("pair.a", "pair.b")
-    crowd = rows.filter(F.col("times") > CROWD)
-    often = crowd.groupBy("t").agg(F.count("*").alias("crowds"))
-    hubs = crowd.select("key", "t").join(often, "t").groupBy("key").agg(F.max_by("t", F.struct("crowds", "t")).alias("hub"))
-    met = crowd.join(hubs, "key").filter("t <> hub").select(F.least("t", "hub").alias("a"), F.greatest("t", "hub").alias("b"))
-    first = written(cold.unionByName(met).distinct(), "near-candidates")
+    at = lambda k: F.element_at("head", k)
+    parities = points.select("t", at(1).cast("int").alias("n"), *[at(k + 3).alias(f"p{k}") for k in range(PARITIES)])
+    members = points.select("t", at(1).cast("int").alias("n"), F.posexplode(F.slice("head", BEFORE + 1, F.size("head"))).alias("pos", "key"))
+    rows = members.withColumn("times", F.count("*").over(W.partitionBy("key"))).filter("times > 1")
+    rows = written(rows, "near-keys")
+    often = rows.groupBy("t").agg(F.count("*").alias("crowds"))
+    hubs = written(rows.select("key", "t").join(often, "t").groupBy("key").agg(F.max_by("t", F.struct("crowds", "t")).alias("hub")), "near-hubs")
+    met = rows.join(hubs, "key").filter("t <> hub").select(*_pair("t", "hub"))
+    first = met.unionByName(pivot_pairs(points.select("t", at(2).alias("fp")))).distinct()
+    first = written(_plausible(first, parities), "near-candidates")
     links = written(verified(first, texts), "near-links")
-    if crowd.isEmpty():
-        return links
+    discard(first)
     roots = components(links)
-    parities = points.select("t", *[F.element_at("head", k + 2).alias(f"p{k}") for k in range(PARITIES)])
-    rooted = crowd.join(roots.withColumnRenamed("v", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-    rooted = written(rooted.join(parities, "t"), "near-crowds")
-    most = rooted.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    apart = written(rooted.join(most, "key").filter("root <> most"), "near-apart")
-    x, y = apart.alias("x"), rooted.alias("y")
-    at = lambda name: {c: F.col(f"{name}.{c}") for c in ("n", "pos", *parities.columns[1:])}
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(at("x"), at("y")) & _alike(at("x"), at("y")))
-    rest = rest.select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b")).distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "near-candidates")
+    crowd = rows.filter("times > 2").join(roots.withColumnRenamed("v", "t"), "t", "left").select("key", "t", "n", "pos", F.coalesce("root", "t").alias("root"))
+    crowd = written(crowd, "near-crowds")
+    most = crowd.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("key", "most")
+    left = written(crowd.join(most, "key").join(parities.drop("n"), "t"), "near-crowds")
+    discard(rows, hubs, crowd)
+    x, y = left.filter("root <> most").alias("x"), left.alias("y")
+    of = lambda name: {c: F.col(f"{name}.{c}") for c in ("n", "pos", *parities.columns[2:])}
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(of("x"), of("y")) & _alike(of("x"), of("y")))
+    rest = written(rest.select(*_pair("x.t", "y.t")).distinct(), "near-candidates")
+    discard(left)
     return links.unionByName(verified(rest, texts))
 
 
+def _plausible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
+    """The pairs whose sizes and parities do not rule them out."""
+    both = pairs.join(parities.withColumnRenamed("t", "a").alias("x"), "a").join(parities.withColumnRenamed("t", "b").alias("y"), "b")
+    of = lambda name: {c: F.col(f"{name}.{c}") for c in parities.columns[1:]}
+    return both.filter(_sizes_fit(F.col("x.n"), F.col("y.n")) & _alike(of("x"), of("y"))).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs: a, b. texts: t, text, equal for equal t. The pairs of which four fifths of the five-word shingles that either has are common."""
 
@@ -307,7 +325,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     ends = sent_if_small(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "simhash-ends")
     once = texts.join(ends, "t", "left_semi").dropDuplicates(["t"])
-    sets = written(once.select("t", shingles("text").alias("s")), "simhash-sets")
+    sets = written(once.select("t", shingles(F.col("text").cast("binary")).alias("s")), "simhash-sets")
     left = pairs.join(sets.toDF("a", "sa"), "a")
     both = left.join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -324,16 +342,16 @@ def one_of_each_group(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     ones. An empty table gives an empty one. All columns stay.
     """
     spark = df.sparkSession
-    small_batches(spark)
     own = take(df, key, text).toDF("key", "text").withColumn("text", F.coalesce("text", F.lit("")))
     same = own.select("key", "text", F.xxhash64("text").alias("t"))
     rank = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.sha2("text", 256).alias("sha"))
-    head = heads(own["text"], spark, [])
-    seen = own.select(F.explode(F.slice(head, PARITIES + 2, 1 << 30)).alias("key")).groupBy("key").agg(F.count("*").alias("times"))
-    common = written(seen.filter(F.col("times") > COMMON).orderBy(F.desc("times"), "key").limit(MOST), "near-common").collect()
-    docs = written(same.select(rank.alias("rank"), "t", heads(same["text"], spark, [tuple(r) for r in common]).alias("head")), "near-docs")
-    points = docs.groupBy("t").agg(F.first("head").alias("head"))
+    seen = own.select(F.explode(F.slice(heads(own["text"], spark, []), BEFORE + 1, 1 << 30)).alias("key")).groupBy("key").agg(F.count("*").alias("times"))
+    most = written(seen.filter(F.col("times") > COMMON).orderBy(F.desc("times"), "key").limit(MOST), "near-common")
+    common = [tuple(r) for r in most.collect()]
+    docs = written(same.select(rank.alias("rank"), "t"), "near-docs")
+    points = written(same.select("t", heads(same["text"], spark, common).alias("head")).groupBy("t").agg(F.first("head").alias("head")), "near-points")
     links = written(similar(points, same.select("t", "text")), "near-links")
+    discard(most, points)
     roots = components(links)
     grouped = docs.select("rank", "t").join(roots.withColumnRenamed("v", "t"), "t", "left").select("rank", F.coalesce("root", "t").alias("root"))
     first = grouped.groupBy("root").agg(F.min("rank").alias("rank")).select("rank").distinct()
