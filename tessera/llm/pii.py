@@ -94,12 +94,12 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def prefix_sums(steps: Column) -> Column:
-    """Inclusive prefix sums of an array of int by doubling steps."""
+def running(steps: Column, add) -> Column:
+    """The inclusive running total of an array by add, in doubling steps."""
     shifts = F.array(*[F.lit(1 << k) for k in range(31)])
 
     def double(sums, d):
-        moved = F.transform(sums, lambda x, i: x + F.coalesce(F.when(i >= d, F.get(sums, i - d)), F.lit(0)))
+        moved = F.transform(sums, lambda x, i: F.when(i >= d, add(x, F.get(sums, i - d))).otherwise(x))
         return F.when(F.size(sums) > d, moved).otherwise(sums)
 
     return F.aggregate(shifts, steps, double)
@@ -138,7 +138,7 @@ def _spans(kind: Kind) -> Column:
 
 def _ends() -> Column:
     steps = F.transform(F.slice("__tessera_gaps", 1, F.size("__tessera_hits")), lambda g, i: F.char_length(g) + F.coalesce(F.when(i > 0, F.char_length(F.get(F.col("__tessera_hits"), i - 1))), F.lit(0)))
-    return F.when(F.size("__tessera_hits") > 0, prefix_sums(steps)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size("__tessera_hits") > 0, running(steps, lambda a, b: a + b)).otherwise(F.array().cast("array<int>"))
 
 
 def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,13 +148,19 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     repeated rows give repeated rows; a null key stays null; an empty table gives
     an empty one; other columns are dropped.
     """
-    out = take(df, key, text).select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    names = []
+    own = take(df, key, text).select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    return _with_spans(own, "__key").select(F.col("__key").alias(key), *[F.col(f"__tessera_{k.name}").alias(k.name) for k in KINDS])
+
+
+def _with_spans(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns keep, and for each kind its spans in __text."""
+    names: list[str] = []
     for kind in KINDS:
-        out = _cut(out, "__text", kind).withColumn("__tessera_ends", _ends())
-        out = out.select("__key", "__text", *names, F.when(F.size("__tessera_hits") > 0, _spans(kind)).otherwise(F.array().cast(SPAN)).alias(kind.name))
-        names.append(kind.name)
-    return out.select(F.col("__key").alias(key), *names)
+        cut = _cut(df, "__text", kind).withColumn("__tessera_ends", _ends())
+        found = F.when(F.size("__tessera_hits") > 0, _spans(kind)).otherwise(F.array().cast(SPAN))
+        df = cut.select(*keep, *(["__text"] if "__text" not in keep else []), *names, found.alias(f"__tessera_{kind.name}"))
+        names.append(f"__tessera_{kind.name}")
+    return df
 
 
 def _listed(kinds) -> Column:
@@ -170,30 +176,40 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return find(df, key, text).select(key, *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in base], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(KINDS).alias("spans"))
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with each confirmed span of its text replaced by the kind in capitals and brackets.
+#: Characters of the chunks that a text is cut into, so that a piece of it is found without reading all before it.
+CHUNK = 1024
 
-    Kinds are replaced one after another in the order of KINDS, each on the text
-    that the kinds before it left. Other columns, and texts without spans or null,
-    stay as they are. Write the result before filtering on the new text: a pushed
-    filter would repeat the whole expression.
-    """
-    new = "redacted"
-    wide, (at,) = plain(df, text)
-    names = wide.columns
-    out = wide.withColumn(new, F.coalesce(F.col(at), F.lit("")))
-    for kind in KINDS:
-        out = _cut(out, new, kind)
-        out = out.select(*names, F.when(F.size("__tessera_hits") > 0, F.array_join(F.transform("__tessera_gaps", _replaced(kind)), "")).otherwise(F.col(new)).alias(new))
-    return out.select(*[F.when(F.col(c).isNotNull(), F.col(new)).alias(c) if c == at else F.col(c) for c in names]).toDF(*df.columns)
 
+def _piece(begin: Column, end: Column) -> Column:
+    """The characters from begin to end, from __chunks."""
+    first = F.floor(begin / CHUNK).cast("int")
+    held = F.slice("__chunks", first + 1, F.greatest(F.ceil(end / CHUNK).cast("int") - first, F.lit(0)))
+    return F.substring(F.array_join(held, ""), begin - first * CHUNK + 1, end - begin)
 
-def _replaced(kind: Kind):
-    def piece(gap, i):
-        value = F.get(F.col("__tessera_hits"), i)
-        ok = confirmed(kind.name, value)
-        if not kind.base:
-            ok = ok & (_score(kind, i) >= THRESHOLD)
-        return F.concat(gap, F.when(value.isNull(), "").when(ok, f"[{kind.name.upper()}]").otherwise(value))
 
-    return piece
+def redact(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the confirmed spans of its text replaced by a kind in capitals and brackets.
+
+    Spans are those of the text as it was. Where some overlap, their union is replaced,
+    by the kind of the one that starts first; of those that start together, the
+    longest, then the first in the order of KINDS. Other columns, and texts without
+    spans or null, stay as they are; repeated rows stay repeated; an empty table gives
+    an empty one. Write the result before filtering on the new text: a pushed filter
+    would repeat the whole expression.
+    """
+    wide, (at,) = plain(df, text)
+    names = wide.columns
+    found = _with_spans(wide.withColumn("__text", F.coalesce(F.col(at), F.lit(""))), *names, "__text")
+    of = lambda n, kind: F.transform(f"__tessera_{kind.name}", lambda s: F.struct(s.start.alias("start"), (-s.end).alias("back"), F.lit(n).alias("kind")))
+    found = found.select(*names, "__text", F.array_sort(F.concat(*[of(n, k) for n, k in enumerate(KINDS)])).alias("__spans"))
+    found = found.withColumn("__reach", running(F.transform("__spans", lambda s: -s.back), F.greatest))
+    spans, reach, many = F.col("__spans"), F.col("__reach"), F.size("__spans") > 0
+    first = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i).start >= F.get(reach, i - 1)))
+    found = found.withColumn("__first", F.when(many, first))
+    union = F.transform("__first", lambda i, j: F.struct(F.get(spans, i).start.alias("start"), F.get(reach, F.coalesce(F.get(F.col("__first"), j + 1), F.size(spans)) - 1).alias("end"), F.get(spans, i).kind.alias("kind")))
+    found = found.select(*names, "__text", F.when(many, union).alias("__spans"), F.when(many, F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("__chunks"))
+    marks = F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS])
+    ends = F.transform("__spans", lambda s, i: F.concat(_piece(F.coalesce(F.get(F.col("__spans"), i - 1).end, F.lit(0)), s.start), F.get(marks, s.kind)))
+    last = F.get(F.col("__spans"), F.size("__spans") - 1).end
+    new = F.when(F.col("__spans").isNotNull(), F.concat(F.array_join(ends, ""), _piece(last, F.char_length("__text")))).otherwise(F.col("__text"))
+    return found.select(*[F.when(F.col(c).isNotNull(), new).alias(c) if c == at else F.col(c) for c in names]).toDF(*df.columns)

@@ -99,3 +99,37 @@ def test_context_reaches_over_other_matches(spark):
     assert [[(s.start, s.end) for s in r.ssn] for r in pii.find(df).orderBy("doc_id").collect()] == want
     assert [len(w) for w in want] == [3, 2, 1, 4]
     assert [r.text.count("[SSN]") for r in pii.redact(df).orderBy("doc_id").collect()] == [3, 2, 1, 4]
+
+
+def redacted(text, spans):
+    """The text with the union of spans that overlap replaced, by the kind of the first, longest one. spans: start, end, kind."""
+    out, at, held = "", 0, None
+    for start, back, n, kind in sorted((a, -b, list(k.name for k in pii.KINDS).index(k), k) for a, b, k in spans):
+        if held and start < held[1]:
+            held[1] = max(held[1], -back)
+            continue
+        if held:
+            out, at = out + text[at : held[0]] + f"[{held[2].upper()}]", held[1]
+        held = [start, -back, kind]
+    if held:
+        out, at = out + text[at : held[0]] + f"[{held[2].upper()}]", held[1]
+    return out + text[at:]
+
+
+def test_redaction_of_spans_that_overlap(spark):
+    rows = ["+1.2.3.4 5555555", "call +49.30.12.34.567 now", "+4111 1111 1111 1111", "1.2.3.4@x.org and 4111-1111-1111-1111@y.z", "x" * 5000 + "a@b.co" + "é" * 3000 + "+1.2.3.4 5555555", "a@b.c" + "\n" * 2048 + "a@b.c"] + [t or "" for t in texts()]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end, k.name) for k in pii.KINDS for s in r[k.name]] for r in pii.find(df).collect()}
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert got == {i: redacted(t, found[i]) for i, t in enumerate(rows)}
+    assert [got[k] for k in range(4)] == ["[PHONE]", "call [PHONE] now", "+[CARD]", "[EMAIL] and [EMAIL]"]
+    assert sum(any(a[0] < b[1] and b[0] < a[1] for a in f for b in f if a != b) for f in found.values()) > 20
+
+
+def test_redaction_of_nulls_repeats_and_long_texts(spark):
+    long = "me@x.org 4111 1111 1111 1111, é " * 5000
+    rows = [(1, long, "x"), (1, long, "x"), (None, None, None), (None, "a@b.co", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, TEXT string")
+    got = Counter(map(tuple, pii.redact(df).collect()))
+    assert got == Counter([(1, "[EMAIL] [CARD], é " * 5000, "x")] * 2 + [(None, None, None), (None, "[EMAIL]", None)])
+    assert pii.redact(df.limit(0)).count() == 0
