@@ -7,8 +7,10 @@ validates its version line, header fields, block length and digests. What is not
 valid gives a row with `error` set.
 
 Archives are written with Spark's text writer, so that they reach any store that
-Spark writes to: each row is the bytes of one frame, and the line separator is a
-skippable frame of no bytes, which every Zstandard reader passes over.
+Spark writes to: each row is the bytes of some frames, and the line separator is a
+skippable frame of no bytes, which every Zstandard reader passes over. Archives end
+at some 64 MB, so that one fits in a task; it is read as Spark's binary files are,
+and decoded a frame at a time.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import new_path, small_batches, take
+from .base import new_path, sent_if_small, take
 
 #: Fixed values of the formats.
 ZSTD_FRAME, ZSTD_DICTIONARY, FIRST_SKIPPABLE, DICTIONARY_SKIPPABLE = 0xFD2FB528, 0xEC30A437, 0x184D2A50, 0x184D2A5D
@@ -32,8 +34,8 @@ NOTHING = struct.pack("<II", FIRST_SKIPPABLE, 0)
 NEEDED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: Rows of an archive, with the dictionary's.
-FRAMES_PER_FILE = 2048
+#: A row holds frames of ROW_BYTES or more, an archive ROWS rows, with the dictionary's; larger rows count for as many as they have times the bytes.
+ROW_BYTES, ROWS = 1 << 20, 64
 #: What the dictionary is trained on: at most so many pages, so many characters of each.
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 4096, 16_384
 #: A record that claims more bytes is not decoded.
@@ -74,7 +76,7 @@ def frame_end(data: memoryview, at: int) -> int:
     return end
 
 
-def read_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
+def read_dictionary(data: bytes | memoryview) -> zstandard.ZstdCompressionDict | None:
     """The dictionary of the leading skippable frame; it may itself be compressed. None if there is no such frame."""
     if len(data) < 8 or struct.unpack_from("<I", data)[0] != DICTIONARY_SKIPPABLE:
         return None
@@ -133,9 +135,9 @@ def parse(data: bytes) -> dict:
     return {"fields": fields, "payload": payload, "length": length}
 
 
-def records(data: bytes) -> Iterator[tuple[int, dict | str]]:
+def records(data) -> Iterator[tuple[int, dict | str]]:
     """Offset and parsed record, or what is wrong with it, for each frame. Walking ends where no frame boundary is found."""
-    view, at = memoryview(data), 0
+    data, at = memoryview(data).cast("B"), 0
     try:
         reader = zstandard.ZstdDecompressor(dict_data=d) if (d := read_dictionary(data)) else zstandard.ZstdDecompressor()
     except (BadArchive, zstandard.ZstdError) as e:
@@ -143,13 +145,13 @@ def records(data: bytes) -> Iterator[tuple[int, dict | str]]:
         return
     while at < len(data):
         try:
-            end = frame_end(view, at)
+            end = frame_end(data, at)
         except BadArchive as e:
             yield at, str(e)
             return
         if struct.unpack_from("<I", data, at)[0] == ZSTD_FRAME:
             try:
-                frame = data[at:end]
+                frame = bytes(data[at:end])
                 if not 0 < zstandard.get_frame_parameters(frame).content_size <= MOST_BYTES:
                     raise BadArchive("a frame of unknown or too large size")
                 yield at, parse(reader.decompress(frame))
@@ -174,49 +176,65 @@ def train(df: DataFrame, key: str, html: str) -> bytes:
         return b"".join(texts)[-DICTIONARY_BYTES:] or b"WARC/1.1\r\n"
 
 
-def referents(df: DataFrame, key: str, html: str, least: int = 0) -> DataFrame:
-    """key, url and the rest of df, with `sha1` (hex) of the payload, and `first`: the smallest key among those with an equal payload.
+def shared_payloads(df: DataFrame, key: str, html: str, least: int = 0) -> DataFrame:
+    """sha1 (20 bytes) and first, the smallest key, of the payloads of least bytes or more that several rows have. No payload is moved for it."""
+    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
+    rows = df.filter(F.octet_length(payload) >= least).select(F.unhex(F.sha1(payload)).alias("sha1"), key)
+    return rows.groupBy("sha1").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
 
-    `first` is null where the payload is shorter than least, is the only one, or no equal one has a key.
-    """
-    payload = F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
-    rows = df.withColumn("sha1", F.sha1(payload))
-    shared = rows.filter(F.octet_length(payload) >= least).groupBy("sha1").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(shared, "sha1", "left")
+
+def _name(key: Column) -> Column:
+    """A record's id: the key as text, percent-encoded; keys of any type are told apart from null."""
+    return F.coalesce(F.concat(F.lit("urn:x-page:"), F.url_encode(key.cast("string"))), F.lit("urn:x-null"))
 
 
 def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> None:
     """Writes one record per row of df below path, of equal payloads one response (that of the smallest key) and revisits to it.
 
     A null html is an empty payload. A record of null key is a response if no equal
-    payload has a key, and never referred to.
+    payload has a key, and never referred to. Repeated rows give repeated records, each
+    of the smallest key a response. An empty table gives no records; other columns are
+    left out.
     """
     own = take(df, key, url, html).toDF("key", "url", "html")
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
     words = train(own, "key", "html")
     lead = struct.pack("<II", DICTIONARY_SKIPPABLE, len(words)) + words
-    held = df.sparkSession.sparkContext.broadcast(lead)
-    rows = referents(own.withColumn("key", F.col("key").cast("long")), "key", "html", least).select("key", "url", "html", "first")
+    held = spark.sparkContext.broadcast(lead)
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    shared = sent_if_small(shared_payloads(own, "key", "html", least), "warc-shared")
+    rows = own.withColumn("sha1", F.unhex(F.sha1(payload))).join(shared, "sha1", "left")
+    again = F.when(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), _name(F.col("first")))
+    rows = rows.select(_name(F.col("key")).alias("name"), "url", payload.alias("payload"), again.alias("again"))
 
     def frames(batches):
         words = read_dictionary(held.value)
         packer = zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=True, write_checksum=True)
-        done = 0
+        waiting, size, done = [], 0, 0
+
+        def row():
+            """The frames that wait, after the dictionary where an archive begins, and empty rows for what they have over ROW_BYTES."""
+            nonlocal waiting, size, done
+            out = [held.value] if done % ROWS == 0 else []
+            out.append(b"".join(waiting))
+            done += len(out)
+            more = min(size // ROW_BYTES - 1, -done % ROWS)
+            out += [b""] * max(more, 0)
+            done += max(more, 0)
+            waiting, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+
         for b in batches:
-            out = []
-            for key, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if done % FRAMES_PER_FILE == 0:
-                    out.append(held.value)
-                    done += 1
-                payload = (html or "").encode("utf-8", "surrogatepass")
-                again = first is not None and first != key
-                name = "urn:x-page:" + ("null" if key is None else str(key))
-                out.append(packer.compress(record("revisit" if again else "response", name, url, payload, digest(payload), len(payload), f"urn:x-page:{first}" if again else None)))
-                done += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+            for name, url, payload, again in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                waiting.append(packer.compress(record("revisit" if again else "response", name, url, payload, digest(payload), len(payload), again)))
+                size += len(waiting[-1])
+                if size >= ROW_BYTES:
+                    yield row()
+        if waiting:
+            yield row()
 
     made = rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    made.write.option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", FRAMES_PER_FILE).text(path)
+    made.write.option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", ROWS).text(path)
 
 
 RECORD = "file string, offset long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, error string"
@@ -236,7 +254,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for b in batches:
             for name, data in zip(b.column(0), b.column(1), strict=True):
                 out = []
-                for at, got in records(data.as_py()):
+                for at, got in records(data.as_buffer()):
                     row = {"file": name.as_py(), "offset": at}
                     if isinstance(got, str):
                         row["error"] = got
@@ -263,5 +281,6 @@ def round_trip(df: DataFrame, key: str = "page_id", url: str = "url", html: str
     path = new_path(df.sparkSession, "warc")
     write(df, path, key, url, html, least)
     out = read(df.sparkSession, path, payloads=False)
-    number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS BIGINT)")
-    return out.select(number("record_id").alias(key), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "error")
+    kind = take(df, key).schema[0].dataType
+    back = lambda c: F.when(F.startswith(c, F.lit("urn:x-page:")), F.url_decode(F.substring(c, 12, 1 << 30)).cast(kind))
+    return out.select(back("record_id").alias(key), "payload_bytes", "payload_digest", "record_type", back("refers_to").alias("refers_to"), "error")

@@ -36,7 +36,8 @@ def test_round_trip(spark):
 
 
 def test_files_are_archives_for_any_reader(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "FRAMES_PER_FILE", 50)
+    monkeypatch.setattr(warc, "ROW_BYTES", 1500)
+    monkeypatch.setattr(warc, "ROWS", 6)
     df = spark.createDataFrame(pages(), "page_id long, url string, html string, x int").coalesce(1)
     warc.write(df, f"file://{tmp_path}/a")
     files = sorted((tmp_path / "a").glob("part-*"))
@@ -54,6 +55,25 @@ def test_files_are_archives_for_any_reader(spark, tmp_path, monkeypatch):
     assert texts["urn:x-page:9"] == "é" * 5000
 
 
+def test_large_pages_end_an_archive_early(spark, tmp_path):
+    rng = random.Random(3)
+    large = ["".join(chr(rng.randrange(33, 127)) for _ in range(1 << 20)) * 20] * 2 + [rng.randbytes(9 << 20).hex() for _ in range(12)]
+    rows = [(f"id {i}/é%:+", "u", t) for i, t in enumerate(large)] + [(f"small {i}", None, str(i)) for i in range(5)] + [("", "u", "x"), (None, "u", "y")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    assert set(got) == {r[0] for r in rows} and all(r.error is None and r.payload_digest == warc.digest(t.encode()) for i, _, t in rows for r in [got[i]])
+    assert got["id 1/é%:+"].refers_to == "id 0/é%:+" and got["id 1/é%:+"].payload_bytes == 20 << 20
+    warc.write(df, f"file://{tmp_path}/a")
+    sizes = [f.stat().st_size for f in (tmp_path / "a").glob("part-*")]
+    assert len(sizes) >= 2 and max(sizes) < 90 << 20
+
+
+def test_pages_are_not_moved_to_find_copies(spark):
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string, x int")
+    plan = warc.shared_payloads(df, "page_id", "html")._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan.split("Exchange")[1].split("\n")[0]
+
+
 def test_faults_are_reported():
     good = warc.record("response", "urn:x-page:1", "u", b"body", warc.digest(b"body"), 4, None)
     assert warc.parse(good)["payload"] == b"body"
