@@ -45,11 +45,34 @@ def test_random_changes_against_brute_force(spark, tmp_path):
         want_tokens[s, lang, v] += n
     want = {k: (n, want_tokens[k]) for k, n in want_docs.items()}
     assert totals(r) == want
-    for name, changes in batches:
-        assert not r.commit(name, changes)
-    assert totals(r) == want
-    with pytest.raises(rollup.BatchConflict):
-        r.commit("b-0", batches[1][1])
+    for folded in (4, 0):
+        assert r.fold() == folded
+        for name, changes in batches:
+            assert not r.commit(name, changes)
+        assert totals(r) == want
+        with pytest.raises(rollup.BatchConflict):
+            r.commit("b-0", batches[1][1])
+    assert sorted(p.name for p in (tmp_path / "r").iterdir() if not p.name.startswith(".")) == ["folds"]
+    assert r.commit("later", frame(spark, [("insert", "a", "en", "v1", 7, None, None)]))
+    assert totals(r) == want | {("a", "en", "v1"): (want.get(("a", "en", "v1"), (0, 0))[0] + 1, want.get(("a", "en", "v1"), (0, 0))[1] + 7)}
+
+
+def test_a_fold_that_broke_off(spark, tmp_path):
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    one = frame(spark, [("insert", "a", "en", "v1", 7, None, None)])
+    r.commit("one", one)
+    (tmp_path / "kept").mkdir()
+    import shutil
+
+    shutil.copytree(tmp_path / "r/one", tmp_path / "kept/one")
+    assert r.fold() == 1 and r.fold() == 0
+    shutil.copytree(tmp_path / "kept/one", tmp_path / "r/one")  # as if it broke off before the folder was taken away
+    assert totals(r) == {("a", "en", "v1"): (1, 7)} and r.batches() == []
+    r.commit("two", one)
+    r.totals().write.parquet(f"file://{tmp_path}/r/folds/1/totals")  # a fold without its ids
+    assert totals(r) == {("a", "en", "v1"): (2, 14)}
+    assert r.fold() == 1 and totals(r) == {("a", "en", "v1"): (2, 14)}
+    assert not (tmp_path / "r/one").exists()
 
 
 def test_broken_off_batches_do_not_count(spark, tmp_path):
@@ -71,3 +94,7 @@ def test_history(spark):
     labels = spark.createDataFrame([(3, 1), (3, 1), (1, None)], "doc_id long, toxic int")
     got = {tuple(r) for r in rollup.totals(docs, labels).collect()}
     assert got == {("s", "en", "marks-2", 2, 5), (None, None, "marks-2", 1, 0)}
+    assert rollup.totals(docs.limit(0), labels).count() == 0 and rollup.totals(docs.limit(0), labels.limit(0)).count() == 0
+    assert {tuple(r) for r in rollup.totals(docs, labels.limit(0)).collect()} == {("s", "en", "marks-2", 4, 9), (None, None, "marks-2", 1, 0)}
+    long = spark.createDataFrame([(1, "ab 1;" * 200_000, "s", "en")], docs.schema)
+    assert [tuple(r) for r in rollup.totals(long, labels).collect()] == [("s", "en", "marks-2", 1, 600_000)]
