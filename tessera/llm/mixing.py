@@ -1,7 +1,7 @@
 """Operator 3: mixing sources to target weights.
 
 Each document draws an exponential key scaled by its quality weight, -ln(u) / w,
-as Efraimidis and Spirakis do; u comes from the MD5 of its id, so reruns agree. A
+as Efraimidis and Spirakis do; u comes from the MD5 of its id and its text, so reruns agree. A
 source whose target is above its size gives complete epochs first; the rest of
 its token budget goes to the documents with the smallest keys, as far as the
 prefix sum of their sizes reaches.
@@ -34,9 +34,9 @@ def quality_weight(text: Column, size: Column) -> Column:
     return (F.lit(1) + (size >= 50).cast("int") + ((chars >= 3 * size) & (chars <= 12 * size)).cast("int") + (10 * symbols <= size).cast("int")).cast("long")
 
 
-def draw(key: Column, weight: Column, seed: str = SEED) -> Column:
-    """The exponential key of a document id (null counts as a text of its own)."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double")
+def draw(key: Column, text_md5: Column, weight: Column, seed: str = SEED) -> Column:
+    """The exponential key of a document by its id (null counts as a text of its own) and the MD5 of its text, so that documents of one id do not draw alike."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), text_md5)), 1, 13), 16, 10).cast("double")
     return -F.log((bits + 0.5) / float(1 << 52)) / weight
 
 
@@ -72,8 +72,8 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share=(3, 2), cap: int = 2) ->
 
 
 def plan(rows: DataFrame, **shares) -> DataFrame:
-    """rows: key, source, size, weight. For each source its target, whole epochs, the budget left after them, the bin in which that ends, and the words in the bins before."""
-    rows = rows.withColumn("own", _own(F.col("source"))).withColumn("bin", _bin(draw(F.col("key"), F.col("weight"))))
+    """rows: key, md5, source, size, weight. For each source its target, whole epochs, the budget left after them, the bin in which that ends, and the words in the bins before."""
+    rows = rows.withColumn("own", _own(F.col("source"))).withColumn("bin", _bin(draw(F.col("key"), F.col("md5"), F.col("weight"))))
     bins = written(rows.groupBy("own", "source", "bin").agg(F.sum("size").alias("words")), "mix-bins")
     aims = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), **shares)
     aims = aims.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -85,19 +85,20 @@ def plan(rows: DataFrame, **shares) -> DataFrame:
     return aims.join(edge, "own", "left").select("own", "source_size", "target", "epochs", "budget", F.coalesce("edge", F.when(F.col("budget") > 0, BINS).otherwise(-1)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
 
 
-def mix(df: DataFrame, planned: DataFrame, key: str, source: str, size: str, weight: str, whole: bool = False) -> DataFrame:
+def mix(df: DataFrame, planned: DataFrame, key: str, md5: str, source: str, size: str, weight: str, whole: bool = False) -> DataFrame:
     """df with source_size, target, and `taken`: the words of each row that the mix takes, repeats counted.
 
     Of a source's fraction, the row at which the budget ends gives as many words as
     are left; with whole, it is taken whole if at least half of it fits, and not
     at all otherwise, so a source misses its target by half a document at most.
-    Rows with equal draws go by key, then size.
+    Rows with equal draws go by key, then size: those that are equal in id and text,
+    which alone share a bin whatever their number.
     """
     planned = written(planned, "mix-plan")
     if planned.count() <= FEW_SOURCES:
         planned = F.broadcast(planned)
     rows = df.withColumn("__own", _own(F.col(source))).join(planned.withColumnRenamed("own", "__own"), "__own")
-    rows = rows.withColumn("__drawn", draw(F.col(key), F.col(weight)))
+    rows = rows.withColumn("__drawn", draw(F.col(key), F.col(md5), F.col(weight)))
     clear = rows.filter(_bin(F.col("__drawn")) != F.col("edge"))
     at_edge = rows.filter(_bin(F.col("__drawn")) == F.col("edge"))
     in_order = W.partitionBy("__own").orderBy("__drawn", key, size).rowsBetween(W.unboundedPreceding, -1)
@@ -108,6 +109,15 @@ def mix(df: DataFrame, planned: DataFrame, key: str, source: str, size: str, wei
     return both.select(*df.columns, "source_size", "target", (F.col("epochs") * F.col(size) + F.col("__part")).cast("long").alias("taken"))
 
 
+def _md5(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _rows(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    own = take(df, key, source, text).toDF("key", "source", "text").withColumn("size", word_count(F.col("text")))
+    return own.select("key", "source", "size", quality_weight(F.col("text"), F.col("size")).alias("weight"), _md5(F.col("text")).alias("md5"))
+
+
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per row of df: the key, its size in words, its source's size and target, and the words taken.
 
@@ -115,9 +125,8 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     a source of their own; repeated rows share their draw, and the edge of a budget
     may fall between them; an empty table gives an empty one; other columns are dropped.
     """
-    own = take(df, key, source, text).toDF("key", "source", "text").withColumn("size", word_count(F.col("text")))
-    rows = written(own.select("key", "source", "size", quality_weight(F.col("text"), F.col("size")).alias("weight")), "mix-rows")
-    out = mix(rows, plan(rows), "key", "source", "size", "weight")
+    rows = written(_rows(df, key, text, source), "mix-rows")
+    out = mix(rows, plan(rows), "key", "md5", "source", "size", "weight")
     return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken")
 
 
@@ -127,13 +136,13 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     Texts without words, null ones too, are in no mix. Repeated rows are repeated
     each; null sources and keys are as in digest; an empty table gives an empty one.
     """
-    own = take(df, key, source, text).toDF("key", "source", "text").withColumn("size", word_count(F.col("text")))
-    rows = written(own.select("key", "source", "size", quality_weight(F.col("text"), F.col("size")).alias("weight")), "mix-rows")
+    rows = written(_rows(df, key, text, source), "mix-rows")
     wide, (k, t, s) = plain(df, key, text, source)
     names = wide.columns
     wide = wide.withColumn("__size", word_count(F.col(t)))
     wide = wide.withColumn("__weight", quality_weight(F.col(t), F.col("__size")))
-    out = mix(wide, plan(rows), k, s, "__size", "__weight", whole=True)
+    wide = wide.withColumn("__md5", _md5(F.col(t)))
+    out = mix(wide, plan(rows), k, "__md5", s, "__size", "__weight", whole=True)
     times = F.when(F.col("__size") > 0, (F.col("taken") / F.col("__size")).cast("int")).otherwise(0)
     out = out.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return out.select(*names).toDF(*df.columns)

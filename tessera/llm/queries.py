@@ -116,11 +116,11 @@ FROM d LEFT JOIN f USING (rid) GROUP BY rid"""
 MIX_SQL = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 r AS (
-  SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
+  SELECT doc_id, source, md5(text) AS digest, len({SQL_WORDS})::BIGINT AS size, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS symbols
   FROM d),
 q AS (
-  SELECT *, -ln((('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496)
+  SELECT *, -ln((('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest), 1, 13))::BIGINT + 0.5) / 4503599627370496)
     / (1 + (size >= 50)::INTEGER + (chars >= 3 * size AND chars <= 12 * size)::INTEGER + (10 * symbols <= size)::INTEGER) AS k
   FROM r),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),

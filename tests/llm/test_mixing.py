@@ -45,7 +45,7 @@ def slow(docs):
             i, n, t, _ = r
             chars = len(re.sub(r"[\x20\x09-\x0D]", "", t))
             w = 1 + (n >= 50) + (3 * n <= chars <= 12 * n) + (10 * len(re.findall(r"[#*$%&|<>]", t)) <= n)
-            u = (int(hashlib.md5(f"mix-1:{'null' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            u = (int(hashlib.md5(f"mix-1:{'null' if i is None else i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
             return (-math.log(u) / w, -1 if i is None else i, n)
         own = sorted((r for r in sized if r[3] == s), key=drawn)
         epochs = math.floor(target[s] / sizes[s]) if sizes[s] else 0
@@ -69,6 +69,20 @@ def test_against_brute_force(spark):
     assert all(abs(taken - target) <= 1 for (_, target), taken in by.items())
 
 
+def test_documents_of_one_id_do_not_share_a_bin(spark):
+    df = spark.createDataFrame([(None, f"word {i}", "s") for i in range(2000)], "doc_id long, text string, source string")
+    made = mixing._rows(df, "doc_id", "text", "source")
+    drawn = made.select(mixing._bin(mixing.draw(made["key"], made["md5"], made["weight"])).alias("bin")).groupBy("bin").count()
+    assert max(r["count"] for r in drawn.collect()) < 20
+
+
+def test_ties_at_the_edge_of_a_budget(spark):
+    rows = [(7, "five words are in here", "s")] * 9 + [(8, "one", "s")] + [(9, "x " * 200_000, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = [tuple(r) for r in mixing.digest(df).collect()]
+    assert sorted(got, key=str) == slow([(i, t, s, 0) for i, t, s in rows])
+
+
 def test_empty_and_single(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.digest(df).count() == 0 and mixing.repeated(df).count() == 0

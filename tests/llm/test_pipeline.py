@@ -84,9 +84,7 @@ def slow_run(rows):
     rows = [r for r, g in zip(rows, group, strict=True) if r[0] == g]
 
     def redacted(text):
-        for kind, pattern in test_pii.PLAIN.items():
-            text = re.sub(pattern, lambda m, k=kind: f"[{k.upper()}]" if test_pii.good(k, m[0]) else m[0], text)
-        return text
+        return test_pii.redacted(text, [(a, b, k) for k, spans in test_pii.base(text).items() for a, b in spans])
 
     rows = [(r[0], redacted(r[1]), r[3]) for r in rows]
     sizes = defaultdict(int)
@@ -98,7 +96,7 @@ def slow_run(rows):
         def drawn(r):
             n, chars = len(r[1].split()), len("".join(r[1].split()))
             w = 1 + (n >= 50) + (3 * n <= chars <= 12 * n) + (10 * len(re.findall(r"[#*$%&|<>]", r[1])) <= n)
-            return -math.log((int(hashlib.md5(f"mix-1:{r[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w
+            return -math.log((int(hashlib.md5(f"mix-1:{r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w
         epochs = math.floor(target / sizes[s])
         room = round(target - epochs * sizes[s])
         for i, t, _ in sorted((r for r in rows if r[2] == s), key=drawn):
