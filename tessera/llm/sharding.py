@@ -26,8 +26,8 @@ from .base import take, written
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 #: Boundaries of the first pass, and new ones in each cell that is probed again.
 FIRST, FINER = 1024, 256
-#: A cell with more than one of this many of all rows is probed again, so that no task gets more.
-CELLS = 512
+#: A cell with more than one of CELLS of all rows, or more than CELL_ROWS, is probed again, so that no task gets more.
+CELLS, CELL_ROWS = 512, 2_000_000
 
 
 def sort_key(text, key):
@@ -56,6 +56,11 @@ def count_below(rows: DataFrame, bounds: list[int]) -> tuple[list[int], list[int
     return np.cumsum(size)[:-1].tolist(), np.cumsum(count)[:-1].tolist()
 
 
+def most_rows(n: int) -> int:
+    """The rows of a cell, of n in all."""
+    return min(max(1, n // CELLS), CELL_ROWS)
+
+
 def splitters(rows: DataFrame, shards: int, tolerance: float) -> tuple[list[int], list[int], list[int], list[int]]:
     """Boundaries with the exact bytes and rows below them, and which of them part the shards.
 
@@ -74,7 +79,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float) -> tuple[list[int]
         split = set()
         for k in range(len(bounds) - 1):
             held = below[bounds[k + 1]][1] - below[bounds[k]][1]
-            if held > max(1, n // CELLS):
+            if held > most_rows(n):
                 split.add(k)
         for s in range(1, shards):
             want = s * share
@@ -109,7 +114,7 @@ def shard(rows: DataFrame, shards: int = 16, tolerance: float = 0.001) -> DataFr
         fresh = False
         while s < len(cuts) and cuts[s] <= k:
             s, fresh, shard_start = s + 1, True, counts[k]
-        if not starts or fresh or counts[k + 1] - counts[starts[-1]] > max(1, n // CELLS):
+        if not starts or fresh or counts[k + 1] - counts[starts[-1]] > most_rows(n):
             starts.append(k)
             range_shard.append(s)
             range_slot.append(counts[k] - shard_start)

@@ -44,3 +44,34 @@ def test_repeated_rows_stay_together(spark):
     df = spark.createDataFrame([(None, "t")] * 50, "doc_id long, text string")
     got = sharding.digest(df).collect()
     assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(50))
+
+
+def slow_placement(rows, bounds, cuts):
+    """Where a plain sort by key, then by the other columns, puts each row, between the cuts that the operator chose."""
+    out, begins = {}, [bounds[c] for c in cuts]
+    last, slot = 0, 0
+    for key, rest in sorted(rows):
+        shard = sum(key >= b for b in begins)
+        slot = slot + 1 if shard == last and out else 0
+        last = shard
+        out[key, rest] = (shard, slot)
+    return out
+
+
+def test_placement_against_a_plain_sort(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 40)
+    rng = random.Random(21)
+    texts = ["a copy"] * 700 + ["".join(rng.choices("abcé ", k=rng.randint(0, 80))) for _ in range(1500)] + ["y" * 5000]
+    df = frame(spark, texts)
+    keys = {r.doc_id: (r.k, r.s) for r in df.select("doc_id", sharding.sort_key(df["text"], df["doc_id"]).alias("k"), sharding.F.octet_length("text").alias("s")).collect()}
+    rows = df.select(df["doc_id"].alias("key"), (sharding.F.octet_length("text") + 1).cast("long").alias("size"), sharding.sort_key(df["text"], df["doc_id"]).alias("sort_key"))
+    bounds, sizes, counts, cuts = sharding.splitters(rows, 16, 0.001)
+    ordered = sorted((k, s + 1) for k, s in keys.values())
+    for b, size, count in zip(bounds, sizes, counts, strict=True):
+        below = [s for k, s in ordered if k < b or b == sharding.HIGH]
+        assert (sum(below), len(below)) == (size, count)
+    want = slow_placement([(keys[i][0], (i, keys[i][1] + 1)) for i in keys], bounds, cuts)
+    got = {r.key: (r.shard, r.slot) for r in sharding.shard(rows, 16, 0.001).collect()}
+    assert got == {i: place for (_, (i, _)), place in want.items()}
+    held = [counts[k + 1] - counts[k] for k in range(len(bounds) - 1)]
+    assert max(held) <= 40
