@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import plain, small_batches, take
+from .base import plain, take
 
 #: Pieces, and pairs, remembered by each Python worker: the last ones used, up to twice as many.
 REMEMBERED = 100_000
@@ -196,29 +196,34 @@ def _vocabulary(df: DataFrame, path: str):
 
 def _added(df: DataFrame, udf, column: str, into: str) -> DataFrame:
     """df with udf of a column; columns that have the name into already, in any case, are left out."""
-    small_batches(df.sparkSession)
     wide, (at,) = plain(df, column)
     kept = [(c, n) for c, n in zip(wide.columns, df.columns, strict=True) if n.lower() != into.lower()]
     return wide.select(*[c for c, _ in kept], udf(wide[at]).alias("made")).toDF(*[n for _, n in kept], into)
 
 
+def plain_text(data: bytes | None) -> str:
+    return (data or b"").decode("utf-8", "replace")
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Adds the token ids of a text column (null: as an empty text) as an array of int.
 
-    A column that already has the name `into`, in any case, is replaced.
+    A column that already has the name `into`, in any case, is replaced. Bytes that are
+    not UTF-8 count as U+FFFD; repeated rows are encoded each; an empty table gives an
+    empty one.
     """
     data = _vocabulary(df, path)
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         bpe = held(data.value, pattern)
-        return pa.array([bpe.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([bpe.encode(plain_text(t)) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    return _added(df, ids, text, into)
+    return _added(df, lambda c: ids(c.cast("binary")), text, into)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "text") -> DataFrame:
-    """Adds the text of an id column; bytes that are no UTF-8 become U+FFFD. Null ids give null."""
+    """Adds the text of an id column; bytes that are no UTF-8 become U+FFFD. Null ids give null, no ids an empty text; an empty table gives an empty one."""
     data = _vocabulary(df, path)
 
     @F.arrow_udf("string")
@@ -232,8 +237,8 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str =
 def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: the key, the number of tokens, the SHA-256 of the ids and of the bytes they decode to.
 
-    Null and empty texts have no tokens; repeated rows give repeated rows; a null
-    key stays null; an empty table gives an empty one; other columns are dropped.
+    Null and empty texts have no tokens; bytes that are not UTF-8 count as U+FFFD;
+    repeated rows give repeated rows; a null key stays null; an empty table gives an empty one; other columns are dropped.
     """
     data = _vocabulary(df, path)
 
@@ -242,11 +247,10 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
         bpe = held(data.value, pattern)
         out = []
         for t in texts.to_pylist():
-            ids = bpe.encode(t or "")
+            ids = bpe.encode(plain_text(t))
             decimal = ",".join(map(bpe.digits.__getitem__, ids))
             out.append({"n_tokens": len(ids), "ids_sha256": hashlib.sha256(decimal.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(bpe.decode(ids)).hexdigest()})
         return pa.array(out, DIGEST)
 
-    small_batches(df.sparkSession)
     own = take(df, key, text)
-    return own.select(key, digests(text).alias("digest")).select(key, "digest.*")
+    return own.select(key, digests(own[text].cast("binary")).alias("digest")).select(key, "digest.*")

@@ -44,7 +44,7 @@ from .base import WORD, take, written
 ORDER = 3
 BACKOFF = 0.4
 #: A block ends with the text that brings it to so many bytes; it bounds what a task holds, not what is counted.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: What a row counts as besides its text, so that blocks of empty texts end too.
 ROW_BYTES = 64
 #: N-grams in a part, by an estimate of a word in each WORD_BYTES.
@@ -162,7 +162,7 @@ def _log_scores(sizes: np.ndarray, doc: np.ndarray, grams: list, counts: np.ndar
         else:
             out = np.log10(np.maximum(n, 1) / np.maximum(total - sizes[doc], 1))
         lower = n
-    return np.bincount(doc, weights=out, minlength=len(sizes))
+    return np.bincount(doc, weights=out, minlength=len(sizes)).astype(np.float64)  # of no words it would be integers
 
 
 def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:

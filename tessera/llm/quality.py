@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACES, plain, small_batches, take
+from .base import SPACES, plain, take
 
 #: Characters that count as symbols; fixed by the contract.
 SYMBOLS = "#*$%&|<>"
@@ -84,8 +84,9 @@ def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def measure(text: str | None, limits: Limits) -> dict:
-    text = text or ""
+def measure(text: str | bytes | None, limits: Limits) -> dict:
+    """The measurements of a text; bytes that are not UTF-8 count as U+FFFD."""
+    text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text or ""
     words = text.encode("utf-8", "surrogatepass").split()
     n_words = len(words)
     word_chars = len(text) - sum(map(text.count, SPACES))
@@ -133,23 +134,21 @@ def report_column(column, limits: Limits = Limits()):
     def measured(texts: pa.Array) -> pa.Array:
         return pa.array([measure(t, limits) for t in texts.to_pylist()], kind)
 
-    return measured(column)
+    return measured(column.cast("binary"))
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row per row of df: the key and the measurements, with the verdict in `kept`.
 
-    Null and empty texts have zero counts and fail; repeated rows give repeated
-    rows; a null key stays null; an empty table gives an empty one; other columns
+    Null and empty texts have zero counts and fail; bytes that are not UTF-8 count as
+    U+FFFD; repeated rows give repeated rows; a null key stays null; an empty table gives an empty one; other columns
     are dropped.
     """
-    small_batches(df.sparkSession)
     own = take(df, key, text)
     return own.select(key, report_column(own[text], limits).alias("report")).select(key, "report.*")
 
 
 def keep(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The rows of df whose text passes, with all their columns; null and empty texts don't, and repeated rows are judged alike."""
-    small_batches(df.sparkSession)
+    """The rows of df whose text passes, with all their columns; null and empty texts don't, and repeated rows are judged alike; an empty table gives an empty one."""
     wide, (at,) = plain(df, text)
     return wide.filter(report_column(wide[at], limits)["kept"]).toDF(*df.columns)

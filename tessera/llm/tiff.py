@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import small_batches, take
+from .base import take
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Fixed values of the format: struct codes by field type.
@@ -337,23 +337,27 @@ FORMS = ((DEFLATE, 2, 0), (DEFLATE, 1, 64), (LZW, 1, 0), (PACKBITS, 1, 0), (DEFL
 
 def text_image(text: str | None) -> tuple[int, bytes]:
     """The UTF-8 length of a text, and a TIFF of 64 columns that holds those bytes and zeros up to a positive multiple of 64."""
-    data = (text or "").encode("utf-8", "surrogatepass")
+    data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
     padded = data + b"\0" * (-len(data) % 64 if data else 64)
     compression, predictor, tile = FORMS[zlib.crc32(padded) % len(FORMS)]
     return len(data), tiff([np.frombuffer(padded, np.uint8).reshape(-1, 64)], compression, predictor, tile)
 
 
 def text_images(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of df: the key, n_bytes, and the text as a TIFF in `media`. Null texts count as empty ones."""
+    """One row per row of df: the key, n_bytes, and the text's bytes as a TIFF in `media`.
+
+    Null texts count as empty ones; equal texts give equal files; repeated rows give
+    repeated rows; a null key stays null; an empty table gives an empty one; other
+    columns are dropped.
+    """
 
     @F.arrow_udf("struct<n_bytes:bigint,media:binary>")
     def stored(texts: pa.Array) -> pa.Array:
         rows = [text_image(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([m for _, m in rows], pa.binary())], ["n_bytes", "media"])
 
-    small_batches(df.sparkSession)
     own = take(df, key, text)
-    return own.select(key, stored(own[text]).alias("stored")).select(key, "stored.*")
+    return own.select(key, stored(own[text].cast("binary")).alias("stored")).select(key, "stored.*")
 
 
 PAGE = "page int, width long, height long, bits int, samples int, compression int, predictor int, tiled boolean, pixels binary, feature string, error string"
@@ -367,7 +371,6 @@ def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
     Pixels are row by row, samples in native byte order. Repeated rows are read
     each by itself; an empty table gives an empty one.
     """
-    small_batches(df.sparkSession)
     made = T._parse_datatype_string(PAGE)
     names = {f.name for f in made.fields}
     kept = [c for c in df.columns if c != media and c.lower() not in names]
@@ -388,7 +391,12 @@ def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores each text as a TIFF, reads it back page by page, and describes what was stored and read."""
+    """One row per row of df: each text is stored as a TIFF of one page, read back, and what was stored and read is described.
+
+    Null texts count as empty ones, and an empty one has 64 bytes of padding; equal texts
+    give equal values; repeated rows give repeated rows; a null key stays null; an empty
+    table gives an empty one; other columns are dropped.
+    """
     media = text_images(df, key, text).select(key, "n_bytes", "media", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
     read = read_pages(media)
     return read.select(
