@@ -1,8 +1,4 @@
-"""What the corpus operators share: word rule, column picking, tables in the shared folder.
-
-Batches that go to Python workers have the bounds of the session: rows, and bytes
-(spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
-"""
+"""What the corpus operators share: word rule, column picking, tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -106,6 +102,18 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(place, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Bounds the rows of an Arrow batch for the session; a larger setting is lowered, a smaller one kept.
+
+    A plan takes the setting when it runs, which for a returned table is later, so it
+    is not set back. Very long texts are bounded by Spark itself, which ends a batch at
+    64 MB (spark.sql.execution.arrow.maxBytesPerBatch).
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def sent_if_small(df: DataFrame, label: str, most_rows: int = 1_000_000) -> DataFrame:
     """df of a few narrow columns, written and counted: with at most so many rows it is broadcast, with more it is joined by key."""
     out = written(df, label)

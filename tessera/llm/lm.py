@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD, take, written
+from .base import WORD, small_batches, take, written
 
 ORDER = 3
 BACKOFF = 0.4
@@ -176,6 +176,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     UTF-8 are part of words like any other.
     """
     spark = df.sparkSession
+    small_batches(spark)
     own = take(df, key, text).toDF("key", "text")
     if "FileScan" not in (plan := own._jdf.queryExecution().sparkPlan().toString()) or any(x in plan for x in ("Join", "Aggregate", "Exchange", "Sort", "Limit", "Union")):
         own = written(own, "lm-texts")

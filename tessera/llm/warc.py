@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import new_path, sent_if_small, take
+from .base import new_path, sent_if_small, small_batches, take
 
 #: Fixed values of the formats.
 ZSTD_FRAME, ZSTD_DICTIONARY, FIRST_SKIPPABLE, DICTIONARY_SKIPPABLE = 0xFD2FB528, 0xEC30A437, 0x184D2A50, 0x184D2A5D
@@ -198,6 +198,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", html
     """
     own = take(df, key, url, html).toDF("key", "url", "html")
     spark = df.sparkSession
+    small_batches(spark)
     words = train(own, "key", "html")
     lead = struct.pack("<II", DICTIONARY_SKIPPABLE, len(words)) + words
     held = spark.sparkContext.broadcast(lead)
