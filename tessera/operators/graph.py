@@ -57,7 +57,11 @@ def neighbours(edges: DataFrame, node) -> DataFrame:
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """All pairs (src, dst) with a path of one edge or more. The result is as large as the closure; each round joins only what the last one found."""
+    """All pairs (src, dst) with a path of one edge or more.
+
+    The result is as large as the closure. Each round joins only what the last one
+    found, and writes only what it finds itself.
+    """
     edges = cut(edges.select("src", "dst").distinct())
     found = new = edges
     while True:
@@ -65,7 +69,7 @@ def reachable(edges: DataFrame) -> DataFrame:
         new = cut(step.join(found, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return found
-        found = cut(found.union(new))
+        found = found.union(new)
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -175,6 +179,27 @@ def bounded_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def call_paths(edges: DataFrame, start: str, end: str, depth: int = 10, most: int = 20) -> DataFrame:
+    """Up to `most` paths of up to depth nodes from start to end, as arrays of nodes, the shortest first, then in order of names.
+
+    A search in breadth that goes on from each node once, by the first path to it, and
+    never from the end; so a round holds a row for each node at most.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    front = found = edges.sparkSession.createDataFrame([([start],)], "path array<string>")
+    seen = front.select(F.lit(start).alias("node"))
+    last = lambda: F.element_at("path", -1)
+    for _ in range(depth - 1):
+        step = front.filter(last() != end).join(edges, last() == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        arrived = step.filter(last() == end)
+        onward = step.filter(last() != end).groupBy(last().alias("node")).agg(F.min("path").alias("path")).join(seen, "node", "left_anti").select("path")
+        front = cut(arrived.union(onward))
+        if front.isEmpty():
+            break
+        found, seen = found.union(front), seen.union(front.select(last().alias("node")))
+    return found.filter(last() == end).orderBy(F.size("path"), "path").limit(most)
+
+
 def callers(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """calls: caller, callee. nodes: name. For each node its callees, its callers but itself, and whether it calls itself."""
     out = calls.groupBy("caller").agg(F.array_sort(F.collect_set("callee")).alias("callees"))

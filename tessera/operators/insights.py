@@ -27,12 +27,22 @@ def role(level: Column, last: Column, imported_by: Column, imports_others: Colum
     return F.when(level == last, "UI/giris katmani").when(imports_others <= 1, "Kutuphane/ortak modul").when(imported_by == 0, "Ust-yapi/konfigurasyon").otherwise("Servis/is mantigi")
 
 
-def health_counts(lines: DataFrame) -> DataFrame:
-    """One row for all lines."""
-    return lines.agg(F.count_if(F.startswith("line", F.lit("OK"))).alias("ok"), F.count_if(F.startswith("line", F.lit("FAIL"))).alias("fail"))
-
-
-def health(lines: DataFrame) -> DataFrame:
-    """subsystem, line (OK ... or FAIL ...): how many of each, and the state."""
-    failed = F.count_if(F.startswith("line", F.lit("FAIL")))
-    return lines.groupBy("subsystem").agg(failed.alias("failed"), F.count_if(F.startswith("line", F.lit("OK"))).alias("ok"), F.count("*").alias("expected"), F.when(failed > 0, "FAIL").otherwise("OK").alias("state"))
+def health(lines: DataFrame, modules: DataFrame) -> DataFrame:
+    """lines: subsystem, line (OK ... or FAIL ...; others say nothing of a module). modules: subsystem, one row for each module that should be reported.
+
+    For each subsystem how many are ok, failed and expected, the state (FAIL if one
+    failed, UNKNOWN if fewer or more are reported than expected), and a note if so; the
+    text of the note is a fixed value of the result.
+    """
+    starts = lambda word: F.count_if(F.startswith("line", F.lit(word)))
+    said = lines.groupBy("subsystem").agg(starts("OK").alias("ok"), starts("FAIL").alias("failed"))
+    wanted = modules.groupBy("subsystem").agg(F.count("*").alias("expected"))
+    both = wanted.join(said, "subsystem", "full_outer").na.fill(0, ["ok", "failed", "expected"])
+    reported = F.col("ok") + F.col("failed")
+    state = F.when(F.col("failed") > 0, "FAIL").when(reported != F.col("expected"), "UNKNOWN").otherwise("OK")
+    note = F.format_string("Raporlanan %d/%d modul - alt islem ciktisi kesildi veya kilitlenme oldu; yukaridakiler guvenilir, geri kalani dogrulanamadi.", reported, F.col("expected"))
+    return both.select("subsystem", "ok", "failed", "expected", state.alias("state"), F.when(reported != F.col("expected"), note).alias("note"))
+
+
+def failing(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.startswith("line", F.lit("FAIL")))

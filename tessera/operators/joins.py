@@ -61,6 +61,20 @@ def forward_fill(df: DataFrame, value: str, order: str, into: str, *keys: str) -
     return df.withColumn(into, F.last(value, ignorenulls=True).over(rows))
 
 
-def unmatched(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    """Rows of left that no row of right meets the condition with; right is a short list."""
-    return left.join(right, condition, "left_anti")
+def pieces(name) -> Column:
+    """All parts of a name, the empty one and the name itself among them."""
+    n = F.char_length(name)
+    whole = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(name, i, k)))
+    return F.when(n > 0, F.array_append(F.array_distinct(F.flatten(whole)), F.lit(""))).otherwise(F.array(F.lit("")))
+
+
+def related(left: DataFrame, right: DataFrame, name: str, other: str) -> DataFrame:
+    """The distinct names of left that contain one of right's, or lie in one.
+
+    Names are exploded into their parts and joined by equality, so that neither side
+    need be small; names are short, and a name has some n * n / 2 parts.
+    """
+    own, others = left.select(F.col(name).alias("__name")).distinct(), right.select(F.col(other).alias("__part")).distinct()
+    around = own.select("__name", F.explode(pieces(F.col("__name"))).alias("__part")).join(others, "__part", "left_semi").select("__name")
+    inside = others.select(F.explode(pieces(F.col("__part"))).alias("__name")).distinct().join(own, "__name", "left_semi")
+    return around.union(inside).distinct().withColumnRenamed("__name", name)

@@ -32,8 +32,8 @@ OTHER = ("Kod Kalitesi", 1)
 SEVERITY = {"dusuk": 1, "orta": 2, "yuksek": 3, "kritik": 4}
 
 
-def scored(facts: DataFrame) -> DataFrame:
-    """path and the four scores of 0 to 10, with their sum."""
+def scored(facts: DataFrame, *keep: str) -> DataFrame:
+    """path and the four scores of 0 to 10, with their sum, and the columns keep."""
     c = F.col
     parts = {
         "aktiflik": F.least(F.least(1.5 * c("n_imports"), F.lit(5.0)) + F.least(2.0 * c("n_classes"), F.lit(5.0)), F.lit(10.0)),
@@ -41,7 +41,7 @@ def scored(facts: DataFrame) -> DataFrame:
         "kod_kalitesi": F.least(5.0 + c("n_classes_with_methods") + 0.5 * c("n_decorated_methods"), F.lit(10.0)),
         "butunluk": F.least(F.when(c("n_classes") > 0, 4.0).otherwise(0.0) + F.when(c("n_methods") > 0, 3.0).otherwise(0.0) + F.when(c("n_functions") > 0, 2.0).otherwise(0.0) + F.when(c("n_imports") > 0, 1.0).otherwise(0.0), F.lit(10.0)),
     }
-    rounded = facts.select("path", *[F.round(e.cast("double"), 1).alias(n) for n, e in parts.items()])
+    rounded = facts.select("path", *[F.round(e.cast("double"), 1).alias(n) for n, e in parts.items()], *keep)
     return rounded.withColumn("toplam", F.round(sum((c(n) for n in SCORES[1:]), c(SCORES[0])), 1))
 
 
@@ -95,9 +95,22 @@ def top_actions(issues: DataFrame, most: int = 20) -> DataFrame:
     return ranked.withColumn("iyilestirilen_skor", _weights({k: a for k, (a, _) in AFFECTS.items()}, "type", OTHER[0]))
 
 
-def by_subsystem(scores: DataFrame, issues: DataFrame) -> DataFrame:
+def judged(facts: DataFrame) -> DataFrame:
+    """path, scores, and the numbers of issues and critical ones by the rules on counts, in one pass over the files."""
+    broken = [F.when(r.when, F.when(r.kritik, 1).otherwise(0)) for r in rules()]
+    counts = facts.select("path", F.size(F.array_compact(F.array(*broken))).cast("long").alias("issues"), F.aggregate(F.array_compact(F.array(*broken)), F.lit(0).cast("long"), lambda n, x: n + x).alias("kritik"), *[c for c in facts.columns if c != "path"])
+    return scored(counts, "issues", "kritik")
+
+
+def with_issues(scores: DataFrame, issues: DataFrame) -> DataFrame:
+    """scores with the numbers of issues and critical ones of a table of issues of any kind."""
     per_file = issues.groupBy("path").agg(F.count("*").alias("issues"), F.count_if("kritik").alias("kritik"))
-    joined = scores.join(per_file, "path", "left").na.fill(0, ["issues", "kritik"]).withColumn("subsystem", subsystem("path"))
+    return scores.join(per_file, "path", "left").na.fill(0, ["issues", "kritik"])
+
+
+def by_subsystem(files: DataFrame) -> DataFrame:
+    """files: path, toplam, issues, kritik."""
+    joined = files.withColumn("subsystem", subsystem("path"))
     return joined.groupBy("subsystem").agg(F.count("*").alias("files"), F.sum("toplam").alias("total"), F.sum("issues").alias("issues"), F.sum("kritik").alias("kritik"), F.round(F.avg("toplam"), 1).alias("avg_toplam"))
 
 
@@ -105,11 +118,10 @@ def breakdown(scores: DataFrame) -> DataFrame:
     return scores.agg(*[F.round(F.coalesce(F.avg(s), F.lit(0.0)), 1).alias(s) for s in (*SCORES, "toplam")])
 
 
-def summary(scores: DataFrame, issues: DataFrame) -> DataFrame:
-    per_file = issues.groupBy("path").agg(F.count("*").alias("issues"), F.count_if("kritik").alias("kritik"))
-    joined = scores.join(per_file, "path", "left")
+def summary(files: DataFrame) -> DataFrame:
+    """files: path, toplam, issues, kritik. One row for all."""
     none = lambda e: F.coalesce(e, F.lit(0))
-    return joined.agg(F.count("*").alias("total_files"), none(F.sum("issues")).alias("total_issues"), none(F.sum("kritik")).alias("kritik_issues"), F.round(F.coalesce(F.avg("toplam"), F.lit(0.0)), 1).alias("avg_toplam"))
+    return files.agg(F.count("*").alias("total_files"), none(F.sum("issues")).alias("total_issues"), none(F.sum("kritik")).alias("kritik_issues"), F.round(F.coalesce(F.avg("toplam"), F.lit(0.0)), 1).alias("avg_toplam"))
 
 
 def overflow(rows: DataFrame, group: str, order: list[str], most: int, text: str = "detail") -> DataFrame:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import cut
 from .joins import rank_pairs
 
 
 def classify(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old, new: path, sha256. One row per path: status (added, deleted, modified or unchanged), and both hashes."""
+    """old, new: path, sha256. One row per path: status (added, deleted, modified or unchanged), and both hashes.
+
+    A narrow table, written once: what follows reads it several times, and the texts that the hashes are of only here.
+    """
     o, n = old.select("path", F.col("sha256").alias("old_sha")), new.select("path", F.col("sha256").alias("new_sha"))
     both = o.join(n, "path", "full_outer")
     status = F.when(F.col("old_sha").isNull(), "added").when(F.col("new_sha").isNull(), "deleted").when(F.col("old_sha") != F.col("new_sha"), "modified").otherwise("unchanged")
-    return both.select("path", status.alias("status"), "old_sha", "new_sha")
+    return cut(both.select("path", status.alias("status"), "old_sha", "new_sha"))
 
 
 def moves(classified: DataFrame) -> DataFrame:
@@ -26,7 +30,7 @@ def moves(classified: DataFrame) -> DataFrame:
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, status, old_path; a move is one row at its new path, and its ends are neither added nor deleted."""
     classified = classify(old, new)
-    moved = moves(classified)
+    moved = cut(moves(classified))
     ends = moved.select(F.explode(F.array("old_path", "new_path")).alias("path"))
     rest = classified.filter("status in ('added', 'deleted')").join(ends, "path", "left_anti")
     same = classified.filter("status not in ('added', 'deleted')")

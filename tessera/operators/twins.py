@@ -35,18 +35,43 @@ def groups(rows: DataFrame, key: Column, *member: str) -> DataFrame:
     return made.withColumn("n", F.size("members")).filter("n > 1")
 
 
+def similarity(sets: Column) -> Column:
+    """avg and min of the Jaccard percentages of all pairs of members. sets: array of (kinds, n), the distinct sets of a group and how many members have each.
+
+    Pairs of equal sets count by their number, so the pairs of distinct sets are all that is compared.
+    """
+    from ..functions.names import jaccard_percent
+
+    def with_later(x, i):
+        later = F.slice(sets, i + 2, F.size(sets))
+        own = F.struct((x["n"] * (x["n"] - 1) / 2).alias("pairs"), jaccard_percent(x["kinds"], x["kinds"]).alias("value"))
+        return F.concat(F.array(own), F.transform(later, lambda y: F.struct((x["n"] * y["n"]).cast("double").alias("pairs"), jaccard_percent(x["kinds"], y["kinds"]).alias("value"))))
+
+    every = F.filter(F.flatten(F.transform(sets, with_later)), lambda p: p["pairs"] > 0)
+    total = F.aggregate(every, F.lit(0.0), lambda s, p: s + p["pairs"])
+    sums = F.aggregate(every, F.lit(0.0), lambda s, p: s + p["pairs"] * p["value"])
+    return F.struct(F.round(F.try_divide(sums, total), 1).alias("avg"), F.array_min(F.transform(every, lambda p: p["value"])).alias("min"))
+
+
+def measured(rows: DataFrame, key: Column) -> DataFrame:
+    """key, similarity: of the kinds of the rows that share a key."""
+    each = rows.select(key.alias("key"), F.array_sort(F.array_distinct("kinds")).alias("kinds")).groupBy("key", "kinds").agg(F.count("*").alias("n"))
+    return each.groupBy("key").agg(F.collect_list(F.struct("kinds", "n")).alias("sets")).select("key", similarity(F.col("sets")).alias("similarity"))
+
+
 def twins(functions: DataFrame) -> DataFrame:
     """method (hash or kinds), key, members, n, similarity_avg, similarity_min, fuzzy_bases, group_id, remediation.
 
-    A group of kinds with the very members of a group of hashes is left out. Members
-    share the hash or all kinds, so their similarity is 100.
+    A group of kinds with the very members of a group of hashes is left out. The
+    similarity is that of the members' kinds, which is 100 for both keys, as equal
+    hashes have equal kinds; it would not be for a looser key.
     """
     large = functions.filter(F.size("kinds") >= LEAST)
-    by_hash = groups(large, F.concat("norm_hash", F.lit("("), F.col("argc").cast("string"), F.lit(")")), "path", "line", "name").withColumn("method", F.lit("hash"))
-    by_kinds = groups(large, shape("kinds", "argc"), "path", "line", "name").withColumn("method", F.lit("kinds"))
+    of = lambda method, key: groups(large, key, "path", "line", "name").join(measured(large, key), "key").withColumn("method", F.lit(method))
+    by_hash, by_kinds = of("hash", F.concat("norm_hash", F.lit("("), F.col("argc").cast("string"), F.lit(")"))), of("kinds", shape("kinds", "argc"))
     both = by_hash.unionByName(by_kinds)
     first = both.withColumn("rn", F.row_number().over(W.partitionBy("members").orderBy("method", "key"))).filter("rn = 1").drop("rn")
-    known = first.withColumn("similarity_avg", F.lit(100.0)).withColumn("similarity_min", F.lit(100.0))
+    known = first.withColumn("similarity_avg", F.col("similarity.avg")).withColumn("similarity_min", F.col("similarity.min")).drop("similarity")
     known = known.withColumn("fuzzy_bases", F.array_sort(F.array_distinct(F.transform("members", lambda m: fuzzy_base(m["name"])))))
     known = known.withColumn("remediation", remediation(F.col("similarity_avg"), F.col("n"), F.col("members")))
     in_order = W.orderBy("method", F.desc("n"), "key")  # one row per group

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import IMPORT_TO_PACKAGE, normal_name, requirement_base
-from .joins import unmatched
+from .joins import related
 
 
 def _map(values: dict[str, str]):
@@ -20,10 +20,6 @@ def _known(key, values: dict[str, str]):
     return normal_name(F.try_element_at(_map(values), key))
 
 
-def _within(a, b):
-    return F.contains(a, b) | F.contains(b, a)
-
-
 def unused(declared: DataFrame, imports: DataFrame) -> DataFrame:
     """declared: declared. imports: imported (top-level names). Declared dependencies that no import matches.
 
@@ -34,7 +30,8 @@ def unused(declared: DataFrame, imports: DataFrame) -> DataFrame:
     package = {v: k for k, v in IMPORT_TO_PACKAGE.items()}
     d = d.withColumn("alias", _known(F.lower(requirement_base("declared")), package))
     i = imports.select(normal_name("imported").alias("imp")).distinct()
-    return unmatched(d, i, _within(F.col("norm"), F.col("imp")) | F.coalesce(F.col("alias") == F.col("imp"), F.lit(False))).select("declared")
+    rest = d.join(related(d, i, "norm", "imp"), "norm", "left_anti")
+    return rest.join(i.withColumnRenamed("imp", "alias"), "alias", "left_anti").select("declared")
 
 
 def undeclared(declared: DataFrame, imports: DataFrame, internal: DataFrame) -> DataFrame:
@@ -43,4 +40,6 @@ def undeclared(declared: DataFrame, imports: DataFrame, internal: DataFrame) ->
     i = imports.select("imported", normal_name("imported").alias("imp")).filter(~F.col("imp").isin(*sys.stdlib_module_names, "__future__"))
     i = i.groupBy("imp").agg(F.max("imported").alias("imported")).join(internal.select(F.col("name").alias("imp")), "imp", "left_anti")
     i = i.withColumn("alias", _known(F.lower("imported"), IMPORT_TO_PACKAGE))
-    return unmatched(i, d, _within(F.col("imp"), F.col("norm")) | F.coalesce(_within(F.col("alias"), F.col("norm")), F.lit(False))).select("imported")
+    rest = i.join(related(i, d, "imp", "norm"), "imp", "left_anti")
+    packages = rest.filter("alias is not null")
+    return rest.join(related(packages, d, "alias", "norm"), "alias", "left_anti").select("imported")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, paths
 from ..operators import extract, findings, graph, insights, joins, quality, snapshots, twins, usage
-from ..sources import tree
+from ..sources import health, tree
 from .tables import cut
 
 
@@ -158,6 +158,10 @@ class Project:
     def issues(self) -> DataFrame:
         return quality.union_rules([quality.count_issues(self.counts()), findings.found(self.files)])
 
+    def judged(self) -> DataFrame:
+        """The scores with the numbers of issues and critical ones of each file."""
+        return quality.with_issues(self.scores(), self.issues())
+
     def hint_coverage(self) -> DataFrame:
         return findings.hint_coverage(self.files)
 
@@ -213,6 +217,23 @@ class Project:
         members = self.twins().select("group_id", F.explode("members").alias("m")).select("group_id", F.col("m.path").alias("path")).join(added, "path", "left").na.fill({"is_new": False})
         return twins.gate(members, "group_id", "is_new")
 
+    def modules(self) -> DataFrame:
+        return health.modules(self.sources)
+
+    def health(self, lines: DataFrame) -> DataFrame:
+        """lines: subsystem, line, as health.probe gives them, or another that tries modules."""
+        return insights.health(lines, self.modules())
+
+    def combined(self, said: DataFrame) -> DataFrame:
+        """said: what, text: answers of a client to questions on the whole project. One row: what the tables say, beside the answers, empty where there is none."""
+        asked = {"purpose": "project_purpose", "tech_infrastructure": "tech_infrastructure", "dev_status": "dev_status", "errors": "errors_missing", "dead_code": "dead_code"}
+        answer = lambda kind: F.coalesce(F.max(F.when(F.col("what") == kind, F.col("text"))), F.lit(""))
+        texts = said.agg(*[answer(kind).alias(name) for name, kind in asked.items()])
+        shape = F.struct("subsystems", F.col("total_py").alias("python_files"), "total_lines", F.col("total_classes").alias("classes"), F.col("total_functions").alias("functions"))
+        one = F.lit(1).alias("one")
+        own = self.stats().select(shape.alias("architecture"), F.col("total_files").alias("files_analyzed"), one)
+        return own.join(texts.select("*", one), "one").drop("one")
+
     def analyze(self, client, mode: str = "hybrid", cancelled=lambda: False, progress=lambda done, of: None, most: int = 40) -> DataFrame:
         """path, summary of names, and what a client of the caller's says: analyze_files(files, types) -> dict by path.
 
@@ -235,3 +256,16 @@ class Project:
             progress(k + 1, len(wanted))
         rows = self.spark.createDataFrame(list(said.items()), "path string, said string")
         return own.join(rows, "path", "left" if mode == "hybrid" else "inner")
+
+
+class Analyzer:
+    """The older form of analyze(): without a client it gives the names alone, with one it asks for most files at once."""
+
+    def __init__(self, client=None, most: int = 4):
+        self.client, self.most, self.cancelled = client, most, False
+
+    def analyze(self, project: Project, progress=lambda done, of: None) -> DataFrame:
+        return project.analyze(self.client, "hybrid" if self.client else "ast", lambda: self.cancelled, progress, self.most)
+
+    def cancel(self) -> None:
+        self.cancelled = True

@@ -257,15 +257,13 @@ def score_breakdown(spark, sf_dir):
 @query(f"WITH {FACTS}, i AS (SELECT path, count(*) AS n, count(*) FILTER (kritik) AS k FROM issues GROUP BY path) SELECT count(*) AS total_files, coalesce(sum(n), 0)::BIGINT AS total_issues, coalesce(sum(k), 0)::BIGINT AS kritik_issues, round(avg(toplam), 1) AS avg_toplam FROM scores LEFT JOIN i USING (path)")
 def quality_summary(spark, sf_dir):
     """A10"""
-    known = facts(spark, sf_dir)
-    return quality.summary(quality.scored(known), quality.count_issues(known))
+    return quality.summary(quality.judged(facts(spark, sf_dir)))
 
 
 @query(f"WITH {FACTS}, i AS (SELECT path, count(*) AS n, count(*) FILTER (kritik) AS k FROM issues GROUP BY path) SELECT {SUB} AS subsystem, count(*) AS files, round(sum(toplam), 1) AS total, coalesce(sum(n), 0)::BIGINT AS issues, coalesce(sum(k), 0)::BIGINT AS kritik, round(avg(toplam), 1) AS avg_toplam FROM scores LEFT JOIN i USING (path) GROUP BY 1")
 def quality_by_subsystem(spark, sf_dir):
     """A7"""
-    known = facts(spark, sf_dir)
-    return quality.by_subsystem(quality.scored(known), quality.count_issues(known)).withColumn("total", F.round("total", 1))
+    return quality.by_subsystem(quality.judged(facts(spark, sf_dir))).withColumn("total", F.round("total", 1))
 
 
 @query(f"""WITH {FILES}, h AS (SELECT source, path, 'missing ' || lang AS detail, row_number() OVER (PARTITION BY source ORDER BY path) AS rn, count(*) OVER (PARTITION BY source) AS n FROM f)
@@ -391,26 +389,26 @@ def layers(spark, sf_dir):
     return graph.layers(edges)
 
 
-def errors(spark, sf_dir) -> DataFrame:
-    """Errors of a value over 120: from the user to the key in props."""
+def touched(spark, sf_dir) -> DataFrame:
+    """All events as edges from the user to the key in props."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").filter("event_type = 'error' and value > 120").select(F.concat(F.lit("n"), "user_id").alias("src"), F.concat(F.lit("n"), k).alias("dst"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("n"), "user_id").alias("src"), F.concat(F.lit("n"), k).alias("dst"))
 
 
-ERRORS = "e AS (SELECT DISTINCT 'n' || user_id AS src, 'n' || (props::JSON ->> '$.k') AS dst FROM events WHERE event_type = 'error' AND value > 120)"
-CLOSURE = f"WITH RECURSIVE {ERRORS}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
+TOUCHED = "e AS (SELECT DISTINCT 'n' || user_id AS src, 'n' || (props::JSON ->> '$.k') AS dst FROM events)"
+CLOSURE = f"WITH RECURSIVE {TOUCHED}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
 
 
 @query(f"{CLOSURE} SELECT src, dst FROM r")
 def reachability(spark, sf_dir):
     """G1"""
-    return graph.reachable(errors(spark, sf_dir))
+    return graph.reachable(touched(spark, sf_dir))
 
 
 @query(f"{CLOSURE}, m AS (SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src) SELECT list_sort(list(node)) AS members FROM m GROUP BY component")
 def scc(spark, sf_dir):
     """G1, O6"""
-    return graph.cycles(errors(spark, sf_dir))
+    return graph.cycles(touched(spark, sf_dir))
 
 
 @query(f"WITH {TRADE.replace('e AS (', 't AS (', 1)}, e AS (SELECT DISTINCT src_area AS src, dst_area AS dst FROM t), p1 AS (SELECT [src, dst] AS path FROM e WHERE src = 'R0' AND src <> dst), p2 AS (SELECT list_append(path, dst) AS path FROM p1 JOIN e ON path[-1] = src WHERE NOT list_contains(path, dst)), p3 AS (SELECT list_append(path, dst) AS path FROM p2 JOIN e ON path[-1] = src WHERE NOT list_contains(path, dst)) SELECT path FROM p1 UNION ALL SELECT path FROM p2 UNION ALL SELECT path FROM p3")
@@ -493,13 +491,12 @@ def last_non_null(spark, sf_dir):
 @query("""WITH n AS (SELECT DISTINCT lower(p_type) AS declared FROM part UNION SELECT 'ring-kit' UNION SELECT 'pyyaml'), i AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS imported FROM part UNION SELECT 'yaml')
 SELECT declared FROM n WHERE NOT EXISTS (SELECT 1 FROM i WHERE replace(declared, '-', '_') = imported OR contains(replace(declared, '-', '_'), imported) OR contains(imported, replace(declared, '-', '_')))""")
 def theta_anti(spark, sf_dir):
-    """Part types that no word of a name matches"""
+    """Part types that no word of a name lies in, or contains"""
     part = table(spark, sf_dir, "part")
     extra = spark.createDataFrame([("ring-kit",), ("pyyaml",)], "declared string")
     declared = part.select(F.lower("p_type").alias("declared")).union(extra).distinct().withColumn("norm", names.normal_name("declared"))
     imported = part.select(F.explode(F.split("p_name", " ")).alias("imported")).union(spark.createDataFrame([("yaml",)], "imported string")).distinct()
-    either = (F.col("norm") == F.col("imported")) | F.contains("norm", F.col("imported")) | F.contains("imported", F.col("norm"))
-    return joins.unmatched(declared, imported, either).select("declared")
+    return declared.join(joins.related(declared, imported, "norm", "imported"), "norm", "left_anti").select("declared")
 
 
 @query("WITH s AS (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'red widget' THEN 0 WHEN contains(lower(p_name), 'red widget') THEN 1 END AS c FROM part) SELECT p_partkey, p_name FROM s WHERE c = (SELECT min(c) FROM s)")
@@ -525,13 +522,16 @@ def polymorphic_map(spark, sf_dir):
     return most_extended(table(spark, sf_dir, "part").select(F.col("p_brand").alias("base"), F.col("p_name").alias("sub")))
 
 
-@query("SELECT user_id, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type <> 'error') AS ok, count(*) AS expected, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'FAIL' ELSE 'OK' END AS state FROM events GROUP BY user_id")
+@query("""WITH h AS (SELECT user_id, count(*) FILTER (event_type <> 'error' AND event_type <> 'signup') AS ok, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type <> 'click') AS expected FROM events GROUP BY user_id)
+SELECT user_id, ok, failed, expected, CASE WHEN failed > 0 THEN 'FAIL' WHEN ok + failed <> expected THEN 'UNKNOWN' ELSE 'OK' END AS state,
+  CASE WHEN ok + failed <> expected THEN 'Raporlanan ' || (ok + failed) || '/' || expected || ' modul - alt islem ciktisi kesildi veya kilitlenme oldu; yukaridakiler guvenilir, geri kalani dogrulanamadi.' END AS note FROM h""")
 def health_lines(spark, sf_dir):
-    """F11, A17"""
+    """Signups give lines that say nothing, and clicks are reported without being expected"""
     from ..operators.insights import health
 
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("subsystem"), F.concat(F.when(F.col("event_type") == "error", "FAIL ").otherwise("OK "), "event_type").alias("line"))
-    return health(rows).withColumnRenamed("subsystem", "user_id")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("subsystem"), "event_type")
+    word = F.when(F.col("event_type") == "error", "FAIL ").when(F.col("event_type") == "signup", "(no modules) ").otherwise("OK ")
+    return health(events.select("subsystem", F.concat(word, "event_type").alias("line")), events.filter("event_type <> 'click'")).withColumnRenamed("subsystem", "user_id")
 
 
 @query(f"WITH {FILES} SELECT path FROM f WHERE NOT contains(path, '/')")

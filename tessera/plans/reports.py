@@ -1,12 +1,18 @@
-"""Reports: small results, collected and set as Markdown. The headings are fixed texts."""
+"""Reports: lines made where the data are, and set as Markdown on the driver. The headings are fixed texts.
+
+What grows with the tree is measured before it is collected: a report over its limit
+is an error, and its lines never reach the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import names, paths
+from ..operators import quality
 from .project import Project
+from .tables import cut
 
 MB = 1 << 20
 
@@ -19,6 +25,12 @@ class BrokenContract(ValueError):
     pass
 
 
+def sizes(texts: DataFrame, warn_mb: float = 1, block_mb: float = 5) -> DataFrame:
+    """texts: name, text. name, megabytes, and state: ok, warn or block."""
+    mb = names.megabytes("text")
+    return texts.select("name", mb.alias("megabytes"), F.when(mb > block_mb, "block").when(mb > warn_mb, "warn").otherwise("ok").alias("state"))
+
+
 def guarded(text: str, name: str, warn_mb: float = 1, block_mb: float = 5) -> tuple[str, str | None]:
     """The text, and a warning if it is large. Texts over the limit are an error, before anything is written."""
     size = len(text.encode()) / MB
@@ -27,6 +39,16 @@ def guarded(text: str, name: str, warn_mb: float = 1, block_mb: float = 5) -> tu
     return text, f"{name} has {size:.2f} MB, over {warn_mb} MB" if size > warn_mb else None
 
 
+def gathered(rows: DataFrame, name: str, *order, block_mb: float = 5, area: str | None = None) -> list:
+    """The rows in order; columns line, and area where each has a report of its own. Over the limit in any report, they are not collected."""
+    held = cut(rows)
+    each = held.groupBy(F.col(area) if area else F.lit(name).alias("name")).agg(F.sum(F.octet_length("line").cast("long") + 1).alias("bytes"))
+    over = each.filter(F.col("bytes") > block_mb * MB).first()
+    if over:
+        raise TooLarge(f"{over[0]} has {over.bytes / MB:.2f} MB, over {block_mb} MB")
+    return held.orderBy(*order).collect()
+
+
 def require(df: DataFrame, name: str, **columns: str) -> DataFrame:
     """df, if it has the columns with these types."""
     have = dict(df.dtypes)
@@ -58,7 +80,7 @@ def quickref(p: Project, name: str = "", root: str = "", at: str = "", info: str
     return _text([*out, "", "## Entry points", "", *[f"- {r.path}" for r in entries]])
 
 
-def project_map(p: Project, descriptions: DataFrame) -> str:
+def project_map(p: Project, descriptions: DataFrame, block_mb: float = 5) -> str:
     """The tree, folders before what they hold, each level in order of names."""
     python = described(p.files, descriptions).select("path", "lines", "about")
     other = described(p.other_files.withColumn("doc", F.lit("")), descriptions).select("path", F.lit(0).alias("lines"), "about")
@@ -67,7 +89,7 @@ def project_map(p: Project, descriptions: DataFrame) -> str:
     size = F.when(F.col("lines") > 0, F.concat(F.lit("  ("), F.col("lines").cast("string"), F.lit(" lines)"))).otherwise("")
     about = F.when(F.col("about") != "", F.concat(F.lit(" — "), "about")).otherwise("")
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), "name", F.when(F.col("is_file"), F.concat(size, about)).otherwise("/"))
-    lines = [r.line for r in levels.orderBy(F.split("prefix", "/")).select(line.alias("line")).collect()]
+    lines = [r.line for r in gathered(levels.select(F.split("prefix", "/").alias("parts"), line.alias("line")), "PROJECT_MAP.md", "parts", block_mb=block_mb)]
     return _text(["# Project Map", "", "Every folder and file with a one-line summary.", "", *lines])
 
 
@@ -80,41 +102,52 @@ def dependencies(p: Project) -> str:
     return _text([*out, "", "## Circular imports (static)", "", *([f"- {c}" for c in cycles] or ["- none detected"])])
 
 
-def symbol_index(p: Project) -> str:
-    line = F.format_string("%-70s %-8s %s:%s", "name", "kind", "path", "lineno")
-    rows = p.symbols().orderBy(F.lower("name"), "path", "lineno").select(line.alias("line")).collect()
+def symbol_lines(symbols: DataFrame) -> DataFrame:
+    """symbols with `line`: name, kind and place in columns of fixed width."""
+    return symbols.withColumn("line", F.format_string("%-70s %-8s %s:%s", "name", "kind", "path", "lineno"))
+
+
+def symbol_index(p: Project, block_mb: float = 5) -> str:
+    rows = gathered(symbol_lines(p.symbols()).select("line", "name", "path", "lineno"), "SYMBOL_INDEX.md", F.lower("name"), "path", "lineno", "line", block_mb=block_mb)
     return _text(["# Symbol Index", "", "Flat lookup: symbol -> file:line.", "", *[r.line for r in rows]])
 
 
-def subsystem_reports(p: Project, descriptions: DataFrame, big: int = 800) -> dict[str, str]:
-    """A report for each folder of the first level."""
+def _said(value) -> Column:
+    return F.col(value).cast("string") if isinstance(value, str) else value.cast("string")
+
+
+def file_blocks(p: Project, descriptions: DataFrame, big: int = 800) -> DataFrame:
+    """area, path, lines, line: what the report of a folder of the first level says of each file, as one text."""
     issues = p.issues().groupBy("path").agg(F.array_sort(F.collect_list(F.struct("type", "severity", "kritik", "detail", "cozum"))).alias("issues"))
-    rows = described(p.files, descriptions).join(p.scores(), "path").join(issues, "path", "left").withColumn("area", paths.subsystem("path", None)).filter("area is not null").orderBy("path").collect()
+    rows = described(p.files, descriptions).join(p.scores(), "path").join(issues, "path", "left").withColumn("area", paths.subsystem("path", None)).filter("area is not null")
+    each = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))
+    one = lambda *parts: F.array(F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts]))
+    span = lambda x: F.concat(x["lineno"].cast("string"), F.lit("-"), x["end_lineno"].cast("string"))
+    about = F.when(F.col("about") != "", F.array(F.lit(""), F.concat(F.lit("> "), F.col("about")), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    scores = one("- Quality: Aktiflik ", _said("aktiflik"), " | Gereklilik ", _said("gereklilik"), " | Kod Kalitesi ", _said("kod_kalitesi"), " | Butunluk ", _said("butunluk"), " | **Toplam ", _said("toplam"), "/40**")
+    said = F.transform(each("issues"), lambda i: F.concat(F.lit("  - ["), F.when(i["kritik"], "KRITIK").otherwise(i["severity"]), F.lit("] "), i["type"], F.lit(": "), i["detail"], F.lit(" -> "), i["cozum"]))
+    functions = F.transform(each("functions"), lambda f: F.concat(F.format_string("fn  %-30s ", f["name"]), span(f), F.lit(" "), f["sig"]))
+    methods = lambda c: F.transform(c["methods"], lambda m: F.concat(F.format_string("    def %-28s ", m["name"]), span(m), F.lit(" "), m["sig"]))
+    classes = F.flatten(F.transform(each("classes"), lambda c: F.concat(F.array(F.concat(F.format_string("cls %-30s ", c["name"]), span(c))), methods(c))))
+    outline = F.concat(F.array(F.format_string("(%d lines - outline)", "lines"), F.lit(""), F.lit("```")), functions, classes, F.array(F.lit("```")))
+    listed = lambda c: F.coalesce(F.nullif(F.array_join(F.transform(each(c), lambda x: x["name"]), ", "), F.lit("")), F.lit("-"))
+    short = F.array(F.concat(F.lit("- Classes: "), listed("classes")), F.concat(F.lit("- Functions: "), listed("functions")))
+    block = F.concat(one("## ", F.col("path")), about, scores, said, F.when(F.col("lines") >= big, outline).otherwise(short), F.array(F.lit("")))
+    return rows.select("area", "path", "lines", F.array_join(block, "\n").alias("line"))
+
+
+def subsystem_reports(p: Project, descriptions: DataFrame, big: int = 800, block_mb: float = 5) -> dict[str, str]:
+    """A report for each folder of the first level."""
+    out: dict[str, list] = {}
+    for r in gathered(file_blocks(p, descriptions, big), "subsystems", "area", "path", block_mb=block_mb, area="area"):
+        out.setdefault(r.area, []).append(r)
     averages = {r.subsystem: r for r in quality_rows(p)}
-    out: dict[str, list[str]] = {}
-    for area in sorted({r.area for r in rows}):
-        own, q = [r for r in rows if r.area == area], averages[area]
-        lines = [f"# {area}", "", f"Files: {len(own)} | Lines: {sum(r.lines for r in own)}", "", f"Quality avg (0-40): **{q.avg_toplam}** | Issues: {q.issues} (kritik {q.kritik})", ""]
-        for r in own:
-            lines += [f"## {r.path}", *(["", f"> {r.about}", ""] if r.about else [])]
-            lines.append(f"- Quality: Aktiflik {r.aktiflik} | Gereklilik {r.gereklilik} | Kod Kalitesi {r.kod_kalitesi} | Butunluk {r.butunluk} | **Toplam {r.toplam}/40**")
-            lines += [f"  - [{'KRITIK' if i.kritik else i.severity}] {i.type}: {i.detail} -> {i.cozum}" for i in r.issues or []]
-            if r.lines >= big:
-                lines += [f"({r.lines} lines - outline)", "", "```", *[f"fn  {f.name:<30} {f.lineno}-{f.end_lineno} {f.sig}" for f in r.functions or []]]
-                for c in r.classes or []:
-                    lines += [f"cls {c.name:<30} {c.lineno}-{c.end_lineno}", *[f"    def {m.name:<28} {m.lineno}-{m.end_lineno} {m.sig}" for m in c.methods]]
-                lines.append("```")
-            else:
-                lines += ["- Classes: " + (", ".join(c.name for c in r.classes or []) or "-"), "- Functions: " + (", ".join(f.name for f in r.functions or []) or "-")]
-            lines.append("")
-        out[area] = lines
-    return {a: _text(lines) for a, lines in out.items()}
+    head = lambda a, rows: [f"# {a}", "", f"Files: {len(rows)} | Lines: {sum(r.lines for r in rows)}", "", f"Quality avg (0-40): **{averages[a].avg_toplam}** | Issues: {averages[a].issues} (kritik {averages[a].kritik})", ""]
+    return {a: _text([*head(a, rows), *[r.line for r in rows]]) for a, rows in out.items()}
 
 
 def quality_rows(p: Project) -> list:
-    from ..operators import quality
-
-    return quality.by_subsystem(p.scores(), p.issues()).orderBy("subsystem").collect()
+    return quality.by_subsystem(p.judged()).orderBy("subsystem").collect()
 
 
 def bullets(value, level: int = 0) -> list[str]:
@@ -176,31 +209,30 @@ def draft_notes(p: Project) -> dict:
     }
 
 
-def issues_report(p: Project, manual: list[dict] = (), failing: list[str] = ()) -> str:
+def issues_report(p: Project, manual: list[dict] = (), failing: list[str] = (), block_mb: float = 5) -> str:
     out = ["# ISSUES", "", "## Auto-detected", ""]
     cycles = [f"- {' <-> '.join(r.members)}" for r in p.import_cycles().collect()]
     broken = [f"- {r.path}" for r in p.files.filter("parse_error").select("path").orderBy("path").collect()]
-    found = p.issues().orderBy(F.desc("kritik"), "path", "type", "detail").collect()
-    twins = p.twins().orderBy("group_id").collect()
-    tags = p.fix_tags().orderBy("path", "line").collect()
+    line = F.concat(F.lit("- ["), F.when(F.col("kritik"), "KRITIK").otherwise(F.col("severity")), F.lit("] `"), "path", F.lit("` "), "type", F.lit(": "), "detail")
+    found = gathered(p.issues().withColumn("line_", line).select("kritik", "path", "type", "detail", F.col("line_").alias("line")), "ISSUES.md", F.desc("kritik"), "path", "type", "detail", block_mb=block_mb)
+    groups, marked = cut(p.twins()), cut(p.fix_tags())
+    twins, n_twins = groups.orderBy("group_id").limit(10).collect(), groups.count()
+    tags, n_tags = marked.orderBy("path", "line").limit(20).collect(), marked.count()
     for title, rows in (("### Failing imports (runtime health)", [f"- {f}" for f in failing]), ("### Circular imports (static)", cycles), ("### Unparseable files", broken)):
         out += [title, *rows, ""] if rows else []
     if found:
-        out += ["### Quality issues (by file, kritik first)", *[f"- [{'KRITIK' if i.kritik else i.severity}] `{i.path}` {i.type}: {i.detail}" for i in found], ""]
+        out += ["### Quality issues (by file, kritik first)", *[r.line for r in found], ""]
     if twins:
-        out += ["### Twin groups (potential duplicates)", *[f"- {g.group_id} ({g.method}, sim~{g.similarity_avg}%): " + ", ".join(f"{m.path}:{m.line}" for m in g.members) for g in twins[:10]]]
-        out += [*([f"- ... ({len(twins) - 10} more groups)"] if len(twins) > 10 else []), ""]
+        out += ["### Twin groups (potential duplicates)", *[f"- {g.group_id} ({g.method}, sim~{g.similarity_avg}%): " + ", ".join(f"{m.path}:{m.line}" for m in g.members) for g in twins]]
+        out += [*([f"- ... ({n_twins - 10} more groups)"] if n_twins > 10 else []), ""]
     if tags:
-        out += [f"### Fix/TODO tags ({len(tags)})", *[f"- `{t.path}:{t.line}` [{t.tag}] {t.text[:80]}" for t in tags[:20]], *([f"- ... ({len(tags) - 20} more)"] if len(tags) > 20 else []), ""]
+        out += [f"### Fix/TODO tags ({n_tags})", *[f"- `{t.path}:{t.line}` [{t.tag}] {t.text[:80]}" for t in tags], *([f"- ... ({n_tags - 20} more)"] if n_tags > 20 else []), ""]
     notes = [f"- **{i.get('title', '')}** ({i.get('severity', '?')}): {i.get('detail', '')}" for i in manual]
     return _text([*out, "## Manual", "", *(notes or ["- (none - add via state.json)"])])
 
 
 def status(p: Project, name: str, at: str, state: dict, health: dict | None = None) -> str:
-    s, c = p.stats().first(), p.call_stats().first()
-    from ..operators import quality
-
-    q = quality.summary(p.scores(), p.issues()).first()
+    s, c, q = p.stats().first(), p.call_stats().first(), quality.summary(p.judged()).first()
     health = health or {}
     out = ["# STATUS - current state (auto section regenerated; persistent fields from state.json)", "meta:", f"  project: {name}", f"  last_sync: {at}", f"  active_task: {state.get('active_task') or 'null'}"]
     out += ["metrics:", f"  python_files: {s.total_py}", f"  lines: {s.total_lines}", f"  classes: {s.total_classes}", f"  subsystems: {', '.join(s.subsystems)}", "health:", f"  ok: {health.get('ok', '?')}", f"  fail: {health.get('fail', '?')}"]
@@ -234,7 +266,8 @@ def change_entry(diff: DataFrame, label: str, at: str) -> str:
 
 def knowledge_base(p: Project, descriptions: DataFrame, notes: dict, settings: dict) -> tuple[dict[str, str], list[str]]:
     """All reports by file name, and warnings on large ones."""
-    made = {"QUICKREF.md": quickref(p, settings.get("project_name", "")), "PROJECT_MAP.md": project_map(p, descriptions), "DEPENDENCIES.md": dependencies(p), "SYMBOL_INDEX.md": symbol_index(p), "ARCHITECTURE.md": architecture(p, notes), "INSIGHTS.md": insights(p)}
-    made |= {f"subsystems/{a}.md": t for a, t in subsystem_reports(p, descriptions, settings["big_file_threshold"]).items()} | {f"flows/{n}.md": t for n, t in flows(notes).items()}
+    block = settings["output_block_mb"]
+    made = {"QUICKREF.md": quickref(p, settings.get("project_name", "")), "PROJECT_MAP.md": project_map(p, descriptions, block), "DEPENDENCIES.md": dependencies(p), "SYMBOL_INDEX.md": symbol_index(p, block), "ARCHITECTURE.md": architecture(p, notes), "INSIGHTS.md": insights(p)}
+    made |= {f"subsystems/{a}.md": t for a, t in subsystem_reports(p, descriptions, settings["big_file_threshold"], block).items()} | {f"flows/{n}.md": t for n, t in flows(notes).items()}
     warnings = [w for n, t in made.items() if (w := guarded(t, n, settings["output_warn_mb"], settings["output_block_mb"])[1])]
     return made, warnings

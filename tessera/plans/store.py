@@ -8,8 +8,6 @@ committer makes each write whole or absent.
 from __future__ import annotations
 
 import json
-import os
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import extract, graph, quality, snapshots
 from ..sources import project as small
+from ..sources.locks import atomic_write, store_lock
 from . import reports
 from .project import Project
 from .tables import cut
@@ -69,11 +68,13 @@ class Store:
 
     def describe(self, path: str, text: str | None) -> None:
         """Sets the description of a path, or takes it away."""
-        others = self.descriptions().filter(F.col("path") != path)
-        self._replace_descriptions(others if text is None else others.union(self.spark.createDataFrame([(path, text)], DESCRIPTION)))
+        with store_lock(self.spark, f"{self.path}/locks"):
+            others = self.descriptions().filter(F.col("path") != path)
+            self._replace_descriptions(others if text is None else others.union(self.spark.createDataFrame([(path, text)], DESCRIPTION)))
 
     def move_descriptions(self, moved: DataFrame) -> None:
-        self._replace_descriptions(snapshots.rekey(self.descriptions(), moved))
+        with store_lock(self.spark, f"{self.path}/locks"):
+            self._replace_descriptions(snapshots.rekey(self.descriptions(), moved))
 
     # ---- the log
 
@@ -88,14 +89,6 @@ class Store:
         return self.read("log", LOG).orderBy(F.desc("at")).limit(most)
 
 
-def atomic_write(path: Path, text: str) -> None:
-    """Replaces a file on the driver in one step."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    other = path.with_name(f"{path.name}.{uuid.uuid4().hex}")
-    other.write_text(text, encoding="utf-8")
-    os.replace(other, path)
-
-
 def write_reports(folder: str, made: dict[str, str], draft: dict | None = None) -> None:
     """Writes reports to a folder of the driver, and removes those of an earlier run that are no more. An existing draft stays."""
     base = Path(folder)
@@ -115,15 +108,21 @@ TABLES = {
 DEBT = {"twins": lambda p: p.twins(), "fix_tags": lambda p: p.fix_tags(), "callgraph": lambda p: p.callgraph(), "callgraph_stats": lambda p: p.call_stats()}
 
 
-def sync(spark: SparkSession, root: str, store: Store, settings: dict | None = None, notes: dict | None = None, folder: str | None = None) -> DataFrame:
+def sync(spark: SparkSession, root: str, store: Store, settings: dict | None = None, notes: dict | None = None, folder: str | None = None, label: str = "sync", fresh: bool = False) -> DataFrame:
     """Brings a store up to date with a tree, and returns what changed since the last time.
 
     Only contents that no earlier run has seen are parsed. Descriptions follow moved
     files; the log and, given a folder, the reports are written; at last the
-    fingerprint, so that a run that broke off is simply done again.
+    fingerprint, so that a run that broke off is simply done again. One run at a time
+    works on a store; with fresh, all contents are parsed again.
     """
     settings = small.DEFAULTS | (settings or {})
-    known = store.read("facts", FACT)
+    with store_lock(spark, store.path):
+        return _synced(spark, root, store, settings, notes or {}, folder, label, fresh)
+
+
+def _synced(spark: SparkSession, root: str, store: Store, settings: dict, notes: dict, folder: str | None, label: str, fresh: bool) -> DataFrame:
+    known = None if fresh else store.read("facts", FACT)
     p = Project.at(spark, root, settings["ignore_dirs"], known)
     number = store.last()
     old = store.fingerprint(number)
@@ -132,11 +131,11 @@ def sync(spark: SparkSession, root: str, store: Store, settings: dict | None = N
     store.write("facts", p.facts)
     for name, made in TABLES.items():
         store.write(f"tables/{name}", made(p))
-    store.write("tables/quality_summary", quality.summary(p.scores(), p.issues()))
+    store.write("tables/quality_summary", quality.summary(p.judged()))
     if folder:
-        made, _ = reports.knowledge_base(p, store.descriptions(), notes or {}, settings)
+        made, _ = reports.knowledge_base(p, store.descriptions(), notes, settings)
         write_reports(folder, made, reports.draft_notes(p))
-    store.log(diff, "sync")
+    store.log(diff, label)
     store.keep_fingerprint(number + 1, p.fingerprint)
     return diff
 

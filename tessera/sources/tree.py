@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ IGNORE = [
 RAW = "path string, size long, content binary"
 #: What one task reads at most, unless a single file is larger.
 TASK_BYTES, TASK_FILES = 64 << 20, 2000
+#: Folders of a level that are listed at once.
+LISTERS = 32
 
 
 @dataclass
@@ -32,7 +35,7 @@ def _matches(name: str, patterns: list[str]) -> bool:
 
 
 class TreeReader(DataSourceReader):
-    """Lists one folder at a time, so that nothing below an ignored folder is ever listed, and reads files in tasks of bounded size.
+    """Lists level by level, many folders at once, so that nothing below an ignored folder is ever listed, and reads files in tasks of bounded size.
 
     Spark's own file sources leave out names that begin with _ or a dot, and files
     without bytes; here those are files like any other.
@@ -51,14 +54,11 @@ class TreeReader(DataSourceReader):
 
         store, base = self._open()
         found, todo = [], [base]
-        while todo:
-            for info in store.get_file_info(fs.FileSelector(todo.pop())):
-                name = info.base_name
-                if info.type == fs.FileType.Directory:
-                    if not name.startswith(".") and not _matches(name, self.ignore) and not _matches(name + "/", self.ignore):
-                        todo.append(info.path)
-                elif info.type == fs.FileType.File and not _matches(name, self.ignore):
-                    found.append((info.path[len(base) :].lstrip("/"), info.size))
+        with ThreadPoolExecutor(LISTERS) as pool:
+            while todo:
+                level = [info for infos in pool.map(lambda place: store.get_file_info(fs.FileSelector(place)), todo) for info in infos]
+                todo = [x.path for x in level if x.type == fs.FileType.Directory and not x.base_name.startswith(".") and not _matches(x.base_name, self.ignore) and not _matches(x.base_name + "/", self.ignore)]
+                found += [(x.path[len(base) :].lstrip("/"), x.size) for x in level if x.type == fs.FileType.File and not _matches(x.base_name, self.ignore)]
         out, size = [[]], 0
         for name, n in sorted(found):
             if out[-1] and (size + n > TASK_BYTES or len(out[-1]) >= TASK_FILES):

@@ -6,6 +6,7 @@ import random
 import duckdb
 import pytest
 
+from tessera.plans import source_queries, state_queries  # noqa: F401  they register theirs with the others
 from tessera.plans.queries import ORACLES, QUERIES
 
 SCHEMAS = {
@@ -13,7 +14,7 @@ SCHEMAS = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey long, c_nationkey int",
     "supplier": "s_suppkey long, s_name string, s_nationkey int",
-    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
     "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp",
     "lineitem": "l_orderkey long, l_suppkey long, l_quantity double, l_returnflag string",
     "events": "event_id long, ts timestamp, user_id long, event_type string, value double, props string",
@@ -36,7 +37,7 @@ def rows():
         "nation": [(k, f"N{k}", k % 5) for k in range(25)],
         "customer": [(k, k % 25) for k in range(30)],
         "supplier": [(k, f"Supplier {k}", (k * 7) % 25) for k in range(12)],
-        "part": [(k, f"{rng.choice(['red', 'blue'])} {rng.choice(['widget', 'ring', 'bolt'])}", f"Brand#{k % 4}", rng.choice(["SMALL", "PROMO", "RING"]), k % 40) for k in range(60)],
+        "part": [(k, f"{rng.choice(['red', 'blue'])} {rng.choice(['widget', 'ring', 'bolt'])}", f"Brand#{k % 4}", rng.choice(["SMALL", "PROMO", "RING"]), k % 40, 900 + k / 10) for k in range(60)],
         "orders": [(k, k % 30, day(rng.randrange(9) * 86400)) for k in range(90)],
         "lineitem": [(rng.randrange(90), rng.randrange(12), float(rng.randrange(50)), rng.choice("ARN")) for _ in range(300)],
         "events": [(k, day(rng.randrange(5000)), rng.randrange(14), rng.choice(kinds), rng.choice([1.0, 150.0]), f'{{"k": {rng.randrange(14)}}}') for k in range(400)],
