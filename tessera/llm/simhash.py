@@ -135,7 +135,9 @@ def near_pairs(points: DataFrame) -> DataFrame:
     flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     stars = crowd.select("family", "fp", F.explode(flips).alias("neighbour")).groupBy("family", "neighbour").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
     hot = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
-    return cold.unionByName(hot).distinct()
+    out = cold.unionByName(hot).distinct()
+    out._tessera_uses = rows
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -165,7 +167,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked(points: DataFrame) -> DataFrame:
-    return components(near_pairs(points))
+    links = near_pairs(points)
+    roots = components(links)
+    discard(links._tessera_uses)
+    return roots
 
 
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -270,7 +275,9 @@ def pivot_pairs(points: DataFrame) -> DataFrame:
     same = points.join(one, "fp").filter("t <> one").select(*_pair("t", "one"))
     links = near_pairs(one.select(F.lit(0).alias("family"), "fp"))
     ends = links.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b")
-    return same.unionByName(ends.select(*_pair("x", "y")))
+    out = same.unionByName(ends.select(*_pair("x", "y")))
+    out._tessera_uses = (links._tessera_uses, one)
+    return out
 
 
 def similar(points: DataFrame, texts: DataFrame) -> DataFrame:
@@ -292,16 +299,18 @@ def similar(points: DataFrame, texts: DataFrame) -> DataFrame:
     often = rows.groupBy("t").agg(F.count("*").alias("crowds"))
     hubs = written(rows.select("key", "t").join(often, "t").groupBy("key").agg(F.max_by("t", F.struct("crowds", "t")).alias("hub")), "near-hubs")
     met = rows.join(hubs, "key").filter("t <> hub").select(*_pair("t", "hub"))
-    first = met.unionByName(pivot_pairs(points.select("t", at(2).alias("fp")))).distinct()
-    first = written(_plausible(first, parities), "near-candidates")
+    near = pivot_pairs(points.select("t", at(2).alias("fp")))
+    first = written(_plausible(met.unionByName(near).distinct(), parities), "near-candidates")
+    discard(*near._tessera_uses)
     links = written(verified(first, texts), "near-links")
     discard(first)
     roots = components(links)
     crowd = rows.filter("times > 2").join(roots.withColumnRenamed("v", "t"), "t", "left").select("key", "t", "n", "pos", F.coalesce("root", "t").alias("root"))
     crowd = written(crowd, "near-crowds")
-    most = crowd.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("key", "most")
+    most = crowd.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    most = written(most.select("key", "most"), "near-most")
     left = written(crowd.join(most, "key").join(parities.drop("n"), "t"), "near-crowds")
-    discard(rows, hubs, crowd)
+    discard(rows, hubs, crowd, most)
     x, y = left.filter("root <> most").alias("x"), left.alias("y")
     of = lambda name: {c: F.col(f"{name}.{c}") for c in ("n", "pos", *parities.columns[2:])}
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(of("x"), of("y")) & _alike(of("x"), of("y")))
