@@ -62,7 +62,7 @@ def subsystem_rollup(spark, sf_dir):
 
 @query(f"WITH {FILES} SELECT path, sha256(text) AS sha256, md5(text)[1:12] AS short_hash, strlen(text)::BIGINT AS size FROM f")
 def fingerprint(spark, sf_dir):
-    """X1, X2, K2"""
+    """X1"""
     return files(spark, sf_dir).select("path", F.sha2("text", 256).alias("sha256"), names.short_hash("text").alias("short_hash"), F.octet_length("text").cast("long").alias("size"))
 
 
@@ -111,7 +111,7 @@ SECRET = r"""(password|secret|token|key)\s*=\s*["']"""
 
 @query(f"""WITH {FILES}, m AS (SELECT path, unnest(regexp_extract_all(text, '{SECRET.replace("'", "''")}', 1)) AS word FROM f) SELECT path, word, count(*) AS n FROM m GROUP BY path, word""")
 def secret_scan(spark, sf_dir):
-    """All matches"""
+    """One pattern, all matches"""
     hits = files(spark, sf_dir).filter(F.col("text").rlike(SECRET)).select("path", F.explode(F.regexp_extract_all("text", F.lit(SECRET), F.lit(1))).alias("word"))
     return hits.groupBy("path", "word").agg(F.count("*").alias("n"))
 
@@ -160,7 +160,7 @@ def snapshot_moves(spark, sf_dir):
 
 @query(f"WITH {SNAPSHOTS} SELECT status, count(*) AS n FROM d GROUP BY status")
 def snapshot_counts(spark, sf_dir):
-    """K3: the counts of the change log"""
+    """The counts of a diff"""
     return snapshots.diff(*_snapshots(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -269,7 +269,7 @@ def quality_by_subsystem(spark, sf_dir):
 @query(f"""WITH {FILES}, h AS (SELECT source, path, 'missing ' || lang AS detail, row_number() OVER (PARTITION BY source ORDER BY path) AS rn, count(*) OVER (PARTITION BY source) AS n FROM f)
 SELECT source, path, CASE WHEN rn > 10 THEN '... ve ' || (n - 10) || ' fonksiyon daha tür ipucu eksik' ELSE detail END AS detail FROM h WHERE rn <= 11""")
 def hint_overflow(spark, sf_dir):
-    """Ten rows, and one for the rest"""
+    """Ten rows, and one for the rest; Q16 uses it on functions without hints"""
     return quality.overflow(files(spark, sf_dir).select("source", "path", F.concat(F.lit("missing "), "lang").alias("detail")), "source", ["path"], 10)
 
 
@@ -306,11 +306,11 @@ def pairwise_jaccard(spark, sf_dir):
     return twins.pair_similarity(rows, "p_brand", "p_name", "letters")
 
 
-@query("""WITH m AS (SELECT md5(split_part(coalesce(text, ''), chr(10), 1)) AS g, false AS is_new FROM documents UNION ALL SELECT md5(split_part(text, chr(10), 1)), true FROM benchmark)
+@query("""WITH m AS (SELECT md5(split_part(coalesce(text, ''), ' ', 1)) AS g, false AS is_new FROM documents UNION ALL SELECT md5(split_part(coalesce(text, ''), ' ', 1)), true FROM benchmark)
 SELECT g, count(*) FILTER (is_new) AS n_new, count(*) FILTER (NOT is_new) AS n_old FROM m GROUP BY g HAVING count(*) FILTER (is_new) > 0 AND count(*) FILTER (NOT is_new) > 0""")
 def duplicate_gate(spark, sf_dir):
-    """First lines that a benchmark item shares with a document"""
-    head = F.md5(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))).alias("g")
+    """First words that benchmark items share with documents"""
+    head = F.md5(F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(1))).alias("g")
     old, new = table(spark, sf_dir, "documents").select(head, F.lit(False).alias("is_new")), table(spark, sf_dir, "benchmark").select(head, F.lit(True).alias("is_new"))
     return twins.gate(old.union(new), "g", "is_new")
 
@@ -331,7 +331,7 @@ LINKS = f"e AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS src, unnest(regex
 
 @query(f"WITH {LINKS} SELECT src, dst, count(*) AS n FROM e GROUP BY src, dst")
 def link_edges(spark, sf_dir):
-    """P8, X12"""
+    """Links of pages, counted"""
     return links(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -413,7 +413,7 @@ def scc(spark, sf_dir):
 
 @query(f"WITH {TRADE.replace('e AS (', 't AS (', 1)}, e AS (SELECT DISTINCT src_area AS src, dst_area AS dst FROM t), p1 AS (SELECT [src, dst] AS path FROM e WHERE src = 'R0' AND src <> dst), p2 AS (SELECT list_append(path, dst) AS path FROM p1 JOIN e ON path[-1] = src WHERE NOT list_contains(path, dst)), p3 AS (SELECT list_append(path, dst) AS path FROM p2 JOIN e ON path[-1] = src WHERE NOT list_contains(path, dst)) SELECT path FROM p1 UNION ALL SELECT path FROM p2 UNION ALL SELECT path FROM p3")
 def bounded_paths(spark, sf_dir):
-    """G2"""
+    """Simple paths from a node, to a depth that the caller gives; their number grows with it"""
     edges = trade(spark, sf_dir).select(F.col("src_area").alias("src"), F.col("dst_area").alias("dst"))
     return graph.bounded_paths(edges, spark.createDataFrame([("R0",)], "node string"), 3)
 
@@ -452,7 +452,7 @@ def resolved_calls(spark, sf_dir):
 @query("""WITH u AS (SELECT DISTINCT regexp_extract(url, '://([^?#]+)', 1) AS item FROM pages), p AS (SELECT DISTINCT regexp_extract(url, '://([^/]+/[^/?#]+)', 1) AS prefix, 2 AS prio FROM pages UNION SELECT DISTINCT regexp_extract(url, '://([^/]+)', 1), 1 FROM pages)
 SELECT item, arg_max(prefix, length(prefix)) AS target FROM u JOIN p ON item = prefix OR starts_with(item, prefix || '/') WHERE prefix <> '' GROUP BY item""")
 def longest_prefix(spark, sf_dir):
-    """Urls to the deepest known site or section"""
+    """Urls to the deepest known site or section"""
     pages = table(spark, sf_dir, "pages")
     part = lambda p, prio: pages.select(F.regexp_extract("url", p, 1).alias("prefix"), F.lit(prio).alias("prio")).filter("prefix <> ''").distinct()
     known = part(r"://([^/]+/[^/?#]+)", 2).union(part(r"://([^/]+)", 1)).select("prefix", F.col("prefix").alias("target"), "prio")
@@ -508,7 +508,7 @@ def find_symbol(spark, sf_dir):
 
 @query("""SELECT name, kind, printf('%-30s %-8s %s', name, kind, place) AS line FROM (SELECT r_name AS name, 'region' AS kind, r_regionkey::VARCHAR AS place FROM region UNION ALL SELECT n_name, 'nation', n_nationkey::VARCHAR FROM nation UNION ALL SELECT s_name, 'supplier', s_suppkey::VARCHAR FROM supplier)""")
 def symbol_index(spark, sf_dir):
-    """U1, P10, O5, K8, X15"""
+    """Lines of fixed width"""
     part = lambda t, name, key, kind: table(spark, sf_dir, t).select(F.col(name).alias("name"), F.lit(kind).alias("kind"), F.col(key).cast("string").alias("place"))
     rows = part("region", "r_name", "r_regionkey", "region").unionByName(part("nation", "n_name", "n_nationkey", "nation")).unionByName(part("supplier", "s_name", "s_suppkey", "supplier"))
     return rows.select("name", "kind", F.format_string("%-30s %-8s %s", "name", "kind", "place").alias("line")).orderBy(F.lower("name"), "line")
@@ -516,7 +516,7 @@ def symbol_index(spark, sf_dir):
 
 @query("""WITH b AS (SELECT DISTINCT p_brand AS base, p_name AS sub FROM part), k AS (SELECT base, list_sort(list(sub)) AS subclasses, count(*)::INTEGER AS n FROM b GROUP BY base ORDER BY n DESC, base LIMIT 50) SELECT base, subclasses, n FROM k WHERE n >= 2""")
 def polymorphic_map(spark, sf_dir):
-    """The limit comes before the filter"""
+    """The limit comes before the filter"""
     from ..operators.insights import most_extended
 
     return most_extended(table(spark, sf_dir, "part").select(F.col("p_brand").alias("base"), F.col("p_name").alias("sub")))
@@ -563,6 +563,6 @@ def ignored_paths(spark, sf_dir):
 
 @query("SELECT l_returnflag AS subsystem, count(*) AS files, round(sum(l_quantity) / 1048576.0, 6) AS megabytes, sum(l_quantity) > 1048576 AS over_warn FROM lineitem GROUP BY l_returnflag")
 def size_guard(spark, sf_dir):
-    """Sizes against the limit for a warning"""
+    """Sums of groups against a limit"""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("subsystem")).agg(F.count("*").alias("files"), F.sum("l_quantity").alias("bytes"))
     return rows.select("subsystem", "files", F.round(F.col("bytes") / 1048576.0, 6).alias("megabytes"), (F.col("bytes") > 1048576).alias("over_warn"))

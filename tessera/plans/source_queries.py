@@ -8,6 +8,8 @@ hold a byte that is no UTF-8.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +91,9 @@ def sources(spark, sf_dir) -> DataFrame:
     return python.unionByName(other).select("path", F.octet_length("content").cast("long").alias("size"), "content")
 
 
+@functools.lru_cache(maxsize=1)
 def project(spark, sf_dir) -> Project:
+    """The tree of a folder's tables; the last one is kept, so that queries that follow parse nothing again."""
     return Project(spark, sources(spark, sf_dir))
 
 
