@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lm, mixing, pii, quality, rollup, sharding, simhash, tiff, warc
+from . import bpe, html, lm, mixing, pii, quality, rollup, runs, sharding, simhash, tiff, warc
 from .base import documents
 
 #: Words of a text, in DuckDB.
@@ -51,7 +51,15 @@ def op10_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_rollup": op2_rollup, "op3_mix": op3_mix, "op4_shards": op4_shards, "op5_lm": op5_lm, "op6_warc": op6_warc, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe}
+def op11_runs(spark, sf_dir):
+    return runs.digest(documents(spark, sf_dir))
+
+
+def op12_html(spark, sf_dir):
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_rollup": op2_rollup, "op3_mix": op3_mix, "op4_shards": op4_shards, "op5_lm": op5_lm, "op6_warc": op6_warc, "op7_tiff": op7_tiff, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe, "op11_runs": op11_runs, "op12_html": op12_html}
 
 
 def quality_sql(table: str = "documents", limits: quality.Limits = quality.Limits()) -> str:
@@ -183,4 +191,12 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS log_s
 FROM d LEFT JOIN s USING (rid)"""
 
 
-ORACLES = {"op5_lm": LM_SQL, "op2_rollup": ROLLUP_SQL, "op6_warc": WARC_SQL, "op3_mix": MIX_SQL, "op1_quality": quality_sql(), "op8_pii": pii_sql()}
+#: What the articles of the given pages hold; the operator itself knows nothing of their layout.
+HTML_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, url, replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#x27;', chr(39)) AS t FROM a),
+s AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM s"""
+
+
+ORACLES = {"op12_html": HTML_SQL, "op5_lm": LM_SQL, "op2_rollup": ROLLUP_SQL, "op6_warc": WARC_SQL, "op3_mix": MIX_SQL, "op1_quality": quality_sql(), "op8_pii": pii_sql()}
