@@ -6,12 +6,12 @@ import public_tokenizers
 import test_simhash
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, lm, mixing, pii, quality, rollup, sharding, simhash, tiff, warc
+from tessera.llm import bpe, lm, mixing, pii, quality, rollup, runs, sharding, simhash, tiff, warc
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 DIGESTS = {
     "op1": quality.report, "op3": mixing.digest, "op4": sharding.digest, "op5": lm.scores, "op7": tiff.digests, "op8": pii.digest, "op9": simhash.digest,
-    "op10": lambda df: bpe.round_trip(df, VOCABULARY, PATTERN),
+    "op10": lambda df: bpe.round_trip(df, VOCABULARY, PATTERN), "op11": runs.digest,
 }
 
 
