@@ -6,7 +6,8 @@ import random
 import duckdb
 import pytest
 
-from tessera.plans import source_queries, state_queries  # noqa: F401  they register theirs with the others
+from jobs import queries as job_queries  # noqa: F401  they register theirs with the others
+from tessera.plans import source_queries, state_queries  # noqa: F401
 from tessera.plans.queries import ORACLES, QUERIES
 
 SCHEMAS = {
@@ -91,6 +92,7 @@ def test_entry_point_without_the_corpus_subpackage(tmp_path):
 
     root = pathlib.Path(__file__).resolve().parent.parent
     shutil.copytree(root / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "", "PYTHONPATH": ""}, check=True)
