@@ -62,8 +62,11 @@ def compare(now: DataFrame, before: DataFrame) -> DataFrame:
 def take(batch: DataFrame, number: int, output: str, config: dict) -> None:
     """One micro-batch; safe to be run again."""
     spark, every = batch.sparkSession, config["whole_every"]
+    log.info("changes: batch %d read %d rows", number, batch.count())
     before = state(spark, output, number, every)
-    compare(latest(as_files(batch, config)), before).write.mode("overwrite").parquet(f"{output}/changes/batch={number}")
+    now = latest(as_files(batch, config)).persist()  # narrow, and read several times; the texts are read once
+    compare(now, before).write.mode("overwrite").parquet(f"{output}/changes/batch={number}")
+    now.unpersist()
     made = spark.read.schema(CHANGES).parquet(f"{output}/changes/batch={number}")
     known = made.select("path", "sha256")
     if number % every == 0:
@@ -82,8 +85,7 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, config:
         stream = stream.option("maxFilesPerTrigger", config["files_per_batch"])
     query = stream.parquet(source).writeStream.foreachBatch(lambda batch, number: take(batch, number, output, config)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    read = sum(p["numInputRows"] for p in query.recentProgress)
-    log.info("changes: read %d new rows of %s", read, source)
+    log.info("changes: took all that is new below %s", source)
 
 
 def written(spark: SparkSession, output: str) -> DataFrame:
