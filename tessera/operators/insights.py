@@ -3,23 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bases considered, and subclasses that one needs.
-MOST_BASES, LEAST_SUBCLASSES = 50, 2
+#: Bases considered, subclasses that one needs, and those that its own row names.
+MOST_BASES, LEAST_SUBCLASSES, NAMED = 50, 2, 5
+
+
+def mentions(classes: DataFrame) -> DataFrame:
+    """classes: path, name, lineno, bases. base (the simple name of a base), sub_path, sub, sub_line: a row for each base of each class."""
+    each = classes.select(F.col("path").alias("sub_path"), F.col("name").alias("sub"), F.col("lineno").alias("sub_line"), F.explode("bases").alias("b"))
+    return each.select("sub_path", "sub", "sub_line", F.element_at(F.split("b", r"\."), -1).alias("base"))
 
 
 def subclass_pairs(classes: DataFrame) -> DataFrame:
-    """classes: path, name, bases. Each class with each class of the tree that has the simple name of one of its bases."""
-    simple = lambda b: F.element_at(F.split(b, r"\."), -1)
-    wanted = classes.select("path", "name", F.explode("bases").alias("b")).select(F.col("path").alias("sub_path"), F.col("name").alias("sub"), simple(F.col("b")).alias("base"))
-    return wanted.join(classes.select(F.col("name").alias("base"), F.col("path").alias("base_path")), "base")
+    """Each class with each class of the tree that has the simple name of one of its bases."""
+    return mentions(classes).join(classes.select(F.col("name").alias("base"), F.col("path").alias("base_path"), F.col("lineno").alias("base_line")), "base")
+
+
+def most_extended(classes: DataFrame) -> DataFrame:
+    """base_path, base, base_line, n, first: the classes with the most subclasses, each where it stands; those with one only are dropped after the limit. Ties go by name, then place.
+
+    Two classes of one name are two rows, and each has all classes that name it. Names are
+    counted before they are joined with classes, so no list of subclasses is built; first has the least of them.
+    """
+    named = mentions(classes)
+    counted = named.groupBy("base").agg(F.count("*").alias("n"))
+    own = classes.select(F.col("path").alias("base_path"), F.col("name").alias("base"), F.col("lineno").alias("base_line"))
+    chosen = own.join(counted, "base").orderBy(F.desc("n"), "base", "base_path", "base_line").limit(MOST_BASES).filter(F.col("n") >= LEAST_SUBCLASSES)
+    place = F.row_number().over(W.partitionBy("base").orderBy("sub_path", "sub_line", "sub"))
+    least = named.withColumn("rn", place).filter(F.col("rn") <= NAMED).groupBy("base").agg(F.array_sort(F.collect_list(F.struct("sub_path", "sub_line", "sub"))).alias("first"))
+    return chosen.join(least, "base").select("base_path", "base", "base_line", "n", "first")
 
 
-def most_extended(pairs: DataFrame) -> DataFrame:
-    """pairs: base, sub. The bases with the most distinct subclasses; those with one only are dropped after the limit."""
-    found = pairs.select("base", "sub").distinct().groupBy("base").agg(F.array_sort(F.collect_list("sub")).alias("subclasses")).withColumn("n", F.size("subclasses"))
-    return found.orderBy(F.desc("n"), "base").limit(MOST_BASES).filter(F.col("n") >= LEAST_SUBCLASSES)
+def extensions(classes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chosen: rows of most_extended. base_path, base, base_line, sub_path, sub, sub_line: a row for each subclass of the chosen ones, MOST_BASES at most."""
+    return mentions(classes).join(F.broadcast(chosen.select("base_path", "base", "base_line")), "base")
 
 
 def role(level: Column, last: Column, imported_by: Column, imports_others: Column) -> Column:

@@ -1,4 +1,7 @@
-"""Join shapes that Spark has no operator for, as plans over equi-joins."""
+"""Join shapes that Spark has no operator for, as plans over equi-joins.
+
+None of them meets all rows of a key with all others, and none puts a key's rows into one task.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +10,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import prefixes
+from ..plans.tables import cut
+
+
+def ranked(df: DataFrame, order: list, into: str, keys: list[str] = ()) -> DataFrame:
+    """df with the place of each row in an order, from 1, among all rows or among those of equal keys; a total order gives the same places each time.
+
+    Rows are dealt by ranges of keys and order, and each range is counted; a row's place
+    is that in its range and what the ranges before hold of its keys. So a key of
+    any share of the rows is numbered by many tasks; the one window over a whole key has a row for each range.
+    """
+    keys = list(keys)
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    local = F.row_number().over(W.partitionBy("__range", *keys).orderBy(*order))
+    counts = placed.groupBy("__range", *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(k).isNull().alias(f"__n{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("__rows"))
+    marks = [c for c in counts.columns if c not in ("__range", "__rows")]
+    before = W.partitionBy(*marks).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
+    numbered = placed.withColumn("__local", local)
+    for i, k in enumerate(keys):
+        numbered = numbered.withColumn(f"__k{i}", F.coalesce(F.col(k).cast("string"), F.lit(""))).withColumn(f"__n{i}", F.col(k).isNull())
+    return numbered.join(offsets, ["__range", *marks]).withColumn(into, F.col("__local") + F.col("__before")).drop("__range", "__local", "__before", *marks)
 
 
 def rank_pairs(left: DataFrame, right: DataFrame, key: str, left_order: str, right_order: str) -> DataFrame:
-    """Pairs the k-th row of left with the k-th of right among rows of equal key; null and empty keys pair with none."""
-    numbered = lambda df, order: df.filter(F.col(key) != "").withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(order)))
+    """Pairs the k-th row of left with the k-th of right among rows of equal key; null and empty keys pair with none.
+
+    Keys that only one side has are left out before their rows are numbered.
+    """
+    left, right = left.filter(F.col(key) != ""), right.filter(F.col(key) != "")
+    common = left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi")
+    numbered = lambda df, order: ranked(df.join(common, key, "left_semi"), [order], "rn", [key])
     return numbered(left, left_order).join(numbered(right, right_order), [key, "rn"]).drop("rn")
 
 
@@ -25,14 +55,45 @@ def longest_prefix(items: DataFrame, item: str, targets: DataFrame, sep: str = "
     return found.groupBy(item).agg(F.min_by("target", F.struct(-F.col("len"), "prio", "target")).alias("target"))
 
 
+#: Ranges of whole numbers are cut at multiples of 4, 16, 64 and so on: two bits a level.
+BITS = 2
+
+
+def _cells(start: Column, end: Column) -> Column:
+    """The fewest aligned ranges (level, cell: all x with x >> 2 level = cell) that make up start to end, both included; null if that is empty."""
+    stop = end + 1
+    top = F.when(stop > start, ((F.char_length(F.bin(stop - start)) - 1) / BITS).cast("int"))
+    low = lambda k: F.call_function("shiftright", start + F.call_function("shiftleft", F.lit(1).cast("long"), k * BITS) - 1, k * BITS)
+    high = lambda k: F.call_function("shiftright", stop, k * BITS)
+    four = F.lit(1 << BITS)
+
+    def of(k: Column) -> Column:
+        a, b, outer_a, outer_b = low(k), high(k), low(k + 1) * four, high(k + 1) * four
+        between = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+        cells = F.when((k == top) | (outer_a >= outer_b), between(a, b)).otherwise(F.concat(between(a, outer_a), between(outer_b, b)))
+        return F.transform(cells, lambda c: F.struct(k.alias("level"), c.alias("cell")))
+
+    return F.when(top.isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), top), of)))
+
+
 def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str, *keep: str) -> DataFrame:
-    """For each point the name of the span of its key that contains it and starts last; of those that start together, the greatest name.
+    """For each point the name of the span of its key that contains it and starts last; of those that start together, the greatest name. keep names further columns of points; equal points are one row, those in no span none.
 
-    An equi-join on the key with the range as a residual; keep names further columns of points.
+    Each span is cut into aligned ranges, some three for each doubling of its length, and of the
+    spans that cover a range whole only the innermost is kept. A point then meets at
+    most one span for each size of range there is in its key, by equality: rows grow
+    as points and spans do, however they overlap, and a key's rows are dealt by range.
     """
-    hit = points.alias("p").join(spans.alias("s"), (F.col(f"p.{key}") == F.col(f"s.{key}")) & F.col(f"p.{at}").between(F.col(f"s.{start}"), F.col(f"s.{end}")))
-    cols = [F.col(f"p.{c}").alias(c) for c in (key, at, *keep)]
-    return hit.select(*cols, F.col(f"s.{start}").alias("__start"), F.col(f"s.{name}").alias(name)).groupBy(key, at, *keep).agg(F.max_by(name, F.struct("__start", name)).alias(name))
+    from_, to = F.col(start).cast("long"), F.col(end).cast("long")
+    cut_up = spans.select(key, from_.alias("__start"), F.col(name).alias("__name"), F.explode(_cells(from_, to)).alias("__c"))
+    best = cut_up.groupBy(key, "__c.level", "__c.cell").agg(F.max(F.struct("__start", F.col("__name"))).alias("__best"))
+    longest = best.groupBy(key).agg(F.max("level").alias("__top"))
+    here = F.col(at).cast("long")
+    asked = points.select(key, at, *keep).distinct().join(longest, key)
+    level = F.sequence(F.lit(0), F.col("__top"))
+    met = asked.select(key, at, *keep, F.explode(F.transform(level, lambda k: F.struct(k.alias("level"), F.call_function("shiftright", here, k * BITS).alias("cell")))).alias("__c"))
+    found = met.select(key, at, *keep, "__c.level", "__c.cell").join(best, [key, "level", "cell"])
+    return found.groupBy(key, at, *keep).agg(F.max("__best").alias("__best")).select(key, at, *keep, F.col("__best.__name").alias(name))
 
 
 def best_class(df: DataFrame, *conditions: Column) -> DataFrame:
@@ -61,20 +122,35 @@ def forward_fill(df: DataFrame, value: str, order: str, into: str, *keys: str) -
     return df.withColumn(into, F.last(value, ignorenulls=True).over(rows))
 
 
-def pieces(name) -> Column:
-    """All parts of a name, the empty one and the name itself among them."""
-    n = F.char_length(name)
-    whole = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(name, i, k)))
-    return F.when(n > 0, F.array_append(F.array_distinct(F.flatten(whole)), F.lit(""))).otherwise(F.array(F.lit("")))
+#: Characters of the parts by which names are found in others.
+GRAM = 3
 
 
-def related(left: DataFrame, right: DataFrame, name: str, other: str) -> DataFrame:
-    """The distinct names of left that contain one of right's, or lie in one.
+def grams(name: Column, size: int) -> Column:
+    """The distinct parts of so many characters of a name."""
+    n = F.char_length(name) - size + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(name, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
 
-    Names are exploded into their parts and joined by equality, so that neither side
-    need be small; names are short, and a name has some n * n / 2 parts.
+def containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """outer, inner: one column each of distinct names, `o` and `i`. The pairs of which o contains i.
+
+    Names of GRAM characters or more are looked for by their part that fewest outer names
+    have, and compared in full; shorter ones are parts themselves. So a name of n characters
+    gives at most GRAM * n + 1 rows.
     """
-    own, others = left.select(F.col(name).alias("__name")).distinct(), right.select(F.col(other).alias("__part")).distinct()
-    around = own.select("__name", F.explode(pieces(F.col("__name"))).alias("__part")).join(others, "__part", "left_semi").select("__name")
-    inside = others.select(F.explode(pieces(F.col("__part"))).alias("__name")).distinct().join(own, "__name", "left_semi")
-    return around.union(inside).distinct().withColumnRenamed("__name", name)
+    every = F.concat(F.array(F.lit("")), *[grams(F.col("o"), k) for k in range(1, GRAM + 1)])
+    index = outer.select("o", F.explode(every).alias("gram"))
+    often = index.filter(F.char_length("gram") == GRAM).groupBy("gram").agg(F.count("*").alias("n"))
+    long = inner.filter(F.char_length("i") >= GRAM).select("i", F.explode(grams(F.col("i"), GRAM)).alias("gram"))
+    rated = long.join(often, "gram", "left").groupBy("i").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rare"))
+    asked = rated.filter("rare.n > 0").select("i", F.col("rare.gram").alias("gram")).unionByName(inner.filter(F.char_length("i") < GRAM).select("i", F.col("i").alias("gram")))
+    return index.join(asked, "gram").filter(F.contains("o", F.col("i"))).select("o", "i")
+
+
+def related(left: DataFrame, right: DataFrame, name: str, other: str) -> DataFrame:
+    """The distinct names of left that contain one of right's, or lie in one; nulls do neither. The empty name lies in each."""
+    own, others = left.select(F.col(name).alias("own")).dropna().distinct(), right.select(F.col(other).alias("other")).dropna().distinct()
+    around = containing(own.toDF("o"), others.toDF("i")).select(F.col("o").alias(name))
+    inside = containing(others.toDF("o"), own.toDF("i")).select(F.col("i").alias(name))
+    return around.union(inside).distinct()

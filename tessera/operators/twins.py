@@ -1,6 +1,8 @@
 """Twins: functions that are copies by normalized hash, or alike by statement kinds.
 
-Functions: path, line, name, kinds array<string>, argc, norm_hash.
+Functions: path, line, name, kinds array<string>, argc, norm_hash. A group is one row with
+its size and first members; all members are rows of a table of their own, so that a group
+may be of any size.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import fuzzy_base, shape
+from .joins import ranked
 
 #: Statements that a function needs to be compared.
 LEAST = 3
@@ -22,17 +25,32 @@ ADVICE = (
 )
 
 
+#: Members that a group's own row names.
+NAMED = 5
+
+
 def remediation(similarity: Column, count: Column, members: Column) -> Column:
     """The advice for a group; names the first five members."""
-    place = F.array_join(F.transform(F.slice(members, 1, 5), lambda m: F.concat(F.lit("`"), m.path, F.lit(":"), m.line.cast("string"), F.lit("`"))), ", ")
+    place = F.array_join(F.transform(F.slice(members, 1, NAMED), lambda m: F.concat(F.lit("`"), m.path, F.lit(":"), m.line.cast("string"), F.lit("`"))), ", ")
     advice = F.when(similarity >= ADVICE[0][0], ADVICE[0][1]).when(similarity >= ADVICE[1][0], ADVICE[1][1]).otherwise(ADVICE[2][1])
     return F.format_string("[%d kopya, benzerlik ~%s%%] %s Bunlarla baslayin: %s", count, similarity.cast("string"), advice, place)
 
 
-def groups(rows: DataFrame, key: Column, *member: str) -> DataFrame:
-    """Rows that share a key, where there are two or more: key, members in order, n."""
-    made = rows.select(key.alias("key"), F.struct(*member).alias("m")).groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("members"))
-    return made.withColumn("n", F.size("members")).filter("n > 1")
+def classes(rows: DataFrame, key: Column) -> DataFrame:
+    """key, n: the keys that two rows or more share."""
+    return rows.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def membership(rows: DataFrame, key: Column, *member: str) -> DataFrame:
+    """key, n and the columns of a member: a row for each row of a key that two or more share."""
+    return rows.select(key.alias("key"), *member).join(classes(rows, key), "key")
+
+
+def first_members(rows: DataFrame, key: Column, *member: str) -> DataFrame:
+    """key, first: the least members of each key, NAMED at most; each task passes on no more of a key than that."""
+    place = F.row_number().over(W.partitionBy("key").orderBy(*member))
+    least = rows.select(key.alias("key"), *member).withColumn("rn", place).filter(F.col("rn") <= NAMED)
+    return least.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*member))).alias("first"))
 
 
 def similarity(sets: Column) -> Column:
@@ -59,23 +77,44 @@ def measured(rows: DataFrame, key: Column) -> DataFrame:
     return each.groupBy("key").agg(F.collect_list(F.struct("kinds", "n")).alias("sets")).select("key", similarity(F.col("sets")).alias("similarity"))
 
 
+def _large(functions: DataFrame) -> DataFrame:
+    """The functions that are compared, with both keys."""
+    by_hash = F.concat("norm_hash", F.lit("("), F.col("argc").cast("string"), F.lit(")"))
+    return functions.filter(F.size("kinds") >= LEAST).select("path", "line", "name", "kinds", by_hash.alias("hash"), shape("kinds", "argc").alias("shape"))
+
+
+#: The two ways to be twins: the name of the method, and the column that holds its key.
+METHODS = (("hash", "hash"), ("kinds", "shape"))
+
+
 def twins(functions: DataFrame) -> DataFrame:
-    """method (hash or kinds), key, members, n, similarity_avg, similarity_min, fuzzy_bases, group_id, remediation.
+    """A row for each group: method (hash or kinds), key, n, first (its least members), n_bases (of their names without suffixes of copies), similarity_avg, similarity_min, group_id, remediation.
 
-    A group of kinds with the very members of a group of hashes is left out. The
-    similarity is that of the members' kinds, which is 100 for both keys, as equal
-    hashes have equal kinds; it would not be for a looser key.
+    A group of kinds with the very members of a group of hashes is left out: it is one
+    if all its members have one hash, and that group is as large. The similarity is that
+    of the members' kinds, which is 100 for both keys, as equal hashes have equal
+    kinds; it would not be for a looser key. Groups are numbered by method, size and key.
     """
-    large = functions.filter(F.size("kinds") >= LEAST)
-    of = lambda method, key: groups(large, key, "path", "line", "name").join(measured(large, key), "key").withColumn("method", F.lit(method))
-    by_hash, by_kinds = of("hash", F.concat("norm_hash", F.lit("("), F.col("argc").cast("string"), F.lit(")"))), of("kinds", shape("kinds", "argc"))
-    both = by_hash.unionByName(by_kinds)
-    first = both.withColumn("rn", F.row_number().over(W.partitionBy("members").orderBy("method", "key"))).filter("rn = 1").drop("rn")
-    known = first.withColumn("similarity_avg", F.col("similarity.avg")).withColumn("similarity_min", F.col("similarity.min")).drop("similarity")
-    known = known.withColumn("fuzzy_bases", F.array_sort(F.array_distinct(F.transform("members", lambda m: fuzzy_base(m["name"])))))
-    known = known.withColumn("remediation", remediation(F.col("similarity_avg"), F.col("n"), F.col("members")))
-    in_order = W.orderBy("method", F.desc("n"), "key")  # one row per group
-    return known.withColumn("group_id", F.format_string("TG-%03d", F.row_number().over(in_order)))
+    large = _large(functions)
+    found = []
+    for method, column in METHODS:
+        key = F.col(column)
+        sizes = large.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("hash").alias("least"), F.max("hash").alias("most")).filter("n > 1")
+        bases = large.groupBy(key.alias("key")).agg(F.countDistinct(fuzzy_base("name")).alias("n_bases"))
+        found.append(sizes.join(bases, "key").join(first_members(large, key, "path", "line", "name"), "key").join(measured(large, key), "key").withColumn("method", F.lit(method)))
+    known = found[0].select(F.col("key").alias("least"), F.col("n").alias("copies"))
+    other = found[1].join(known, (found[1]["least"] == known["least"]) & (found[1]["most"] == known["least"]) & (F.col("n") == F.col("copies")), "left_anti")
+    both = found[0].unionByName(other)
+    rated = both.select("method", "key", "n", "first", "n_bases", F.col("similarity.avg").alias("similarity_avg"), F.col("similarity.min").alias("similarity_min"))
+    advised = rated.withColumn("remediation", remediation(F.col("similarity_avg"), F.col("n"), F.col("first")))
+    return ranked(advised, ["method", F.desc("n"), "key"], "place").withColumn("group_id", F.format_string("TG-%03d", "place")).drop("place")
+
+
+def members(functions: DataFrame, groups: DataFrame) -> DataFrame:
+    """group_id, method, path, line, name, fuzzy_base: all members of all groups."""
+    large = _large(functions)
+    keyed = [large.select(F.lit(method).alias("method"), F.col(column).alias("key"), "path", "line", "name") for method, column in METHODS]
+    return keyed[0].union(keyed[1]).join(groups.select("method", "key", "group_id"), ["method", "key"]).select("group_id", "method", "path", "line", "name", fuzzy_base("name").alias("fuzzy_base"))
 
 
 def pair_similarity(rows: DataFrame, bucket: str, key: str, items: str) -> DataFrame:

@@ -117,9 +117,16 @@ class Project:
         last = F.max("level").over(W.partitionBy())
         return level.withColumn("role", insights.role(F.col("level"), last, F.col("imported_by"), F.col("imports_others")))
 
+    def classes(self) -> DataFrame:
+        return self.files.select("path", F.explode("classes").alias("c")).select("path", "c.name", "c.lineno", "c.bases")
+
     def base_classes(self) -> DataFrame:
-        classes = self.files.select("path", F.explode("classes").alias("c")).select("path", "c.name", "c.bases")
-        return insights.most_extended(insights.subclass_pairs(classes))
+        """The classes with the most subclasses, with their places."""
+        return insights.most_extended(self.classes()).orderBy(F.desc("n"), "base", "base_path", "base_line")
+
+    def extensions(self) -> DataFrame:
+        """The subclasses of base_classes, with their places."""
+        return insights.extensions(self.classes(), self.base_classes())
 
     def entry_files(self) -> DataFrame:
         """Files with a main guard; where there are none, files in the root with a function named main."""
@@ -168,8 +175,16 @@ class Project:
     def functions_ast(self) -> DataFrame:
         return findings.functions(self.files)
 
+    @cached_property
+    def _twins(self) -> DataFrame:
+        return cut(twins.twins(self.functions_ast()))
+
     def twins(self) -> DataFrame:
-        return twins.twins(self.functions_ast())
+        """A row for each group of twins."""
+        return self._twins
+
+    def twin_members(self) -> DataFrame:
+        return twins.members(self.functions_ast(), self._twins)
 
     def fix_tags(self) -> DataFrame:
         rows = self.sources.select("path", F.posexplode(paths.lines("source_code")).alias("i", "content")).filter(F.contains("content", F.lit("#")) & F.col("content").rlike(f"(?i)({names.TAGS})"))
@@ -214,7 +229,7 @@ class Project:
     def new_twins(self, diff: DataFrame) -> DataFrame:
         """Groups that a file added since the last snapshot shares with one that was there before."""
         added = diff.filter("status = 'added'").select("path", F.lit(True).alias("is_new"))
-        members = self.twins().select("group_id", F.explode("members").alias("m")).select("group_id", F.col("m.path").alias("path")).join(added, "path", "left").na.fill({"is_new": False})
+        members = self.twin_members().select("group_id", "path").join(added, "path", "left").na.fill({"is_new": False})
         return twins.gate(members, "group_id", "is_new")
 
     def modules(self) -> DataFrame:

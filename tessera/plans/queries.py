@@ -276,11 +276,10 @@ def hint_overflow(spark, sf_dir):
 # ---- twins
 
 
-@query("WITH g AS (SELECT md5(coalesce(text, ''))[1:12] AS key, list_sort(list(doc_id)) AS members FROM documents GROUP BY coalesce(text, '')) SELECT key, members, len(members)::INTEGER AS n FROM g WHERE len(members) > 1")
+@query("SELECT * FROM (SELECT md5(coalesce(text, ''))[1:12] AS key, count(*) OVER (PARTITION BY coalesce(text, '')) AS n, doc_id FROM documents) WHERE n > 1")
 def twins_exact(spark, sf_dir):
-    """A11, X2, O4"""
-    found = twins.groups(files(spark, sf_dir), names.short_hash("text"), "doc_id")
-    return found.withColumn("members", F.col("members.doc_id"))
+    """A row for each member, with the size of its group"""
+    return twins.membership(files(spark, sf_dir), names.short_hash("text"), "doc_id")
 
 
 KIND = "CASE WHEN line = '' THEN 'Empty' WHEN contains(line, '|') THEN 'Table' WHEN regexp_matches(line, '[0-9]') THEN 'Number' ELSE 'Text' END"
@@ -289,13 +288,12 @@ KIND = "CASE WHEN line = '' THEN 'Empty' WHEN contains(line, '|') THEN 'Table' W
 @query(f"""WITH {FILES}, l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM f))),
 k AS (SELECT doc_id, list({KIND} ORDER BY i) AS kinds FROM l GROUP BY doc_id),
 s AS (SELECT doc_id, array_to_string(kinds, '|') || '(' || len(list_distinct(kinds)) || ')' AS shape FROM k WHERE len(kinds) >= 3)
-SELECT shape, list_sort(list(doc_id)) AS members, count(*)::INTEGER AS n FROM s GROUP BY shape HAVING count(*) > 1""")
+SELECT * FROM (SELECT shape, count(*) OVER (PARTITION BY shape) AS n, doc_id FROM s) WHERE n > 1""")
 def twins_shape(spark, sf_dir):
-    """X23, F4, A11"""
+    """A row for each member, with the size of its group"""
     kind = lambda x: F.when(x == "", "Empty").when(F.contains(x, F.lit("|")), "Table").when(x.rlike("[0-9]"), "Number").otherwise("Text")
     rows = files(spark, sf_dir).withColumn("kinds", F.transform(F.split("text", "\n"), kind)).filter(F.size("kinds") >= twins.LEAST)
-    found = twins.groups(rows, names.shape("kinds", F.size(F.array_distinct("kinds"))), "doc_id")
-    return found.select(F.col("key").alias("shape"), F.col("members.doc_id").alias("members"), "n")
+    return twins.membership(rows, names.shape("kinds", F.size(F.array_distinct("kinds"))), "doc_id").withColumnRenamed("key", "shape")
 
 
 @query("""WITH w AS (SELECT p_brand, p_name, list_distinct(string_split(p_name, '')) AS ws FROM (SELECT DISTINCT p_brand, p_name FROM part))
@@ -514,12 +512,18 @@ def symbol_index(spark, sf_dir):
     return rows.select("name", "kind", F.format_string("%-30s %-8s %s", "name", "kind", "place").alias("line")).orderBy(F.lower("name"), "line")
 
 
-@query("""WITH b AS (SELECT DISTINCT p_brand AS base, p_name AS sub FROM part), k AS (SELECT base, list_sort(list(sub)) AS subclasses, count(*)::INTEGER AS n FROM b GROUP BY base ORDER BY n DESC, base LIMIT 50) SELECT base, subclasses, n FROM k WHERE n >= 2""")
+@query("""WITH c AS (SELECT p_type AS path, p_name AS name, p_partkey::INTEGER AS lineno, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS other, p_name AS own FROM part),
+m AS (SELECT path, name, lineno, other AS base FROM c UNION ALL SELECT path, name, lineno, own FROM c), n AS (SELECT base, count(*) AS n FROM m GROUP BY base),
+k AS (SELECT c.path AS base_path, base, lineno AS base_line, n FROM c JOIN n ON base = name ORDER BY n DESC, base, base_path, base_line LIMIT 50),
+f AS (SELECT base, list(name ORDER BY rn) AS first FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path, lineno, name) AS rn FROM m) WHERE rn <= 5 GROUP BY base)
+SELECT base_path, k.base, base_line, n, first FROM k JOIN f ON k.base = f.base WHERE n >= 2""")
 def polymorphic_map(spark, sf_dir):
-    """The limit comes before the filter"""
+    """Parts as classes, of which many have one name; the limit comes before the filter"""
     from ..operators.insights import most_extended
 
-    return most_extended(table(spark, sf_dir, "part").select(F.col("p_brand").alias("base"), F.col("p_name").alias("sub")))
+    turned = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    parts = table(spark, sf_dir, "part").select(F.col("p_type").alias("path"), F.col("p_name").alias("name"), F.col("p_partkey").cast("int").alias("lineno"), F.array(F.concat(F.lit("base."), turned), F.col("p_name")).alias("bases"))
+    return most_extended(parts).withColumn("first", F.transform("first", lambda m: m["sub"]))
 
 
 @query("""WITH h AS (SELECT user_id, count(*) FILTER (event_type <> 'error' AND event_type <> 'signup') AS ok, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type <> 'click') AS expected FROM events GROUP BY user_id)

@@ -192,7 +192,7 @@ def insights(p: Project) -> str:
     entries = [f"- `{r.path}`" for r in p.entry_files().collect()]
     layers = [f"- **{r.area}**  level {r.level}  (kullanan {r.imported_by} alt-sistem, bagimli oldugu {r.imports_others})" for r in p.layers().orderBy("level").collect()]
     bases = p.base_classes().collect()
-    extended = [f"- `{r.base}`  alt-siniflar: {', '.join(r.subclasses[:5])}" for r in bases[:20]] + ([f"- ... +{len(bases) - 20} tane daha"] if len(bases) > 20 else [])
+    extended = [f"- `{r.base}`  tanim: {r.base_path}:{r.base_line}  alt-siniflar: " + ", ".join(f"{x.sub} ({x.sub_path}:{x.sub_line})" for x in r.first) for r in bases[:20]] + ([f"- ... +{len(bases) - 20} tane daha"] if len(bases) > 20 else [])
     out = ["# INSIGHTS", "", "Otomatik kesif sonuclari (LLM gerektirmez).", "", "## Hub moduller (en cok bagimlilik alan)", "", *(hubs or ["- (yeterli bagimlilik verisi yok)"])]
     out += ["", "## Entry-point dosyalar", "", *(entries or ["- (bulunamadi)"]), "", "## Katman yapisi (subsystem)", ""]
     out += ["Seviye 0 = digerleri tarafindan en cok kullanilan (root/kutuphane); buyuk seviye = ust katman (UI/giris).", *(layers or ["- (yeterli bagimlilik verisi yok)"])]
@@ -204,7 +204,7 @@ def draft_notes(p: Project) -> dict:
     return {
         "architecture": {"layers": [{"name": r.area, "responsibility": r.role, "level": r.level} for r in p.layers().orderBy("level").limit(10).collect()]},
         "entry_points": [{"name": r.path.rsplit("/", 1)[-1].removesuffix(".py"), "file": r.path, "type": "main"} for r in p.entry_files().limit(10).collect()],
-        "design_patterns": [{"name": f"inheritance_{r.base}", "type": "inheritance", "note": f"Temel sinif {r.base} -> {r.n} alt sinif ({', '.join(r.subclasses[:3])})"} for r in p.base_classes().limit(8).collect()],
+        "design_patterns": [{"name": f"inheritance_{r.base}", "type": "inheritance", "note": f"Temel sinif {r.base} -> {r.n} alt sinif ({', '.join(x.sub for x in r.first[:3])})"} for r in p.base_classes().limit(8).collect()],
         "dependencies": {"hub_files": [r.dst for r in p.hubs().limit(10).collect()]},
     }
 
@@ -215,7 +215,7 @@ def issues_report(p: Project, manual: list[dict] = (), failing: list[str] = (),
     broken = [f"- {r.path}" for r in p.files.filter("parse_error").select("path").orderBy("path").collect()]
     line = F.concat(F.lit("- ["), F.when(F.col("kritik"), "KRITIK").otherwise(F.col("severity")), F.lit("] `"), "path", F.lit("` "), "type", F.lit(": "), "detail")
     found = gathered(p.issues().withColumn("line_", line).select("kritik", "path", "type", "detail", F.col("line_").alias("line")), "ISSUES.md", F.desc("kritik"), "path", "type", "detail", block_mb=block_mb)
-    groups, marked = cut(p.twins()), cut(p.fix_tags())
+    groups, marked = p.twins(), cut(p.fix_tags())
     twins, n_twins = groups.orderBy("group_id").limit(10).collect(), groups.count()
     tags, n_tags = marked.orderBy("path", "line").limit(20).collect(), marked.count()
     for title, rows in (("### Failing imports (runtime health)", [f"- {f}" for f in failing]), ("### Circular imports (static)", cycles), ("### Unparseable files", broken)):
@@ -223,7 +223,12 @@ def issues_report(p: Project, manual: list[dict] = (), failing: list[str] = (),
     if found:
         out += ["### Quality issues (by file, kritik first)", *[r.line for r in found], ""]
     if twins:
-        out += ["### Twin groups (potential duplicates)", *[f"- {g.group_id} ({g.method}, sim~{g.similarity_avg}%): " + ", ".join(f"{m.path}:{m.line}" for m in g.members) for g in twins]]
+        place = F.concat_ws(":", "path", "line").alias("line")
+        said = p.twin_members().filter(F.col("group_id").isin([g.group_id for g in twins])).select("group_id", F.struct("path", F.col("line").alias("at")).alias("order"), place)
+        members: dict[str, list[str]] = {}
+        for m in gathered(said, "ISSUES.md", "order", block_mb=block_mb):
+            members.setdefault(m.group_id, []).append(m.line)
+        out += ["### Twin groups (potential duplicates)", *[f"- {g.group_id} ({g.method}, sim~{g.similarity_avg}%): " + ", ".join(members[g.group_id]) for g in twins]]
         out += [*([f"- ... ({n_twins - 10} more groups)"] if n_twins > 10 else []), ""]
     if tags:
         out += [f"### Fix/TODO tags ({n_tags})", *[f"- `{t.path}:{t.line}` [{t.tag}] {t.text[:80]}" for t in tags], *([f"- ... ({n_tags - 20} more)"] if n_tags > 20 else []), ""]

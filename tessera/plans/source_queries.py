@@ -8,8 +8,6 @@ hold a byte that is no UTF-8.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +89,8 @@ def sources(spark, sf_dir) -> DataFrame:
     return python.unionByName(other).select("path", F.octet_length("content").cast("long").alias("size"), "content")
 
 
-@functools.lru_cache(maxsize=1)
 def project(spark, sf_dir) -> Project:
-    """The tree of a folder's tables; the last one is kept, so that queries that follow parse nothing again."""
+    """The tree of a folder's tables, read and parsed for each query."""
     return Project(spark, sources(spark, sf_dir))
 
 
@@ -192,20 +189,31 @@ def source_complexity(spark, sf_dir):
     return project(spark, sf_dir).functions_ast().select("path", "name", "complexity", "argc")
 
 
-@query(rf"""WITH {P}, f AS (SELECT * FROM p WHERE NOT bad),
+TWINS = f"""{P}, f AS (SELECT * FROM p WHERE NOT bad),
 m AS (
   SELECT 'hash' AS method, 'Expr' AS x, 'make' AS name, path, 30 AS line FROM f
   UNION ALL SELECT 'hash', s || '', 'branchy', path, 40 FROM f WHERE s >= 2
   UNION ALL SELECT 'hash', b || (s % 4 = 0), 'pick_v2', path, 44 + s FROM f
   UNION ALL SELECT 'kinds', '', 'pick_v2', path, 44 + s FROM f),
-g AS (SELECT method, name, x, list(path || ':' || line || ':' || name ORDER BY path, line) AS members, count(*)::INTEGER AS n FROM m GROUP BY method, name, x HAVING count(*) > 1)
-SELECT method, members, n, 100.0::DOUBLE AS similarity_avg, 100.0::DOUBLE AS similarity_min, [CASE WHEN name = 'pick_v2' THEN 'pick' ELSE name END] AS fuzzy_bases,
+g AS (SELECT method, name, x, list(path || ':' || line || ':' || name ORDER BY path, line)[1:5] AS first, count(*) AS n FROM m GROUP BY method, name, x HAVING count(*) > 1)"""
+
+
+@query(f"""WITH {TWINS} SELECT method, first, n, 1::BIGINT AS n_bases, 100.0::DOUBLE AS similarity_avg, 100.0::DOUBLE AS similarity_min,
   '[' || n || ' kopya, benzerlik ~100.0%]' AS advice, CASE WHEN method = 'kinds' THEN printf('TG-%03d', 1 + (SELECT count(*) FROM g WHERE method = 'hash')) END AS kinds_id FROM g""")
 def source_twins(spark, sf_dir):
-    """A group of kinds with the members of a group of hashes is left out"""
+    """A row for each group; a group of kinds with the members of a group of hashes is left out"""
     found = project(spark, sf_dir).twins()
-    named = F.transform("members", lambda m: F.concat_ws(":", m["path"], m["line"], m["name"]))
-    return found.select("method", named.alias("members"), "n", "similarity_avg", "similarity_min", "fuzzy_bases", F.regexp_extract("remediation", r"^\[[^\]]*\]", 0).alias("advice"), F.when(F.col("method") == "kinds", F.col("group_id")).alias("kinds_id"))
+    named = F.transform("first", lambda m: F.concat_ws(":", m["path"], m["line"], m["name"]))
+    return found.select("method", named.alias("first"), "n", "n_bases", "similarity_avg", "similarity_min", F.regexp_extract("remediation", r"^\[[^\]]*\]", 0).alias("advice"), F.when(F.col("method") == "kinds", F.col("group_id")).alias("kinds_id"))
+
+
+@query(f"""WITH {TWINS} SELECT g.method, g.first[1] AS group_first, m.path, m.line::INTEGER AS line, m.name, CASE WHEN m.name = 'pick_v2' THEN 'pick' ELSE m.name END AS fuzzy_base FROM m JOIN g ON m.method = g.method AND m.name = g.name AND m.x = g.x""")
+def source_twin_members(spark, sf_dir):
+    """A row for each member of each group, with the first member of its group"""
+    p = project(spark, sf_dir)
+    first = F.col("first")[0]
+    label = p.twins().select("group_id", F.concat_ws(":", first["path"], first["line"], first["name"]).alias("group_first"))
+    return p.twin_members().join(label, "group_id").select("method", "group_first", "path", "line", "name", "fuzzy_base")
 
 
 @query(rf"""WITH {P} SELECT count(*) AS total_py, count(*) FILTER (k % 20 < 2) AS total_non_py, total_py + total_non_py AS total_files, count(*) FILTER (NOT bad) AS total_classes, 3 * count(*) FILTER (NOT bad) AS total_functions,
@@ -251,11 +259,27 @@ def source_layers(spark, sf_dir):
     return project(spark, sf_dir).layers()
 
 
-@query(f"""WITH {P}, c AS (SELECT path, cls, base FROM p WHERE NOT bad) SELECT a.path AS sub_path, a.cls AS sub, a.base, b.path AS base_path FROM c a JOIN c b ON a.base = b.cls""")
+@query(f"""WITH {P}, c AS (SELECT path, cls, base FROM p WHERE NOT bad) SELECT a.path AS sub_path, a.cls AS sub, 20 AS sub_line, a.base, b.path AS base_path, 20 AS base_line FROM c a JOIN c b ON a.base = b.cls""")
 def source_subclasses(spark, sf_dir):
     """A class with every class of its base's name, wherever that lies"""
-    classes = project(spark, sf_dir).files.select("path", F.explode("classes").alias("c")).select("path", "c.name", "c.bases")
-    return insights.subclass_pairs(classes).select("sub_path", "sub", "base", "base_path")
+    return insights.subclass_pairs(project(spark, sf_dir).classes()).select("sub_path", "sub", "sub_line", "base", "base_path", "base_line")
+
+
+BASES = f"""{P}, c AS (SELECT path, cls, base FROM p WHERE NOT bad), n AS (SELECT base, count(*) AS n FROM c GROUP BY base),
+k AS (SELECT c.path AS base_path, c.cls AS base, 20 AS base_line, n FROM c JOIN n ON c.cls = n.base ORDER BY n DESC, c.cls, c.path LIMIT 50)"""
+
+
+@query(f"""WITH {BASES}, f AS (SELECT base, list(cls ORDER BY rn) AS first FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) AS rn FROM c) WHERE rn <= 5 GROUP BY base)
+SELECT base_path, k.base, base_line, n, first FROM k JOIN f ON k.base = f.base WHERE n >= 2""")
+def source_base_classes(spark, sf_dir):
+    """By file, name and line; many files have a class of one name"""
+    return project(spark, sf_dir).base_classes().withColumn("first", F.transform("first", lambda m: m["sub"]))
+
+
+@query(f"WITH {BASES} SELECT base_path, k.base, base_line, c.path AS sub_path, c.cls AS sub, 20 AS sub_line FROM k JOIN c ON c.base = k.base WHERE n >= 2")
+def source_extensions(spark, sf_dir):
+    """The subclasses of these, with their places"""
+    return project(spark, sf_dir).extensions()
 
 
 DECLARED = ["os-extra", "slow.down", "ring-kit>=2", "requests", "Pillow>=9", "pyyaml", "unheard_of"]

@@ -105,7 +105,7 @@ TABLES = {
     "files": lambda p: p.files, "other_files": lambda p: p.other_files.select("path", "size", "ext", "sha256"), "symbols": lambda p: p.symbols(), "import_edges": lambda p: p.import_edges, "adjacency": lambda p: p.adjacency(), "reverse": lambda p: p.reverse(),
     "matrix": lambda p: p.dependency_matrix(), "cycles": lambda p: p.import_cycles(), "api": lambda p: p.api(), "scores": lambda p: p.scores(), "issues": lambda p: p.issues(), "hubs": lambda p: p.hubs(), "layers": lambda p: p.layers(),
 }
-DEBT = {"twins": lambda p: p.twins(), "fix_tags": lambda p: p.fix_tags(), "callgraph": lambda p: p.callgraph(), "callgraph_stats": lambda p: p.call_stats()}
+DEBT = {"twins": lambda p: p.twins(), "twin_members": lambda p: p.twin_members(), "fix_tags": lambda p: p.fix_tags(), "callgraph": lambda p: p.callgraph(), "callgraph_stats": lambda p: p.call_stats()}
 
 
 def sync(spark: SparkSession, root: str, store: Store, settings: dict | None = None, notes: dict | None = None, folder: str | None = None, label: str = "sync", fresh: bool = False) -> DataFrame:

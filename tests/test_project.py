@@ -83,7 +83,7 @@ def test_usage(project, spark):
 
 
 def test_classes_calls_and_tags(project):
-    assert [(r.base, r.subclasses) for r in project.base_classes().collect()] == [("Base", ["One", "Two"])]
+    assert [(r.base, [x.sub for x in r.first]) for r in project.base_classes().collect()] == [("Base", ["One", "Two"])]
     calls = {r.name: r for r in project.callgraph().collect()}
     assert calls["p.a.Base.run"].callees == ["self.help"] and calls["p.a.Base.help"].callers == []
     assert table(project.fix_tags(), "path", "line", "tag") == [("p/k.py", 1, "TODO"), ("p/k.py", 3, "FIX"), ("p/k.py", 4, "TEMP")]
@@ -107,7 +107,8 @@ def function(name, names=("a", "b", "c")):
 def test_twins(spark):
     p = Project(spark, tree.from_rows(spark, {"a.py": function("f"), "b.py": function("f", "xyz"), "c.py": function("g_v2"), "d.py": "def h():\n    a()\n    b()\n"}))
     got = p.twins().orderBy("group_id").collect()
-    assert [(g.group_id, g.method, [m.path for m in g.members], g.similarity_avg, g.fuzzy_bases) for g in got] == [("TG-001", "hash", ["a.py", "b.py"], 100.0, ["f"]), ("TG-002", "kinds", ["a.py", "b.py", "c.py"], 100.0, ["f", "g"])]
+    assert [(g.group_id, g.method, g.n, [m.path for m in g.first], g.similarity_avg, g.n_bases) for g in got] == [("TG-001", "hash", 2, ["a.py", "b.py"], 100.0, 1), ("TG-002", "kinds", 3, ["a.py", "b.py", "c.py"], 100.0, 2)]
+    assert table(p.twin_members(), "group_id", "path", "fuzzy_base") == [("TG-001", "a.py", "f"), ("TG-001", "b.py", "f"), ("TG-002", "a.py", "f"), ("TG-002", "b.py", "f"), ("TG-002", "c.py", "g")]
     assert got[0].remediation.startswith("[2 kopya, benzerlik ~100.0%]")
     diff = snapshots.diff(p.fingerprint.filter("path <> 'b.py'"), p.fingerprint)
     assert table(p.new_twins(diff), "group_id") == [("TG-001",), ("TG-002",)]

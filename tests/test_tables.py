@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pytest
+import state_cases
 
 from jobs import queries as job_queries  # noqa: F401  they register theirs with the others
 from tessera.plans import source_queries, state_queries  # noqa: F401
@@ -74,9 +75,16 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, folder, duck, name):
-    df = QUERIES[name](spark, folder)
+    compare(QUERIES[name](spark, folder), duck.execute(ORACLES[name]))
+
+
+@pytest.mark.parametrize("name", sorted(state_cases.CASES))
+def test_cases(spark, folder, duck, name):
+    compare(state_cases.CASES[name](spark, folder), duck.execute(state_cases.EXPECTED[name]))
+
+
+def compare(df, done):
     got = [{c: plain(v) for c, v in r.asDict().items()} for r in df.collect()]
-    done = duck.execute(ORACLES[name])
     names = [d[0] for d in done.description]
     want = [dict(zip(names, map(plain, r), strict=True)) for r in done.fetchall()]
     key = lambda r: str(sorted(r.items()))
