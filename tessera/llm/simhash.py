@@ -196,6 +196,8 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 WIDTH, FIFTHS = 5, 4
 #: Shingles at the head of more texts than COMMON are put last, the MOST most common ones at least; an order only, which loses no pair.
 COMMON, MOST = 16, 1 << 20
+#: Sizes of texts that differ by less than this factor share a cell.
+CELL = 1.03
 #: The key of texts without words.
 BLANK = 0
 #: Longs of a text's parities: how often its shingles fall in each of 64 * PARITIES places, modulo 2.
@@ -219,6 +221,11 @@ def shingle_hashes(text: str | bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(rolled.view(np.int64))
 
 
+def _head_size(n: int) -> int:
+    """Of n shingles, so many that the others are fewer than what a text shares with a near copy."""
+    return n - -(-FIFTHS * n // 5) + 1
+
+
 def head_of(text: str | bytes | None, common: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The number of shingles, their SimHash, their parities, and the first of them in the order of times, 0 for what is not in common, then of hashes.
 
@@ -234,7 +241,7 @@ def head_of(text: str | bytes | None, common: np.ndarray, times: np.ndarray) ->
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         s = s[np.lexsort((s, np.where(common[at] == s, times[at], 0)))]
-    return np.concatenate([[n, fp], odd, s[: n - -(-FIFTHS * n // 5) + 1]])
+    return np.concatenate([[n, fp], odd, s[: _head_size(n)]])
 
 
 def heads(text: Column, spark, common: list[tuple[int, int]]) -> Column:
@@ -247,14 +254,47 @@ def heads(text: Column, spark, common: list[tuple[int, int]]) -> Column:
     return made(text.cast("binary"))
 
 
+def _frequent(shingles: DataFrame) -> dict[int, int]:
+    """shingles: key. Those that more than COMMON rows have, with the number; MOST at most, the most common ones."""
+    most = shingles.groupBy("key").agg(F.count("*").alias("times")).filter(F.col("times") > COMMON).orderBy(F.desc("times"), "key").limit(MOST)
+    held = written(most, "near-common")
+    found = {r.key: r.times for r in held.collect()}
+    discard(held)
+    return found
+
+
+def common_shingles(text: Column, own: DataFrame) -> list[tuple[int, int]]:
+    """Shingles that many texts have, with how many: those that are in many heads by hash alone, and all others of the texts whose heads have such.
+
+    So what texts of a crowd share is known as a whole, and is put last in all of
+    them. A text whose head has none keeps that head.
+    """
+    spark = own.sparkSession
+    first = _frequent(own.select(F.explode(F.slice(heads(text, spark, []), BEFORE + 1, 1 << 30)).alias("key")))
+    if not first:
+        return []
+    sent = spark.sparkContext.broadcast(np.array(sorted(first), np.int64))
+
+    @F.arrow_udf("array<bigint>")
+    def all_of_crowds(texts: pa.Array) -> pa.Array:
+        each = (shingle_hashes(t) for t in texts.to_pylist())
+        in_crowd = lambda s: len(s) and np.isin(s[: _head_size(len(s))], sent.value).any()
+        return pa.array([s if in_crowd(s) else s[:0] for s in each], pa.list_(pa.int64()))
+
+    return sorted((first | _frequent(own.select(F.explode(all_of_crowds(text.cast("binary"))).alias("key")))).items())
+
+
 def _sizes_fit(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= FIFTHS * F.greatest(n, m)
 
 
-def _possible(x, y) -> Column:
-    """Whether texts that first meet in a shingle at these places can have four fifths in common, by their sizes and what is left of them."""
-    left = 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
-    return ((FIFTHS + 5) * left >= FIFTHS * (x["n"] + y["n"])) & _sizes_fit(x["n"], y["n"])
+def _largest(n: Column, pos: Column) -> Column:
+    """The size of the largest text that can have four fifths in common with one of n shingles, if their heads first meet at this place of its: no more than what is left from there on is common."""
+    return F.floor((FIFTHS + 5) * (n - pos) / FIFTHS) - n
+
+
+def _cell(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(CELL))).cast("int")
 
 
 def _alike(x, y) -> Column:
@@ -294,8 +334,8 @@ def similar(points: DataFrame, texts: DataFrame) -> DataFrame:
     at = lambda k: F.element_at("head", k)
     parities = points.select("t", at(1).cast("int").alias("n"), *[at(k + 3).alias(f"p{k}") for k in range(PARITIES)])
     members = points.select("t", at(1).cast("int").alias("n"), F.posexplode(F.slice("head", BEFORE + 1, F.size("head"))).alias("pos", "key"))
-    rows = members.withColumn("times", F.count("*").over(W.partitionBy("key"))).filter("times > 1")
-    rows = written(rows, "near-keys")
+    times = members.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
+    rows = written(members.join(times, "key"), "near-keys")
     often = rows.groupBy("t").agg(F.count("*").alias("crowds"))
     hubs = written(rows.select("key", "t").join(often, "t").groupBy("key").agg(F.max_by("t", F.struct("crowds", "t")).alias("hub")), "near-hubs")
     met = rows.join(hubs, "key").filter("t <> hub").select(*_pair("t", "hub"))
@@ -311,14 +351,32 @@ def similar(points: DataFrame, texts: DataFrame) -> DataFrame:
     most = written(most.select("key", "most"), "near-most")
     left = written(crowd.join(most, "key").join(parities.drop("n"), "t"), "near-crowds")
     discard(rows, hubs, crowd, most)
-    x, y = left.filter("root <> most").alias("x"), left.alias("y")
-    of = lambda name: {c: F.col(f"{name}.{c}") for c in ("n", "pos", *parities.columns[2:])}
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(of("x"), of("y")) & _alike(of("x"), of("y")))
-    rest = written(rest.select(*_pair("x.t", "y.t")).distinct(), "near-candidates")
+    rest = _not_yet_connected(left, parities.columns[1:])
+    rest = written(rest.distinct(), "near-candidates")
     discard(left)
     return links.unionByName(verified(rest, texts))
 
 
+def _not_yet_connected(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """rows: key, t, n, pos, root, most, parities. Pairs a < b of one key that can reach four fifths and are not connected, nor both in the key's largest component.
+
+    The larger text of a pair looks for the smaller one in the cells of the sizes that it may
+    have, by the places of both; so texts that none of these sizes fits don't meet at all.
+    """
+    limit = _largest(F.col("n"), F.col("pos"))
+    sized = rows.withColumn("limit", limit)
+    low, high = F.ceil(FIFTHS * F.col("n") / 5), F.least("n", "limit")
+    larger = sized.withColumn("low", low).withColumn("high", high).filter("low <= high").withColumn("cell", F.explode(F.sequence(_cell(F.col("low")), _cell(F.col("high"))))).alias("x")
+    smaller = sized.filter("n <= limit and n > 0").withColumn("cell", _cell(F.col("n"))).alias("y")
+    of = lambda name: {c: F.col(f"{name}.{c}") for c in kept}
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root"))
+    fits = F.col("y.n").between(F.col("x.low"), F.col("x.high")) & (F.col("x.n") <= F.col("y.limit")) & ((F.col("x.n") > F.col("y.n")) | (F.col("x.t") > F.col("y.t")))
+    on = same & fits & _alike(of("x"), of("y"))
+    apart, rest = "root <> most", "root = most"
+    made = larger.filter(apart).join(smaller, on).select(*_pair("x.t", "y.t"))
+    return made.unionByName(larger.filter(rest).join(smaller.filter(apart), on).select(*_pair("x.t", "y.t")))
+
+
 def _plausible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
     """The pairs whose sizes and parities do not rule them out."""
     both = pairs.join(parities.withColumnRenamed("t", "a").alias("x"), "a").join(parities.withColumnRenamed("t", "b").alias("y"), "b")
@@ -356,13 +414,11 @@ def one_of_each_group(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     own = take(df, key, text).toDF("key", "text").withColumn("text", F.coalesce("text", F.lit("")))
     same = own.select("key", "text", F.xxhash64("text").alias("t"))
     rank = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.sha2("text", 256).alias("sha"))
-    seen = own.select(F.explode(F.slice(heads(own["text"], spark, []), BEFORE + 1, 1 << 30)).alias("key")).groupBy("key").agg(F.count("*").alias("times"))
-    most = written(seen.filter(F.col("times") > COMMON).orderBy(F.desc("times"), "key").limit(MOST), "near-common")
-    common = [tuple(r) for r in most.collect()]
+    common = common_shingles(own["text"], own)
     docs = written(same.select(rank.alias("rank"), "t"), "near-docs")
     points = written(same.select("t", heads(same["text"], spark, common).alias("head")).groupBy("t").agg(F.first("head").alias("head")), "near-points")
     links = written(similar(points, same.select("t", "text")), "near-links")
-    discard(most, points)
+    discard(points)
     roots = components(links)
     grouped = docs.select("rank", "t").join(roots.withColumnRenamed("v", "t"), "t", "left").select("rank", F.coalesce("root", "t").alias("root"))
     first = grouped.groupBy("root").agg(F.min("rank").alias("rank")).select("rank").distinct()

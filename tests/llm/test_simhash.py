@@ -177,3 +177,36 @@ def test_pairs_in_a_crowd(spark, monkeypatch, crowd):
     got = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == connected(rows)
     assert 40 < len(got) < len(rows)
+
+
+@pytest.mark.parametrize("own_words", [48, 42, 12])
+def test_texts_of_one_template_are_not_paired_off(spark, monkeypatch, own_words):
+    """Rows made grow as rows read, whether what the texts share is too little for near copies or enough."""
+    rng = random.Random(own_words)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(300)]
+    own = lambda: [f"o{rng.randrange(10**7)}" for _ in range(own_words // 2)]
+    made: dict[str, list[int]] = {}
+    written = simhash.written
+
+    def counted(df, label):
+        out = written(df, label)
+        made.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    for n in (150, 600):
+        made.clear()
+        df = spark.createDataFrame([(i, " ".join(own() + shared + own())) for i in range(n)], "doc_id long, text string")
+        kept = simhash.one_of_each_group(df).count()
+        assert kept == (1 if own_words == 12 else n)
+        assert max(made["near-candidates"]) <= max(made["near-keys"])
+        assert made["near-candidates"][1] <= 4 * n
+
+
+def test_sizes_that_fit_lose_no_pair():
+    """What a text of n shingles whose head meets another at a place can have in common bounds the sizes; against counting."""
+    for n in range(1, 60):
+        for pos in range(simhash._head_size(n)):
+            largest = max((m for m in range(1, 200) if 9 * min(n - pos, m) >= 4 * (n + m)), default=0)
+            limit = 9 * (n - pos) // 4 - n
+            assert largest <= limit and all(9 * (n - pos) >= 4 * (n + m) for m in range(1, limit + 1))
