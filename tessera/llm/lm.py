@@ -22,14 +22,17 @@ many parts as keep the numbers in one at some PART_GRAMS, by the bytes of all te
 Nothing else of the corpus is held anywhere, and nothing but its number of words
 and bytes reaches the driver.
 
-A block is found again by its place in the scan, which is the same each time for a
-table that is read from files; what isn't, is written first.
+A block is found again by its place in the scan. Both scans run before scores returns,
+with the settings that files are split by held fixed, so neither settings nor executors
+that change meanwhile move a block; a table that is not read from files is
+written first. A block whose counts are not as many as its n-grams is refused.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WORD, small_batches, take, written
+from .base import WORD, discard, small_batches, take, written
 
 ORDER = 3
 BACKOFF = 0.4
@@ -51,6 +54,22 @@ ROW_BYTES = 64
 PART_GRAMS, WORD_BYTES = 1 << 20, 6
 
 
+@contextmanager
+def fixed_splits(spark) -> Iterator[None]:
+    """Files are split alike by all that is run inside, however many cores there are at the time; the settings are restored."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {n: spark.conf.get(n, None) for n in names}
+    held = [spark.conf.get(n) for n in names[:2]]
+    tasks = before[names[2]] or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+    try:
+        for name, value in zip(names, (*held, str(tasks)), strict=True):
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def blocks(batches, most: int) -> Iterator[tuple[int, pa.Table]]:
     """The rows of a task in blocks that end with the row that brings them to so many bytes, numbered by partition and place. The first column is the text, in bytes."""
     from pyspark import TaskContext
@@ -147,7 +166,9 @@ def _log_scores(sizes: np.ndarray, doc: np.ndarray, grams: list, counts: np.ndar
     """The sum of the log scores of each text's words. counts: those in all texts of the distinct n-grams, in their order as hashes."""
     every = np.concatenate([g for _, g in grams])
     whose = np.concatenate([doc[ends] for ends, _ in grams]).astype(np.uint64)
-    _, which = np.unique(every, return_inverse=True)
+    distinct, which = np.unique(every, return_inverse=True)
+    if len(distinct) != len(counts):
+        raise ValueError(f"a block of {len(distinct)} n-grams has {len(counts)} counts: it was not read as it was counted")
     _, mine, times = np.unique(_mixed(every + whose * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
     rest = counts[which].astype(np.int64) - times[mine]
     out, lower, begin = np.zeros(len(doc)), np.zeros(0, np.int64), 0
@@ -184,8 +205,6 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     total, size = own.agg(F.coalesce(F.sum(words), F.lit(0)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     own = own.select(F.col("text").cast("binary").alias("text"), "key")
     parts, most = 1 + order * size // (WORD_BYTES * PART_GRAMS), BLOCK_BYTES
-    counts = written(counted(exploded(own, parts, order, most)), "lm-counts")
-
     def placed(batches):
         for number, rows in blocks(batches, most):
             for b in rows.to_batches():
@@ -200,5 +219,8 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         return pa.table({"key": texts["key"], "size": sizes, "sum": sums})
 
     texts = own.mapInArrow(placed, f"block long, text binary, key {kind}")
-    out = texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(scored, f"key {kind}, size long, sum double")
+    with fixed_splits(spark):
+        counts = written(counted(exploded(own, parts, order, most)), "lm-counts")
+        out = written(texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(scored, f"key {kind}, size long, sum double"), "lm-scores")
+    discard(counts)
     return out.select(F.col("key").alias(key), F.col("size").alias("n_words"), F.round("sum", 4).alias("log_score"), F.when(F.col("size") > 0, F.round(F.col("sum") / F.col("size"), 4)).alias("log_per_word"))

@@ -74,3 +74,33 @@ def test_rare_words_keep_their_identity(spark):
 def test_bytes_that_are_not_utf8(spark):
     df = spark.sql("SELECT 1L AS doc_id, CAST(X'61ff2062' AS STRING) AS text UNION ALL SELECT 2L, 'a b'")
     assert {(r.doc_id, r.n_words) for r in lm.scores(df).collect()} == {(1, 2), (2, 2)}
+
+
+@pytest.mark.parametrize("most", [lm.BLOCK_BYTES, 3000])
+def test_settings_that_change_move_no_block(spark, tmp_path, monkeypatch, most):
+    """Files are split anew between the call and the action, and the settings are those of the caller afterwards."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", most)
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 60)))) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/d")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    df = spark.read.parquet(f"{tmp_path}/d")
+    found = lm.scores(df)
+    spark.conf.set(name, "3000")
+    try:
+        got = {r.doc_id: r.log_score for r in found.collect()}
+        again = {r.doc_id: r.log_score for r in lm.scores(spark.read.parquet(f"{tmp_path}/d")).collect()}
+        assert spark.conf.get(name) == "3000" and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    finally:
+        spark.conf.set(name, before)
+    want = {k: s for (k, _), (_, s, _) in zip(rows, slow([t for _, t in rows], lm.ORDER), strict=True)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 and abs(again[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_counts_of_another_block_are_refused():
+    import numpy as np
+
+    sizes, doc, grams = lm.ngrams([b"a b c"], 2)
+    with pytest.raises(ValueError, match="counted"):
+        lm._log_scores(sizes, doc, grams, np.zeros(3, np.uint64), 3)
