@@ -278,7 +278,8 @@ def common_shingles(text: Column, own: DataFrame) -> list[tuple[int, int]]:
     @F.arrow_udf("array<bigint>")
     def all_of_crowds(texts: pa.Array) -> pa.Array:
         each = (shingle_hashes(t) for t in texts.to_pylist())
-        in_crowd = lambda s: len(s) and np.isin(s[: _head_size(len(s))], sent.value).any()
+        known = sent.value
+        in_crowd = lambda s: len(s) and (known[np.minimum(np.searchsorted(known, h := s[: _head_size(len(s))]), len(known) - 1)] == h).any()
         return pa.array([s if in_crowd(s) else s[:0] for s in each], pa.list_(pa.int64()))
 
     return sorted((first | _frequent(own.select(F.explode(all_of_crowds(text.cast("binary"))).alias("key")))).items())
