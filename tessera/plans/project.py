@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names, paths
 from ..operators import extract, findings, graph, insights, joins, quality, snapshots, twins, usage
 from ..sources import health, tree
+from . import client as clients
 from .tables import cut
 
 
@@ -249,38 +251,50 @@ class Project:
         own = self.stats().select(shape.alias("architecture"), F.col("total_files").alias("files_analyzed"), one)
         return own.join(texts.select("*", one), "one").drop("one")
 
-    def analyze(self, client, mode: str = "hybrid", cancelled=lambda: False, progress=lambda done, of: None, most: int = 40) -> DataFrame:
-        """path, summary of names, and what a client of the caller's says: analyze_files(files, types) -> dict by path.
+    def analyze(self, client, mode: str = "hybrid", types: list[str] | None = None, cancelled=lambda: False, progress=lambda done, of: None, most: int = 40, batch: int = 8, tag: str | None = None) -> DataFrame:
+        """The row map of each file, and said and error: what a client of the caller's says of it, and how it failed.
 
-        mode is ast, client or hybrid. The client gets at most `most` files that parse, have 30 to
-        5000 lines and no test or spec in their names; it is called on the driver.
+        mode is ast, client (files with an answer only) or hybrid. A client has analyze_files(files, types), where files
+        are row maps and types what is asked; its answer has a key for each path, or for each type (see
+        asked). It gets at most `most` files, in batches, from tasks. No batch that fails ends the run;
+        a run that is cancelled gives no answers.
         """
         if mode not in ("ast", "client", "hybrid"):
             raise ValueError(f"mode {mode!r}")
-        own = self.files.select("path", "lines", "doc", F.transform("classes", lambda c: c["name"]).alias("classes"), F.transform("functions", lambda f: f["name"]).alias("functions"))
-        if mode == "ast":
-            return own.withColumn("said", F.lit(None).cast("string"))
-        name = F.lower(paths.basename("path"))
-        chosen = self.files.filter(~F.col("parse_error") & F.col("lines").between(30, 5000) & ~F.contains(name, F.lit("test")) & ~F.contains(name, F.lit("spec"))).select("path").orderBy("path").limit(most)
-        wanted = [r.path for r in chosen.collect()]
-        said: dict[str, str] = {}
-        for k, path in enumerate(wanted):
-            if cancelled():
-                break
-            said |= {p: str(v) for p, v in client.analyze_files([path], ["summary"]).items()}
-            progress(k + 1, len(wanted))
-        rows = self.spark.createDataFrame(list(said.items()), "path string, said string")
-        return own.join(rows, "path", "left" if mode == "hybrid" else "inner")
+        progress(1, 4)
+        own = clients.row_maps(self.files).withColumnRenamed("rel_path", "path")
+        progress(2, 4)
+        self.said = self.spark.createDataFrame([], clients.ANSWER)
+        if mode != "ast" and client is not None and not cancelled():
+            try:
+                rows = clients.chosen(clients.row_maps(self.files), most)
+                self.said = clients.while_tagged(self.spark.sparkContext, tag, lambda: clients.answers(rows, client, types, batch))
+            except Exception:
+                if not cancelled():
+                    raise
+        progress(3, 4)
+        rows = self.said.filter("path is not null").select("path", F.col("text").alias("said"), "error")
+        progress(4, 4)
+        return own.join(rows, "path", "inner" if mode == "client" else "left")
+
+    def asked(self) -> DataFrame:
+        """what, text: what the client of the last analyze() said of the project as a whole; for combined()."""
+        return clients.of_project(self.said)
 
 
 class Analyzer:
-    """The older form of analyze(): without a client it gives the names alone, with one it asks for most files at once."""
+    """The older form of analyze(): without a client it gives the names alone, with one it asks for most files at once. cancel() ends it from another thread."""
 
     def __init__(self, client=None, most: int = 4):
         self.client, self.most, self.cancelled = client, most, False
+        self.tag = f"tessera-{uuid.uuid4().hex}"
+        self.context = None
 
-    def analyze(self, project: Project, progress=lambda done, of: None) -> DataFrame:
-        return project.analyze(self.client, "hybrid" if self.client else "ast", lambda: self.cancelled, progress, self.most)
+    def analyze(self, project: Project, progress=lambda done, of: None, types: list[str] | None = None) -> DataFrame:
+        self.context = project.spark.sparkContext
+        return project.analyze(self.client, "hybrid" if self.client else "ast", types, lambda: self.cancelled, progress, self.most, self.most, self.tag)
 
     def cancel(self) -> None:
         self.cancelled = True
+        if self.context:
+            self.context.cancelJobsWithTag(self.tag)

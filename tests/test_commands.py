@@ -154,7 +154,7 @@ def test_combined_and_the_older_form(spark):
 
     class Client:
         def analyze_files(self, files, types):
-            return {f: "seen" for f in files}
+            return {f["rel_path"]: "seen" for f in files}
 
     long = {f"m{k}.py": "x = 1\n" * 40 for k in range(6)}
     p = Project(spark, tree.from_rows(spark, long))

@@ -196,15 +196,65 @@ def test_reports(project, spark):
     assert "- Added: 1 | Deleted: 0 | Modified: 0 | Moved: 0\n  + empty.py" in reports.change_entry(snapshots.diff(old, project.fingerprint), "sync", "t")
 
 
-def test_client(project):
+def test_client(project, tmp_path):
     class Client:
         def analyze_files(self, files, types):
-            return {f: len(f) for f in files}
+            return {f["rel_path"]: len(f) for f in files}
 
     assert project.analyze(Client(), "ast").filter("said is not null").count() == 0
     assert project.analyze(Client(), "hybrid").count() == 14
 
 
+def test_client_in_batches(spark, tmp_path):
+    """Row maps and types reach the client; it is asked once for a batch, again if it fails, and its faults stay with the batch."""
+    p = Project(spark, tree.from_rows(spark, {f"m{k:02d}.py": f"import a{k}\n" + "x = 1\n" * 40 for k in range(20)} | {"test_m.py": "x\n" * 40, "bad.py": "(\n" * 40}))
+    log = str(tmp_path)
+
+    class Client:
+        def analyze_files(self, files, types):
+            import os
+            import uuid
+
+            first = files[0]["rel_path"]
+            tried = sum(f.startswith(first) for f in os.listdir(log))
+            open(os.path.join(log, f"{first}-{uuid.uuid4().hex}"), "w").close()
+            if first == "m04.py" or first == "m08.py" and not tried:
+                raise OSError("down")
+            return {f["rel_path"]: {"imports": f["imports"], "error": f["parse_error"]} for f in files} | {types[0]: f"of {len(files)}"}
+
+    steps = []
+    got = p.analyze(Client(), "hybrid", ["purpose"], progress=lambda k, n: steps.append((k, n)), most=14, batch=4)
+    said = {r.path: (r.said, r.error) for r in got.collect()}
+    assert steps == [(1, 4), (2, 4), (3, 4), (4, 4)] and len(said) == 22
+    assert said["m00.py"] == ('{"imports": ["a0"], "error": false}', None) and said["m09.py"][0] and said["m13.py"][0]
+    assert [said[f"m{k:02d}.py"] for k in (4, 7)] == [(None, "OSError: down")] * 2
+    assert {said[x] for x in ("m14.py", "test_m.py", "bad.py")} == {(None, None)}
+    assert {r.what: r.text for r in p.asked().collect()} == {"purpose": "of 4\nof 4\nof 2", "error": "OSError: down"}
+    assert {r.path: r.said is None for r in p.analyze(Client(), "client", most=4).collect()} == {f"m{k:02d}.py": False for k in range(4)}
+    calls = [f.split("-")[0] for f in __import__("os").listdir(log)]
+    assert {x: calls.count(x) for x in ("m00.py", "m04.py", "m08.py", "m12.py")} == {"m00.py": 2, "m04.py": 3, "m08.py": 2, "m12.py": 1}
+    assert {r.error for r in p.analyze(object(), "client", most=2).collect()} == {"NotImplementedError: the client has no analyze_files(files, types)"}
+
+
+def test_a_run_is_cancelled_from_another_thread(spark):
+    import threading
+    import time
+
+    from tessera.plans.project import Analyzer
+
+    class Slow:
+        def analyze_files(self, files, types):
+            time.sleep(60)
+            return {}
+
+    p = Project(spark, tree.from_rows(spark, {f"m{k}.py": "x = 1\n" * 40 for k in range(4)}))
+    p.files.count()
+    a = Analyzer(Slow())
+    threading.Timer(4, a.cancel).start()
+    began = time.time()
+    assert a.analyze(p).filter("said is not null").count() == 0 and time.time() - began < 40
+
+
 def test_settings(tmp_path):
     registry = {"active_project": "z", "projects": {"a": {"root": "/w"}, "b": {"root": "/w/in"}}}
     assert [small.resolve(registry, *x) for x in (("q", "/w"), (None, "/w/in/deep"), (None, "/w/other"), (None, "/"))] == ["q", "b", "a", "z"]
