@@ -229,6 +229,59 @@ def source_other_files(spark, sf_dir):
     return project(spark, sf_dir).other_files.select("path", "size", "ext", "sha256")
 
 
+SHAPE = """from b%1$d.p%2$d import *
+
+
+async def fetch(url, *, retry=lambda n: n + %3$d):
+    async with session(url) as s:
+        async for x in s:
+            yield x
+
+
+def outer(a, b=(1, %3$d)):
+    def inner(c):
+        return a + c
+    match a:
+        case [x, *_] if x:
+            return inner(x)
+        case {"k": v}:
+            return v
+        case _:
+            return (lambda q: q)(b)
+
+
+class %4$s(outer(1).base, metaclass=Meta):
+    value: int = %3$d
+
+    class Deep:
+        def run(self): ...
+
+
+"""
+#: What the parser of the standard library reads, and its own walks by recursion don't.
+DEEP_SUM, DEEP_CHAIN = "total = 0" + " + 1" * 1500 + "\n", "if a: pass\n" + "".join(f"elif a == {k}: import m{k}\n" for k in range(1200))
+
+
+def shapes(spark, sf_dir) -> DataFrame:
+    """Sources of other shapes; of fifty, one has a sum of 1,500 terms and one a chain of 1,200 conditions."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_size").alias("s"), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("cls"))
+    k = F.col("k")
+    text = F.concat(F.format_string(SHAPE, k % 7, k, "s", "cls"), F.when(k % 50 == 7, DEEP_SUM).when(k % 50 == 8, DEEP_CHAIN).otherwise(""))
+    return part.select(F.format_string("s/p%d.py", k).alias("path"), text.cast("binary").alias("content")).select("path", F.octet_length("content").cast("long").alias("size"), "content")
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_size AS s, split_part(p_name, ' ', 1) AS a FROM part)
+SELECT 's/p' || k || '.py' AS path, false AS parse_error, NULL AS error, CASE WHEN k % 50 = 8 THEN 1201 ELSE 1 END AS n_imports, CASE WHEN k % 50 = 8 THEN 1201 ELSE 1 END AS n_loaded, {SHAPE.count(chr(10)) + 1} + CASE k % 50 WHEN 7 THEN {DEEP_SUM.count(chr(10))} WHEN 8 THEN {DEEP_CHAIN.count(chr(10))} ELSE 0 END AS lines,
+  ['fetch(url, *, retry=lambda n: n + ' || s || ')', 'outer(a, b=(1, ' || s || '))'] AS functions, [upper(a[1]) || a[2:] || ': outer(1).base'] AS classes, ['fetch > session', 'inner > ', 'outer > inner', 'run > '] AS calls FROM p""")
+def source_shapes(spark, sf_dir):
+    """Pattern matching, nested functions and classes, star imports, asynchronous blocks, lambdas as defaults; sources that nest deeply give facts as well"""
+    files = Project(spark, shapes(spark, sf_dir)).files
+    said = F.transform("functions", lambda f: F.concat(f["name"], f["sig"]))
+    based = F.transform("classes", lambda c: F.concat(c["name"], F.lit(": "), F.array_join(c["bases"], ",")))
+    calls = F.array_sort(F.transform("bodies", lambda b: F.concat(b["name"], F.lit(" > "), F.array_join(b["callees"], ","))))
+    return files.select("path", "parse_error", "error", F.size("imports").alias("n_imports"), F.size("module_imports").alias("n_loaded"), "lines", said.alias("functions"), based.alias("classes"), calls.alias("calls"))
+
+
 # ---- imports
 
 
