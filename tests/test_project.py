@@ -271,8 +271,8 @@ def test_components_of_random_graphs(spark, monkeypatch, small):
 
     monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(17)
-    for _ in range(3):
-        edges = {(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(34)}
+    for sparse in (34, 45, 70):
+        edges = {(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(sparse)}
         reach = {n: {n} for e in edges for n in e}
         for _ in range(31):
             for a, b in edges:
@@ -286,6 +286,29 @@ def test_components_of_random_graphs(spark, monkeypatch, small):
     assert table(graph.reachable(df), "src", "dst") == [("a", "a"), ("a", "b"), ("a", "c"), ("b", "a"), ("b", "b"), ("b", "c")]
 
 
+def test_deep_graphs_take_few_rounds(spark, monkeypatch):
+    """A ring, a path into it, and a path of cycles: rounds grow with the logarithm of their length."""
+    from pyspark.sql import functions as F
+
+    rounds = []
+    whole = graph.cut
+    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or whole(df))
+    n = 300_000
+    i = F.col("id")
+    ring = spark.range(n).select(i.alias("src"), ((i + 1) % n).alias("dst"))
+    got = graph.strong_components(ring)
+    assert len(rounds) < 40
+    assert got.count() == n and [r.component for r in got.select("component").distinct().collect()] == [0]
+    rounds.clear()
+    m = 3000
+    path = spark.range(m).select((n + i).alias("src"), F.when(i == m - 1, 5).otherwise(n + i + 1).alias("dst"))
+    handle = spark.range(m).select((2 * n + i).alias("src"), (2 * n + (i + 1) % m).alias("dst")).union(spark.createDataFrame([(2 * n + 7, 2 * n + 1500), (2 * n + 9, n)], "src long, dst long"))
+    small_ring = spark.range(m).select(i.alias("src"), ((i + 1) % m).alias("dst"))
+    got = graph.strong_components(small_ring.union(path).union(handle))
+    assert {(r.component, r["count"]) for r in got.groupBy("component").count().collect()} == {(0, m), (2 * n, m)} and len(rounds) < 120
+
+
 def test_partial_paths(spark):
     known = spark.createDataFrame([("a/b/c.py",), ("c.py",), ("z/c.py",), ("xc.py",)], "path string")
     wanted = spark.createDataFrame([("c.py",), ("b/c.py",), ("none.py",)], "wanted string")
