@@ -105,10 +105,10 @@ def pii_sql(table: str = "documents") -> str:
     for k in pii.KINDS:
         parts.append(rf"""
     SELECT rid, {len(parts)} AS ord, '{k.name}' AS kind, {k.base} AS base, s, s + length(v) AS e FROM (
-      SELECT rid, hits[i] AS v, right(gaps[i], {pii.NEAR}) || chr(10) || left(gaps[i + 1], {pii.NEAR}) AS near,
-        list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
-      FROM (SELECT rid, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
-        SELECT rid, regexp_extract_all(text, '{k.plain}') AS hits, string_split_regex(text, '{k.plain}') AS gaps FROM d))
+      SELECT *, substr(text, greatest(s - {pii.NEAR}, 0) + 1, least(s, {pii.NEAR})) || chr(10) || substr(text, s + length(v) + 1, {pii.NEAR}) AS near FROM (
+        SELECT rid, text, hits[i] AS v, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+        FROM (SELECT rid, text, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
+          SELECT rid, text, regexp_extract_all(text, '{k.plain}') AS hits, string_split_regex(text, '{k.plain}') AS gaps FROM d)))
     ) WHERE ({PII_CHECKS[k.name]}) AND ({k.base} OR {k.score} + CASE WHEN regexp_matches(near, '(?i)({k.context})') THEN {pii.BONUS} ELSE 0 END >= {pii.THRESHOLD})""")
         if k.base:
             counts.append(f"(count(*) FILTER (kind = '{k.name}'))::BIGINT AS n_{k.name}")

@@ -133,3 +133,17 @@ def test_redaction_of_nulls_repeats_and_long_texts(spark):
     got = Counter(map(tuple, pii.redact(df).collect()))
     assert got == Counter([(1, "[EMAIL] [CARD], é " * 5000, "x")] * 2 + [(None, None, None), (None, "[EMAIL]", None)])
     assert pii.redact(df.limit(0)).count() == 0
+
+
+def test_sql_takes_context_from_the_text_by_offset(spark, tmp_path):
+    """Beyond neighbouring matches too, and no further than it should."""
+    import duckdb
+
+    from tessera.llm.queries import pii_sql
+
+    rows = [(1, "SSN: 123-45-6789, 234-56-7890, 345-67-8901"), (2, "é SSN " + "x" * 50 + " 123-45-6789"), (3, "123-45-6789 social security"), (4, None), (5, "GB82 WEST 1234 5698 7654 32 a@b.co 1.2.3.4")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    want = sorted(c.execute(f"select doc_id, spans from ({pii_sql()})").fetchall())
+    assert sorted((r.doc_id, r.spans) for r in pii.digest(spark.read.parquet(f"{tmp_path}/d")).collect()) == want and want[0][1].count("ssn") == 3
