@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.tables import cut
+from .joins import ranked
 
 
 def adjacency(edges: DataFrame, nodes: DataFrame, node: str = "path") -> DataFrame:
@@ -39,17 +39,23 @@ def hubs(edges: DataFrame, most: int = 15) -> DataFrame:
     return edges.groupBy("dst").agg(F.countDistinct("src").alias("in_degree")).orderBy(F.desc("in_degree"), "dst").limit(most)
 
 
-def layers(edges: DataFrame, src_area: str = "src_area", dst_area: str = "dst_area") -> DataFrame:
-    """Areas numbered from the most imported one down: level, area, imported_by, imports_others.
-
-    One row per area reaches the numbering task.
-    """
+def imports_of_areas(edges: DataFrame, src_area: str = "src_area", dst_area: str = "dst_area") -> DataFrame:
+    """area, imports_others, imported_by: how many other areas each one imports, and is imported by."""
     apart = edges.filter(F.col(src_area) != F.col(dst_area)).select(F.col(src_area).alias("s"), F.col(dst_area).alias("d")).distinct()
     every = edges.select(F.col(src_area).alias("area")).union(edges.select(dst_area)).distinct()
     out = apart.groupBy(F.col("s").alias("area")).agg(F.count("*").alias("imports_others"))
     into = apart.groupBy(F.col("d").alias("area")).agg(F.count("*").alias("imported_by"))
-    table = every.join(out, "area", "left").join(into, "area", "left").na.fill(0)
-    return table.withColumn("level", F.row_number().over(W.orderBy(F.desc("imported_by"), "imports_others", "area")) - 1)
+    return every.join(out, "area", "left").join(into, "area", "left").na.fill(0)
+
+
+def layers(edges: DataFrame, src_area: str = "src_area", dst_area: str = "dst_area") -> DataFrame:
+    """Areas numbered from the most imported one down: level, area, imported_by, imports_others."""
+    return levels(imports_of_areas(edges, src_area, dst_area))
+
+
+def levels(areas: DataFrame) -> DataFrame:
+    """areas: area, imported_by, imports_others. level: the place of each, from 0, the most imported one first."""
+    return ranked(areas, [F.desc("imported_by"), "imports_others", "area"], "level").withColumn("level", (F.col("level") - 1).cast("int"))
 
 
 def neighbours(edges: DataFrame, node) -> DataFrame:

@@ -125,13 +125,17 @@ def summary(files: DataFrame) -> DataFrame:
 
 
 def overflow(rows: DataFrame, group: str, order: list[str], most: int, text: str = "detail") -> DataFrame:
-    """The first rows of each group, and one row that says how many more there are."""
+    """The first rows of each group, and one row that says how many more there are.
+
+    Groups are counted apart from their first rows, of which each task passes on no more than are shown.
+    """
     from pyspark.sql import Window as W
 
-    w = W.partitionBy(group)
-    numbered = rows.withColumn("__rn", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count("*").over(w)).filter(F.col("__rn") <= most + 1)
+    first = rows.withColumn("__rn", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("__rn") <= most + 1)
+    counted = rows.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n"))
     more = F.format_string("... ve %d fonksiyon daha tür ipucu eksik", F.col("__n") - most)
-    return numbered.withColumn(text, F.when(F.col("__rn") > most, more).otherwise(F.col(text))).drop("__rn", "__n")
+    both = first.join(counted, F.col(group).eqNullSafe(F.col("__group")))
+    return both.withColumn(text, F.when(F.col("__rn") > most, more).otherwise(F.col(text))).drop("__rn", "__n", "__group")
 
 
 def union_rules(frames: list[DataFrame]) -> DataFrame:

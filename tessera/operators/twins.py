@@ -117,11 +117,18 @@ def members(functions: DataFrame, groups: DataFrame) -> DataFrame:
     return keyed[0].union(keyed[1]).join(groups.select("method", "key", "group_id"), ["method", "key"]).select("group_id", "method", "path", "line", "name", fuzzy_base("name").alias("fuzzy_base"))
 
 
-def pair_similarity(rows: DataFrame, bucket: str, key: str, items: str) -> DataFrame:
-    """Jaccard percentages of all pairs in a bucket of bounded size: bucket, a, b, similarity."""
+#: Members of a bucket that are compared with each other.
+MOST_PAIRED = 2000
+
+
+def pair_similarity(rows: DataFrame, bucket: str, key: str, items: str, most: int = MOST_PAIRED) -> DataFrame:
+    """Jaccard percentages of all pairs in a bucket: bucket, a, b, similarity. A bucket of more than `most` members is an error, as its pairs would grow with their square."""
     from ..functions.names import jaccard_percent
 
-    left, right = rows.alias("l"), rows.alias("r")
+    sizes = rows.groupBy(F.col(bucket).alias("__bucket")).agg(F.count("*").alias("__n"))
+    large = F.raise_error(F.format_string("bucket %s has %d members, more than %d", F.col("__bucket").cast("string"), "__n", F.lit(most)))
+    fit = sizes.select("__bucket", F.when(F.col("__n") > most, large.cast("boolean")).otherwise(True).alias("__fits")).filter("__fits")
+    left, right = rows.join(fit, F.col(bucket) == F.col("__bucket")).drop("__bucket", "__fits").alias("l"), rows.alias("r")
     met = left.join(right, (F.col(f"l.{bucket}") == F.col(f"r.{bucket}")) & (F.col(f"l.{key}") < F.col(f"r.{key}")))
     return met.select(F.col(f"l.{bucket}").alias(bucket), F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), jaccard_percent(F.col(f"l.{items}"), F.col(f"r.{items}")).alias("similarity"))
 

@@ -110,14 +110,12 @@ class Project:
 
     def layers(self) -> DataFrame:
         """Folders of the first level, from the most imported one down, with a label each."""
-        from pyspark.sql import Window as W
-
         edges = self.import_edges.select(paths.first_segment("src").alias("src_area"), paths.first_segment("dst").alias("dst_area"))
         areas = self.sources.select(paths.subsystem("path", None).alias("area")).filter("area is not null").distinct()
-        known = areas.join(graph.layers(edges).drop("level"), "area", "left").na.fill(0)
-        level = known.withColumn("level", F.row_number().over(W.orderBy(F.desc("imported_by"), "imports_others", "area")) - 1)
-        last = F.max("level").over(W.partitionBy())
-        return level.withColumn("role", insights.role(F.col("level"), last, F.col("imported_by"), F.col("imports_others")))
+        level = cut(graph.levels(areas.join(graph.imports_of_areas(edges), "area", "left").na.fill(0)))
+        last = level.agg(F.max("level").alias("last"), F.lit(1).alias("one"))
+        both = level.withColumn("one", F.lit(1)).join(F.broadcast(last), "one").drop("one")  # one row
+        return both.withColumn("role", insights.role(F.col("level"), F.col("last"), F.col("imported_by"), F.col("imports_others"))).drop("last")
 
     def classes(self) -> DataFrame:
         return self.files.select("path", F.explode("classes").alias("c")).select("path", "c.name", "c.lineno", "c.bases")

@@ -100,3 +100,20 @@ def test_long_names_give_few_rows(spark):
     assert rows.agg(F.max("n")).first()[0] < 200
     got = joins.containing(spark.createDataFrame([(x,) for x in long], "o string"), spark.createDataFrame([(x[50:90],) for x in long], "i string"))
     assert sorted(r.o for r in got.collect()) == sorted(long)
+
+
+def test_first_rows_of_a_hot_group_and_buckets_that_are_too_large(spark):
+    from tessera.operators import quality, twins
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 100 == 0, F.lit(None)).when(F.col("id") % 50 == 1, "few").otherwise("hot").alias("g"), F.format_string("d%05d", "id").alias("detail"))
+    got = quality.overflow(rows, "g", ["detail"], 3)
+    said = {}
+    for r in got.orderBy("detail").collect():
+        said.setdefault(r.g, []).append(r.detail)
+    left = {None: 50 - 3, "few": 100 - 3, "hot": 4850 - 3}
+    assert {g: sum(d.startswith("...") for d in ds) for g, ds in said.items()} == dict.fromkeys(left, 1)
+    assert all(f"... ve {n} fonksiyon daha tür ipucu eksik" in said[g] and len(said[g]) == 4 for g, n in left.items())
+    items = spark.createDataFrame([("k", i, ["a"]) for i in range(6)], "bucket string, id int, items array<string>")
+    assert twins.pair_similarity(items, "bucket", "id", "items", 6).count() == 15
+    with pytest.raises(Exception, match="bucket k has 6 members"):
+        twins.pair_similarity(items, "bucket", "id", "items", 5).collect()
