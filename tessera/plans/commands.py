@@ -24,6 +24,7 @@ from ..sources.locks import atomic_write, locked
 from . import reports
 from .project import Project
 from .store import DESCRIPTION, FACT, Store, debt, new_code, stored_impact, sync
+from .tables import scratch
 
 #: Where a project keeps what belongs to it, below its root.
 FOLDER = ".tessera"
@@ -234,4 +235,5 @@ def _answer(args, kept: Path, spark: SparkSession | None):
     if args.command == "current":
         return held["projects"][name]
     spark = spark or SparkSession.builder.appName("tessera").getOrCreate()
-    return COMMANDS[args.command](Place(spark, held["projects"][name]["root"]), args)
+    with scratch(spark):
+        return COMMANDS[args.command](Place(spark, held["projects"][name]["root"]), args)

@@ -19,7 +19,7 @@ from ..sources import project as small
 from ..sources.locks import atomic_write, store_lock
 from . import reports
 from .project import Project
-from .tables import cut
+from .tables import cut, scratch
 
 DESCRIPTION = "path string, description string"
 LOG = "at timestamp, label string, added long, deleted long, modified long, moved long, first array<struct<status:string,old_path:string,path:string>>"
@@ -58,6 +58,10 @@ class Store:
     def keep_fingerprint(self, number: int, df: DataFrame) -> None:
         self.write(f"fingerprint/snapshot={number}", df.select("path", "sha256"))
 
+    def changes(self, number: int) -> DataFrame:
+        """path, status, old_path: what the snapshot of that number changed."""
+        return self.read("changes", "snapshot long, path string, status string, old_path string").filter(F.col("snapshot") == number).select("path", "status", "old_path")
+
     # ---- descriptions: a small table that is replaced as a whole
 
     def descriptions(self) -> DataFrame:
@@ -117,11 +121,12 @@ def sync(spark: SparkSession, root: str, store: Store, settings: dict | None = N
     works on a store; with fresh, all contents are parsed again.
     """
     settings = small.DEFAULTS | (settings or {})
-    with store_lock(spark, store.path):
-        return _synced(spark, root, store, settings, notes or {}, folder, label, fresh)
+    with store_lock(spark, store.path), scratch(spark):
+        number = _synced(spark, root, store, settings, notes or {}, folder, label, fresh)
+    return store.changes(number)
 
 
-def _synced(spark: SparkSession, root: str, store: Store, settings: dict, notes: dict, folder: str | None, label: str, fresh: bool) -> DataFrame:
+def _synced(spark: SparkSession, root: str, store: Store, settings: dict, notes: dict, folder: str | None, label: str, fresh: bool) -> int:
     known = None if fresh else store.read("facts", FACT)
     p = Project.at(spark, root, settings["ignore_dirs"], known)
     number = store.last()
@@ -135,9 +140,10 @@ def _synced(spark: SparkSession, root: str, store: Store, settings: dict, notes:
     if folder:
         made, _ = reports.knowledge_base(p, store.descriptions(), notes, settings)
         write_reports(folder, made, reports.draft_notes(p))
+    store.write(f"changes/snapshot={number + 1}", diff)
     store.log(diff, label)
     store.keep_fingerprint(number + 1, p.fingerprint)
-    return diff
+    return number + 1
 
 
 def new_code(spark: SparkSession, root: str, store: Store, diff: DataFrame, settings: dict | None = None) -> tuple[DataFrame, DataFrame]:
@@ -152,9 +158,10 @@ def new_code(spark: SparkSession, root: str, store: Store, diff: DataFrame, sett
 def debt(spark: SparkSession, root: str, store: Store, settings: dict | None = None) -> None:
     """The tables that only their own command writes."""
     settings = small.DEFAULTS | (settings or {})
-    p = Project.at(spark, root, settings["ignore_dirs"], store.read("facts", FACT))
-    for name, made in DEBT.items():
-        store.write(f"tables/{name}", made(p))
+    with scratch(spark):
+        p = Project.at(spark, root, settings["ignore_dirs"], store.read("facts", FACT))
+        for name, made in DEBT.items():
+            store.write(f"tables/{name}", made(p))
 
 
 def stored_impact(store: Store, path: str) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: The folder of the run that is going on, if there is one.
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """All tables that are cut inside lie in one folder, which is deleted at the end; what is to stay is written elsewhere before."""
+    folder = f"{shared_folder(spark)}/tables/run-{uuid.uuid4().hex}"
+    before = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(before)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once; the shuffle files that made them are deleted."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{_run.get() or shared_folder(spark) + '/tables'}/{uuid.uuid4().hex}"
     schema, before = df.schema, spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
     try:

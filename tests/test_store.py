@@ -40,3 +40,18 @@ def test_sync_again_and_again(spark, tmp_path):
     old.write_text("stale")
     sync(spark, str(root), store, folder=folder)
     assert not old.exists()
+
+
+def test_a_run_leaves_no_scratch(spark, tmp_path):
+    from tessera.plans import tables
+
+    root, store = tmp_path / "tree", Store(spark, f"{tmp_path}/store")
+    put(root, {"p/a.py": FUNCTION, "p/b.py": "import p.a\n" + FUNCTION})
+    place = tables.shared_folder(spark).removeprefix("file:").replace("//", "/") + "/tables"
+    seen = lambda: set(__import__("os").listdir(place)) if __import__("os").path.isdir(place) else set()
+    before = seen()
+    diff = sync(spark, str(root), store, folder=str(tmp_path / "kb"))
+    debt(spark, str(root), store)
+    assert seen() == before
+    assert sorted(r.status for r in diff.collect()) == ["added", "added"] and store.changes(0).count() == 2
+    assert spark.read.parquet(f"{tmp_path}/store/tables/twin_members").count() == 2
