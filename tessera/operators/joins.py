@@ -76,24 +76,34 @@ def _cells(start: Column, end: Column) -> Column:
     return F.when(top.isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), top), of)))
 
 
+#: Spans of a key that its points are held against one by one.
+FEW_SPANS = 64
+
+
 def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str, *keep: str) -> DataFrame:
     """For each point the name of the span of its key that contains it and starts last; of those that start together, the greatest name. keep names further columns of points; equal points are one row, those in no span none.
 
-    Each span is cut into aligned ranges, some three for each doubling of its length, and of the
-    spans that cover a range whole only the innermost is kept. A point then meets at
-    most one span for each size of range there is in its key, by equality: rows grow
-    as points and spans do, however they overlap, and a key's rows are dealt by range.
+    Points of a key with few spans are held against these. Where a key has more than FEW_SPANS, each span is cut into aligned ranges,
+    some three for each doubling of its length, and of the spans that cover a range whole only
+    the innermost is kept. A point then meets at most one span for each size of range there
+    is in its key, by equality: rows grow as points and spans do, however they overlap, and
+    a key's rows are dealt by range. The result is the same either way.
     """
-    from_, to = F.col(start).cast("long"), F.col(end).cast("long")
-    cut_up = spans.select(key, from_.alias("__start"), F.col(name).alias("__name"), F.explode(_cells(from_, to)).alias("__c"))
-    best = cut_up.groupBy(key, "__c.level", "__c.cell").agg(F.max(F.struct("__start", F.col("__name"))).alias("__best"))
-    longest = best.groupBy(key).agg(F.max("level").alias("__top"))
+    own = spans.select(key, F.col(start).cast("long").alias("__start"), F.col(end).cast("long").alias("__end"), F.struct(F.col(start).cast("long").alias("__start"), F.col(name).alias("__name")).alias("__best"))
+    counted = own.groupBy(key).agg(F.count("*").alias("__n"))
+    sized = own.join(counted, key)
+    asked = points.select(key, at, *keep).distinct()
     here = F.col(at).cast("long")
-    asked = points.select(key, at, *keep).distinct().join(longest, key)
+    few = sized.filter(F.col("__n") <= FEW_SPANS).withColumnRenamed(key, "__key")
+    near = asked.join(few, (F.col(key) == F.col("__key")) & here.between(F.col("__start"), F.col("__end"))).select(key, at, *keep, "__best")
+    cut_up = sized.filter(F.col("__n") > FEW_SPANS).select(key, "__best", F.explode(_cells(F.col("__start"), F.col("__end"))).alias("__c"))
+    best = cut_up.groupBy(key, "__c.level", "__c.cell").agg(F.max("__best").alias("__best"))
+    longest = best.groupBy(key).agg(F.max("level").alias("__top"))
     level = F.sequence(F.lit(0), F.col("__top"))
-    met = asked.select(key, at, *keep, F.explode(F.transform(level, lambda k: F.struct(k.alias("level"), F.call_function("shiftright", here, k * BITS).alias("cell")))).alias("__c"))
-    found = met.select(key, at, *keep, "__c.level", "__c.cell").join(best, [key, "level", "cell"])
-    return found.groupBy(key, at, *keep).agg(F.max("__best").alias("__best")).select(key, at, *keep, F.col("__best.__name").alias(name))
+    cells = F.transform(level, lambda k: F.struct(k.alias("level"), F.call_function("shiftright", here, k * BITS).alias("cell")))
+    met = asked.join(longest, key).select(key, at, *keep, F.explode(cells).alias("__c")).select(key, at, *keep, "__c.level", "__c.cell")
+    every = near.unionByName(met.join(best, [key, "level", "cell"]).select(key, at, *keep, "__best"))
+    return every.groupBy(key, at, *keep).agg(F.max("__best").alias("__best")).select(key, at, *keep, F.col("__best.__name").alias(name))
 
 
 def best_class(df: DataFrame, *conditions: Column) -> DataFrame:

@@ -19,8 +19,11 @@ def slow_innermost(points, spans):
     return sorted(out)
 
 
+@pytest.mark.parametrize("few", [0, 100, 10**6])
 @pytest.mark.parametrize("seed", range(3))
-def test_innermost_against_all_pairs(spark, seed):
+def test_innermost_against_all_pairs(spark, monkeypatch, seed, few):
+    """Keys of few spans, of many, and of both kinds in one table."""
+    monkeypatch.setattr(joins, "FEW_SPANS", few)
     rng = random.Random(seed)
     wide = rng.choice([20, 300, 10**12])
     spans = []
