@@ -15,18 +15,50 @@ from . import client as clients
 from .tables import cut
 
 
+def wanted(files: DataFrame) -> DataFrame:
+    """src, module, kind: what files import at load time, relative imports as modules of the tree."""
+    absolute = files.select(F.col("path").alias("src"), F.explode("module_imports").alias("module"), F.lit("abs").alias("kind"))
+    rel = files.select(F.col("path").alias("src"), F.explode("relative_imports").alias("r"))
+    parts = F.split("src", "/")
+    base = F.concat_ws(".", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - F.col("r.level"), F.lit(0))))
+    relative = rel.select("src", F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(F.col("r.module"), F.lit(""))).alias("module"), F.lit("rel").alias("kind")).filter("module <> ''")
+    return absolute.union(relative)
+
+
+def targets(known: DataFrame) -> DataFrame:
+    """prefix, target, prio: the files that module names stand for. A folder without __init__.py stands for a file of that name in it."""
+    known = known.select("path")
+    file = known.select(paths.module_path("path").alias("prefix"), F.col("path").alias("target"), F.lit(1).alias("prio"))
+    package = known.filter(F.endswith("path", F.lit("/__init__.py"))).select(paths.module_path("path", True).alias("prefix"), F.col("path").alias("target"), F.lit(2).alias("prio"))
+    folders = known.select(F.explode(paths.prefixes("path")).alias("dir"), "path").filter("dir <> path").select("dir").distinct()
+    space = folders.select(F.replace("dir", F.lit("/"), F.lit(".")).alias("prefix"), F.concat("dir", F.lit("/__init__.py")).alias("target"), F.lit(3).alias("prio"))
+    return file.union(package).union(space)
+
+
+def resolved(imports: DataFrame, known: DataFrame) -> DataFrame:
+    """src, dst, kind: wanted() met with targets()."""
+    found = joins.longest_prefix(imports, "module", known)
+    return imports.join(found, "module").filter("target <> src").select("src", F.col("target").alias("dst"), "kind")
+
+
 class Project:
     """All tables of a tree. `known` are facts of earlier runs (version, sha256, facts): files that they cover are not parsed again."""
 
-    def __init__(self, spark: SparkSession, raw: DataFrame, known: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, raw: DataFrame, known: DataFrame | None = None, rest: DataFrame | None = None):
+        """raw: all files, or where `rest` are the others, the Python ones alone."""
         self.spark = spark
-        python, self.other_files = tree.split(raw)
-        self.sources = cut(python)
+        self.sources = cut(tree.split(raw)[0])
+        self._rest = raw if rest is None else rest
         self.known = known
 
     @classmethod
     def at(cls, spark: SparkSession, root: str, ignore: list[str] = (), known: DataFrame | None = None) -> Project:
-        return cls(spark, tree.raw_files(spark, root, ignore), known)
+        files = tree.listed(spark, root, ignore)
+        return cls(spark, tree.contents(files.filter(tree.is_python()), root), known, tree.contents(files.filter(~tree.is_python()), root))
+
+    @cached_property
+    def other_files(self) -> DataFrame:
+        return cut(tree.split(self._rest)[1])
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -73,23 +105,8 @@ class Project:
 
     @cached_property
     def import_edges(self) -> DataFrame:
-        """src, dst, kind: absolute imports at load time and all relative ones, resolved to files; repeated edges stay, edges to itself don't.
-
-        A folder without __init__.py stands for a file of that name in it.
-        """
-        absolute = self.files.select(F.col("path").alias("src"), F.explode("module_imports").alias("module"), F.lit("abs").alias("kind"))
-        rel = self.files.select(F.col("path").alias("src"), F.explode("relative_imports").alias("r"))
-        parts = F.split("src", "/")
-        base = F.concat_ws(".", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - F.col("r.level"), F.lit(0))))
-        relative = rel.select("src", F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(F.col("r.module"), F.lit(""))).alias("module"), F.lit("rel").alias("kind")).filter("module <> ''")
-        wanted = absolute.union(relative)
-        known = self.sources.select("path")
-        file = known.select(paths.module_path("path").alias("prefix"), F.col("path").alias("target"), F.lit(1).alias("prio"))
-        package = known.filter(F.endswith("path", F.lit("/__init__.py"))).select(paths.module_path("path", True).alias("prefix"), F.col("path").alias("target"), F.lit(2).alias("prio"))
-        folders = known.select(F.explode(paths.prefixes("path")).alias("dir"), "path").filter("dir <> path").select("dir").distinct()
-        space = folders.select(F.replace("dir", F.lit("/"), F.lit(".")).alias("prefix"), F.concat("dir", F.lit("/__init__.py")).alias("target"), F.lit(3).alias("prio"))
-        found = joins.longest_prefix(wanted, "module", file.union(package).union(space))
-        return cut(wanted.join(found, "module").filter("target <> src").select("src", F.col("target").alias("dst"), "kind"))
+        """src, dst, kind: absolute imports at load time and all relative ones, resolved to files; repeated edges stay, edges to itself don't."""
+        return cut(resolved(wanted(self.files), targets(self.sources)))
 
     def dependency_matrix(self) -> DataFrame:
         edges = self.import_edges.select(paths.subsystem("src", None).alias("src_area"), paths.subsystem("dst", None).alias("dst_area"))

@@ -45,10 +45,15 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    """A folder of no other table, below that of the run."""
+    return f"{_run.get() or shared_folder(spark) + '/tables'}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of df, computed once; the shuffle files that made them are deleted."""
     spark = df.sparkSession
-    path = f"{_run.get() or shared_folder(spark) + '/tables'}/{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     schema, before = df.schema, spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
     try:
