@@ -12,17 +12,22 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths
-from ..operators import extract, graph, quality, snapshots
+from ..operators import extract, graph, snapshots
 from ..sources import project as small
+from ..sources import tree
 from ..sources.locks import atomic_write, store_lock
-from . import reports
+from . import reports, upkeep
 from .project import Project
 from .tables import cut, scratch
 
 DESCRIPTION = "path string, description string"
 LOG = "at timestamp, label string, added long, deleted long, modified long, moved long, first array<struct<status:string,old_path:string,path:string>>"
+LAYOUT = "version string, buckets int"
+#: Partitions of a table of files; a store written with another number is written anew.
+BUCKETS = 64
 FACT = f"version string, sha256 string, facts {extract.FACTS}"
 
 
@@ -31,14 +36,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def read(self, name: str, schema: str) -> DataFrame:
         """A table; an empty one if it was never written."""
-        place = f"{self.path}/{name}"
-        return self.spark.read.schema(schema).parquet(place) if exists(self.spark, place) else self.spark.createDataFrame([], schema)
+        place, none = f"{self.path}/{name}", self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(place).select(none.columns) if exists(self.spark, place) else none
 
     def write(self, name: str, df: DataFrame, mode: str = "overwrite") -> None:
         df.write.mode(mode).parquet(f"{self.path}/{name}")
@@ -46,6 +60,44 @@ class Store:
     def as_json(self, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").json(f"{self.path}/json/{name}")
 
+    # ---- tables in buckets by hash of a key
+
+    def bucketed(self, name: str, hit: list[int] | None = None) -> DataFrame:
+        """A table that replace() wrote, or some buckets of it."""
+        schema = self.spark.read.parquet(f"{self.path}/{name}-schema").schema.add("bucket", T.IntegerType())
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return (rows if hit is None else rows.filter(F.col("bucket").isin(hit))).drop("bucket")
+
+    def table(self, name: str) -> DataFrame:
+        return self.bucketed(f"tables/{name}")
+
+    def buckets(self, keys: DataFrame, key: str) -> list[int]:
+        """The buckets that keys lie in; no more than there are."""
+        return sorted(r.bucket for r in keys.select(bucket(key)).distinct().collect())
+
+    def replace(self, name: str, df: DataFrame, key: str, hit: list[int] | None = None) -> None:
+        """Writes a table anew, or, with hit, these of its buckets only. Spark splits a bucket that is large, and replaces it as a partition."""
+        place = f"{self.path}/{name}"
+        rows = df.withColumn("bucket", bucket(key))
+        if hit is None:
+            self.write(f"{name}-schema", df.limit(0))
+        rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "static" if hit is None else "dynamic").partitionBy("bucket").parquet(place)
+        if hit:
+            for b in set(hit) - set(self.buckets(df, key)):
+                drop(self.spark, f"{place}/bucket={b}")  # a bucket without rows is no partition to be replaced
+
+    # ---- which tables are whole
+
+    def whole(self) -> bool:
+        """Whether the last run came to its end, by these rules."""
+        return self.read("layout", LAYOUT).filter((F.col("version") == extract.VERSION) & (F.col("buckets") == BUCKETS)).count() == 1
+
+    def begin(self) -> None:
+        drop(self.spark, f"{self.path}/layout")
+
+    def end(self) -> None:
+        self.write("layout", self.spark.createDataFrame([(extract.VERSION, BUCKETS)], LAYOUT))
+
     # ---- fingerprints, by number
 
     def last(self) -> int:
@@ -105,20 +157,17 @@ def write_reports(folder: str, made: dict[str, str], draft: dict | None = None)
         atomic_write(base / "meta.draft.json", json.dumps(draft, indent=2, ensure_ascii=False))
 
 
-TABLES = {
-    "files": lambda p: p.files, "other_files": lambda p: p.other_files.select("path", "size", "ext", "sha256"), "symbols": lambda p: p.symbols(), "import_edges": lambda p: p.import_edges, "adjacency": lambda p: p.adjacency(), "reverse": lambda p: p.reverse(),
-    "matrix": lambda p: p.dependency_matrix(), "cycles": lambda p: p.import_cycles(), "api": lambda p: p.api(), "scores": lambda p: p.scores(), "issues": lambda p: p.issues(), "hubs": lambda p: p.hubs(), "layers": lambda p: p.layers(),
-}
 DEBT = {"twins": lambda p: p.twins(), "twin_members": lambda p: p.twin_members(), "fix_tags": lambda p: p.fix_tags(), "callgraph": lambda p: p.callgraph(), "callgraph_stats": lambda p: p.call_stats()}
 
 
 def sync(spark: SparkSession, root: str, store: Store, settings: dict | None = None, notes: dict | None = None, folder: str | None = None, label: str = "sync", fresh: bool = False) -> DataFrame:
     """Brings a store up to date with a tree, and returns what changed since the last time.
 
-    Only contents that no earlier run has seen are parsed. Descriptions follow moved
-    files; the log and, given a folder, the reports are written; at last the
-    fingerprint, so that a run that broke off is simply done again. One run at a time
-    works on a store; with fresh, all contents are parsed again.
+    Only changed files are parsed, and of those only contents that no earlier run has
+    seen; of the tables only the buckets with changed rows are written. Descriptions follow
+    moved files; the log and, given a folder, the reports are written; at last the
+    fingerprint. A store whose last run broke off, or that other rules wrote, is written
+    anew. One run at a time works on a store; with fresh, all contents are parsed again.
     """
     settings = small.DEFAULTS | (settings or {})
     with store_lock(spark, store.path), scratch(spark):
@@ -127,22 +176,29 @@ def sync(spark: SparkSession, root: str, store: Store, settings: dict | None = N
 
 
 def _synced(spark: SparkSession, root: str, store: Store, settings: dict, notes: dict, folder: str | None, label: str, fresh: bool) -> int:
-    known = None if fresh else store.read("facts", FACT)
-    p = Project.at(spark, root, settings["ignore_dirs"], known)
-    number = store.last()
-    old = store.fingerprint(number)
-    diff = cut(snapshots.diff(old, p.fingerprint).filter("status <> 'unchanged'"))
+    number, whole = store.last(), store.whole() and not fresh
+    if whole:
+        listing = tree.listed(spark, root, settings["ignore_dirs"])
+        python = cut(tree.split(tree.contents(listing.filter(tree.is_python()), root))[0].select("path", "size", "sha256"))
+        others = cut(tree.split(tree.contents(listing.filter(~tree.is_python()), root))[1].select("path", "size", "ext", "sha256"))
+    else:
+        p = Project.at(spark, root, settings["ignore_dirs"], None if fresh else store.read("facts", FACT))
+        python = p.sources.select("path", "size", "sha256")
+    diff = cut(snapshots.diff(store.fingerprint(number), python).filter("status <> 'unchanged'"))
     store.move_descriptions(diff.filter("status = 'moved'").select("old_path", F.col("path").alias("new_path")))
-    store.write("facts", p.facts)
-    for name, made in TABLES.items():
-        store.write(f"tables/{name}", made(p))
-    store.write("tables/quality_summary", quality.summary(p.judged()))
+    store.begin()
+    if whole:
+        upkeep.update(spark, store, root, python, others, diff, FACT)
+    else:
+        upkeep.rebuild(store, p)
     if folder:
+        p = upkeep.Kept(store)
         made, _ = reports.knowledge_base(p, store.descriptions(), notes, settings)
         write_reports(folder, made, reports.draft_notes(p))
     store.write(f"changes/snapshot={number + 1}", diff)
     store.log(diff, label)
-    store.keep_fingerprint(number + 1, p.fingerprint)
+    store.keep_fingerprint(number + 1, python)
+    store.end()
     return number + 1
 
 
