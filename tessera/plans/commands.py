@@ -21,9 +21,9 @@ from ..operators import quality, snapshots
 from ..sources import git, health
 from ..sources import project as small
 from ..sources.locks import atomic_write, locked
-from . import reports
+from . import lines, reports
 from .project import Project
-from .store import DESCRIPTION, FACT, Store, debt, new_code, stored_impact, sync
+from .store import DESCRIPTION, FACT, Store, debt, new_code, stored_impact, sync, write_reports
 from .tables import scratch
 
 #: Where a project keeps what belongs to it, below its root.
@@ -48,17 +48,10 @@ class Place:
     def state(self) -> dict:
         return small.load_state(self.state_file)
 
-    def health(self) -> dict:
-        return small.load_json(self.base / "health.json").get("summary", {})
-
-    def views(self, p: Project) -> dict[str, str]:
+    def views(self, p: Project) -> list[str]:
         """The views of the state, which every command that changes it writes anew."""
-        at, name, failing = now(), self.settings["project_name"] or Path(self.root).name, small.load_json(self.base / "health.json").get("failing", [])
-        made = {"STATUS.md": reports.status(p, name, at, self.state(), self.health()), "CONTEXT.md": reports.context(self.state()), "ENVIRONMENT.md": reports.environment(p, self.root, self.settings, self.health())}
-        made["ISSUES.md"] = reports.issues_report(p, self.state()["manual_issues"], failing, self.settings["output_block_mb"])
-        for file, text in made.items():
-            atomic_write(self.base / "state" / file, text)
-        return made
+        made = reports.view_rows(p, self.settings["project_name"] or Path(self.root).name, self.root, now(), self.state(), self.settings, small.load_json(self.base / "health.json"))
+        return lines.write(made, f"file://{self.base}/state", self.settings["output_block_mb"], self.settings["output_warn_mb"])[0]
 
 
 def now() -> str:
@@ -91,7 +84,7 @@ def scaffold(root: str, name: str) -> list[str]:
 
 
 def run_sync(place: Place, label: str = "sync", fresh: bool = False) -> dict:
-    diff = sync(place.spark, f"file://{place.root}", place.store, place.settings, place.notes(), str(place.base / "KB"), label, fresh)
+    diff = sync(place.spark, f"file://{place.root}", place.store, place.settings, place.notes(), f"file://{place.base}/KB", label, fresh)
     areas, twins = new_code(place.spark, f"file://{place.root}", place.store, diff, place.settings)
     place.views(place.project())
     n = {r.status: r["n"] for r in diff.groupBy("status").agg(F.count("*").alias("n")).collect()}
@@ -139,11 +132,9 @@ def describe(place: Place, args) -> object:
 
 
 def report(place: Place) -> dict:
-    made, warnings = reports.knowledge_base(place.project(), place.store.descriptions(), place.notes(), place.settings)
-    from .store import write_reports
-
-    write_reports(str(place.base / "KB"), made)
-    return {"reports": sorted(made), "warnings": warnings}
+    rows = reports.knowledge_rows(place.project(), place.store.descriptions(), place.notes(), place.settings)
+    made, warnings = write_reports(f"file://{place.base}/KB", rows, settings=place.settings)
+    return {"reports": made, "warnings": warnings}
 
 
 def techdebt(place: Place) -> dict:

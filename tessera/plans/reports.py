@@ -1,7 +1,7 @@
-"""Reports: lines made where the data are, and set as Markdown on the driver. The headings are fixed texts.
+"""Reports as rows of lines, made where the data are. The headings are fixed texts.
 
-What grows with the tree is measured before it is collected: a report over its limit
-is an error, and its lines never reach the driver.
+The functions whose names end in _rows give what `lines.write` writes without the driver
+seeing it; those of the same name without it give the text, for a caller who asks for one.
 """
 
 from __future__ import annotations
@@ -11,15 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import names, paths
 from ..operators import quality
+from . import lines
+from .lines import MB, TooLarge
 from .project import Project
 from .tables import cut
 
-MB = 1 << 20
-
-
-class TooLarge(ValueError):
-    pass
-
 
 class BrokenContract(ValueError):
     pass
@@ -39,16 +35,6 @@ def guarded(text: str, name: str, warn_mb: float = 1, block_mb: float = 5) -> tu
     return text, f"{name} has {size:.2f} MB, over {warn_mb} MB" if size > warn_mb else None
 
 
-def gathered(rows: DataFrame, name: str, *order, block_mb: float = 5, area: str | None = None) -> list:
-    """The rows in order; columns line, and area where each has a report of its own. Over the limit in any report, they are not collected."""
-    held = cut(rows)
-    each = held.groupBy(F.col(area) if area else F.lit(name).alias("name")).agg(F.sum(F.octet_length("line").cast("long") + 1).alias("bytes"))
-    over = each.filter(F.col("bytes") > block_mb * MB).first()
-    if over:
-        raise TooLarge(f"{over[0]} has {over.bytes / MB:.2f} MB, over {block_mb} MB")
-    return held.orderBy(*order).collect()
-
-
 def require(df: DataFrame, name: str, **columns: str) -> DataFrame:
     """df, if it has the columns with these types."""
     have = dict(df.dtypes)
@@ -68,19 +54,26 @@ def described(files: DataFrame, descriptions: DataFrame) -> DataFrame:
     return files.join(given, "path", "left").withColumn("about", F.coalesce(F.nullif("description", F.lit("")), F.nullif("doc", F.lit("")), F.lit("")))
 
 
+def quickref_rows(p: Project, name: str = "", root: str = "", at: str = "", info: str = "") -> DataFrame:
+    spark, file = p.spark, "QUICKREF.md"
+    head = ["# QUICKREF", "", f"- Project: {name}", f"- Root: {root}", f"- Generated: {at}", ""] + (["## What is this project?", "", info.strip(), ""] if info else [])
+    s = p.stats().select("total_py", "total_non_py", "total_lines", "total_classes", "total_functions").first()
+    head += ["## Numbers", "", f"- Python files: {s.total_py}", f"- Other files: {s.total_non_py}", f"- Lines: {s.total_lines}", f"- Classes: {s.total_classes}", f"- Module functions: {s.total_functions}", "", "## Subsystems", ""]
+    areas = p.sources.select(paths.subsystem("path", None).alias("area")).filter("area is not null").groupBy("area").agg(F.count("*").alias("n"))
+    entries = p.sources.filter(F.instr("path", "/") == 0).select("path")
+    return lines.union(
+        lines.fixed(spark, file, 0, *head),
+        lines.made(areas, file, 1, F.concat(F.lit("- "), "area", F.lit(" ("), F.col("n").cast("string"), F.lit(" files)")), "area"),
+        lines.fixed(spark, file, 2, "", "## Entry points", ""),
+        lines.made(entries, file, 3, F.concat(F.lit("- "), "path"), "path"),
+    )
+
+
 def quickref(p: Project, name: str = "", root: str = "", at: str = "", info: str = "") -> str:
-    s = p.stats().first()
-    out = ["# QUICKREF", "", f"- Project: {name}", f"- Root: {root}", f"- Generated: {at}", ""]
-    if info:
-        out += ["## What is this project?", "", info.strip(), ""]
-    out += ["## Numbers", "", f"- Python files: {s.total_py}", f"- Other files: {s.total_non_py}", f"- Lines: {s.total_lines}", f"- Classes: {s.total_classes}", f"- Module functions: {s.total_functions}", "", "## Subsystems", ""]
-    n = {r.area: r["n"] for r in p.sources.groupBy(paths.first_segment("path").alias("area")).agg(F.count("*").alias("n")).collect()}
-    out += [f"- {a} ({n[a]} files)" for a in s.subsystems]
-    entries = p.sources.filter(F.instr("path", "/") == 0).select("path").orderBy("path").collect()
-    return _text([*out, "", "## Entry points", "", *[f"- {r.path}" for r in entries]])
+    return lines.one(quickref_rows(p, name, root, at, info))
 
 
-def project_map(p: Project, descriptions: DataFrame, block_mb: float = 5) -> str:
+def project_map_rows(p: Project, descriptions: DataFrame) -> DataFrame:
     """The tree, folders before what they hold, each level in order of names."""
     python = described(p.files, descriptions).select("path", "lines", "about")
     other = described(p.other_files.withColumn("doc", F.lit("")), descriptions).select("path", F.lit(0).alias("lines"), "about")
@@ -89,17 +82,34 @@ def project_map(p: Project, descriptions: DataFrame, block_mb: float = 5) -> str
     size = F.when(F.col("lines") > 0, F.concat(F.lit("  ("), F.col("lines").cast("string"), F.lit(" lines)"))).otherwise("")
     about = F.when(F.col("about") != "", F.concat(F.lit(" — "), "about")).otherwise("")
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), "name", F.when(F.col("is_file"), F.concat(size, about)).otherwise("/"))
-    lines = [r.line for r in gathered(levels.select(F.split("prefix", "/").alias("parts"), line.alias("line")), "PROJECT_MAP.md", "parts", block_mb=block_mb)]
-    return _text(["# Project Map", "", "Every folder and file with a one-line summary.", "", *lines])
+    file = "PROJECT_MAP.md"
+    body = levels.select(F.lit(file).alias("name"), F.lit(1).alias("part"), F.split("prefix", "/").alias("order"), F.concat(line, F.lit("\n")).alias("piece"))
+    return lines.fixed(p.spark, file, 0, "# Project Map", "", "Every folder and file with a one-line summary.", "").unionByName(body)
+
+
+def project_map(p: Project, descriptions: DataFrame, block_mb: float = 5) -> str:
+    return lines.one(project_map_rows(p, descriptions), block_mb)
+
+
+def dependencies_rows(p: Project) -> DataFrame:
+    file, bar = "DEPENDENCIES.md", F.lit("|")
+    areas = cut(p.stats().select("subsystems"))
+    into = p.dependency_matrix().groupBy(F.col("src_area").alias("area")).agg(F.map_from_entries(F.collect_list(F.struct("dst_area", F.col("n").cast("string")))).alias("into"))
+    each = areas.select(F.explode("subsystems").alias("area"), "subsystems").join(into, "area", "left")
+    cells = F.transform("subsystems", lambda a: F.coalesce(F.try_element_at("into", a), F.lit("-")))
+    rule = F.repeat(F.lit("---|"), F.size("subsystems"))
+    cycles = lines.made(p.import_cycles(), file, 4, F.concat(F.lit("- "), F.array_join("members", " <-> ")), F.array_join("members", "\n"))
+    return lines.union(
+        lines.fixed(p.spark, file, 0, "# Dependencies", "", "## Subsystem matrix (rows import columns)", ""),
+        lines.made(areas, file, 1, F.concat(F.lit("| from \\ to |"), F.array_join("subsystems", "|"), F.lit("|\n|---|"), rule)),
+        lines.made(each, file, 2, F.concat(F.lit("| "), "area", F.lit(" |"), F.array_join(cells, "|"), bar), "area"),
+        lines.fixed(p.spark, file, 3, "", "## Circular imports (static)", ""),
+        lines.otherwise(cut(cycles), file, 4, "- none detected"),
+    )
 
 
 def dependencies(p: Project) -> str:
-    areas = p.stats().first().subsystems
-    n = {(r.src_area, r.dst_area): r["n"] for r in p.dependency_matrix().collect()}
-    out = ["# Dependencies", "", "## Subsystem matrix (rows import columns)", "", "| from \\ to |" + "|".join(areas) + "|", "|---|" + "---|" * len(areas)]
-    out += [f"| {a} |" + "|".join(str(n.get((a, b), "-")) for b in areas) + "|" for a in areas]
-    cycles = [" <-> ".join(r.members) for r in p.import_cycles().collect()]
-    return _text([*out, "", "## Circular imports (static)", "", *([f"- {c}" for c in cycles] or ["- none detected"])])
+    return lines.one(dependencies_rows(p))
 
 
 def symbol_lines(symbols: DataFrame) -> DataFrame:
@@ -107,9 +117,14 @@ def symbol_lines(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("line", F.format_string("%-70s %-8s %s:%s", "name", "kind", "path", "lineno"))
 
 
+def symbol_index_rows(p: Project) -> DataFrame:
+    file = "SYMBOL_INDEX.md"
+    body = lines.made(symbol_lines(p.symbols()), file, 1, F.col("line"), F.lower("name"), "path", lines.number("lineno"))
+    return lines.fixed(p.spark, file, 0, "# Symbol Index", "", "Flat lookup: symbol -> file:line.", "").unionByName(body)
+
+
 def symbol_index(p: Project, block_mb: float = 5) -> str:
-    rows = gathered(symbol_lines(p.symbols()).select("line", "name", "path", "lineno"), "SYMBOL_INDEX.md", F.lower("name"), "path", "lineno", "line", block_mb=block_mb)
-    return _text(["# Symbol Index", "", "Flat lookup: symbol -> file:line.", "", *[r.line for r in rows]])
+    return lines.one(symbol_index_rows(p), block_mb)
 
 
 def _said(value) -> Column:
@@ -136,14 +151,15 @@ def file_blocks(p: Project, descriptions: DataFrame, big: int = 800) -> DataFram
     return rows.select("area", "path", "lines", F.array_join(block, "\n").alias("line"))
 
 
-def subsystem_reports(p: Project, descriptions: DataFrame, big: int = 800, block_mb: float = 5) -> dict[str, str]:
+def subsystem_rows(p: Project, descriptions: DataFrame, big: int = 800) -> DataFrame:
     """A report for each folder of the first level."""
-    out: dict[str, list] = {}
-    for r in gathered(file_blocks(p, descriptions, big), "subsystems", "area", "path", block_mb=block_mb, area="area"):
-        out.setdefault(r.area, []).append(r)
-    averages = {r.subsystem: r for r in quality_rows(p)}
-    head = lambda a, rows: [f"# {a}", "", f"Files: {len(rows)} | Lines: {sum(r.lines for r in rows)}", "", f"Quality avg (0-40): **{averages[a].avg_toplam}** | Issues: {averages[a].issues} (kritik {averages[a].kritik})", ""]
-    return {a: _text([*head(a, rows), *[r.line for r in rows]]) for a, rows in out.items()}
+    blocks = cut(file_blocks(p, descriptions, big))
+    sums = blocks.groupBy("area").agg(F.count("*").alias("n_files"), F.sum("lines").alias("n_lines"))
+    found = sums.join(quality.by_subsystem(p.judged()).withColumnRenamed("subsystem", "area"), "area")
+    said = lambda *parts: F.concat(*[F.lit(x[1:]) if x.startswith("=") else F.col(x).cast("string") for x in parts])
+    head = said("=# ", "area", "=\n\nFiles: ", "n_files", "= | Lines: ", "n_lines", "=\n\nQuality avg (0-40): **", "avg_toplam", "=** | Issues: ", "issues", "= (kritik ", "kritik", "=)\n")
+    file = F.concat(F.lit("subsystems/"), "area", F.lit(".md"))
+    return lines.made(found, file, 0, head).unionByName(lines.made(blocks, file, 1, F.col("line"), "path"))
 
 
 def quality_rows(p: Project) -> list:
@@ -171,10 +187,11 @@ def flows(notes: dict) -> dict[str, str]:
     return {n: _text([f"# {n.replace('_', ' ').title()}", "", *bullets(notes[k])]) for n, k in FLOWS.items() if notes.get(k)}
 
 
-def architecture(p: Project, notes: dict) -> str:
-    out = ["# Architecture", "", "## Subsystems", "", *[f"- {a}" for a in p.stats().first().subsystems], ""]
+def architecture_rows(p: Project, notes: dict) -> DataFrame:
+    file, out = "ARCHITECTURE.md", [""]
+    areas = lines.made(p.stats().select(F.explode("subsystems").alias("area")), file, 1, F.concat(F.lit("- "), "area"), "area")
     if not notes:
-        return _text([*out, "> Runtime principles not yet authored (meta.yaml).", "> Baslangic noktasi: KB/INSIGHTS.md (otomatik kesif) ve meta.draft.yaml -> bunlari duzenleyip meta.yaml olarak kaydedin."])
+        out += ["> Runtime principles not yet authored (meta.yaml).", "> Baslangic noktasi: KB/INSIGHTS.md (otomatik kesif) ve meta.draft.yaml -> bunlari duzenleyip meta.yaml olarak kaydedin."]
     layers, patterns, events, able = notes.get("architecture", {}).get("layers", []), notes.get("design_patterns", []), notes.get("events", []), notes.get("capabilities", [])
     if layers:
         out += ["## Layers", "", *[x for e in layers for x in (f"### {e.get('name', '')}", e.get("responsibility", ""), "")]]
@@ -184,19 +201,33 @@ def architecture(p: Project, notes: dict) -> str:
         out += [f"## Events ({len(events)})", "", *[f"- {e.get('name', '')}" for e in events], ""]
     if able:
         out += ["## Capabilities", "", *[f"- {e.get('capability', '')}: {e.get('component', '')}" for e in able], ""]
-    return _text(out)
+    return lines.union(lines.fixed(p.spark, file, 0, "# Architecture", "", "## Subsystems", ""), areas, lines.fixed(p.spark, file, 2, *out))
 
 
-def insights(p: Project) -> str:
+def architecture(p: Project, notes: dict) -> str:
+    return lines.one(architecture_rows(p, notes))
+
+
+def insights_rows(p: Project) -> DataFrame:
+    """The hubs and base classes are a dozen and a score; entry files and layers grow with the tree."""
+    spark, file = p.spark, "INSIGHTS.md"
     hubs = [f"- `{r.dst}`  ({r.in_degree} dosya tarafindan kullaniliyor)" for r in p.hubs().limit(12).collect()]
-    entries = [f"- `{r.path}`" for r in p.entry_files().collect()]
-    layers = [f"- **{r.area}**  level {r.level}  (kullanan {r.imported_by} alt-sistem, bagimli oldugu {r.imports_others})" for r in p.layers().orderBy("level").collect()]
     bases = p.base_classes().collect()
     extended = [f"- `{r.base}`  tanim: {r.base_path}:{r.base_line}  alt-siniflar: " + ", ".join(f"{x.sub} ({x.sub_path}:{x.sub_line})" for x in r.first) for r in bases[:20]] + ([f"- ... +{len(bases) - 20} tane daha"] if len(bases) > 20 else [])
-    out = ["# INSIGHTS", "", "Otomatik kesif sonuclari (LLM gerektirmez).", "", "## Hub moduller (en cok bagimlilik alan)", "", *(hubs or ["- (yeterli bagimlilik verisi yok)"])]
-    out += ["", "## Entry-point dosyalar", "", *(entries or ["- (bulunamadi)"]), "", "## Katman yapisi (subsystem)", ""]
-    out += ["Seviye 0 = digerleri tarafindan en cok kullanilan (root/kutuphane); buyuk seviye = ust katman (UI/giris).", *(layers or ["- (yeterli bagimlilik verisi yok)"])]
-    return _text([*out, "", "## Base-class / polymorphic harita", "", "En az 2 alt sinifi olan siniflar.", *(extended or ["- (bulunamadi)"])])
+    entries = lines.made(p.entry_files(), file, 1, F.concat(F.lit("- `"), "path", F.lit("`")), "path")
+    said = F.concat(F.lit("- **"), "area", F.lit("**  level "), F.col("level").cast("string"), F.lit("  (kullanan "), F.col("imported_by").cast("string"), F.lit(" alt-sistem, bagimli oldugu "), F.col("imports_others").cast("string"), F.lit(")"))
+    layers = lines.made(p.layers(), file, 3, said, lines.number("level"))
+    return lines.union(
+        lines.fixed(spark, file, 0, "# INSIGHTS", "", "Otomatik kesif sonuclari (LLM gerektirmez).", "", "## Hub moduller (en cok bagimlilik alan)", "", *(hubs or ["- (yeterli bagimlilik verisi yok)"]), "", "## Entry-point dosyalar", ""),
+        lines.otherwise(cut(entries), file, 1, "- (bulunamadi)"),
+        lines.fixed(spark, file, 2, "", "## Katman yapisi (subsystem)", "", "Seviye 0 = digerleri tarafindan en cok kullanilan (root/kutuphane); buyuk seviye = ust katman (UI/giris)."),
+        lines.otherwise(cut(layers), file, 3, "- (yeterli bagimlilik verisi yok)"),
+        lines.fixed(spark, file, 4, "", "## Base-class / polymorphic harita", "", "En az 2 alt sinifi olan siniflar.", *(extended or ["- (bulunamadi)"])),
+    )
+
+
+def insights(p: Project) -> str:
+    return lines.one(insights_rows(p))
 
 
 def draft_notes(p: Project) -> dict:
@@ -209,31 +240,48 @@ def draft_notes(p: Project) -> dict:
     }
 
 
-def issues_report(p: Project, manual: list[dict] = (), failing: list[str] = (), block_mb: float = 5) -> str:
-    out = ["# ISSUES", "", "## Auto-detected", ""]
-    cycles = [f"- {' <-> '.join(r.members)}" for r in p.import_cycles().collect()]
-    broken = [f"- {r.path}" for r in p.files.filter("parse_error").select("path").orderBy("path").collect()]
+def issues_rows(p: Project, manual: list[dict] = (), failing: list[str] = ()) -> DataFrame:
+    """Members of the ten first groups of twins are pieces of one line, as a group may have any number of them."""
+    spark, file = p.spark, "ISSUES.md"
+    cycles = lines.made(p.import_cycles(), file, 11, F.concat(F.lit("- "), F.array_join("members", " <-> ")), F.array_join("members", "\n"))
+    broken = lines.made(p.files.filter("parse_error"), file, 21, F.concat(F.lit("- "), "path"), "path")
     line = F.concat(F.lit("- ["), F.when(F.col("kritik"), "KRITIK").otherwise(F.col("severity")), F.lit("] `"), "path", F.lit("` "), "type", F.lit(": "), "detail")
-    found = gathered(p.issues().withColumn("line_", line).select("kritik", "path", "type", "detail", F.col("line_").alias("line")), "ISSUES.md", F.desc("kritik"), "path", "type", "detail", block_mb=block_mb)
-    groups, marked = p.twins(), cut(p.fix_tags())
-    twins, n_twins = groups.orderBy("group_id").limit(10).collect(), groups.count()
-    tags, n_tags = marked.orderBy("path", "line").limit(20).collect(), marked.count()
-    for title, rows in (("### Failing imports (runtime health)", [f"- {f}" for f in failing]), ("### Circular imports (static)", cycles), ("### Unparseable files", broken)):
-        out += [title, *rows, ""] if rows else []
-    if found:
-        out += ["### Quality issues (by file, kritik first)", *[r.line for r in found], ""]
-    if twins:
-        place = F.concat_ws(":", "path", "line").alias("line")
-        said = p.twin_members().filter(F.col("group_id").isin([g.group_id for g in twins])).select("group_id", F.struct("path", F.col("line").alias("at")).alias("order"), place)
-        members: dict[str, list[str]] = {}
-        for m in gathered(said, "ISSUES.md", "order", block_mb=block_mb):
-            members.setdefault(m.group_id, []).append(m.line)
-        out += ["### Twin groups (potential duplicates)", *[f"- {g.group_id} ({g.method}, sim~{g.similarity_avg}%): " + ", ".join(members[g.group_id]) for g in twins]]
-        out += [*([f"- ... ({n_twins - 10} more groups)"] if n_twins > 10 else []), ""]
-    if tags:
-        out += [f"### Fix/TODO tags ({n_tags})", *[f"- `{t.path}:{t.line}` [{t.tag}] {t.text[:80]}" for t in tags], *([f"- ... ({n_tags - 20} more)"] if n_tags > 20 else []), ""]
+    found = lines.made(p.issues(), file, 31, line, F.when(F.col("kritik"), "0").otherwise("1"), "path", "type", "detail")
+    marked = cut(p.fix_tags())
+    n_tags = marked.count()
+    tag = F.concat(F.lit("- `"), "path", F.lit(":"), F.col("line").cast("string"), F.lit("` ["), "tag", F.lit("] "), F.substring("text", 1, 80))
+    tags = lines.made(marked.orderBy("path", "line").limit(20), file, 51, tag, "path", lines.number("line"))
+    if n_tags > 20:
+        tags = tags.unionByName(lines.fixed(spark, file, 52, f"- ... ({n_tags - 20} more)"))
+    parts = [lines.fixed(spark, file, 0, "# ISSUES", "", "## Auto-detected", "")]
+    if failing:
+        parts.append(lines.fixed(spark, file, 1, "### Failing imports (runtime health)", *[f"- {f}" for f in failing], ""))
+    parts += [lines.section(cycles, file, 10, "### Circular imports (static)"), lines.section(broken, file, 20, "### Unparseable files"), lines.section(found, file, 30, "### Quality issues (by file, kritik first)")]
+    parts += [lines.section(_twin_rows(p, file, 41), file, 40, "### Twin groups (potential duplicates)")]
     notes = [f"- **{i.get('title', '')}** ({i.get('severity', '?')}): {i.get('detail', '')}" for i in manual]
-    return _text([*out, "## Manual", "", *(notes or ["- (none - add via state.json)"])])
+    return lines.union(*parts, lines.section(tags, file, 50, f"### Fix/TODO tags ({n_tags})", None), *([lines.fixed(spark, file, 53, "")] if n_tags else []), lines.fixed(spark, file, 60, "## Manual", "", *(notes or ["- (none - add via state.json)"])))
+
+
+def _twin_rows(p: Project, file: str, part: int) -> DataFrame:
+    groups = cut(p.twins().select("group_id", "method", F.col("similarity_avg").cast("string").alias("similarity")))
+    n, first = groups.count(), groups.orderBy("group_id").limit(10)
+    members = cut(p.twin_members().join(F.broadcast(first.select("group_id")), "group_id").select("group_id", "path", F.col("line").cast("long").alias("line")))
+    least = members.groupBy("group_id").agg(F.min(F.struct("path", "line")).alias("least"))
+    # members that stand in one place are told apart by a number, as only one of them comes first
+    counted = members.groupBy("group_id", "path", "line").agg(F.count("*").alias("n")).join(F.broadcast(least), "group_id")
+    here = F.concat_ws(":", "path", "line")
+    said = F.when(F.struct("path", "line") == F.col("least"), F.concat(here, F.repeat(F.concat(F.lit(", "), here), (F.col("n") - 1).cast("int")))).otherwise(F.repeat(F.concat(F.lit(", "), here), F.col("n").cast("int")))
+    out = lines.union(
+        lines.pieces(first, file, part, F.concat(F.lit("- "), "group_id", F.lit(" ("), "method", F.lit(", sim~"), "similarity", F.lit("%): ")), "group_id", F.lit("0")),
+        lines.pieces(counted, file, part, said, "group_id", F.lit("1"), "path", lines.number("line")),
+        lines.pieces(first, file, part, F.lit("\n"), "group_id", F.lit("2")),
+    )
+    more = lines.pieces(p.spark.range(0, 1, 1, 1), file, part, F.lit(f"- ... ({n - 10} more groups)\n"), F.lit("~"))
+    return out.unionByName(more) if n > 10 else out
+
+
+def issues_report(p: Project, manual: list[dict] = (), failing: list[str] = (), block_mb: float = 5) -> str:
+    return lines.one(issues_rows(p, manual, failing), block_mb)
 
 
 def status(p: Project, name: str, at: str, state: dict, health: dict | None = None) -> str:
@@ -253,11 +301,17 @@ def context(state: dict) -> str:
     return _text(["# CONTEXT", "", "Last tasks (newest first):", "", *(tasks or ["(none yet)"])])
 
 
+def environment_rows(p: Project, root: str, settings: dict, health: dict | None = None) -> DataFrame:
+    spark, file, health = p.spark, "ENVIRONMENT.md", health or {}
+    return lines.union(
+        lines.fixed(spark, file, 0, "# ENVIRONMENT", "", f"- Project root: {root}", f"- Python env: {settings.get('env_path') or '(auto-detect)'}", f"- Ignore dirs: {', '.join(sorted(settings.get('ignore_dirs', []))) or '-'}"),
+        lines.inline(p.sources.filter(F.instr("path", "/") == 0), file, 1, "path", "- Entry points: "),
+        lines.fixed(spark, file, 3, "", "## Health", "", f"- Import check: {health.get('ok', '?')} OK / {health.get('fail', '?')} FAIL"),
+    )
+
+
 def environment(p: Project, root: str, settings: dict, health: dict | None = None) -> str:
-    entries = [r.path for r in p.sources.filter(F.instr("path", "/") == 0).select("path").orderBy("path").collect()]
-    health = health or {}
-    out = ["# ENVIRONMENT", "", f"- Project root: {root}", f"- Python env: {settings.get('env_path') or '(auto-detect)'}", f"- Ignore dirs: {', '.join(sorted(settings.get('ignore_dirs', []))) or '-'}", f"- Entry points: {', '.join(entries) or '-'}"]
-    return _text([*out, "", "## Health", "", f"- Import check: {health.get('ok', '?')} OK / {health.get('fail', '?')} FAIL"])
+    return lines.one(environment_rows(p, root, settings, health))
 
 
 def change_entry(diff: DataFrame, label: str, at: str) -> str:
@@ -269,10 +323,20 @@ def change_entry(diff: DataFrame, label: str, at: str) -> str:
     return _text(out)
 
 
+def knowledge_rows(p: Project, descriptions: DataFrame, notes: dict, settings: dict) -> DataFrame:
+    """The rows of all reports, by file name."""
+    made = [quickref_rows(p, settings.get("project_name", "")), project_map_rows(p, descriptions), dependencies_rows(p), symbol_index_rows(p), architecture_rows(p, notes), insights_rows(p), subsystem_rows(p, descriptions, settings["big_file_threshold"])]
+    return lines.union(*made, *[lines.text(p.spark, f"flows/{n}.md", t) for n, t in flows(notes).items()])
+
+
 def knowledge_base(p: Project, descriptions: DataFrame, notes: dict, settings: dict) -> tuple[dict[str, str], list[str]]:
-    """All reports by file name, and warnings on large ones."""
-    block = settings["output_block_mb"]
-    made = {"QUICKREF.md": quickref(p, settings.get("project_name", "")), "PROJECT_MAP.md": project_map(p, descriptions, block), "DEPENDENCIES.md": dependencies(p), "SYMBOL_INDEX.md": symbol_index(p, block), "ARCHITECTURE.md": architecture(p, notes), "INSIGHTS.md": insights(p)}
-    made |= {f"subsystems/{a}.md": t for a, t in subsystem_reports(p, descriptions, settings["big_file_threshold"], block).items()} | {f"flows/{n}.md": t for n, t in flows(notes).items()}
-    warnings = [w for n, t in made.items() if (w := guarded(t, n, settings["output_warn_mb"], settings["output_block_mb"])[1])]
-    return made, warnings
+    """All reports by file name, and warnings on large ones, for a caller who asks for the texts."""
+    texts, _, warnings = lines.joined(knowledge_rows(p, descriptions, notes, settings), settings["output_block_mb"], settings["output_warn_mb"])
+    return {r.name: r.text for r in texts.collect()}, warnings
+
+
+def view_rows(p: Project, name: str, root: str, at: str, state: dict, settings: dict, health: dict) -> DataFrame:
+    """The rows of the views of a project's state. health: as kept, with a summary and the failing imports."""
+    summary = health.get("summary", {})
+    said = lines.text(p.spark, "STATUS.md", status(p, name, at, state, summary)).unionByName(lines.text(p.spark, "CONTEXT.md", context(state)))
+    return lines.union(said, environment_rows(p, root, settings, summary), issues_rows(p, state["manual_issues"], health.get("failing", [])))

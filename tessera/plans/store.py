@@ -8,7 +8,6 @@ committer makes each write whole or absent.
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +17,8 @@ from ..functions import paths
 from ..operators import extract, graph, snapshots
 from ..sources import project as small
 from ..sources import tree
-from ..sources.locks import atomic_write, store_lock
-from . import reports, upkeep
+from ..sources.locks import store_lock
+from . import lines, reports, upkeep
 from .project import Project
 from .tables import cut, scratch
 
@@ -145,16 +144,12 @@ class Store:
         return self.read("log", LOG).orderBy(F.desc("at")).limit(most)
 
 
-def write_reports(folder: str, made: dict[str, str], draft: dict | None = None) -> None:
-    """Writes reports to a folder of the driver, and removes those of an earlier run that are no more. An existing draft stays."""
-    base = Path(folder)
-    for old in base.rglob("*.md"):
-        if str(old.relative_to(base)) not in made:
-            old.unlink()
-    for name, text in made.items():
-        atomic_write(base / name, text)
-    if draft is not None and not (base / "meta.draft.json").exists():
-        atomic_write(base / "meta.draft.json", json.dumps(draft, indent=2, ensure_ascii=False))
+def write_reports(folder: str, made: DataFrame, draft: dict | None = None, settings: dict | None = None) -> tuple[list[str], list[str]]:
+    """Writes the rows of reports to a folder, and removes reports of an earlier run that are no more; names and warnings. An existing draft stays."""
+    settings = small.DEFAULTS | (settings or {})
+    if draft is not None:
+        made = made.unionByName(lines.text(made.sparkSession, "meta.draft.json", json.dumps(draft, indent=2, ensure_ascii=False) + "\n"))
+    return lines.write(made, folder, settings["output_block_mb"], settings["output_warn_mb"], purge=True, keep=("meta.draft.json",))
 
 
 DEBT = {"twins": lambda p: p.twins(), "twin_members": lambda p: p.twin_members(), "fix_tags": lambda p: p.fix_tags(), "callgraph": lambda p: p.callgraph(), "callgraph_stats": lambda p: p.call_stats()}
@@ -193,8 +188,7 @@ def _synced(spark: SparkSession, root: str, store: Store, settings: dict, notes:
         upkeep.rebuild(store, p)
     if folder:
         p = upkeep.Kept(store)
-        made, _ = reports.knowledge_base(p, store.descriptions(), notes, settings)
-        write_reports(folder, made, reports.draft_notes(p))
+        write_reports(folder, reports.knowledge_rows(p, store.descriptions(), notes, settings), reports.draft_notes(p), settings)
     store.write(f"changes/snapshot={number + 1}", diff)
     store.log(diff, label)
     store.keep_fingerprint(number + 1, python)
