@@ -25,6 +25,8 @@ KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 IDS = "batch string, n long, mark decimal(38,0)"
 FOLDS = "folds"
+#: Hadoop's setting that leaves a marker in a folder whose write is whole.
+MARKS = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 CHANGE = ("op", *KEYS, "n_tokens", "old_tokenizer", "old_tokens")
 
 
@@ -32,6 +34,10 @@ class BatchConflict(ValueError):
     pass
 
 
+class NoMarker(RuntimeError):
+    pass
+
+
 class TokenRollup:
     """A rollup below a path of any store that Spark writes to."""
 
@@ -81,7 +87,13 @@ class TokenRollup:
         return summed.filter("docs <> 0 or tokens <> 0")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Applies a batch; False if it was applied before. Batch ids are letters, digits, - and _."""
+        """Applies a batch; False if it was applied before. Batch ids are letters, digits, - and _.
+
+        A session that has turned the committer's marker off is refused before anything is
+        written, and a committer that has left none after: its batches would never count.
+        """
+        if not self.spark._jsparkSession.sessionState().newHadoopConf().getBoolean(MARKS, True):
+            raise NoMarker(f"{MARKS} is off: no batch would count")
         if not batch.replace("-", "").replace("_", "").isalnum() or batch == FOLDS:
             raise ValueError(f"batch id {batch!r}")
         delta = self.delta(changes)
@@ -93,6 +105,8 @@ class TokenRollup:
                 raise BatchConflict(f"batch {batch} was committed with other sums")
             return False
         delta.write.mode("overwrite").parquet(f"{self.path}/{batch}")
+        if not self._exists(f"{batch}/_SUCCESS"):
+            raise NoMarker(f"no marker was left in {self.path}/{batch}: the batch does not count")
         return True
 
     def batches(self) -> list[str]:

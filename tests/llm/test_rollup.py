@@ -98,3 +98,16 @@ def test_history(spark):
     assert {tuple(r) for r in rollup.totals(docs, labels.limit(0)).collect()} == {("s", "en", "marks-2", 4, 9), (None, None, "marks-2", 1, 0)}
     long = spark.createDataFrame([(1, "ab 1;" * 200_000, "s", "en")], docs.schema)
     assert [tuple(r) for r in rollup.totals(long, labels).collect()] == [("s", "en", "marks-2", 1, 600_000)]
+
+
+def test_a_session_without_markers_is_refused(spark, tmp_path):
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    one = frame(spark, [("insert", "a", "en", "v1", 7, None, None)])
+    spark.conf.set(rollup.MARKS, "false")
+    try:
+        with pytest.raises(rollup.NoMarker):
+            r.commit("one", one)
+    finally:
+        spark.conf.unset(rollup.MARKS)
+    assert not (tmp_path / "r").exists() and totals(r) == {}
+    assert r.commit("one", one) and totals(r) == {("a", "en", "v1"): (1, 7)}
