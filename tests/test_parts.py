@@ -59,3 +59,11 @@ def test_subclasses_meet_in_blocks(spark, monkeypatch):
     got = sorted((r.sub_path, r.sub_line, r.base, r.base_path, r.base_line) for r in found.collect())
     want = sorted((s[0], s[2], b[1], b[0], b[2]) for s in rows for x in s[3] for b in rows if b[1] == x.split(".")[-1])
     assert got == want and len({r.base_path for r in found.collect()}) == 40
+
+
+def test_all_members_of_twins(spark, tmp_path):
+    from tessera.plans import source_queries
+
+    spark.createDataFrame([(k, "red ring", 3 + k % 2) for k in range(40)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    rows = source_queries.source_twins(spark, str(tmp_path)).filter("method = 'kinds'").collect()
+    assert len(rows) == len({r.member for r in rows}) == rows[0].n == 36
