@@ -67,3 +67,14 @@ def test_all_members_of_twins(spark, tmp_path):
     spark.createDataFrame([(k, "red ring", 3 + k % 2) for k in range(40)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     rows = source_queries.source_twins(spark, str(tmp_path)).filter("method = 'kinds'").collect()
     assert len(rows) == len({r.member for r in rows}) == rows[0].n == 36
+
+
+def test_calls_are_counted_without_lists(spark):
+    from tessera.operators import graph
+
+    calls = spark.createDataFrame([("a", "b"), ("a", "a"), ("b", "x"), ("c", "b"), ("z", "a")], "caller string, callee string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "name string")
+    made = graph.callers(calls, nodes)
+    assert graph.call_counts(calls, nodes).collect() == graph.call_stats(made).collect()
+    none = nodes.limit(0)
+    assert graph.call_counts(calls, none).collect() == graph.call_stats(graph.callers(calls, none)).collect()
