@@ -134,7 +134,7 @@ def _said(value) -> Column:
 def file_blocks(p: Project, descriptions: DataFrame, big: int = 800) -> DataFrame:
     """area, path, lines, line: what the report of a folder of the first level says of each file, as one text."""
     issues = p.issues().groupBy("path").agg(F.array_sort(F.collect_list(F.struct("type", "severity", "kritik", "detail", "cozum"))).alias("issues"))
-    rows = described(p.files, descriptions).join(p.scores(), "path").join(issues, "path", "left").withColumn("area", paths.subsystem("path", None)).filter("area is not null")
+    rows = described(p.having("doc", "classes", "functions"), descriptions).join(p.scores(), "path").join(issues, "path", "left").withColumn("area", paths.subsystem("path", None)).filter("area is not null")
     each = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))
     one = lambda *parts: F.array(F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts]))
     span = lambda x: F.concat(x["lineno"].cast("string"), F.lit("-"), x["end_lineno"].cast("string"))
