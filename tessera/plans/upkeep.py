@@ -39,6 +39,9 @@ class Kept(Project):
         self.files, self.import_edges, self.other_files = store.table("files"), store.table("import_edges"), store.table("other_files")
         self.sources = self.files.select("path", "size", "sha256", "lines")
 
+    def having(self, *parts: str) -> DataFrame:
+        return self.files
+
     def symbols(self) -> DataFrame:
         return self.store.table("symbols")
 
@@ -51,7 +54,7 @@ class Kept(Project):
 
 def rebuild(store, p: Project) -> None:
     """All tables of a project, whatever the store holds."""
-    store.replace("facts", p.facts, "sha256")
+    store.replace("facts", p.facts, "sha256")  # all facts, which the tables below are made of
     for name, made in MADE.items():
         store.replace(f"tables/{name}", made(p), KEYS[name])
     for name, made in (OF_EDGES | OF_FILES).items():

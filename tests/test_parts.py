@@ -61,6 +61,25 @@ def test_subclasses_meet_in_blocks(spark, monkeypatch):
     assert got == want and len({r.base_path for r in found.collect()}) == 40
 
 
+def test_each_table_asks_for_its_own_facts(spark, monkeypatch):
+    asked = parsed(monkeypatch)
+    files = {"p/a.py": SOURCE, "p/b.py": "import p.a\n" + SOURCE}
+    new = lambda: Project(spark, tree.from_rows(spark, files))
+    made = [
+        (lambda p: p.twin_members(), {"bodies", "norm_hash"}), (lambda p: p._imports(), {"imports"}), (lambda p: p.import_edges, {"module_imports", "relative_imports"}),
+        (lambda p: p.functions_ast("branches"), {"bodies", "branches"}), (lambda p: p.symbols(), {"classes", "functions"}), (lambda p: p.callgraph(), {"bodies", "callees"}),
+        (lambda p: p.call_stats(), {"bodies", "callees"}), (lambda p: p.issues().union(p.issues()), {"doc", "imports", "classes", "functions", "statements", "names", "branches", "risks", "dynamic"}),
+        (lambda p: p.stats(), {"is_entry", "classes", "functions"}), (lambda p: p.hint_coverage(), {"bodies"}),
+    ]
+    for make, parts in made:
+        p, every = new(), new()
+        every.files.count()
+        del asked[:]
+        rows = make(p)
+        assert sorted(map(str, rows.collect())) == sorted(map(str, make(every).select(rows.columns).collect()))
+        assert asked == [parts]
+
+
 def test_all_members_of_twins(spark, tmp_path):
     from tessera.plans import source_queries
 
