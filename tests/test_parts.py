@@ -97,3 +97,35 @@ def test_calls_are_counted_without_lists(spark):
     assert graph.call_counts(calls, nodes).collect() == graph.call_stats(made).collect()
     none = nodes.limit(0)
     assert graph.call_counts(calls, none).collect() == graph.call_stats(graph.callers(calls, none)).collect()
+
+
+def test_equal_pieces_are_parsed_once(monkeypatch):
+    parts, own = ["imports", "module_imports", "relative_imports", "classes", "functions", "callees", "is_entry"], "from .b import c\nimport m%d\n\n\n"
+    shared = 'class C(b.D):\n    """A\n\ndef no(): pass\n"""\n    class E:\n        def deep(self): return h(1)\n\n@d\ndef f(a=1):\n    from ..x import y\n    return g(a)\n\nif __name__ == "__main__":\n    f()\nelse:\n    def late(): import z\n'
+    sources = [own % k + shared for k in range(9)]
+    want, read = [extract.facts(s, parts) for s in sources], []
+    parse = extract._read
+    monkeypatch.setattr(extract, "_read", lambda text: read.append(text) or parse(text))
+    known = {}
+    assert [extract.facts(s, parts, known) for s in sources] == want
+    assert "".join(read).count("class C") == 1 and sum("import m" in t for t in read) == 9
+    assert [b["line"] for b in want[0]["bodies"]] == [14, 21, 11]  # in breadth, and by the lines of the whole
+
+
+def test_pieces_give_what_the_whole_gives():
+    import itertools
+
+    texts = ['"""a\n\ndef x():\n"""\n', "x = [\n\nfor_]\n", "if a: pass\nelif b:\n    from . import c\n\nelse:\n    import k\n\n", "a = 1 \\\n\nb = 2\n", "@d\n\n@e(\n1)\nasync def q(): p()\n", "\ufeff", "def (\n", "try:\n    import z\n\nfinally: pass\n", "import r\r\n", "def f(a):\n    return g(a)\n\nx = 1\n", "match q:\n    case 1:\n        def m(): pass\n\n", "\tbad\n"]
+    known = {}
+    for some in itertools.product(texts, repeat=3):
+        assert extract.facts("".join(some), extract.OF_PIECES, known) == extract.facts("".join(some), extract.OF_PIECES)
+
+
+def test_shapes_ask_for_no_other_facts_and_are_dealt_out(spark, monkeypatch, tmp_path):
+    from tessera.plans import source_queries
+
+    asked = parsed(monkeypatch)
+    spark.createDataFrame([(k, "red ring", 3 + k % 2) for k in range(60)], "p_partkey long, p_name string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert source_queries.source_shapes(spark, str(tmp_path)).count() == 60
+    assert asked == [{"imports", "module_imports", "classes", "functions", "callees"}]
+    assert source_queries.shapes(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
