@@ -129,3 +129,23 @@ def test_shapes_ask_for_no_other_facts_and_are_dealt_out(spark, monkeypatch, tmp
     assert source_queries.source_shapes(spark, str(tmp_path)).count() == 60
     assert asked == [{"imports", "module_imports", "classes", "functions", "callees"}]
     assert source_queries.shapes(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_cycles_are_found_without_the_driver(spark, monkeypatch):
+    from tessera.operators import graph, joins
+    from tessera.plans import project
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans = []
+    for module in (graph, joins, project):
+        monkeypatch.setattr(module, "cut", lambda df, whole=module.cut: plans.append(plan(df)) or whole(df))
+    monkeypatch.setattr(graph, "SMALL", 0)
+    pairs = {f"p/{a}{k}.py": f"import p.{b}{k}\nimport p.{a}{k - k % 3}\n" for k in range(12) for a, b in ("xy", "yx")}
+    p = Project(spark, tree.from_rows(spark, pairs))
+    found = p.import_cycles()
+    plans.append(plan(found))
+    assert len(plans) > 9 and not [x for x in plans if "Broadcast" in x]
+    assert "rangepartitioning(members#" in plans[-1] and "[0] ASC" in plans[-1]
+    rows = [r.members for r in found.collect()]
+    assert rows == sorted(rows) and [f"p/{a}{k}.py" for a in "xy" for k in (0,)] == rows[0]
+    assert sorted(m for r in rows for m in r) == sorted(pairs)
