@@ -149,3 +149,55 @@ def test_cycles_are_found_without_the_driver(spark, monkeypatch):
     rows = [r.members for r in found.collect()]
     assert rows == sorted(rows) and [f"p/{a}{k}.py" for a in "xy" for k in (0,)] == rows[0]
     assert sorted(m for r in rows for m in r) == sorted(pairs)
+
+
+ALIKE = '"""Part %d: new.\n\nMore.\n"""\nimport b%d.p%d, os\nfrom ..b3 import p0%d\n\n\nclass C%d(b.D1):\n    @d("%d", -%d)\n    def m(self, k=%d): return f9(k) + f10(k) + p%d.run()\n\n\ndef g(a, b=%d):\n    if a: return b%d + %d\n'
+
+
+def test_pieces_equal_but_for_numbers_are_parsed_once(monkeypatch):
+    parts = ["doc", "imports", "module_imports", "relative_imports", "classes", "functions", "callees", "statements", "names", "branches", "is_entry"]
+    sources = [ALIKE % tuple((7 * k * i) % 101 for i in range(12)) for k in range(30)]
+    want, read = [extract.facts(s, parts) for s in sources], []
+    parse = extract._read
+    monkeypatch.setattr(extract, "_read", lambda text: read.append(text) or parse(text))
+    known, alike = {}, {}
+    assert [extract.facts(s, parts, known, alike) for s in sources] == want and len({str(w) for w in want}) == 30
+    assert len(read) == 3 and not known
+    assert extract.facts(sources[4], ["norm_hash"], {}, {}) == extract.facts(sources[4], ["norm_hash"])
+
+
+def test_numbers_that_say_more_are_not_alike():
+    texts = ["tol=1e-12, rel=1E+7", "a=1.e5, b=0x10, c=0b10, d=0o17, e=00", "a=1_000, b=5., c=.5, d=5j", "a='\\x41 5\\101', b=5", "a='5\\t6', b=5", "a='''\t5\tx''', b=5", "a='٣ 3', b=3", f"a={extract.HEAD}00012, b=5", "a=f'{x5:5} {7!r:>8} {y=}', b=b'5' b'06'", "a='9' '9' '173', b=5", "a=12345678901234567890, b=0", "a=x.e5 .f6, b=5 .real"]
+    known, alike = {}, {}
+    for text in texts:
+        for n in (5, 6, 40, 0):
+            source = f'"""Part {n}."""\n\n\n@d{n}({text})\nclass E{n}(f({text})):\n    def m{n}(self, {text if "," in text else "a=5"}): return g{n}(z{n})\n\n\nx = 1\n'
+            assert extract.facts(source, extract.AS_WRITTEN, known, alike) == extract.facts(source, extract.AS_WRITTEN), text
+    assert extract.marked("p5 = 60\n") == ("p9173500002 = 9173500012\n", ["5", "60"]) and extract.marked("1e-5") == ("1e-5", [])
+
+
+def test_doc_of_pieces_and_pieces_that_are_no_python(monkeypatch):
+    end = "\n\nclass C: pass\n\ndef f(): pass\n"
+    for head in ('"""A\n\nb"""\n', "# none\n\nimport os\n\n'b'\n", "\n\n# late\n\ndef g(): 'no'\n", "# late\n\n@d\ndef g(): pass\n", "'a' 'b'\n\n'c'\n", "f'{a}'\n", "", "'''  \n\n x'''\n", "x = '''\n\ndef g(): pass\n'''\n"):
+        assert extract.facts(head + end, ["doc"], {}, {}) == extract.facts(head + end, ["doc"])
+    read, parse = [], extract._read
+    monkeypatch.setattr(extract, "_read", lambda text: read.append(text) or parse(text))
+    known = {}
+    assert extract.facts(SOURCE + "\n\ndef (\n", ["doc", "is_entry"], known) == {"parse_error": True, "error": None, "is_entry": False}
+    assert not any("class C" in t and "def (" in t for t in read)
+    assert extract.facts("x = '''\n\ndef (\n'''\n", ["doc"], known)["parse_error"] is False
+
+
+def test_a_client_asks_for_what_its_rows_say(spark, monkeypatch):
+    class Client:
+        def analyze_files(self, files, types):
+            return {f["rel_path"]: f"{f['doc']} {f['classes']} {f['functions']} {f['imports']} {f['lines']}" for f in files}
+
+    source = SOURCE + "\n" * 30
+    p = Project(spark, tree.from_rows(spark, {"a.py": source, "b.py": "def (\n"}))
+    p.files.count()
+    want = sorted(map(tuple, p.analyze(Client()).collect()))
+    asked = parsed(monkeypatch)
+    got = Project(spark, tree.from_rows(spark, {"a.py": source, "b.py": "def (\n"})).analyze(Client())
+    assert sorted(map(tuple, got.collect())) == want and want[0][-2] == "Doc. ['C'] ['g'] ['os'] 42"
+    assert asked == [{"doc", "imports", "classes", "functions"}]
