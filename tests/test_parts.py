@@ -201,3 +201,13 @@ def test_a_client_asks_for_what_its_rows_say(spark, monkeypatch):
     got = Project(spark, tree.from_rows(spark, {"a.py": source, "b.py": "def (\n"})).analyze(Client())
     assert sorted(map(tuple, got.collect())) == want and want[0][-2] == "Doc. ['C'] ['g'] ['os'] 42"
     assert asked == [{"doc", "imports", "classes", "functions"}]
+
+
+def test_descriptions_ask_for_docs_alone(spark, monkeypatch, tmp_path):
+    from tessera.plans import state_queries
+
+    asked = parsed(monkeypatch)
+    spark.createDataFrame([(k, "red ring", 3 + k % 2) for k in range(60)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.path: r.about for r in state_queries.described_files(spark, str(tmp_path)).collect()}
+    assert len(found) == 60 and (found["b2/p9.py"], found["b4/p4.py"], found["b6/p13.py"]) == ("said of 9", "Part 4: red ring.", "")
+    assert asked == [{"doc"}]
