@@ -211,3 +211,15 @@ def test_descriptions_ask_for_docs_alone(spark, monkeypatch, tmp_path):
     found = {r.path: r.about for r in state_queries.described_files(spark, str(tmp_path)).collect()}
     assert len(found) == 60 and (found["b2/p9.py"], found["b4/p4.py"], found["b6/p13.py"]) == ("said of 9", "Part 4: red ring.", "")
     assert asked == [{"doc"}]
+
+
+def test_classes_of_sources_that_differ_by_numbers_need_few_parses(spark, monkeypatch, tmp_path):
+    from tessera.plans import source_queries
+
+    spark.createDataFrame([(k, "red ring", 3 + k % 2) for k in range(240)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    texts = [r.source_code for r in tree.split(source_queries.sources(spark, str(tmp_path)))[0].collect()]
+    want, read, parse = [extract.facts(t, ["classes"]) for t in texts], [], extract._read
+    monkeypatch.setattr(extract, "_read", lambda text: read.append(text) or parse(text))
+    known, alike = {}, {}
+    assert [extract.facts(t, ["classes"], known, alike) for t in texts] == want and sum(w["parse_error"] for w in want) == 24
+    assert len(texts) == 240 and len({t for t in texts}) == 240 and len(read) < 30
